@@ -23,10 +23,10 @@ STEPS = 5
 LEAST = 100
 #: Squared distances are binned by this many steps to a doubling.
 FINE = 32
-#: Chi-square quantiles for 5 degrees of freedom: 0.75, 0.975, and the one beyond which a document goes (1 - 1e-6).
-CHI_CORE, CHI_GOOD, CHI_CUT = 6.625680, 12.832502, 35.888187
+#: Chi-square quantiles for 5 degrees of freedom: 0.975, and the one beyond which a document goes (1 - 1e-13).
+CHI_GOOD, CHI_CUT = 12.832502, 70.051105
 #: Factors that make the covariance of the inner 0.75 (0.975) consistent at a normal: share / F7(quantile).
-FIX_CORE, FIX_GOOD = 0.75 / 0.530860, 0.975 / 0.923764
+FIX_CORE, FIX_GOOD = 0.75 / 0.531135, 0.975 / 0.923704
 
 
 def statistics(docs: DataFrame) -> DataFrame:
