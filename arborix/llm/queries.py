@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, mixing, quality, sharding, simhash, tokens, warc
+from . import classifier, decontamination, mixing, quality, sharding, simhash, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4)
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(table(spark, sf_dir, "documents"), weights=[1.0] * 8)
 
@@ -45,8 +49,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_rules, op2_arc_to_warc, op3_source_mixing, op4_simhash_neardup, op6_rendezvous_sharding,
-        op7_token_files, op8_quality_classifier,
+        op1_quality_rules, op2_arc_to_warc, op3_source_mixing, op4_simhash_neardup,
+        op5_benchmark_leaks, op6_rendezvous_sharding, op7_token_files, op8_quality_classifier,
     )
 }
 ORACLES: dict[str, str] = {}
