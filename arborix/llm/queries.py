@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontamination, mixing, quality, sharding, simhash, tokens, warc
+from . import classifier, decontamination, mixing, quality, sharding, simhash, suffix, tokens, warc
+from .common import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,10 +49,15 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules, op2_arc_to_warc, op3_source_mixing, op4_simhash_neardup,
         op5_benchmark_leaks, op6_rendezvous_sharding, op7_token_files, op8_quality_classifier,
+        op10_suffix_repeats,
     )
 }
 ORACLES: dict[str, str] = {}
