@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import classifier, decontamination, mixing, quality, sharding, simhash, suffix, tokens, warc
+from . import classifier, decontamination, lines, mixing, quality, sharding, simhash, suffix, tokens, warc
 from .common import ship
+from .oracles import ORACLES  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +51,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.withColumn("kept_sha256", F.sha2(F.col("kept_text").cast("binary"), 256)).drop("kept_text")
+
+
 def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -57,7 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules, op2_arc_to_warc, op3_source_mixing, op4_simhash_neardup,
         op5_benchmark_leaks, op6_rendezvous_sharding, op7_token_files, op8_quality_classifier,
-        op10_suffix_repeats,
+        op9_line_runs, op10_suffix_repeats,
     )
 }
-ORACLES: dict[str, str] = {}
