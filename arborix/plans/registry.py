@@ -1,4 +1,27 @@
 """All queries of the library by operator ID, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import importlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from arborix.sources.views import Views, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of Views under an operator ID; ``sql`` may name the views."""
+    def add(f: Callable[[Views], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if sql:
+            ORACLES[name] = with_views(sql)
+        return f
+    return add
+
+
+for module in ("basic", "measures", "statistics", "trees", "modelling", "storage"):
+    importlib.import_module(f"arborix.plans.{module}")
