@@ -12,7 +12,7 @@ BLOCK = 256
 #: Cells of the unit interval by which points of the schedule meet their source.
 CELLS = 4096
 #: Slots of one source are ranked in runs of so many consecutive slots of the schedule.
-RUN = 1 << 16
+RUN = 1 << 12
 BUCKETS = 1024
 GOLDEN = 0.6180339887498949
 
