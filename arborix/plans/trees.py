@@ -1 +1,278 @@
-"""Filled below."""
+"""Queries of the tree operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from arborix.functions.lineage import stored
+from arborix.operators import joins, tables, tree
+from arborix.plans.basic import ORDERED_IDS, identified
+from arborix.plans.registry import query
+
+c, lit = F.col, F.lit
+n_ = F.count(lit(1))
+r6 = lambda x: F.round(x, 6)
+RADII = [20000.0, 80000.0]
+EPS = 60000.0
+
+
+def once(f):
+    """Keeps what f makes of a Views, written out, so that a query that needs it again reads it."""
+    def run(v):
+        made = v.__dict__.setdefault("_made", {})
+        if f.__name__ not in made:
+            made[f.__name__] = stored(f(v), f.__name__)
+        return made[f.__name__]
+    return run
+
+
+@once
+def attached(v):
+    """Both ends of each contact with its nearest node: neuron, contact, type, partner, compartment, node_id."""
+    ids = identified(v)
+    end = lambda a, b, k: F.struct((c("synapse_id") * 2 + k).alias("contact"), c(a).alias("neuron"), c(b).alias("partner"), lit(a).alias("type"),
+                                   c(f"{a}_compartment").alias("compartment"), *[c(f"{a}_{x}").alias(f"c{x}") for x in "xyz"])
+    ends = ids.select(F.explode(F.array(end("pre", "post", 0), end("post", "pre", 1))).alias("e")).select("e.*")
+    near = joins.nearest(ends.select("neuron", "contact", "cx", "cy", "cz"), v.skeleton, "neuron", "contact", "node_id", ["cx", "cy", "cz"], ["x", "y", "z"], RADII)
+    return ends.join(near, ["neuron", "contact"])
+
+
+CONNECT = f"""{ORDERED_IDS}, ends AS (SELECT synapse_id*2 AS contact, pre AS neuron, post AS partner, 'pre' AS type, pre_compartment AS compartment, pre_x AS cx, pre_y AS cy, pre_z AS cz FROM ids UNION ALL SELECT synapse_id*2+1, post, pre, 'post', post_compartment, post_x, post_y, post_z FROM ids),
+cd AS (SELECT e.*, s.node_id, sqrt((cx-x)*(cx-x)+(cy-y)*(cy-y)+(cz-z)*(cz-z)) AS d FROM ends e JOIN skeleton s ON s.neuron=e.neuron),
+con AS (SELECT neuron, contact, any_value(partner) AS partner, any_value(type) AS type, any_value(compartment) AS compartment, any_value(cx) AS cx, arg_min(node_id, (d, node_id)) AS node_id FROM cd WHERE d <= 80000 GROUP BY neuron, contact)"""
+
+
+@query("t1_connectors", f"{CONNECT} SELECT neuron, contact, type, partner, compartment, node_id FROM con")
+def t1(v):
+    return attached(v).select("neuron", "contact", "type", "partner", "compartment", "node_id")
+
+
+def fragments(v):
+    """The skeletons with every fifth node cut from its parent."""
+    return v.skeleton.withColumn("parent_id", F.when((c("node_id") % 5 == 0), -1).otherwise(c("parent_id")))
+
+
+@query("t2_heal")
+def t2(v):
+    return tree.heal(fragments(v), 60000.0).select("neuron", "u", "v", r6(c("distance")).alias("distance"))
+
+
+@query("t3_reroot", """m AS (SELECT neuron, max(node_id) AS r FROM skeleton GROUP BY neuron) SELECT s.neuron, s.node_id, CASE WHEN s.node_id = r THEN -1 WHEN w.below IS NOT NULL THEN w.below ELSE s.parent_id END AS parent_id
+ FROM skeleton s JOIN m ON m.neuron=s.neuron LEFT JOIN (SELECT m.neuron, (r >> (k+1)) AS node_id, (r >> k) AS below FROM m, (SELECT unnest(range(0,40)) AS k) WHERE (r >> (k+1)) >= 1) w ON w.neuron=s.neuron AND w.node_id=s.node_id""")
+def t3(v):
+    roots = v.skeleton.groupBy("neuron").agg(F.max("node_id").alias("node_id"))
+    return tree.reroot(v.skeleton.select("neuron", "node_id", "parent_id"), roots)
+
+
+UPWARD = """up AS (SELECT a.neuron, a.node_id, a.node_id >> k AS anc FROM skeleton a, (SELECT unnest(range(0,40)) AS k) WHERE (a.node_id >> k) >= 1)"""
+
+
+@query("t4_subtree_totals", f"{CONNECT}, {UPWARD}, s AS (SELECT u.neuron, u.anc AS node_id, count(*) FILTER (type='pre') AS distal_pre, count(*) FILTER (type='post') AS distal_post FROM con c JOIN up u ON u.neuron=c.neuron AND u.node_id=c.node_id GROUP BY ALL), z AS (SELECT neuron, anc AS node_id, count(*) AS nodes FROM up GROUP BY ALL) SELECT z.neuron, z.node_id, nodes, coalesce(distal_pre,0) AS distal_pre, coalesce(distal_post,0) AS distal_post FROM z LEFT JOIN s ON s.neuron=z.neuron AND s.node_id=z.node_id")
+def t4(v):
+    on = attached(v).groupBy("neuron", "node_id").agg(F.count_if(c("type") == "pre").alias("p"), F.count_if(c("type") == "post").alias("q"))
+    t = v.skeleton.join(on, ["neuron", "node_id"], "left").fillna(0, ["p", "q"])
+    nodes, _ = tree.doubled(t, {"nodes": lit(1).cast("bigint"), "distal_pre": c("p"), "distal_post": c("q")})
+    return nodes.select("neuron", "node_id", "nodes", "distal_pre", "distal_post")
+
+
+def parts(v):
+    return tree.split(v.skeleton, attached(v).select("neuron", "node_id", "type"))
+
+
+@query("t5_flow_split")
+def t5(v):
+    return parts(v)
+
+
+@query("t6_split_accepted")
+def t6(v):
+    p = parts(v)
+    big = F.count(lit(1)) > 80000
+    g = p.groupBy("neuron").agg(F.collect_set("part").alias("parts"), n_.alias("nodes"), big.alias("big"))
+    has = lambda x: F.array_contains("parts", x)
+    status = (F.when(c("big"), "size").when(has("axon") & has("dendrite") & has("linker"), "three parts").when(has("axon") & has("dendrite"), "two parts")
+              .when(has("linker"), "issue: one side").otherwise("issue: no split"))
+    return g.select("neuron", "nodes", status.alias("status"))
+
+
+@query("t7_labelled_contacts")
+def t7(v):
+    label = F.when(c("part") == "axon", "A").when(c("part") == "dendrite", "D").otherwise("L")
+    return attached(v).join(parts(v).select("neuron", "node_id", "part"), ["neuron", "node_id"]).select("neuron", "contact", "type", label.alias("compartment"))
+
+
+@query("t8_root_count", "SELECT neuron, count(*) FILTER (parent_id=-1) AS roots, count(*) FILTER (parent_id=-1)=1 AS one_tree FROM skeleton GROUP BY neuron")
+def t8(v):
+    return v.skeleton.groupBy("neuron").agg(F.count_if(c("parent_id") == -1).alias("roots")).withColumn("one_tree", c("roots") == 1)
+
+
+@query("t9_fragments", f"""{CONNECT}, {UPWARD}, top AS (SELECT neuron, node_id, max(anc) AS root FROM up WHERE anc % 5 = 0 OR anc = 1 GROUP BY ALL) SELECT t.neuron, t.root, count(DISTINCT t.node_id) AS nodes, count(c.contact) AS contacts FROM top t LEFT JOIN con c ON c.neuron=t.neuron AND c.node_id=t.node_id GROUP BY ALL""")
+def t9(v):
+    nodes, _ = tree.doubled(fragments(v))
+    n = attached(v).groupBy("neuron", "node_id").agg(n_.alias("n"))
+    return nodes.join(n, ["neuron", "node_id"], "left").groupBy("neuron", "root").agg(n_.alias("nodes"), F.coalesce(F.sum("n"), lit(0)).alias("contacts"))
+
+
+@query("t10_morphology", """k AS (SELECT s.neuron, s.node_id, (SELECT 1) AS one FROM skeleton s), ch AS (SELECT neuron, parent_id AS node_id, count(*) AS n FROM skeleton WHERE parent_id<>-1 GROUP BY ALL),
+e AS (SELECT a.neuron, sum(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))) AS cable FROM skeleton a JOIN skeleton b ON a.neuron=b.neuron AND a.parent_id=b.node_id GROUP BY a.neuron)
+SELECT s.neuron, count(*) AS nodes, count(*) FILTER (ch.n IS NULL) AS leafs, count(*) FILTER (ch.n>1) AS branches, round(coalesce(any_value(cable),0),3) AS cable_length FROM skeleton s LEFT JOIN ch ON ch.neuron=s.neuron AND ch.node_id=s.node_id LEFT JOIN e ON e.neuron=s.neuron GROUP BY s.neuron""".replace("k AS (SELECT s.neuron, s.node_id, (SELECT 1) AS one FROM skeleton s), ", ""))
+def t10(v):
+    kids = v.skeleton.filter(c("parent_id") != -1).groupBy("neuron", c("parent_id").alias("node_id")).agg(n_.alias("n"))
+    t = tree.edge_lengths(v.skeleton).join(kids, ["neuron", "node_id"], "left")
+    return t.groupBy("neuron").agg(n_.alias("nodes"), F.count_if(c("n").isNull()).alias("leafs"), F.count_if(c("n") > 1).alias("branches"), F.round(F.sum("length"), 3).alias("cable_length"))
+
+
+def sampled(v, most):
+    """Up to ``most`` contacts of each neuron and type, by a hash of the contact."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("neuron", "type").orderBy(F.xxhash64("contact"), "contact")
+    return attached(v).withColumn("place", F.row_number().over(w)).filter(c("place") <= most)
+
+
+@query("t11_pre_post_distance")
+def t11(v):
+    """Mean way between sampled pre and post contacts of a neuron; the sample is part of the measure."""
+    s = sampled(v, 30).groupBy("neuron", "type", "node_id").agg(n_.alias("n"))
+    a = s.filter(c("type") == "pre").select("neuron", c("node_id").alias("u"), c("n").alias("nu"))
+    b = s.filter(c("type") == "post").select("neuron", c("node_id").alias("v"), c("n").alias("nv"))
+    nodes, jumps = tree.doubled(v.skeleton)
+    p = tree.path_lengths(a.join(b, "neuron"), nodes, jumps)
+    w = c("nu") * c("nv")
+    return p.groupBy("neuron").agg(F.round(F.sum(w * c("path")) / F.sum(w), 3).alias("mean_path"), F.sum(w).alias("pairs"))
+
+
+@query("t12_path_lengths", f"""{UPWARD}, len AS (SELECT a.neuron, a.node_id, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS l FROM skeleton a JOIN skeleton b ON a.neuron=b.neuron AND a.parent_id=b.node_id),
+pr AS (SELECT a.neuron, a.node_id AS u, b.node_id AS v FROM skeleton a JOIN skeleton b ON a.neuron=b.neuron AND b.node_id IN (a.node_id+1, a.node_id+5)),
+e AS (SELECT pr.neuron, u, v, up.anc FROM pr JOIN up ON up.neuron=pr.neuron AND up.node_id=u UNION ALL SELECT pr.neuron, u, v, up.anc FROM pr JOIN up ON up.neuron=pr.neuron AND up.node_id=v),
+once AS (SELECT neuron, u, v, anc FROM e GROUP BY ALL HAVING count(*)=1) SELECT pr.neuron, pr.u, pr.v, round(coalesce(sum(l),0),3) AS path FROM pr LEFT JOIN once o ON o.neuron=pr.neuron AND o.u=pr.u AND o.v=pr.v LEFT JOIN len ON len.neuron=o.neuron AND len.node_id=o.anc GROUP BY ALL""")
+def t12(v):
+    a = v.skeleton.select("neuron", c("node_id").alias("u"), F.explode(F.array(c("node_id") + 1, c("node_id") + 5)).alias("v"))
+    pairs = a.join(v.skeleton.select("neuron", c("node_id").alias("v")), ["neuron", "v"])
+    nodes, jumps = tree.doubled(v.skeleton)
+    return tree.path_lengths(pairs, nodes, jumps).select("neuron", "u", "v", F.round("path", 3).alias("path"))
+
+
+@query("t13_reciprocal_distance")
+def t13(v):
+    """Mean way between the sites that a neuron shares with a reciprocal partner, in to out."""
+    both = tables.reciprocal_pairs(tables.type_counts(v.typed), ["sum_syn"]).select(F.explode(F.array(F.struct(c("a").alias("neuron"), c("b").alias("partner")), F.struct(c("b").alias("neuron"), c("a").alias("partner")))).alias("e")).select("e.*")
+    s = attached(v).join(both, ["neuron", "partner"], "left_semi").groupBy("neuron", "partner", "type", "node_id").agg(n_.alias("n"))
+    a = s.filter(c("type") == "pre").select("neuron", "partner", c("node_id").alias("u"), c("n").alias("nu"))
+    b = s.filter(c("type") == "post").select("neuron", "partner", c("node_id").alias("v"), c("n").alias("nv"))
+    nodes, jumps = tree.doubled(v.skeleton)
+    p = tree.path_lengths(a.join(b, ["neuron", "partner"]), nodes, jumps)
+    w = c("nu") * c("nv")
+    return p.groupBy("neuron", "partner").agg(F.round(F.sum(w * c("path")) / F.sum(w), 3).alias("mean_path"), F.sum(w).alias("pairs"))
+
+
+@once
+def boutons(v):
+    pre = attached(v).filter(c("type") == "pre")
+    found = tree.clusters(pre.select("neuron", "contact", "node_id"), v.skeleton, EPS)
+    return found.join(pre.select("contact", c("cx").alias("x"), c("cy").alias("y"), c("cz").alias("z")), "contact")
+
+
+@query("t14_boutons")
+def t14(v):
+    return boutons(v).select("neuron", "contact", "node_id", "cluster")
+
+
+@query("t15_merged_boutons")
+def t15(v):
+    return tree.merge_clusters(boutons(v), 5000.0).select("neuron", "contact", "node_id", "cluster")
+
+
+@once
+def boutons_with_near(v):
+    """Clusters with the unclustered contacts near them: each joins its nearest clustered contact's cluster."""
+
+    found = stored(tree.merge_clusters(boutons(v), 5000.0), "merged")
+    pre = attached(v).filter(c("type") == "pre").select("neuron", "contact", "node_id", c("cx").alias("x"), c("cy").alias("y"), c("cz").alias("z"))
+    rest = pre.join(found.select("contact"), "contact", "left_anti")
+    right = found.select("neuron", c("contact").alias("other"), c("x").alias("ox"), c("y").alias("oy"), c("z").alias("oz"))
+    near = joins.nearest(rest, right, "neuron", "contact", "other", ["x", "y", "z"], ["ox", "oy", "oz"], [4500.0], strict=True)
+    more = near.join(found.select(c("contact").alias("other"), "cluster"), "other").join(pre.select("contact", "node_id", "x", "y", "z"), "contact")
+    names = ["neuron", "contact", "node_id", "cluster", "x", "y", "z"]
+    return found.select(*names).unionByName(more.select(*names))
+
+
+@query("t16_near_contacts_added")
+def t16(v):
+    return boutons_with_near(v).select("neuron", "contact", "node_id", "cluster")
+
+
+@once
+def centroid_nodes(v):
+    g = boutons_with_near(v).groupBy("neuron", "cluster").agg(*[F.avg(a).alias(f"m{a}") for a in "xyz"])
+    d = F.sqrt(sum(((c(f"m{a}") - c(a)) * (c(f"m{a}") - c(a)) for a in "xyz"), lit(0.0)))
+    return g.join(v.skeleton, "neuron").groupBy("neuron", "cluster").agg(F.min(F.struct(d.alias("d"), "node_id")).alias("m")).select("neuron", "cluster", c("m.node_id").alias("centroid"))
+
+
+@once
+def stage_one(v):
+    """Post contacts whose way to the nearest centroid is under the bound, unless a pre contact outside clusters is nearer to it."""
+
+    nodes, jumps = tree.doubled(v.skeleton)
+    mid = centroid_nodes(v)
+    con = attached(v)
+    post = con.filter(c("type") == "post").select("neuron", "contact", c("node_id").alias("u"))
+    pairs = post.select("neuron", "u").distinct().join(mid.select("neuron", "cluster", c("centroid").alias("v")), "neuron")
+    way = tree.path_lengths(pairs, nodes, jumps).filter(c("path") < 5 * EPS)
+    best = way.groupBy("neuron", "u").agg(F.min(F.struct("path", "v", "cluster")).alias("m")).select("neuron", "u", "m.path", c("m.v").alias("centroid"), "m.cluster")
+    loose = con.filter(c("type") == "pre").join(boutons_with_near(v).select("contact"), "contact", "left_anti").select("neuron", c("node_id").alias("u")).distinct()
+    bar = tree.path_lengths(loose.join(mid.select("neuron", c("centroid").alias("v")), "neuron"), nodes, jumps).groupBy("neuron", c("v").alias("centroid")).agg(F.min("path").alias("bar"))
+    out = post.join(best, ["neuron", "u"]).join(bar, ["neuron", "centroid"], "left").filter(c("bar").isNull() | (c("bar") >= c("path")))
+    return out.select("neuron", "contact", c("u").alias("node_id"), "centroid", "cluster", F.round("path", 3).alias("path"))
+
+
+@query("t17_filopodia_first")
+def t17(v):
+    return stage_one(v)
+
+
+@query("t18_no_pre_below", f"{CONNECT}, {UPWARD}, s AS (SELECT u.neuron, u.anc AS node_id, count(*) FILTER (type='pre') AS below FROM con c JOIN up u ON u.neuron=c.neuron AND u.node_id=c.node_id GROUP BY ALL) SELECT c.neuron, c.contact, c.node_id FROM con c JOIN s ON s.neuron=c.neuron AND s.node_id=c.node_id WHERE type='post' AND below=0")
+def t18(v):
+    con = attached(v)
+    on = con.groupBy("neuron", "node_id").agg(F.count_if(c("type") == "pre").alias("p"))
+    t = v.skeleton.join(on, ["neuron", "node_id"], "left").fillna(0, ["p"])
+    nodes, _ = tree.doubled(t, {"below": c("p")})
+    return con.filter(c("type") == "post").join(nodes.filter(c("below") == 0).select("neuron", "node_id"), ["neuron", "node_id"]).select("neuron", "contact", "node_id")
+
+
+@query("t19_base_nodes")
+def t19(v):
+    """On the way from a contact to its centroid, the node before the first one that has a pre contact; the centroid if none has."""
+
+    first = stage_one(v)
+    pre = attached(v).filter(c("type") == "pre").select("neuron", "node_id").distinct().withColumn("has", lit(True))
+    nodes, jumps = tree.doubled(v.skeleton)
+    pairs = first.select("neuron", c("node_id").alias("u"), c("centroid").alias("v")).distinct()
+    top = stored(tree.path_lengths(pairs, nodes, jumps).select("neuron", "u", "v", "lca"), "base-ways")
+    up = v.skeleton.select("neuron", c("node_id").alias("at"), "parent_id")
+
+    def climb(end: str):
+        """(pair, node, steps from that end) up to the common ancestor."""
+        now = top.withColumn("at", c(end)).withColumn("steps", lit(0))
+        all_ = now
+        while True:
+            now = stored(now.filter(c("at") != c("lca")).join(up, ["neuron", "at"]).select("neuron", "u", "v", "lca", c("parent_id").alias("at"), (c("steps") + 1).alias("steps")), "base-climb")
+            if not now.take(1):
+                return all_
+            all_ = all_.unionByName(now.select(*all_.columns))
+    rise, fall = climb("u"), climb("v")
+    length = rise.filter(c("at") == c("lca")).select("neuron", "u", "v", c("steps").alias("up")).join(fall.filter(c("at") == c("lca")).select("neuron", "u", "v", c("steps").alias("down")), ["neuron", "u", "v"])
+    fall = fall.filter(c("at") != c("lca")).join(length, ["neuron", "u", "v"]).select("neuron", "u", "v", "at", (c("up") + c("down") - c("steps")).alias("place"))
+    way = stored(rise.select("neuron", "u", "v", "at", c("steps").alias("place")).unionByName(fall), "base-way")
+    hit = way.join(pre.withColumnRenamed("node_id", "at"), ["neuron", "at"]).groupBy("neuron", "u", "v").agg(F.min("place").alias("first"))
+    base = top.select("neuron", "u", "v").join(hit, ["neuron", "u", "v"], "left").withColumn("place", F.greatest(c("first") - 1, lit(0)))
+    base = base.join(way.select("neuron", "u", "v", "place", "at"), ["neuron", "u", "v", "place"], "left").select("neuron", "u", "v", F.coalesce("at", "v").alias("base"))
+    out = first.join(base.select("neuron", c("u").alias("node_id"), c("v").alias("centroid"), "base"), ["neuron", "node_id", "centroid"])
+    return tree.dense(out, "base", "base_no").select("neuron", "contact", "node_id", "centroid", "base", "base_no")
+
+
+@query("t20_issues", "SELECT n.neuron, CASE WHEN s.neuron IS NULL THEN 'no skeleton' WHEN i.si IS NULL THEN 'no index' END AS issue FROM neurons n LEFT JOIN (SELECT DISTINCT neuron FROM skeleton) s ON s.neuron=n.neuron LEFT JOIN si i ON i.neuron=n.neuron WHERE s.neuron IS NULL OR i.si IS NULL")
+def t20(v):
+    s = v.skeleton.select("neuron").distinct().withColumn("has", lit(True))
+    issue = F.when(c("has").isNull(), "no skeleton").when(c("si").isNull(), "no index")
+    return v.neurons.select("neuron").join(s, "neuron", "left").join(v.si.select("neuron", "si"), "neuron", "left").select("neuron", issue.alias("issue")).filter(c("issue").isNotNull())
