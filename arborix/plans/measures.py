@@ -13,7 +13,12 @@ from arborix.plans.basic import INTRINSIC, STACK, T4, stacked
 from arborix.plans.registry import query
 
 c, lit = F.col, F.lit
-n_ = F.count(lit(1))
+
+
+def n_():
+    return F.count(lit(1))
+
+
 r6 = lambda x: F.round(x, 6)
 pct = lambda t: F.count_if(c("comp") == t)
 
@@ -133,7 +138,7 @@ def d11(v):
 def d12(v):
     f = tables.reciprocity_fraction(v.conn).dropna(subset=["reciprocal_ratio", "non_reciprocal_ratio"]).join(v.neurons.select("neuron", "super_class"), "neuron")
     r, q = c("reciprocal_ratio"), c("non_reciprocal_ratio")
-    return f.groupBy("super_class").agg(r6(F.avg((r - q) / (r + q))).alias("symmetric"), r6(F.median(r / q)).alias("mid"), n_.alias("n"))
+    return f.groupBy("super_class").agg(r6(F.avg((r - q) / (r + q))).alias("symmetric"), r6(F.median(r / q)).alias("mid"), n_().alias("n"))
 
 
 TYPE_SI = "tsi AS (SELECT primary_type, avg(si) AS type_si FROM nsi GROUP BY 1)"
@@ -148,7 +153,7 @@ def type_si(v):
 def d13(v):
     good = type_si(v).filter(c("type_si") >= 0.1).select("primary_type")
     rows = tables.with_roles(v.typed, v.neurons.join(good, "primary_type"), ["primary_type"], "inner")
-    return rows.groupBy("comp").agg(r6(F.avg((c("primary_type_pre") == c("primary_type_post")).cast("int"))).alias("share"), n_.alias("n"))
+    return rows.groupBy("comp").agg(r6(F.avg((c("primary_type_pre") == c("primary_type_post")).cast("int"))).alias("share"), n_().alias("n"))
 
 
 @query("d14_side_occurrence", """r AS (SELECT a.primary_type AS t, (a.side=b.side)::INT AS ipsi, (a.primary_type=b.primary_type)::INT AS same, s.comp FROM typed s JOIN neurons a ON a.neuron=s.pre JOIN neurons b ON b.neuron=s.post WHERE a.side<>'center' AND b.side<>'center'),
@@ -186,12 +191,12 @@ def d17(v):
 
 @query("d18_strength_same_type", f"{STACK} SELECT syn_type, same_type, count(*) AS n, round(avg(n),6) AS mean, round(stddev_samp(n)/sqrt(count(*)),6) AS se FROM stack WHERE n>=1 GROUP BY ALL")
 def d18(v):
-    return stacked(v.conn).filter(c("n") >= 1).groupBy("syn_type", "same_type").agg(n_.alias("n"), r6(F.avg("n")).alias("mean"), r6(F.stddev_samp("n") / F.sqrt(n_)).alias("se"))
+    return stacked(v.conn).filter(c("n") >= 1).groupBy("syn_type", "same_type").agg(n_().alias("n"), r6(F.avg("n")).alias("mean"), r6(F.stddev_samp("n") / F.sqrt(n_())).alias("se"))
 
 
 @query("d19_strength_reciprocal", f"{STACK} SELECT syn_type, reciprocal, same_type, count(*) AS n, round(avg(n),6) AS mean FROM stack WHERE n>=1 GROUP BY ALL")
 def d19(v):
-    return stacked(v.conn).filter(c("n") >= 1).groupBy("syn_type", "reciprocal", "same_type").agg(n_.alias("n"), r6(F.avg("n")).alias("mean"))
+    return stacked(v.conn).filter(c("n") >= 1).groupBy("syn_type", "reciprocal", "same_type").agg(n_().alias("n"), r6(F.avg("n")).alias("mean"))
 
 
 def _dom(p: str) -> str:
@@ -216,9 +221,9 @@ def d20(v):
     has = c("ab").isNotNull() & c("ba").isNotNull()
     pair = lambda a, b: F.struct(c(a).alias("row_type"), c(b).alias("col_type"))
     each = d.filter(has).select("same_type", F.explode(F.when(c("ab") == c("ba"), F.array(pair("ab", "ba"))).otherwise(F.array(pair("ab", "ba"), pair("ba", "ab")))).alias("p"))
-    g = each.groupBy("same_type", "p.row_type", "p.col_type").agg(n_.alias("n"))
+    g = each.groupBy("same_type", "p.row_type", "p.col_type").agg(n_().alias("n"))
     g = g.withColumn("share", r6(c("n") / F.sum("n").over(Window.partitionBy("same_type"))))
-    none = d.filter(~has).groupBy("same_type").agg(n_.alias("n"))
+    none = d.filter(~has).groupBy("same_type").agg(n_().alias("n"))
     return g.unionByName(none.select("same_type", lit("none").alias("row_type"), lit("none").alias("col_type"), "n", lit(None).cast("double").alias("share")))
 
 
@@ -228,22 +233,22 @@ def d21(v):
     for end in "xy":
         d = d.join(v.neurons.select(c("neuron").alias(end), c("side").alias(f"side_{end}")), end)
     d = d.filter((c("side_x") != "center") & (c("side_y") != "center"))
-    return d.groupBy((c("side_x") == c("side_y")).cast("int").alias("ipsi"), "ab", "ba").agg(n_.alias("n"))
+    return d.groupBy((c("side_x") == c("side_y")).cast("int").alias("ipsi"), "ab", "ba").agg(n_().alias("n"))
 
 
 @query("d22_region_reciprocity", """r AS (SELECT regexp_replace(t.npil,'_[LR]$','') AS region, t.comp, c.reciprocal FROM typed t JOIN conn c ON c.pre=t.pre AND c.post=t.post)
 SELECT region, """ + ", ".join(f"round(100.0*count(*) FILTER (comp='{t}' AND reciprocal={k})/count(*),1) AS {t.lower()}_{k}" for t in T4 for k in (0, 1)) + ", round(100.0*sum(reciprocal)/count(*),1) AS reciprocal_share FROM r GROUP BY region")
 def d22(v):
     r = v.typed.join(v.conn.select("pre", "post", "reciprocal"), ["pre", "post"]).withColumn("region", expr.without_side(c("npil")))
-    cell = lambda t, k: F.round(100.0 * F.count_if((c("comp") == t) & (c("reciprocal") == k)) / n_, 1).alias(f"{t.lower()}_{k}")
-    return r.groupBy("region").agg(*[cell(t, k) for t in T4 for k in (0, 1)], F.round(100.0 * F.sum("reciprocal") / n_, 1).alias("reciprocal_share"))
+    cell = lambda t, k: F.round(100.0 * F.count_if((c("comp") == t) & (c("reciprocal") == k)) / n_(), 1).alias(f"{t.lower()}_{k}")
+    return r.groupBy("region").agg(*[cell(t, k) for t in T4 for k in (0, 1)], F.round(100.0 * F.sum("reciprocal") / n_(), 1).alias("reciprocal_share"))
 
 
 @query("d23_detections_compared", "r AS (SELECT npil, (size>=25)::INT AS d, comp FROM typed), g AS (SELECT npil, d, " + ", ".join(f"count(*) FILTER (comp='{t}')/count(*) AS {t.lower()}" for t in T4) + " FROM r GROUP BY ALL) SELECT " + ", ".join(f"round(corr(a.{t.lower()}, b.{t.lower()}),6) AS r_{t.lower()}" for t in T4) + ", count(*) AS regions FROM g a JOIN g b ON a.npil=b.npil AND a.d=0 AND b.d=1")
 def d23(v):
-    g = v.typed.groupBy("npil", (c("size") >= 25).cast("int").alias("d")).agg(*[(pct(t) / n_).alias(t) for t in T4])
+    g = v.typed.groupBy("npil", (c("size") >= 25).cast("int").alias("d")).agg(*[(pct(t) / n_()).alias(t) for t in T4])
     a, b = (g.filter(c("d") == d).select("npil", *[c(t).alias(f"{t}_{d}") for t in T4]) for d in (0, 1))
-    return a.join(b, "npil").agg(*[r6(F.corr(f"{t}_0", f"{t}_1")).alias(f"r_{t.lower()}") for t in T4], n_.alias("regions"))
+    return a.join(b, "npil").agg(*[r6(F.corr(f"{t}_0", f"{t}_1")).alias(f"r_{t.lower()}") for t in T4], n_().alias("regions"))
 
 
 @query("d24_mixed_sweep", """p AS (SELECT unnest(range(0,20))*5/100.0::DOUBLE AS point), m AS (SELECT point, (CASE WHEN si_pre<point THEN 'M' ELSE comp[1] END) || (CASE WHEN si_post<point THEN 'M' ELSE comp[2] END) AS label FROM master, p WHERE comp IN ('AA','AD','DA','DD'))
@@ -251,7 +256,7 @@ SELECT round(point,2) AS point, label, count(*) AS n FROM m GROUP BY ALL""")
 def d24(v):
     # rows of equal labels under all points are counted first: by the first point above either index
     step = lambda x: F.ceil(F.round(c(x) * 20, 7) + F.when(F.round(c(x) * 20, 7) == F.ceil(F.round(c(x) * 20, 7)), 1).otherwise(0)).cast("int")
-    m = v.master.filter(c("comp").isin(T4)).groupBy("comp", F.least(F.greatest(step("si_pre"), lit(0)), lit(20)).alias("i"), F.least(F.greatest(step("si_post"), lit(0)), lit(20)).alias("j")).agg(n_.alias("n"))
+    m = v.master.filter(c("comp").isin(T4)).groupBy("comp", F.least(F.greatest(step("si_pre"), lit(0)), lit(20)).alias("i"), F.least(F.greatest(step("si_post"), lit(0)), lit(20)).alias("j")).agg(n_().alias("n"))
     m = m.withColumn("k", F.explode(F.sequence(lit(0), lit(19))))
     letter = lambda at, s: F.when(c("k") >= c(s), "M").otherwise(F.substring("comp", at, 1))
     return m.groupBy(F.round(c("k") * 5 / 100.0, 2).alias("point"), F.concat(letter(1, "i"), letter(2, "j")).alias("label")).agg(F.sum("n").alias("n"))
@@ -260,7 +265,7 @@ def d24(v):
 @query("d25_ad_share_by_threshold", "t AS (SELECT (unnest(range(20))*5)/100.0::DOUBLE AS thr) SELECT round(thr,2) AS thr, round(count(*) FILTER (comp='AD')/count(*),6) AS share FROM master, t WHERE si_pre>=thr AND si_post>=thr AND comp IN ('AA','AD','DA','DD') GROUP BY thr")
 def d25(v):
     low = F.least(F.floor(F.round(F.least("si_pre", "si_post") * 20, 7)), lit(19))
-    g = v.master.filter(c("comp").isin(T4)).groupBy(low.alias("top")).agg(n_.alias("n"), pct("AD").alias("ad")).filter(c("top") >= 0)
+    g = v.master.filter(c("comp").isin(T4)).groupBy(low.alias("top")).agg(n_().alias("n"), pct("AD").alias("ad")).filter(c("top") >= 0)
     g = g.withColumn("k", F.explode(F.sequence(lit(0).cast("bigint"), c("top"))))
     return g.groupBy(F.round(c("k") * 5 / 100.0, 2).alias("thr")).agg(r6(F.sum("ad") / F.sum("n")).alias("share"))
 
@@ -269,7 +274,7 @@ def d25(v):
 SELECT comp, same_type, nt_type, count(*) AS n, round(count(*)/sum(count(*)) OVER (PARTITION BY comp, same_type),6) AS share FROM r GROUP BY comp, same_type, nt_type""")
 def d26(v):
     r = tables.with_roles(v.typed.filter(c("comp").isin("AA", "DD")), v.neurons, ["primary_type", "nt_type"], "inner").filter(c("nt_type_pre").isNotNull())
-    g = r.groupBy("comp", (c("primary_type_pre") == c("primary_type_post")).cast("int").alias("same_type"), c("nt_type_pre").alias("nt_type")).agg(n_.alias("n"))
+    g = r.groupBy("comp", (c("primary_type_pre") == c("primary_type_post")).cast("int").alias("same_type"), c("nt_type_pre").alias("nt_type")).agg(n_().alias("n"))
     return g.withColumn("share", r6(c("n") / F.sum("n").over(Window.partitionBy("comp", "same_type"))))
 
 
@@ -299,13 +304,13 @@ def d28(v):
 @query("d29_class_contacts", "SELECT a.super_class AS class_pre, b.super_class AS class_post, count(*) AS n FROM typed JOIN neurons a ON a.neuron=pre JOIN neurons b ON b.neuron=post WHERE a.super_class IN ('central','optic','visual_projection','visual_centrifugal') AND b.super_class IN ('central','optic','visual_projection','visual_centrifugal') GROUP BY ALL")
 def d29(v):
     r = tables.with_roles(v.typed, v.neurons.filter(c("super_class").isin(INTRINSIC)), ["super_class"], "inner")
-    return r.groupBy(c("super_class_pre").alias("class_pre"), c("super_class_post").alias("class_post")).agg(n_.alias("n"))
+    return r.groupBy(c("super_class_pre").alias("class_pre"), c("super_class_post").alias("class_post")).agg(n_().alias("n"))
 
 
 @query("d30_mode_agreement", """m AS (SELECT pre, post, CASE greatest("AA","AD","DA","DD") WHEN "AA" THEN 'AA' WHEN "AD" THEN 'AD' WHEN "DA" THEN 'DA' ELSE 'DD' END AS mode FROM conn0) SELECT t.comp, mode, count(*) AS n, round(avg((t.comp=mode)::INT),6) AS agree FROM typed t JOIN m ON m.pre=t.pre AND m.post=t.post GROUP BY ALL""")
 def d30(v):
     m = tables.type_counts(v.typed).select("pre", "post", expr.most_of(T4).alias("mode"))
-    return v.typed.join(m, ["pre", "post"]).groupBy("comp", "mode").agg(n_.alias("n"), r6(F.avg((c("comp") == c("mode")).cast("int"))).alias("agree"))
+    return v.typed.join(m, ["pre", "post"]).groupBy("comp", "mode").agg(n_().alias("n"), r6(F.avg((c("comp") == c("mode")).cast("int"))).alias("agree"))
 
 
 @query("d31_side_pairs", """x AS (SELECT primary_type || '/' || cell_sub_class AS t, side, si FROM nsi WHERE si IS NOT NULL AND side<>'center'), p AS (SELECT t, avg(si) FILTER (side='left') AS l, avg(si) FILTER (side='right') AS r, count(*) AS n FROM x GROUP BY t HAVING count(*) FILTER (side='left')>0 AND count(*) FILTER (side='right')>0)
@@ -321,12 +326,12 @@ def d31(v):
 @query("d32_within_between", "t AS (SELECT primary_type, avg(si) AS m, stddev_samp(si) AS s, count(si) AS n FROM nsi GROUP BY 1 HAVING count(si)>=2) SELECT round(avg(s),6) AS within, round(stddev_samp(m),6) AS between_types, count(*) AS types FROM t")
 def d32(v):
     t = v.nsi.groupBy("primary_type").agg(F.avg("si").alias("m"), F.stddev_samp("si").alias("s"), F.count("si").alias("n")).filter(c("n") >= 2)
-    return t.agg(r6(F.avg("s")).alias("within"), r6(F.stddev_samp("m")).alias("between_types"), n_.alias("types"))
+    return t.agg(r6(F.avg("s")).alias("within"), r6(F.stddev_samp("m")).alias("between_types"), n_().alias("types"))
 
 
 @query("d33_type_summary", "SELECT super_class, primary_type, round(avg(si),6) AS si, round(avg(length_nm),6) AS metric, count(*) AS n FROM nsi GROUP BY ALL HAVING count(*) >= 2")
 def d33(v):
-    return v.nsi.groupBy("super_class", "primary_type").agg(r6(F.avg("si")).alias("si"), r6(F.avg("length_nm")).alias("metric"), n_.alias("n")).filter(c("n") >= 2)
+    return v.nsi.groupBy("super_class", "primary_type").agg(r6(F.avg("si")).alias("si"), r6(F.avg("length_nm")).alias("metric"), n_().alias("n")).filter(c("n") >= 2)
 
 
 def si_of(where: str, name: str) -> str:
@@ -342,7 +347,7 @@ def si_of(where: str, name: str) -> str:
 def d34(v):
     p, q = tables.segregation(v.syn.filter(c("size") < 25)), tables.segregation(v.syn.filter(c("size") >= 25))
     x = p.select("neuron", "si").join(q.select("neuron", c("si").alias("other")), "neuron").dropna()
-    return x.groupBy(F.least(F.greatest(F.ceil(c("si") * 20) - 1, lit(0)), lit(19)).cast("int").alias("bin")).agg(n_.alias("n"), r6(F.avg("other")).alias("other"))
+    return x.groupBy(F.least(F.greatest(F.ceil(c("si") * 20) - 1, lit(0)), lit(19)).cast("int").alias("bin")).agg(n_().alias("n"), r6(F.avg("other")).alias("other"))
 
 
 @query("d35_pick_lists", "SELECT neuron, CASE WHEN si<0.05 THEN 'low' ELSE 'high' END AS list FROM nsi WHERE si<0.05 OR si>0.3")
@@ -353,13 +358,13 @@ def d35(v):
 @query("d36_strong_subnetwork", "s AS (SELECT pre, post FROM conn0 WHERE sum_syn>=2) SELECT 'strong' AS net, count(*) AS n, round(avg((r.pre IS NOT NULL)::INT),6) AS share FROM s LEFT JOIN s r ON r.pre=s.post AND r.post=s.pre UNION ALL SELECT 'whole', count(*), round(avg(reciprocal),6) FROM conn")
 def d36(v):
     e = tables.type_counts(v.typed)
-    one = lambda d, name: tables.mark_reciprocal(d).agg(n_.alias("n"), r6(F.avg("reciprocal")).alias("share")).select(lit(name).alias("net"), "n", "share")
+    one = lambda d, name: tables.mark_reciprocal(d).agg(n_().alias("n"), r6(F.avg("reciprocal")).alias("share")).select(lit(name).alias("net"), "n", "share")
     return one(e.filter(c("sum_syn") >= 2), "strong").unionByName(one(e, "whole"))
 
 
 @query("d37_reciprocity_by_type", "SELECT same_type, reciprocal, count(*) AS n, round(count(*)/sum(count(*)) OVER (PARTITION BY same_type),6) AS of_same, round(count(*)/sum(count(*)) OVER (PARTITION BY reciprocal),6) AS of_reciprocal FROM conn GROUP BY same_type, reciprocal")
 def d37(v):
-    g = v.conn.groupBy("same_type", "reciprocal").agg(n_.alias("n"))
+    g = v.conn.groupBy("same_type", "reciprocal").agg(n_().alias("n"))
     share = lambda k: r6(c("n") / F.sum("n").over(Window.partitionBy(k)))
     return g.withColumn("of_same", share("same_type")).withColumn("of_reciprocal", share("reciprocal"))
 
@@ -371,7 +376,7 @@ def d38(v):
     m = tables.with_roles(v.comp, v.si, ["si"], "inner").join(links, "pre")
     groups = F.array_compact(F.array(lit("all"), F.when(c("linker"), "linker"), F.when((c("si_pre") >= 0.1) & (c("si_post") >= 0.1), "segregated")))
     # counted by comp and the groups a row is in, then dealt to the groups
-    g = m.groupBy("comp", groups.alias("g")).agg(n_.alias("n")).select("comp", "n", F.explode("g").alias("grp")).groupBy("grp", "comp").agg(F.sum("n").alias("n"))
+    g = m.groupBy("comp", groups.alias("g")).agg(n_().alias("n")).select("comp", "n", F.explode("g").alias("grp")).groupBy("grp", "comp").agg(F.sum("n").alias("n"))
     return g.withColumn("share", r6(c("n") / F.sum("n").over(Window.partitionBy("grp"))))
 
 
@@ -379,4 +384,4 @@ def d38(v):
 def d39(v):
     p = tables.segregation(v.syn.filter(c("size") >= 10)).select("neuron", c("si").alias("again"))
     pick = F.conv(F.substring(F.md5(c("neuron").cast("string").cast("binary")), 1, 6), 16, 10).cast("bigint") % 3 == 0  # a third of the neurons
-    return v.nsi.filter(pick).join(p, "neuron").dropna(subset=["again", "si"]).agg(n_.alias("n"), r6(F.corr("again", "si")).alias("r"))
+    return v.nsi.filter(pick).join(p, "neuron").dropna(subset=["again", "si"]).agg(n_().alias("n"), r6(F.corr("again", "si")).alias("r"))

@@ -9,7 +9,12 @@ from arborix.plans.basic import STACK, stacked
 from arborix.plans.registry import query
 
 c, lit = F.col, F.lit
-n_ = F.count(lit(1))
+
+
+def n_():
+    return F.count(lit(1))
+
+
 r6 = lambda x: F.round(x, 6)
 
 
@@ -94,19 +99,19 @@ def st9(v):
     d = v.si.select((c("ax_pre") - c("de_pre")).alias("d")).filter(c("d") != 0).withColumn("m", F.abs("d"))
     r = stats.tied_ranks(d, "m")
     half = lambda s: F.coalesce(F.sum(F.when(s, c("tied_rank"))), lit(0.0))
-    return r.agg(half(c("d") > 0).alias("w_plus"), half(c("d") < 0).alias("w_minus"), n_.alias("n"))
+    return r.agg(half(c("d") > 0).alias("w_plus"), half(c("d") < 0).alias("w_minus"), n_().alias("n"))
 
 
 @query("st10_pearson", "SELECT super_class, round(corr(si,length_nm),6) AS r, count(*) AS n, round(corr(si,length_nm)*sqrt((count(*)-2)/(1-power(corr(si,length_nm),2))),6) AS t FROM nsi WHERE si IS NOT NULL AND length_nm IS NOT NULL GROUP BY 1")
 def st10(v):
     r = F.corr("si", "length_nm")
-    return v.nsi.dropna(subset=["si", "length_nm"]).groupBy("super_class").agg(r6(r).alias("r"), n_.alias("n"), r6(r * F.sqrt((n_ - 2) / (1 - r * r))).alias("t"))
+    return v.nsi.dropna(subset=["si", "length_nm"]).groupBy("super_class").agg(r6(r).alias("r"), n_().alias("n"), r6(r * F.sqrt((n_() - 2) / (1 - r * r))).alias("t"))
 
 
 @query("st11_pairwise_q", f"{MOMENTS}, e AS (SELECT sum((n-1)*var)/(sum(n)-count(*)) AS mse FROM m) SELECT a.g AS a, b.g AS b, round(a.mean-b.mean,6) AS diff, round(abs(a.mean-b.mean)/sqrt(mse/2*(1.0/a.n+1.0/b.n)),6) AS q_tukey, round(abs(a.mean-b.mean)/sqrt((a.var/a.n+b.var/b.n)/2),6) AS q_games_howell FROM m a JOIN m b ON a.g<b.g, e")
 def st11(v):
     m = groups(v)
-    mse = F.broadcast(m.agg((F.sum((c("n") - 1) * c("var")) / (F.sum("n") - n_)).alias("mse")))  # one row
+    mse = F.broadcast(m.agg((F.sum((c("n") - 1) * c("var")) / (F.sum("n") - n_())).alias("mse")))  # one row
     p = stats.pairs_of(m, "super_class", ["n", "mean", "var"]).crossJoin(mse)
     d = c("mean_a") - c("mean_b")
     return p.select(c("super_class_a").alias("a"), c("super_class_b").alias("b"), r6(d).alias("diff"), r6(F.abs(d) / F.sqrt(c("mse") / 2 * (1 / c("n_a") + 1 / c("n_b")))).alias("q_tukey"),
@@ -120,9 +125,9 @@ SELECT round(2*(qm-n*gm*gm)/(k-1)/(es/(n-k)),6) AS f_between, round(n*gw*gw/2/(e
 def st12(v):
     x = v.nsi.filter((c("ax_pre") + c("ax_post") > 0) & (c("de_pre") + c("de_post") > 0) & c("super_class").isNotNull())
     x = x.select("super_class", (c("ax_pre") / (c("ax_pre") + c("ax_post"))).alias("a"), (c("de_post") / (c("de_pre") + c("de_post"))).alias("d"))
-    m = x.groupBy("super_class").agg(n_.alias("n"), F.avg((c("a") + c("d")) / 2).alias("m"), F.var_samp((c("a") + c("d")) / 2).alias("vm"), F.avg(c("a") - c("d")).alias("w"), F.var_samp(c("a") - c("d")).alias("vw"))
+    m = x.groupBy("super_class").agg(n_().alias("n"), F.avg((c("a") + c("d")) / 2).alias("m"), F.var_samp((c("a") + c("d")) / 2).alias("vm"), F.avg(c("a") - c("d")).alias("w"), F.var_samp(c("a") - c("d")).alias("vw"))
     n, k = c("n"), c("k")
-    t = m.agg(F.sum("n").alias("n"), n_.alias("k"), (F.sum(n * c("m")) / F.sum("n")).alias("gm"), (F.sum(n * c("w")) / F.sum("n")).alias("gw"), (F.sum((n - 1) * c("vm")) * 2).alias("es"),
+    t = m.agg(F.sum("n").alias("n"), n_().alias("k"), (F.sum(n * c("m")) / F.sum("n")).alias("gm"), (F.sum(n * c("w")) / F.sum("n")).alias("gw"), (F.sum((n - 1) * c("vm")) * 2).alias("es"),
               (F.sum((n - 1) * c("vw")) / 2).alias("ew"), F.sum(n * c("m") * c("m")).alias("qm"), F.sum(n * c("w") * c("w")).alias("qw"))
     return t.select(r6(2 * (c("qm") - n * c("gm") * c("gm")) / (k - 1) / (c("es") / (n - k))).alias("f_between"), r6(n * c("gw") * c("gw") / 2 / (c("ew") / (n - k))).alias("f_within"),
                     r6((c("qw") - n * c("gw") * c("gw")) / 2 / (k - 1) / (c("ew") / (n - k))).alias("f_interaction"), (k - 1).alias("df1"), (n - k).alias("df2"))
@@ -139,7 +144,7 @@ def st14(v):
     from pyspark.sql import Window
 
     # with every interaction in the model the fitted mean of a cell is the cell's mean; alpha is 1
-    k = stacked(v.conn).filter(c("n") >= 1).groupBy("syn_type", "reciprocal", "same_type").agg(n_.alias("k"), F.avg("n").alias("m"))
+    k = stacked(v.conn).filter(c("n") >= 1).groupBy("syn_type", "reciprocal", "same_type").agg(n_().alias("k"), F.avg("n").alias("m"))
     base = F.max(F.when((c("reciprocal") == 0) & (c("same_type") == 0), c("m"))).over(Window.partitionBy("syn_type"))
     return k.select("syn_type", "reciprocal", "same_type", c("k").alias("n"), r6(c("m")).alias("mean"), r6(F.log("m") - F.log(base)).alias("log_ratio"), r6(F.sqrt((1 + c("m")) / (c("k") * c("m")))).alias("se_log"))
 

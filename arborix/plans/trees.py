@@ -10,7 +10,12 @@ from arborix.plans.basic import ORDERED_IDS, identified
 from arborix.plans.registry import query
 
 c, lit = F.col, F.lit
-n_ = F.count(lit(1))
+
+
+def n_():
+    return F.count(lit(1))
+
+
 r6 = lambda x: F.round(x, 6)
 RADII = [20000.0, 80000.0]
 EPS = 60000.0
@@ -88,7 +93,7 @@ def t5(v):
 def t6(v):
     p = parts(v)
     big = F.count(lit(1)) > 80000
-    g = p.groupBy("neuron").agg(F.collect_set("part").alias("parts"), n_.alias("nodes"), big.alias("big"))
+    g = p.groupBy("neuron").agg(F.collect_set("part").alias("parts"), n_().alias("nodes"), big.alias("big"))
     has = lambda x: F.array_contains("parts", x)
     status = (F.when(c("big"), "size").when(has("axon") & has("dendrite") & has("linker"), "three parts").when(has("axon") & has("dendrite"), "two parts")
               .when(has("linker"), "issue: one side").otherwise("issue: no split"))
@@ -109,17 +114,17 @@ def t8(v):
 @query("t9_fragments", f"""{CONNECT}, {UPWARD}, top AS (SELECT neuron, node_id, max(anc) AS root FROM up WHERE anc % 5 = 0 OR anc = 1 GROUP BY ALL) SELECT t.neuron, t.root, count(DISTINCT t.node_id) AS nodes, count(c.contact) AS contacts FROM top t LEFT JOIN con c ON c.neuron=t.neuron AND c.node_id=t.node_id GROUP BY ALL""")
 def t9(v):
     nodes, _ = tree.doubled(fragments(v))
-    n = attached(v).groupBy("neuron", "node_id").agg(n_.alias("n"))
-    return nodes.join(n, ["neuron", "node_id"], "left").groupBy("neuron", "root").agg(n_.alias("nodes"), F.coalesce(F.sum("n"), lit(0)).alias("contacts"))
+    n = attached(v).groupBy("neuron", "node_id").agg(n_().alias("n"))
+    return nodes.join(n, ["neuron", "node_id"], "left").groupBy("neuron", "root").agg(n_().alias("nodes"), F.coalesce(F.sum("n"), lit(0)).alias("contacts"))
 
 
 @query("t10_morphology", """k AS (SELECT s.neuron, s.node_id, (SELECT 1) AS one FROM skeleton s), ch AS (SELECT neuron, parent_id AS node_id, count(*) AS n FROM skeleton WHERE parent_id<>-1 GROUP BY ALL),
 e AS (SELECT a.neuron, sum(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))) AS cable FROM skeleton a JOIN skeleton b ON a.neuron=b.neuron AND a.parent_id=b.node_id GROUP BY a.neuron)
 SELECT s.neuron, count(*) AS nodes, count(*) FILTER (ch.n IS NULL) AS leafs, count(*) FILTER (ch.n>1) AS branches, round(coalesce(any_value(cable),0),3) AS cable_length FROM skeleton s LEFT JOIN ch ON ch.neuron=s.neuron AND ch.node_id=s.node_id LEFT JOIN e ON e.neuron=s.neuron GROUP BY s.neuron""".replace("k AS (SELECT s.neuron, s.node_id, (SELECT 1) AS one FROM skeleton s), ", ""))
 def t10(v):
-    kids = v.skeleton.filter(c("parent_id") != -1).groupBy("neuron", c("parent_id").alias("node_id")).agg(n_.alias("n"))
+    kids = v.skeleton.filter(c("parent_id") != -1).groupBy("neuron", c("parent_id").alias("node_id")).agg(n_().alias("n"))
     t = tree.edge_lengths(v.skeleton).join(kids, ["neuron", "node_id"], "left")
-    return t.groupBy("neuron").agg(n_.alias("nodes"), F.count_if(c("n").isNull()).alias("leafs"), F.count_if(c("n") > 1).alias("branches"), F.round(F.sum("length"), 3).alias("cable_length"))
+    return t.groupBy("neuron").agg(n_().alias("nodes"), F.count_if(c("n").isNull()).alias("leafs"), F.count_if(c("n") > 1).alias("branches"), F.round(F.sum("length"), 3).alias("cable_length"))
 
 
 def sampled(v, most):
@@ -133,7 +138,7 @@ def sampled(v, most):
 @query("t11_pre_post_distance")
 def t11(v):
     """Mean way between sampled pre and post contacts of a neuron; the sample is part of the measure."""
-    s = sampled(v, 30).groupBy("neuron", "type", "node_id").agg(n_.alias("n"))
+    s = sampled(v, 30).groupBy("neuron", "type", "node_id").agg(n_().alias("n"))
     a = s.filter(c("type") == "pre").select("neuron", c("node_id").alias("u"), c("n").alias("nu"))
     b = s.filter(c("type") == "post").select("neuron", c("node_id").alias("v"), c("n").alias("nv"))
     nodes, jumps = tree.doubled(v.skeleton)
@@ -157,7 +162,7 @@ def t12(v):
 def t13(v):
     """Mean way between the sites that a neuron shares with a reciprocal partner, in to out."""
     both = tables.reciprocal_pairs(tables.type_counts(v.typed), ["sum_syn"]).select(F.explode(F.array(F.struct(c("a").alias("neuron"), c("b").alias("partner")), F.struct(c("b").alias("neuron"), c("a").alias("partner")))).alias("e")).select("e.*")
-    s = attached(v).join(both, ["neuron", "partner"], "left_semi").groupBy("neuron", "partner", "type", "node_id").agg(n_.alias("n"))
+    s = attached(v).join(both, ["neuron", "partner"], "left_semi").groupBy("neuron", "partner", "type", "node_id").agg(n_().alias("n"))
     a = s.filter(c("type") == "pre").select("neuron", "partner", c("node_id").alias("u"), c("n").alias("nu"))
     b = s.filter(c("type") == "post").select("neuron", "partner", c("node_id").alias("v"), c("n").alias("nv"))
     nodes, jumps = tree.doubled(v.skeleton)
