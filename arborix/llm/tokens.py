@@ -12,7 +12,9 @@ A document is reached by its index entry alone.  The dictionary lies beside the
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -32,36 +34,69 @@ END = 1
 SAMPLE, DICTIONARY_BYTES, LEVEL = 1000, 32 << 10, 3
 #: Bytes of frames that a file gets, about.
 FILE_BYTES = 16 << 20
-KEPT_WORDS = 200_000
+#: Pieces whose ids a Python worker keeps, and documents that it encodes before it hands them on.
+KEPT_WORDS, SLICE = 100_000, 256
 
 
-class _Words(dict):
-    """word -> its ids as bytes.  The tokenizer drops white space and merges within words only, so a text's ids are
-    those of its words in turn; the first words met are kept."""
+# Fixed values of the tokenizer file that has the short way: its normalizers, and the pattern that it cuts text by.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The same pattern for characters up to U+017F, where normal form C changes nothing and letter case depends on no neighbour.
+LETTER, NUMBER, SPACE = "a-zA-Zªµºß-öø-\u017fÀ-ÖØ-Þ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
+#: What the short way leaves to the tokenizer: other characters, and texts that may hold special tokens.
+OTHER = re.compile(r"[^\x00-\u017f]|<\|")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: a printable Latin-1 character stands for its own byte, the rest for 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in shown]
+    return str.maketrans({chr(b): chr(b) for b in shown} | {chr(b): chr(256 + i) for i, b in enumerate(rest)})
+
+
+class Encoder:
+    """Serialized ids of texts.  For a tokenizer of the known make, which drops white space and merges within pieces only,
+    pieces met before are looked up and new ones go to its model; all else goes to the tokenizer whole."""
 
     def __init__(self, path: str, dtype: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
-        if len(self) < KEPT_WORDS and len(word) < 64:
-            self[word] = ids
+        self.end = np.array([END], dtype).tobytes()
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.known = ([n["type"] for n in (made.get("normalizer") or {}).get("normalizers", [])] == NORMALIZERS
+                      and steps[0].get("pattern") == {"Regex": PATTERN} and steps[0].get("invert") is True and steps[0].get("behavior") == "Removed"
+                      and [x["type"] for x in steps[1:]] == ["ByteLevel"] and made.get("post_processor") is None)
+        self.pieces = _Pieces(self.tokenizer.model, dtype)
+
+    def __call__(self, text: str) -> bytes:
+        """Ids of a text with the end id."""
+        if self.known and not OTHER.search(text):
+            return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower()))) + self.end
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids + [END], self.dtype).tobytes()
+
+
+class _Pieces(dict):
+    """Lower-case piece -> its ids as bytes; the first pieces met are kept."""
+
+    def __init__(self, model, dtype: str) -> None:
+        self.model, self.dtype, self.letters = model, dtype, _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        shown = piece.encode().decode("latin-1").translate(self.letters)
+        ids = np.array([t.id for t in self.model.tokenize(shown)], self.dtype).tobytes()
+        if len(self) < KEPT_WORDS and len(piece) < 64:
+            self[piece] = ids
         return ids
 
 
 @lru_cache(maxsize=2)
-def _word_ids(path: str, dtype: str) -> _Words:
-    return _Words(path, dtype)
-
-
-def encode(words: _Words, text: str) -> bytes:
-    """Serialized ids of a text with the end id."""
-    for gap in "\t\n\v\f\r":
-        text = text.replace(gap, " ")
-    return b"".join(map(words.__getitem__, filter(None, text.split(" ")))) + np.array([END], words.dtype).tobytes()
+def encoder(path: str, dtype: str) -> Encoder:
+    return Encoder(path, dtype)
 
 
 @lru_cache(maxsize=2)
@@ -81,8 +116,7 @@ def train_dictionary(docs: DataFrame, path: str, dtype: str, sample: int = SAMPL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = _word_ids(path, dtype)
-            yield pa.RecordBatch.from_arrays([pa.array([encode(words, t.as_py()) for t in b.column(0)], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([encoder(path, dtype)(t.as_py()) for t in b.column(0)], pa.binary())], names=["ids"])
 
     arrays = [bytes(r["ids"]) for r in rows.select("text").mapInArrow(run, "ids binary").collect()]
     try:
@@ -101,12 +135,14 @@ def write(docs: DataFrame, tokenizer_path: str, target: str) -> None:
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw), write_checksum=False)
-        for batch in batches:
-            words = _word_ids(tokenizer_path, dtype)
-            ids = [encode(words, t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) // int(dtype[-1]) for x in ids], pa.int64()), pa.array(map(packer.compress, ids), pa.binary())],
-                names=["doc_id", "n", "frame"])
+        encode = encoder(tokenizer_path, dtype)
+        for whole in batches:
+            for at in range(0, len(whole), SLICE):
+                batch = whole.slice(at, SLICE)
+                ids = [encode(t.as_py()) for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([len(x) // int(dtype[-1]) for x in ids], pa.int64()), pa.array(map(packer.compress, ids), pa.binary())],
+                    names=["doc_id", "n", "frame"])
 
     made = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     made = stored(made.mapInArrow(frames, "doc_id bigint, n bigint, frame binary"), "token-frames")
