@@ -69,8 +69,8 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def light(df: DataFrame, binary: str, rows: int = BROADCAST_ROWS, size: int = 32 << 20) -> DataFrame:
-    """As ``small``, for rows whose weight is a binary column: its bytes are bounded too."""
+def light(df: DataFrame, binary: str, rows: int = 1_000_000, size: int = 64 << 20) -> DataFrame:
+    """As ``small``, for rows whose weight is a binary column: the sum of its bytes is bounded too."""
     n, total = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(binary))).first()
     return F.broadcast(df) if n <= rows and (total or 0) <= size else df
 

@@ -89,7 +89,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     for a, b in ((at - half, at - 8), (at + ANCHOR, at + ANCHOR + half - 8)):
         side = _fold(x[a] * C[1], x[b], C[2])
         sides.append((side ^ (side >> np.uint64(32))) * C[3] >> np.uint64(50))
-    around = (acc >> np.uint64(28) << np.uint64(28)) | (sides[0] << np.uint64(14)) | sides[1]
+    around = (acc >> np.uint64(36) << np.uint64(28)) | (sides[0] << np.uint64(14)) | sides[1]  # 56 bits
     return text, pos, key, around
 
 
@@ -131,7 +131,7 @@ ENTRY = "bucket int, kind string, keys binary, around binary, docs binary, spots
 
 def _entries(bucket: int, kind: str, key, around, doc, spot) -> tuple:
     """Positions and ids are kept as differences, all byte by byte, so that zstandard sees their regularity."""
-    return bucket, kind, _zip(key), around.astype("<u8").tobytes(), _zip(_deltas(doc)), _zip(_deltas(spot))
+    return bucket, kind, _zip(key), _zip(around), _zip(_deltas(doc)), _zip(_deltas(spot))
 
 
 def _suffixes(buckets: int):
@@ -167,7 +167,7 @@ def _suffixes(buckets: int):
 def _load(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
     if not len(frame):
         return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    return (np.concatenate([_unzip(x, "<u8") for x in frame["keys"]]), np.concatenate([np.frombuffer(x, "<u8") for x in frame["around"]]),
+    return (np.concatenate([_unzip(x, "<u8") for x in frame["keys"]]), np.concatenate([_unzip(x, "<u8") for x in frame["around"]]),
             np.concatenate([np.cumsum(_unzip(x, "<i8")) for x in frame["docs"]]), np.concatenate([np.cumsum(_unzip(x, "<i8")) for x in frame["spots"]]))
 
 
@@ -215,11 +215,7 @@ def _scan(homes: int, keep: bool):
         key, around, doc, spot, held = key[order], around[order], doc[order], spot[order], held[order]
         rows = []
         for kind, mask in (("full", full), ("part", partial)):
-            d, s = doc[mask], spot[mask]
-            o = np.lexsort((s, d, d % homes))
-            d, s = d[o], s[o]
-            at = np.searchsorted(d % homes, np.arange(homes + 1))
-            rows += [(i, kind, b"", b"", _zip(_deltas(d[at[i]:at[i + 1]])), _zip(_deltas(s[at[i]:at[i + 1]]))) for i in range(homes) if at[i] < at[i + 1]]
+            rows += _homed(kind, doc[mask], spot[mask], homes)
         if keep:
             key, around, doc, spot = key[held], around[held], doc[held], spot[held]
             first = np.ones(len(key), bool)
@@ -229,51 +225,29 @@ def _scan(homes: int, keep: bool):
     return run
 
 
-def _by_document(frame: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one home: the positions of each document, ascending, each once."""
+def _documents(frame: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Of rows of one home: document, number of its text, and ascending rows of (position, whether of a window)."""
     doc = np.concatenate([np.cumsum(_unzip(x, "<i8")) for x in frame["docs"]])
-    spot = np.concatenate([np.cumsum(_unzip(x, "<i8")) for x in frame["spots"]])
-    variant = spot >> VARIANT
-    o = np.lexsort((spot, doc))
-    doc, spot, variant = doc[o], spot[o] & ((1 << VARIANT) - 1), variant[o]
+    parts = [np.cumsum(_unzip(x, "<i8")) for x in frame["spots"]]
+    spot = np.concatenate(parts)
+    window = np.repeat((frame["kind"] == "window").to_numpy(), [len(x) for x in parts])
+    o = np.lexsort((window, spot, doc))
+    doc, spot, window = doc[o], spot[o], window[o]
+    variant, pos = spot >> VARIANT, spot & ((1 << VARIANT) - 1)
     first = np.ones(len(doc), bool)
     first[1:] = (doc[1:] != doc[:-1]) | (variant[1:] != variant[:-1])
     heads = np.nonzero(first)[0]
-    ends = np.append(heads[1:], len(doc))
-    return pd.DataFrame({"doc": doc[heads], "variant": variant[heads].astype(np.int32),
-                         "spots": [np.unique(spot[a:b]).astype("<i8").tobytes() for a, b in zip(heads, ends, strict=True)]})
+    for a, b in zip(heads, np.append(heads[1:], len(doc)), strict=True):
+        yield int(doc[a]), int(variant[a]), np.stack([pos[a:b], window[a:b]], axis=1)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, variant, spots, text) to the windows over those anchors: doc, variant, start and 128 bits of hash."""
-    for batch in batches:
-        out = []
-        for doc, variant, spots, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            at = np.frombuffer(spots, "<i8")
-            starts = np.unique(at[:, None] - np.arange(SPAN + 1)[None, :])
-            starts = starts[(starts >= 0) & (starts <= len(text) - LENGTH)]
-            if not len(starts):
-                continue
-            x = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
-            one, two = np.full(len(starts), C[0]), np.full(len(starts), C[3])
-            for off in (0, 8, 16, 24, 32, 40, 42):
-                w = x[starts + off]
-                one, two = _fold(one, w, C[1]), _fold(two ^ (two >> np.uint64(32)), w * C[0], C[2])
-            one, two = one ^ (one >> np.uint64(32)), two ^ (two >> np.uint64(32))
-            out.append((np.full(len(starts), doc), np.full(len(starts), variant, np.int32), starts, one.view(np.int64), two.view(np.int64)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["doc", "variant", "start", "w1", "w2"])
-
-
-def _covered(n: int, copy: bool, spots: bytes | None, starts: list[int] | None) -> np.ndarray:
-    """Removed bytes of a text as maximal runs, rows of (from, to)."""
-    if n < LENGTH:
-        return np.empty((0, 2), np.int64)
-    if copy:
-        return np.array([[0, n]])
-    at = np.frombuffer(spots or b"", "<i8")
-    a = np.concatenate([np.maximum(0, at - SPAN), np.array(starts or [], np.int64)])
-    b = np.concatenate([np.minimum(n, at + LENGTH), np.array(starts or [], np.int64) + LENGTH])
+def _positions(frame: pd.DataFrame) -> pd.DataFrame:
+    rows = [(d, v, np.unique(x[:, 0]).astype("<i8").tobytes()) for d, v, x in _documents(frame)]
+    return pd.DataFrame(rows, columns=["doc", "variant", "spots"])
+
+
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Maximal runs, as rows of (from, to), of intervals that touch or overlap."""
     if not len(a):
         return np.empty((0, 2), np.int64)
     o = np.argsort(a, kind="stable")
@@ -284,11 +258,110 @@ def _covered(n: int, copy: bool, spots: bytes | None, starts: list[int] | None)
     return np.stack([a[heads], b[np.append(heads[1:], len(a)) - 1]], axis=1)
 
 
+def _spans(frame: pd.DataFrame) -> pd.DataFrame:
+    """What is decided of each document of a home as runs; they may reach beyond the end of the text."""
+    rows = []
+    for d, v, x in _documents(frame):
+        window = x[:, 1] == 1
+        at = x[:, 0]
+        runs = merged(np.where(window, at, np.maximum(0, at - SPAN)), at + LENGTH)
+        rows.append((d, v, runs.astype("<i8").tobytes()))
+    return pd.DataFrame(rows, columns=["doc", "variant", "spots"])
+
+
+REACH = 2 * SPAN + ANCHOR  # bytes of an anchor with its surroundings
+SURROUNDING = "bucket int, docs binary, spots binary, sides binary, bytes binary"
+
+
+def _hash(x: np.ndarray, at: np.ndarray, offsets: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the words at some offsets from places of a buffer."""
+    one, two = np.full(len(at), C[0]), np.full(len(at), C[3])
+    for off in offsets:
+        w = x[at + off].astype(np.uint64)
+        one, two = _fold(one, w, C[1]), _fold(two ^ (two >> np.uint64(32)), w * C[0], C[2])
+    return one ^ (one >> np.uint64(32)), two ^ (two >> np.uint64(32))
+
+
+def _surroundings(buckets: int):
+    """(doc, variant, spots, text) to the bytes around those anchors, by bucket of the anchor's bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            for doc, variant, spots, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at, n = np.frombuffer(spots, "<i8"), len(text)
+                raw = np.frombuffer(b"\0" * SPAN + text + b"\0" * SPAN, np.uint8)
+                around = np.lib.stride_tricks.sliding_window_view(raw, REACH)[at]
+                sides = np.stack([np.minimum(SPAN, at), np.minimum(SPAN, n - at - ANCHOR)], axis=1).astype(np.uint8)
+                got.append((np.full(len(at), doc), (variant << VARIANT) + at, sides, around))
+            if not got:
+                continue
+            doc, spot, sides, around = (np.concatenate(c) for c in zip(*got, strict=True))
+            flat = np.ascontiguousarray(around).reshape(-1)
+            x = np.ndarray((len(flat) - 7,), "<u8", flat, strides=(1,))
+            key, _ = _hash(x, np.arange(len(around)) * REACH + SPAN, (0, 8, 16))
+            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            pack = zstandard.ZstdCompressor(level=1).compress
+            rows = [(b, _zip(_deltas(doc[o])), _zip(_deltas(spot[o])), sides[o].tobytes(), pack(around[o].tobytes()))
+                    for b in range(buckets) if len(o := order[ends[b]:ends[b + 1]])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)],
+                                             names=["bucket", "docs", "spots", "sides", "bytes"])
+    return run
+
+
+def shared_windows(doc: np.ndarray, spot: np.ndarray, sides: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document and start of the windows over these anchors that a smaller document has at the same place of the
+    same anchor.  One distance of window and anchor at a time, so memory is that of the bytes."""
+    flat = np.ascontiguousarray(around).reshape(-1)
+    x = np.ndarray((max(0, len(flat) - 7),), "<u8", flat, strides=(1,))
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for back in range(SPAN + 1):
+        has = np.nonzero((sides[:, 0] >= back) & (sides[:, 1] >= SPAN - back))[0]
+        one, two = _hash(x, has * REACH + SPAN - back, (0, 8, 16, 24, 32, 40, 42))
+        o = np.lexsort((doc[has], two, one))
+        if not len(o):
+            continue
+        one, two, d = one[o], two[o], doc[has][o]
+        new = np.ones(len(o), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        later = d > d[np.nonzero(new)[0]][np.cumsum(new) - 1]
+        found.append((d[later], spot[has][o][later] - back))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _resolve(homes: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        doc = np.concatenate([np.cumsum(_unzip(x, "<i8")) for x in frame["docs"]])
+        spot = np.concatenate([np.cumsum(_unzip(x, "<i8")) for x in frame["spots"]])
+        sides = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 2) for x in frame["sides"]])
+        around = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(-1, REACH) for x in frame["bytes"]])
+        return pd.DataFrame(_homed("window", *shared_windows(doc, spot, sides, around), homes), columns=["bucket", "kind", "keys", "around", "docs", "spots"])
+    return run
+
+
+def _homed(kind: str, doc: np.ndarray, spot: np.ndarray, homes: int) -> list[tuple]:
+    """Rows of documents and positions by home of the document."""
+    o = np.lexsort((spot, doc, doc % homes))
+    doc, spot = doc[o], spot[o]
+    at = np.searchsorted(doc % homes, np.arange(homes + 1))
+    return [(i, kind, b"", b"", _zip(_deltas(doc[at[i]:at[i + 1]])), _zip(_deltas(spot[at[i]:at[i + 1]]))) for i in range(homes) if at[i] < at[i + 1]]
+
+
+def _covered(n: int, copy: bool, spans: bytes | None) -> np.ndarray:
+    """Removed bytes of a text as maximal runs."""
+    if n < LENGTH:
+        return np.empty((0, 2), np.int64)
+    if copy:
+        return np.array([[0, n]])
+    return np.minimum(np.frombuffer(spans or b"", "<i8").reshape(-1, 2), n)
+
+
 def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc, text, copy, spots, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            runs = _covered(len(text), copy, spots, starts)
+        for doc, text, copy, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            runs = _covered(len(text), copy, spans)
             kept, at = hashlib.sha256(), 0
             for a, b in runs.tolist():
                 kept.update(text[at:a])
@@ -306,6 +379,9 @@ def _drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_OTHER = {"doc": "_doc", "variant": "_variant"}
+
+
 def remove_repeats(docs: DataFrame, batches: int = BATCHES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (from, to, from, to, ... of the removed runs).
 
@@ -354,20 +430,13 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, bucket_bytes: int =
     for more in found[1:]:
         every = every.unionByName(more)
     spots = "doc bigint, variant int, spots binary"
-    full = stored(every.filter(F.col("kind") == "full").groupBy("bucket").applyInPandas(_by_document, spots), "repeat-full")
-    part = stored(every.filter(F.col("kind") == "part").groupBy("bucket").applyInPandas(_by_document, spots), "repeat-part")
-    named = lambda x: light(x.withColumnsRenamed({"doc": "_doc", "variant": "_variant"}), "spots")
     same = (F.col("doc") == F.col("_doc")) & (F.col("variant") == F.col("_variant"))
-    windows = (rows.filter(~F.col("copy")).join(named(part), same).select("doc", "variant", "spots", "text")
-               .mapInArrow(_windows, "doc bigint, variant int, start bigint, w1 bigint, w2 bigint"))
-    windows = stored(windows, "repeat-windows")
-    first = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("w1", "w2", "first")
-    starts = (windows.join(first, ["w1", "w2"]).filter(F.col("doc") > F.col("first"))
-              .groupBy("doc", "variant").agg(F.sort_array(F.collect_set("start")).alias("starts")))
-    starts = stored(starts, "repeat-starts")
-    # one table of what each document loses, so that the texts are joined once
-    lost = (full.join(starts, ["doc", "variant"], "full").select("doc", "variant", "spots", "starts"))
-    lost = stored(lost.withColumn("spots", F.coalesce("spots", F.lit(b""))), "repeat-lost")
-    out = rows.join(named(lost), same, "left").select("doc", "text", "copy", "spots", "starts")
+    part = every.filter(F.col("kind") == "part").groupBy("bucket").applyInPandas(_positions, spots)
+    part = light(stored(part, "repeat-part"), "spots").withColumnsRenamed(_OTHER)
+    undecided = rows.filter(~F.col("copy")).join(part, same).select("doc", "variant", "spots", "text")
+    windows = undecided.mapInArrow(_surroundings(buckets), SURROUNDING).groupBy("bucket").applyInPandas(_resolve(homes), ENTRY)
+    lost = every.filter(F.col("kind") == "full").unionByName(windows).groupBy("bucket").applyInPandas(_spans, spots)
+    lost = light(stored(lost, "repeat-lost"), "spots").withColumnsRenamed(_OTHER)
+    out = rows.join(lost, same, "left").select("doc", "text", "copy", "spots")
     out = out.mapInArrow(_result, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != none, F.col("doc_id")))
