@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only in a local session that has none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -15,13 +18,20 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if "cluster" in spark.sparkContext.master or not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-    base = "file://" + tempfile.mkdtemp(prefix="arborix-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    spark.sparkContext.setCheckpointDir(base)
-    return base
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="arborix-")
+        spark.sparkContext.setCheckpointDir(_own[app])
+    return _own[app]
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """``df`` written as Parquet to the shared folder and read again: it is computed once, its lineage
+    ends there, and lost executors cost nothing."""
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
