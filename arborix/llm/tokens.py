@@ -112,7 +112,10 @@ def _dtype(path: str) -> str:
 
 def train_dictionary(docs: DataFrame, path: str, dtype: str, sample: int = SAMPLE) -> bytes:
     """A zstandard dictionary of the id arrays of ``sample`` documents; empty (none) if they are too few."""
-    rows = docs.select("doc_id", text_or_empty().alias("text")).orderBy(F.xxhash64(F.col("doc_id")), "doc_id", F.length("text"), "text").limit(sample)
+    place = [F.xxhash64("doc_id"), F.col("doc_id")]
+    # ids alone are ordered, then the texts of those few are fetched
+    chosen = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().orderBy(*place).limit(sample)
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").orderBy(*place, F.length("text"), "text").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
