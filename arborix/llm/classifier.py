@@ -10,10 +10,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +24,8 @@ from .common import text_or_empty
 SAMPLE = 1500
 BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 17, 12, 6, 8.0, 7
 GRAMS = (3, 4, 5)
-#: Words whose sums a Python worker keeps.
-KEPT_WORDS = 200_000
+#: Words whose sums a task keeps.
+KEPT_WORDS = 100_000
 THRESHOLD = 0.7
 
 
@@ -125,11 +125,6 @@ def score(sums: _WordSums, bias: float, text: str | None) -> float:
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, logit))))
 
 
-@lru_cache(maxsize=2)
-def _held_sums(weight: bytes) -> _WordSums:
-    return _WordSums(np.frombuffer(weight, np.float64))
-
-
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from labelled documents with crc32(doc_id as text) mod 4 other than 2.
 
@@ -153,8 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).join(chosen, "doc_id")
             .select("doc_id", "q", "text").mapInArrow(extract, "doc_id bigint, q int, at binary, share binary").collect())
     rows.sort(key=lambda r: (r["doc_id"], r["at"], r["share"]))
-    return train([(np.frombuffer(r["at"], "<u4").astype(np.int64), np.frombuffer(r["share"], "<f4").astype(np.float64), r["q"])
-                  for r in rows], sizes.get(0, 0), sizes.get(1, 0))
+    return train([(np.frombuffer(r["at"], "<u4"), np.frombuffer(r["share"], "<f4"), r["q"]) for r in rows], sizes.get(0, 0), sizes.get(1, 0))
 
 
 def held_out(key: str = "doc_id"):
@@ -169,11 +163,10 @@ def with_scores(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     bias = model.bias
 
     @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
-
-        sums = _held_sums(held.value)
-        return pd.Series([score(sums, bias, t) for t in texts], dtype="float64")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        sums = _WordSums(np.frombuffer(held.value, np.float64))  # of this task, gone with it
+        for texts in batches:
+            yield pd.Series([score(sums, bias, t) for t in texts], dtype="float64")
 
     return docs.select(*columns, scored(text_or_empty()).alias("__score"))
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arborix.functions.lineage import scratch_path, stored  # noqa: F401
+
 #: A word is a run of characters that are neither a space nor one of tab .. carriage return.
 GAP = r"[ \t\n\x0B\f\r]+"
 NOT_GAP = r"[^ \t\n\x0B\f\r]+"
@@ -18,27 +19,17 @@ NOT_GAP = r"[^ \t\n\x0B\f\r]+"
 BROADCAST_ROWS = 100_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a temporary folder (tests); a cluster gets an error, since
-    a machine-local folder would be lost with its machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
-        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-    base = "file://" + tempfile.mkdtemp(prefix="arborix-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    spark.sparkContext.setCheckpointDir(base)
-    return base
+_shipped: set[str] = set()
 
 
-_shipped: set[str] = set()
+#: Bytes of the Arrow batches that Python workers get: whole texts are long, and a worker holds a batch several times over.
+ARROW_BATCH = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the Python workers of a session whose driver alone may have it on its path."""
+    """Readies a session: Arrow batches of a bounded size, and this package for its Python workers, as the driver alone may
+    have it on its path."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -51,18 +42,6 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(archive))
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: it is computed once, its lineage
-    ends there, and lost executors cost nothing."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count proves it small; otherwise as it is, for a shuffled join
     whose hot keys AQE splits.  ``df`` should be stored, as it is counted here."""

@@ -94,12 +94,12 @@ class _Pieces(dict):
         return ids
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str, dtype: str) -> Encoder:
     return Encoder(path, dtype)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
