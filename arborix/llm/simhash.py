@@ -24,41 +24,54 @@ TILE = 4096
 SEED = 42
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """SimHash of a text's ``width``-word shingles, repeats included (one shingle if it has fewer words; 0 if
-    it has none): a bit is set if over half of the XXH64 values have it set."""
+def shingle_hashes(text: str | None, width: int = 4) -> np.ndarray:
+    """XXH64 values of a text's ``width``-word shingles, repeats included (one shingle if it has fewer words; none if
+    it has none)."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and white space only
     if not found:
-        return 0
+        return np.empty(0, np.uint64)
     size = min(width, len(found))
     flat = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
     last = (ends[size - 1:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(flat[a:b], SEED) for a, b in zip(starts[: len(last)].tolist(), last, strict=True)]
+    return np.array([digest(flat[a:b], SEED) for a, b in zip(starts[: len(last)].tolist(), last, strict=True)], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have set; 0 of none."""
+    if not len(hashes):
+        return 0
     # count each bit over bytes of the hashes; blocks bound the unpacked bits of a very long text
     total = np.zeros(64, np.int64)
-    values = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    values = hashes.view(np.uint8).reshape(-1, 8)
     for at in range(0, len(values), 65536):
         total += np.unpackbits(values[at:at + 65536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     set_ = total * 2 > len(hashes)
     return int(np.packbits(set_, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["doc_id", "fp"])
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """SimHash of a text's ``width``-word shingles."""
+    return majority(shingle_hashes(text, width))
+
+
+def _fingerprints(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["doc_id", "fp"])
+    return run
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every whole text."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+    return rows.mapInArrow(_fingerprints(width), "doc_id bigint, fp bigint")
 
 
-class _Forest:
+class Forest:
     """Union-find over positions of an array; the smaller position becomes the root."""
 
     def __init__(self, n: int) -> None:
@@ -83,7 +96,7 @@ class _Forest:
 def tile_links(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     """Edges of a spanning forest of the links between two arrays of fingerprints, as rows of two values."""
     nodes = np.concatenate([a, b])
-    forest, rows = _Forest(len(nodes)), max(1, (1 << 20) // max(1, len(b)))
+    forest, rows = Forest(len(nodes)), max(1, (1 << 20) // max(1, len(b)))
     for at in range(0, len(a), rows):
         i, j = np.nonzero(np.bitwise_count(a[at:at + rows, None] ^ b[None, :]) <= radius)
         apart = a[i + at] != b[j]
@@ -158,14 +171,14 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach).
 
     Texts without words (null, empty, blank) share fingerprint zero, linked like any other.  Texts of fewer than
-    four words are one shingle.  Repeated rows and equal texts share a component.  Long texts are taken whole.
+    ``width`` words are one shingle.  Repeated rows and equal texts share a component.  Long texts are taken whole.
     Null ids give null component ids unless another document of the component has an id.  An empty table gives
     an empty result.  Only doc_id and text are read."""
-    each = stored(fingerprints(docs), "simhash-fingerprints")
+    each = stored(fingerprints(docs, width), "simhash-fingerprints")
     fps = stored(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     root = components(links(fps.select("fp"), radius))
     owned = fps.join(root, fps["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

@@ -54,3 +54,24 @@ def test_run(spark, small):
 def test_registered_sql(spark, small):
     for name, sql in ORACLES.items():
         same(QUERIES[name](spark, small), small, sql)
+
+
+def test_near_dedup_links_by_similarity(spark, small):
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    rows = []
+    for i in range(40):
+        base = word(150)
+        edited = list(base)
+        for at in (20, 70, 120)[: 1 + i % 3]:
+            edited[at] = "changed"
+        half = base[:75] + word(75)
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(edited)), (3 * i + 2, " ".join(half))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    cut = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    kept = []
+    for i, _ in rows:  # copies link to their base alone
+        if not any(len(cut[i] & cut[j]) / len(cut[i] | cut[j]) >= 0.8 for j in kept):
+            kept.append(i)
+    assert len(kept) == 80
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, small).collect()) == kept
