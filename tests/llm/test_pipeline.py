@@ -75,3 +75,13 @@ def test_near_dedup_links_by_similarity(spark, small):
             kept.append(i)
     assert len(kept) == 80
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, small).collect()) == kept
+
+
+def test_ids_do_not_decide(spark, small):
+    """Different texts without an id, or under one, are judged each by itself."""
+    item = spark.read.parquet(f"{small}/benchmark.parquet").filter("length(text) > 200").first().text
+    rows = [(None, f"a text of its own number {i} that has words like {i * 7} and {i * 11}") for i in range(5)] + [(9, "one two three four five six"), (9, "seven eight nine ten eleven")]
+    docs = spark.createDataFrame([*rows, (None, item), (9, item)], "doc_id bigint, text string")
+    want = sorted(t for _, t in rows)
+    assert sorted(r.text for r in corpus_pipeline.decontaminate(spark, docs, small).collect()) == want
+    assert sorted(r.text for r in corpus_pipeline.near_dedup(spark, docs, small).collect()) == sorted([*want, item])
