@@ -52,8 +52,9 @@ def _slide(x: np.ndarray, width: int, pick, tail: int) -> np.ndarray:
     return out[:len(x)]
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of short texts: index of the text, position, key and surroundings of each anchor."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of short texts: index of the text, position, key, surroundings (64 bits of hash) and near sides (two hashes of 14
+    bits) of each anchor."""
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = GAP + np.concatenate(([0], np.cumsum(sizes + GAP)[:-1])) if len(texts) else np.empty(0, np.int64)
     raw = b"".join([b"\0" * GAP, *(y for t in texts for y in (t, b"\0" * GAP)), b"\0" * 16])
@@ -89,8 +90,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     for a, b in ((at - half, at - 8), (at + ANCHOR, at + ANCHOR + half - 8)):
         side = _fold(x[a] * C[1], x[b], C[2])
         sides.append((side ^ (side >> np.uint64(32))) * C[3] >> np.uint64(50))
-    around = (acc >> np.uint64(36) << np.uint64(28)) | (sides[0] << np.uint64(14)) | sides[1]  # 56 bits
-    return text, pos, key, around
+    return text, pos, key, acc, ((sides[0] << np.uint64(14)) | sides[1]).astype(np.uint32)
 
 
 def _pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes], list[tuple[int, int]]]]:
@@ -126,39 +126,39 @@ def _deltas(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=np.int64(0))
 
 
-ENTRY = "bucket int, kind string, keys binary, around binary, docs binary, spots binary"
+ENTRY = "bucket int, kind string, keys binary, around binary, sides binary, docs binary, spots binary"
 
 
-def _entries(bucket: int, kind: str, key, around, doc, spot) -> tuple:
+def _entries(bucket: int, kind: str, key, around, sides, doc, spot) -> tuple:
     """Positions and ids are kept as differences, all byte by byte, so that zstandard sees their regularity."""
-    return bucket, kind, _zip(key), _zip(around), _zip(_deltas(doc)), _zip(_deltas(spot))
+    return bucket, kind, _zip(key), _zip(around), _zip(sides), _zip(_deltas(doc)), _zip(_deltas(spot))
 
 
 def _suffixes(buckets: int):
     """Anchors of (doc_id, variant, text) rows as rows of entries by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.string(), *[pa.binary()] * 4]
-        names = ["bucket", "kind", "keys", "around", "docs", "spots"]
+        kinds = [pa.int32(), pa.string(), *[pa.binary()] * 5]
+        names = ["bucket", "kind", "keys", "around", "sides", "docs", "spots"]
         for batch in batches:
             docs = batch.column(0).to_numpy().astype(np.int64)
             variants = batch.column(1).to_numpy().astype(np.int64)
             texts = [x.as_py() for x in batch.column(2)]
             got = []
             for which, offsets, pieces, spans in _pieces(texts):
-                text, pos, key, around = anchors(pieces)
+                text, pos, key, around, sides = anchors(pieces)
                 pos = pos + np.array(offsets)[text]
                 span = np.array(spans)[text]
                 own = (span[:, 0] <= pos) & (pos < span[:, 1])
                 text = np.array(which)[text]
-                got.append((key[own], around[own], docs[text[own]], (variants[text[own]] << VARIANT) + pos[own]))
+                got.append((key[own], around[own], sides[own], docs[text[own]], (variants[text[own]] << VARIANT) + pos[own]))
             if not got:
                 continue
-            key, around, doc, spot = (np.concatenate(c) for c in zip(*got, strict=True))
+            key, around, sides, doc, spot = (np.concatenate(c) for c in zip(*got, strict=True))
             bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             key &= np.uint64((1 << 40) - 1)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = [_entries(b, "new", key[o], around[o], doc[o], spot[o]) for b in range(buckets) if len(o := order[ends[b]:ends[b + 1]])]
+            rows = [_entries(b, "new", key[o], around[o], sides[o], doc[o], spot[o]) for b in range(buckets) if len(o := order[ends[b]:ends[b + 1]])]
             for at in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at:at + 64], strict=True), kinds, strict=True)], names=names)
     return run
@@ -166,17 +166,18 @@ def _suffixes(buckets: int):
 
 def _load(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
     if not len(frame):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
     return (np.concatenate([_unzip(x, "<u8") for x in frame["keys"]]), np.concatenate([_unzip(x, "<u8") for x in frame["around"]]),
+            np.concatenate([_unzip(x, "<u4") for x in frame["sides"]]),
             np.concatenate([np.cumsum(_unzip(x, "<i8")) for x in frame["docs"]]), np.concatenate([np.cumsum(_unzip(x, "<i8")) for x in frame["spots"]]))
 
 
-def merge_scan(key, around, doc, spot, new) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge_scan(key, around, sides, doc, spot, new) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of suffixes (``new``: of the batch, the rest of levels) in any order: their sorted order; which new ones have all their
     windows in a smaller document; which ones share part of their surroundings with a smaller (or for a
     smaller one: a larger) document and must be compared by window.  Masks are in sorted order."""
     order = np.lexsort((spot, doc, around, key))
-    key, around, doc, new = key[order], around[order], doc[order], new[order]
+    key, around, sides, doc, new = key[order], around[order], sides[order], doc[order], new[order]
     n = len(key)
     first = np.ones(n, bool)
     first[1:] = (key[1:] != key[:-1]) | (around[1:] != around[:-1])
@@ -190,7 +191,7 @@ def merge_scan(key, around, doc, spot, new) -> tuple[np.ndarray, np.ndarray, np.
     lone[:-1] &= hkey[1:] != hkey[:-1]
     several = np.nonzero(~lone)[0]
     for shift in (14, 0):
-        side = (around[heads[several]] >> np.uint64(shift)) & np.uint64(0x3FFF)
+        side = (sides[heads[several]] >> np.uint32(shift)) & np.uint32(0x3FFF)
         o = np.lexsort((least[several], side, hkey[several]))
         k, s, d = hkey[several][o], side[o], least[several][o]
         start = np.ones(len(o), bool)
@@ -208,20 +209,20 @@ def _scan(homes: int, keep: bool):
     if the index goes on, of kind level (by bucket): the new suffixes with those to be merged."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         parts = [_load(frame[frame["kind"] == k]) for k in ("new", "merge", "stay")]
-        key, around, doc, spot = (np.concatenate(c) for c in zip(*parts, strict=True))
+        key, around, sides, doc, spot = (np.concatenate(c) for c in zip(*parts, strict=True))
         ends = np.cumsum([len(p[0]) for p in parts])
         new, held = np.arange(len(key)) < ends[0], np.arange(len(key)) < ends[1]
-        order, full, partial = merge_scan(key, around, doc, spot, new)
-        key, around, doc, spot, held = key[order], around[order], doc[order], spot[order], held[order]
+        order, full, partial = merge_scan(key, around, sides, doc, spot, new)
+        key, around, sides, doc, spot, held = key[order], around[order], sides[order], doc[order], spot[order], held[order]
         rows = []
         for kind, mask in (("full", full), ("part", partial)):
             rows += _homed(kind, doc[mask], spot[mask], homes)
         if keep:
-            key, around, doc, spot = key[held], around[held], doc[held], spot[held]
+            key, around, sides, doc, spot = key[held], around[held], sides[held], doc[held], spot[held]
             first = np.ones(len(key), bool)
             first[1:] = (key[1:] != key[:-1]) | (around[1:] != around[:-1])
-            rows.append(_entries(int(frame["bucket"].iloc[0]), "level", key[first], around[first], doc[first], spot[first]))
-        return pd.DataFrame(rows, columns=["bucket", "kind", "keys", "around", "docs", "spots"])
+            rows.append(_entries(int(frame["bucket"].iloc[0]), "level", key[first], around[first], sides[first], doc[first], spot[first]))
+        return pd.DataFrame(rows, columns=["bucket", "kind", "keys", "around", "sides", "docs", "spots"])
     return run
 
 
@@ -336,7 +337,7 @@ def _resolve(homes: int):
         spot = np.concatenate([np.cumsum(_unzip(x, "<i8")) for x in frame["spots"]])
         sides = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 2) for x in frame["sides"]])
         around = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(-1, REACH) for x in frame["bytes"]])
-        return pd.DataFrame(_homed("window", *shared_windows(doc, spot, sides, around), homes), columns=["bucket", "kind", "keys", "around", "docs", "spots"])
+        return pd.DataFrame(_homed("window", *shared_windows(doc, spot, sides, around), homes), columns=["bucket", "kind", "keys", "around", "sides", "docs", "spots"])
     return run
 
 
@@ -345,7 +346,7 @@ def _homed(kind: str, doc: np.ndarray, spot: np.ndarray, homes: int) -> list[tup
     o = np.lexsort((spot, doc, doc % homes))
     doc, spot = doc[o], spot[o]
     at = np.searchsorted(doc % homes, np.arange(homes + 1))
-    return [(i, kind, b"", b"", _zip(_deltas(doc[at[i]:at[i + 1]])), _zip(_deltas(spot[at[i]:at[i + 1]]))) for i in range(homes) if at[i] < at[i + 1]]
+    return [(i, kind, b"", b"", b"", _zip(_deltas(doc[at[i]:at[i + 1]])), _zip(_deltas(spot[at[i]:at[i + 1]]))) for i in range(homes) if at[i] < at[i + 1]]
 
 
 def _covered(n: int, copy: bool, spans: bytes | None) -> np.ndarray:

@@ -367,3 +367,14 @@ def test_repeats_of_long_and_same_numbered_texts(spark, monkeypatch):
 
 def test_repeats_nothing(nothing):
     assert suffix.remove_repeats(nothing).count() == 0
+
+
+def test_equal_near_sides_do_not_make_surroundings_equal():
+    """An anchor that 60,000 texts share with the 13 bytes on either side: each context beyond has surroundings of its own."""
+    rng = np.random.default_rng(11)
+    piece = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    core = next(x for x in iter(lambda: piece(50), None) if suffix.anchors([x])[1][0] == 13)
+    text, pos, key, around, *more = suffix.anchors([piece(13) + core + piece(13) for _ in range(60_000)])
+    shared = (pos == 26) & (key == suffix.anchors([core])[2][0])
+    assert shared.sum() > 10_000
+    assert len(np.unique(around[shared])) == shared.sum()
