@@ -128,17 +128,21 @@ def t10(v):
 
 
 def sampled(v, most):
-    """Up to ``most`` contacts of each neuron and type, by a hash of the contact."""
+    """Of each neuron's contacts, equally many of each type by a hash of the contact: as many as there are of the rarer type,
+    ``most`` at most."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("neuron", "type").orderBy(F.xxhash64("contact"), "contact")
-    return attached(v).withColumn("place", F.row_number().over(w)).filter(c("place") <= most)
+    n = attached(v).groupBy("neuron").agg(*[F.count_if(c("type") == t).alias(f"n_{t}") for t in ("pre", "post")])
+    ranked = attached(v).withColumn("place", F.row_number().over(w)).join(n, "neuron")
+    return ranked.filter(c("place") <= F.least(lit(most), c("n_pre"), c("n_post")))
 
 
 @query("t11_pre_post_distance")
 def t11(v):
-    """Mean way between sampled pre and post contacts of a neuron; the sample is part of the measure."""
-    s = sampled(v, 30).groupBy("neuron", "type", "node_id").agg(n_().alias("n"))
+    """Mean way between sampled pre and post contacts of a neuron, min(300, pre, post) of each; the sample is part of
+    the measure."""
+    s = sampled(v, 300).groupBy("neuron", "type", "node_id").agg(n_().alias("n"))
     a = s.filter(c("type") == "pre").select("neuron", c("node_id").alias("u"), c("n").alias("nu"))
     b = s.filter(c("type") == "post").select("neuron", c("node_id").alias("v"), c("n").alias("nv"))
     nodes, jumps = tree.doubled(v.skeleton)

@@ -154,3 +154,14 @@ def test_skeleton_files(spark, tmp_path):
     (tmp_path / "17.swc").write_text("# a comment\n0 1 1.0 2.0 3.0 0.5 -1\n1 0 2.0 2.0 3.0 0.5 0\n\n")
     got = [tuple(r) for r in files.read_skeletons(spark, f"file://{tmp_path}").orderBy("node_id").collect()]
     assert got == [(17, 0, 1, 1.0, 2.0, 3.0, 0.5, -1), (17, 1, 0, 2.0, 2.0, 3.0, 0.5, 0)]
+
+
+def test_distance_samples_equally_many_of_each_type(spark, small):
+    from arborix.plans.registry import QUERIES
+
+    n = {}
+    for r in QUERIES["t1_connectors"](spark, small).groupBy("neuron", "type").count().collect():
+        n.setdefault(r.neuron, {})[r.type] = r["count"]
+    want = {k: min(300, x["pre"], x["post"]) ** 2 for k, x in n.items() if len(x) == 2}
+    assert max(want.values()) > 30 * 30
+    assert {r.neuron: r.pairs for r in QUERIES["t11_pre_post_distance"](spark, small).collect()} == want
