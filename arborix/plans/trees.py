@@ -251,9 +251,10 @@ def t18(v):
 
 @query("t19_base_nodes")
 def t19(v):
-    """On the way from a contact to its centroid, the node before the first one that has a pre contact; the centroid if none has."""
+    """On the way from a contact to its centroid, the node before the first one that has a pre contact; the centroid if none has.  Where
+    more than two edges meet there (to tree nodes and contacts), the node before it on the way.  Of the contacts that both stages keep."""
 
-    first = stage_one(v)
+    first = stored(stage_one(v).join(t18(v).select("neuron", "contact"), ["neuron", "contact"], "left_semi"), "base-contacts")
     pre = attached(v).filter(c("type") == "pre").select("neuron", "node_id").distinct().withColumn("has", lit(True))
     nodes, jumps = tree.doubled(v.skeleton)
     pairs = first.select("neuron", c("node_id").alias("u"), c("centroid").alias("v")).distinct()
@@ -274,8 +275,16 @@ def t19(v):
     fall = fall.filter(c("at") != c("lca")).join(length, ["neuron", "u", "v"]).select("neuron", "u", "v", "at", (c("up") + c("down") - c("steps")).alias("place"))
     way = stored(rise.select("neuron", "u", "v", "at", c("steps").alias("place")).unionByName(fall), "base-way")
     hit = way.join(pre.withColumnRenamed("node_id", "at"), ["neuron", "at"]).groupBy("neuron", "u", "v").agg(F.min("place").alias("first"))
-    base = top.select("neuron", "u", "v").join(hit, ["neuron", "u", "v"], "left").withColumn("place", F.greatest(c("first") - 1, lit(0)))
-    base = base.join(way.select("neuron", "u", "v", "place", "at"), ["neuron", "u", "v", "place"], "left").select("neuron", "u", "v", F.coalesce("at", "v").alias("base"))
+    last = way.groupBy("neuron", "u", "v").agg(F.max("place").alias("last"))
+    base = last.join(hit, ["neuron", "u", "v"], "left").select("neuron", "u", "v", F.coalesce(F.greatest(c("first") - 1, lit(0)), "last").alias("place"))
+    kids = v.skeleton.filter(c("parent_id") != -1).groupBy("neuron", c("parent_id").alias("at")).agg(n_().alias("kids"))
+    on = attached(v).groupBy("neuron", c("node_id").alias("at")).agg(n_().alias("on"))
+    degree = v.skeleton.select("neuron", c("node_id").alias("at"), (c("parent_id") != -1).cast("bigint").alias("up")).join(kids, ["neuron", "at"], "left").join(on, ["neuron", "at"], "left")
+    degree = degree.select("neuron", "at", (c("up") + F.coalesce("kids", lit(0)) + F.coalesce("on", lit(0))).alias("degree"))
+    places = ["neuron", "u", "v", "place"]
+    base = base.join(way.select(*places, "at"), places).join(degree, ["neuron", "at"])
+    base = base.withColumn("place", F.when((c("degree") > 2) & (c("place") > 0), c("place") - 1).otherwise(c("place"))).select(*places)
+    base = base.join(way.select(*places, "at"), places).select("neuron", "u", "v", c("at").alias("base"))
     out = first.join(base.select("neuron", c("u").alias("node_id"), c("v").alias("centroid"), "base"), ["neuron", "node_id", "centroid"])
     return tree.dense(out, "base", "base_no").select("neuron", "contact", "node_id", "centroid", "base", "base_no")
 

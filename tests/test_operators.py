@@ -165,3 +165,40 @@ def test_distance_samples_equally_many_of_each_type(spark, small):
     want = {k: min(300, x["pre"], x["post"]) ** 2 for k, x in n.items() if len(x) == 2}
     assert max(want.values()) > 30 * 30
     assert {r.neuron: r.pairs for r in QUERIES["t11_pre_post_distance"](spark, small).collect()} == want
+
+
+def test_base_nodes_against_walk(spark, small):
+    """Every way is walked node by node, on the contacts that both stages keep."""
+    from arborix.plans.registry import QUERIES
+    from arborix.sources.views import Views
+
+    up, degree, pre = {}, {}, set()
+    for r in Views(spark, small).skeleton.select("neuron", "node_id", "parent_id").collect():
+        up[r.neuron, r.node_id] = r.parent_id
+        if r.parent_id != -1:
+            for x in (r.node_id, r.parent_id):
+                degree[r.neuron, x] = degree.get((r.neuron, x), 0) + 1
+    for r in QUERIES["t1_connectors"](spark, small).collect():
+        degree[r.neuron, r.node_id] = degree.get((r.neuron, r.node_id), 0) + 1
+        if r.type == "pre":
+            pre.add((r.neuron, r.node_id))
+
+    def chain(neuron, x):
+        out = [x]
+        while up[neuron, out[-1]] != -1:
+            out.append(up[neuron, out[-1]])
+        return out
+    left = {r.contact for r in QUERIES["t18_no_pre_below"](spark, small).collect()}
+    want, stepped = {}, 0
+    for r in QUERIES["t17_filopodia_first"](spark, small).collect():
+        if r.contact not in left:
+            continue
+        a, b = chain(r.neuron, r.node_id), chain(r.neuron, r.centroid)
+        top = next(x for x in a if x in b)
+        way = a[: a.index(top) + 1] + b[: b.index(top)][::-1]
+        at = next((max(0, i - 1) for i, x in enumerate(way) if (r.neuron, x) in pre), len(way) - 1)
+        if degree[r.neuron, way[at]] > 2 and at:
+            at, stepped = at - 1, stepped + 1
+        want[r.contact] = way[at]
+    assert want and stepped
+    assert {r.contact: r.base for r in QUERIES["t19_base_nodes"](spark, small).collect()} == want
