@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from labelled documents with crc32(doc_id as text) mod 4 other than 2.
 
     A document with several labels counts as good if most of them are (ties: good); null labels and ids don't
-    count.  Without labels of both classes the model is the smoothed share of good ones."""
+    count.  Each text of an id is taken once, ``sample`` texts of a class at most.  Without labels of both classes the model is the smoothed share of good ones."""
     known = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("q"))
              .filter(F.col("doc_id").isNotNull() & F.col("q").isin(0, 1) & ~held_out())
              .groupBy("doc_id").agg((F.avg("q") >= 0.5).cast("int").alias("q")))
@@ -139,14 +139,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * sample rows at most
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # of the sample at most
         for batch in batches:
-            made = [features(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([a.astype("<u4").tobytes() for a, _ in made], pa.binary()),
-                 pa.array([s.astype("<f4").tobytes() for _, s in made], pa.binary())], names=["doc_id", "q", "at", "share"])
+            made = []
+            for doc, q, th, text in zip(*batch.columns, strict=True):
+                if (key := (doc.as_py(), th.as_py())) not in seen:
+                    seen.add(key)
+                    at, share = features(text.as_py())
+                    made.append((key[0], q.as_py(), key[1], at.astype("<u4").tobytes(), share.astype("<f4").tobytes()))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*made, strict=True)) or [[]] * 5, kinds, strict=True)],
+                                             names=["doc_id", "q", "th", "at", "share"])
 
     rows = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).join(chosen, "doc_id")
-            .select("doc_id", "q", "text").mapInArrow(extract, "doc_id bigint, q int, at binary, share binary").collect())
+            .select("doc_id", "q", F.xxhash64("text").alias("th"), "text"))
+    # an id may have many rows: each of its texts counts once, and the sample bounds the texts too
+    texts = rows.select("doc_id", "q", "th").distinct()
+    texts = [texts.filter(F.col("q") == q).orderBy(*order, "th").limit(sample).drop("q") for q in (0, 1)]
+    rows = rows.join(F.broadcast(texts[0].unionByName(texts[1])), ["doc_id", "th"]).select("doc_id", "q", "th", "text")
+    rows = (rows.mapInArrow(extract, "doc_id bigint, q int, th bigint, at binary, share binary")
+            .dropDuplicates(["doc_id", "th"]).select("doc_id", "q", "at", "share").collect())
     rows.sort(key=lambda r: (r["doc_id"], r["at"], r["share"]))
     return train([(np.frombuffer(r["at"], "<u4"), np.frombuffer(r["share"], "<f4"), r["q"]) for r in rows], sizes.get(0, 0), sizes.get(1, 0))
 

@@ -378,3 +378,14 @@ def test_equal_near_sides_do_not_make_surroundings_equal():
     shared = (pos == 26) & (key == suffix.anchors([core])[2][0])
     assert shared.sum() > 10_000
     assert len(np.unique(around[shared])) == shared.sum()
+
+
+def test_fit_takes_each_text_of_an_id_once(spark, monkeypatch):
+    rows = [(1, f"good words {i % 3}") for i in range(300)] + [(i, f"bad text {i}") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i == 1), 0) for i in range(1, 60)], "doc_id bigint, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(classifier, "train", lambda found, *_: seen.append([q for *_, q in found]))
+    assert (zlib.crc32(b"1") & 3) != 2
+    classifier.fit(docs, labels, 20)
+    assert seen[0].count(1) == 3 and 0 < seen[0].count(0) <= 20
