@@ -7,11 +7,33 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from arborix.llm import classifier, decontamination, simhash
+from arborix.llm import classifier, decontamination, similar
 from arborix.llm.queries import ORACLES, QUERIES
 from tests.compare import same
 
 
+def brute_near(docs):
+    """The smallest id of each group that 5-word shingle sets of similarity 0.8 connect."""
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect()))
+    sets = []
+    for _, t in rows:
+        w = decontamination.tokens(t)
+        sets.append(set(decontamination.shingles(w)))
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    return {rows[i][0] for i in range(len(rows)) if top(i) == i}
+
+
 def test_stages(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     (_, quality), (_, dedup), (_, clean), (_, mix), (_, ids) = corpus_pipeline.STAGES
@@ -22,7 +44,7 @@ def test_stages(spark, small):
     assert kept == {r.doc_id for r in scored if r.score >= 0.7}
     two = dedup(spark, docs, small)
     assert two.columns == docs.columns
-    assert {r.doc_id for r in two.collect()} == {r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert {r.doc_id for r in two.collect()} == brute_near(docs)
     three = clean(spark, docs, small)
     leaked = {r.doc_id for r in decontamination.leaks(docs, spark.read.parquet(f"{small}/benchmark.parquet")).collect()}
     assert three.columns == docs.columns and leaked
@@ -35,8 +57,9 @@ def test_stages(spark, small):
 
 
 def test_awkward_rows_pass_through(spark, small):
-    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, __x int"
-    rows = [(1, "a b c d e f g", "en", None, 1, 0.5, 1), (1, "a b c d e f g", "en", None, 1, 0.5, 1), (None, None, None, None, None, None, None), (2, "", "", "", 0, None, 0)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, __x int, __score int, __times int, __time int, __id int, __th int, __row int, row int, __gone int"
+    more = (1,) * 9
+    rows = [(1, "a b c d e f g", "en", None, 1, 0.5, *more), (1, "a b c d e f g", "en", None, 1, 0.5, *more), (None,) * 15, (2, "", "", "", 0, None, *more)]
     docs = spark.createDataFrame(rows, schema)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, small).columns == docs.columns
@@ -85,3 +108,21 @@ def test_ids_do_not_decide(spark, small):
     want = sorted(t for _, t in rows)
     assert sorted(r.text for r in corpus_pipeline.decontaminate(spark, docs, small).collect()) == want
     assert sorted(r.text for r in corpus_pipeline.near_dedup(spark, docs, small).collect()) == sorted([*want, item])
+
+
+def test_large_groups_are_verified_in_parts(spark, monkeypatch):
+    """The same groups whatever the number of texts that a task takes."""
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+    rows = []
+    for i in range(60):
+        edited = list(base)
+        for at in rng.integers(0, 120, 1 + i % 4):
+            edited[at] = f"e{i}"
+        rows.append((i, " ".join(edited)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(similar, "RADIUS", 256)
+    got = [sorted((r.doc_id, r.group) for r in similar.groups(docs, part=p).collect()) for p in (4096, 7)]
+    first = [[min(d for d, h in x if h == g) for _, g in x] for x in got]
+    assert first[0] == first[1] and 1 < len(set(first[0])) < 60
+    assert set(first[0]) == brute_near(docs)
