@@ -1,99 +1,139 @@
-"""Repeated runs of lines by a suffix array over line ids (DataFrame functions only).
+"""Repeated runs of lines by prefix doubling over line ids (DataFrame functions only).
 
-The suffixes of all documents' line sequences are ranked by prefix doubling: ranks of runs of 1, 2, 4, ... lines, each
-from pairs of the ranks before.  Suffixes whose run is the only one of its kind drop out of the rounds.  Intervals of the suffix
-array whose longest common prefix reaches the least run length are then the groups of equal ranks at that
-length; the first suffix of an interval stays and the lines under the later ones go, which together are the later copies of
-every maximal repeated run of that length or more."""
+Suffixes of the texts' line sequences are ranked by their first line, then by runs of twice the length, each from the pair of
+ranks before it, until no run of a length occurs twice.  Suffixes of one rank are an interval of the suffix array whose common
+prefix has that length at least; a suffix whose run is the only one of its kind leaves the rounds.  Of an interval the first suffix
+stays, and the runs of the others are later copies.  Runs of all lengths that overlap in a text join to maximal runs, and these go."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_sum, small, stored, text_or_empty
+from .common import running_sum, small, stored, text_or_empty, word_count
 
-#: Lines of a run at least.
-LEAST = 2
+#: Lines of a run at least, or words of a run of one line.
+LEAST, LONG = 2, 50
 BUCKETS = 1024
-DOC = ["doc", "th"]
-
-
-def _numbered(groups: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
-    """Distinct keys with their place in order (bucket, keys), counted without a global sort."""
-    rows = groups.select(*keys, bucket.alias("__bucket"), F.lit(0).alias("__all"), F.lit(1).cast("bigint").alias("__one"))
-    out = running_sum(rows, ["__all"], "__bucket", [F.col(k) for k in keys], "__one", "rank", bounded=True)
-    return out.select(*[F.col(k).alias(f"_{k}") for k in keys], "rank")
-
-
-def _ranked(rows: DataFrame, keys: list[str], bucket: Column, label: str) -> DataFrame:
-    """Rows (doc, th, i, keys) whose keys occur twice or more, with the rank of their keys."""
-    groups = rows.groupBy(*keys).count().filter(F.col("count") > 1).select(*keys)
-    ranks = small(stored(_numbered(stored(groups, label + "-groups"), keys, bucket), label + "-ranks"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_{k}"))
-    return stored(rows.join(ranks, same).select(*DOC, "i", "rank"), label)
-
-
-def _pairs(ranks: DataFrame, step: int) -> DataFrame:
-    """Ranks of the runs at i and at i + step of the same document, where both repeat."""
-    ahead = ranks.select(*DOC, (F.col("i") - step).alias("i"), F.col("rank").alias("b"))
-    return ranks.withColumnRenamed("rank", "a").join(ahead, [*DOC, "i"])
+#: A text is named by two hashes; the smallest doc_id that has it stands for it.
+TEXT = ["th", "tg"]
+NONE = -(1 << 62)  # stands for a null id, before all others
 
 
 def _in_order(column: str, most: int) -> Column:
-    """Buckets that follow the order of ranks from 0 to most - 1."""
+    """Buckets that follow the order of numbers from 0 to most - 1."""
     return F.floor(F.col(column) / max(1, -(-most // BUCKETS))).cast("int")
 
 
-def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc, th (which document), gone: array of (i, line), the deleted lines in order; i counts lines with a word."""
-    rows = (docs.select(F.col("doc_id").cast("bigint").alias("doc"), text_or_empty().alias("text"))
-            .select("doc", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"))
-            .select(*DOC, F.explode(_worded()).alias("x")).select(*DOC, F.col("x.i").alias("i"), F.col("x.line").alias("line"), "x.h1", "x.h2"))
-    # null ids sort before all others; one row stands for equal ones
-    rows = stored(rows.withColumn("doc", F.coalesce("doc", F.lit(-(1 << 62)))).distinct(), "lines")
-    bucket = F.floor((F.shiftrightunsigned("h1", 1) / float(1 << 63)) * BUCKETS).cast("int")
+def _first_ranks(rows: DataFrame) -> DataFrame:
+    """th, tg, i, rank of lines that occur twice or more; ranks follow the order of the lines' hashes."""
+    groups = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
     # order by h1 as an unsigned number: its upper bits make the bucket
-    ranks, length = _ranked(rows.select(*DOC, "i", "h1", "h2"), ["h1", "h2"], bucket, "lines-1"), 1
-    while length < least:
-        step = min(length, least - length)
-        pairs = stored(_pairs(ranks, step), f"lines-pairs-{length + step}")
+    bucket = F.floor((F.shiftrightunsigned("h1", 1) / float(1 << 63)) * BUCKETS).cast("int")
+    groups = stored(groups, "lines-groups").select("h1", "h2", bucket.alias("__bucket"), F.lit(0).alias("__all"), F.lit(1).cast("bigint").alias("__one"))
+    ranks = running_sum(groups, ["__all"], "__bucket", [F.col("h1"), F.col("h2")], "__one", "rank", bounded=True)
+    ranks = small(stored(ranks.select(F.col("h1").alias("_1"), F.col("h2").alias("_2"), "rank"), "lines-ranks"))
+    return rows.join(ranks, (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2"))).select(*TEXT, "i", "rank", "doc", "many")
+
+
+def _doubled(ranks: DataFrame, step: int, most: int) -> DataFrame | None:
+    """Ranks of runs that are ``step`` lines longer, from the pairs of ranks at i and i + step; None if no such run repeats."""
+    ahead = ranks.select(*TEXT, (F.col("i") - step).alias("i"), F.col("rank").alias("b"))
+    pairs = stored(ranks.withColumnRenamed("rank", "a").join(ahead, [*TEXT, "i"]), "lines-pairs")
+    groups = stored(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b"), "lines-groups")
+    if not groups.take(1):
+        return None
+    # places of the first ranks, then of the second ones of each: one frequent line spreads over the buckets of what follows it
+    each = groups.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumns({"__bucket": _in_order("a", most), "__all": F.lit(0)})
+    each = running_sum(each, ["__all"], "__bucket", [F.col("a")], "n", "start", bounded=True).select(F.col("a").alias("_a"), "start")
+    inside = groups.withColumns({"__bucket": _in_order("b", most), "__one": F.lit(1).cast("bigint")})
+    inside = running_sum(inside, ["a"], "__bucket", [F.col("b")], "__one", "nth")
+    made = inside.join(small(stored(each, "lines-starts")), F.col("a") == F.col("_a"))
+    made = small(stored(made.select("_a", F.col("b").alias("_b"), (F.col("start") + F.col("nth")).alias("rank")), "lines-ranks"))
+    return pairs.join(made, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).select(*TEXT, "i", "rank", "doc", "many")
+
+
+def _later(ranks: DataFrame, length: int) -> DataFrame:
+    """th, tg, i, upto: the runs of one length whose interval has a suffix at an earlier place."""
+    place = F.struct("doc", "i")
+    first = small(stored(ranks.groupBy(F.col("rank").alias("_rank")).agg(F.min(place).alias("first")), "lines-first"))
+    rows = ranks.join(first, F.col("rank") == F.col("_rank")).filter(place > F.col("first"))
+    return rows.select(*TEXT, "i", (F.col("i") + length).alias("upto"))
+
+
+def repeated_runs(docs: DataFrame, least: int = LEAST, long: int = LONG) -> DataFrame:
+    """doc, th, tg, runs: per document (doc_id, text) that loses lines the maximal runs, an array of (from, upto) over its lines with a word, the end
+    left out.  A text that a smaller doc_id has is a later copy as a whole."""
+    text = F.col("text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NONE)).alias("doc"), text_or_empty().alias("text"))
+    rows = rows.select("doc", F.xxhash64(text).alias("th"), F.xxhash64(F.lit("second"), text).alias("tg"), "text")
+    each = rows.select("doc", *TEXT, F.explode(_worded(F.split("text", "\n"), long)).alias("x")).select("doc", *TEXT, "x.*")
+    # copies of a text are one text, of its smallest doc_id
+    lines = stored(each.groupBy(*TEXT, "i", "h1", "h2").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"), F.max("many").alias("many")), "lines")
+    ranks, length, found = stored(_first_ranks(lines), "lines-1"), 1, []
+    found.append(_later(ranks.filter("many"), 1))
+    while ranks is not None:
+        if length >= least:
+            found.append(_later(ranks, length))
+        step = length if length >= least else min(length, least - length)
         most = (ranks.agg(F.max("rank")).first()[0] or 0) + 1
-        ranks, length = _ranked(pairs, ["a", "b"], _in_order("a", most), f"lines-{length + step}"), length + step
-    place = F.col("doc").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(38,0)") + F.col("i")
-    ranks = ranks.withColumn("place", place.cast("decimal(38,0)"))
-    first = ranks.groupBy(F.col("rank").alias("_rank")).agg(F.min("place").alias("first"))
-    later = ranks.join(small(stored(first, "lines-first")), F.col("rank") == F.col("_rank")).filter(F.col("place") > F.col("first"))
-    gone = later.select(*DOC, F.explode(F.sequence(F.col("i"), F.col("i") + (least - 1))).alias("i")).distinct()
-    gone = gone.join(rows.select(*DOC, "i", "line"), [*DOC, "i"])
-    return gone.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("i", "line"))).alias("gone"))
-
-
-def _worded() -> Column:
-    """Of the lines that have a word: i (their number among these), line (among all), two hashes."""
-    each = F.transform(F.col("lines"), lambda x, j: F.struct(x.alias("x"), j.alias("line")))
-    has = F.filter(each, lambda s: s["x"].rlike(r"[^ \t\n\x0B\f\r]"))
-    return F.transform(has, lambda s, i: F.struct(
-        i.alias("i"), s["line"].alias("line"), F.xxhash64(s["x"]).alias("h1"), F.xxhash64(F.lit("second"), s["x"]).alias("h2")))
-
-
-def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """Per document: doc_id, n_lines, n_deleted, n_runs (of deleted lines that follow one another), kept_text.
-
-    A line goes if it lies in a run of ``least`` or more lines (those without a word aside) that also starts earlier, in
-    order of doc_id and place; runs stay within a document and may overlap.  Lines without a word are
+        ranks = _doubled(ranks, step, most)
+        length += step
+        if ranks is not None:
+            ranks = stored(ranks, "lines-ranked")
+    later = found[0]
+    for more in found[1:]:
+        later = later.unionByName(more)
+    # the first document of a text, and the copies: these go whole, or lose their lines of many words if they have too few lines
+    texts = lines.groupBy(*TEXT).agg(F.min("doc").alias("doc"), F.max("last").alias("last"), F.count(F.lit(1)).alias("n"), F.max("many").alias("many"))
+    own = texts.select("doc", *TEXT).join(_merged(later), TEXT)
+    shared = texts.filter(F.col("last") > F.col("doc"))
+    few = shared.filter((F.col("n") < least) & F.col("many"))
+    few = lines.filter("many").select(*TEXT, "i", (F.col("i") + 1).alias("upto")).join(few.select(*TEXT, "doc"), TEXT)
+    few = _merged(few).join(shared.select(*TEXT, "doc"), TEXT).select(*TEXT, "doc", "runs")
+    whole = shared.filter(F.col("n") >= least).select(*TEXT, "doc", F.array(F.struct(F.lit(0).alias("from"), F.col("n").cast("int").alias("upto"))).alias("runs"))
+    copied = stored(whole.unionByName(few).select(F.col("th").alias("_th"), F.col("tg").alias("_tg"), F.col("doc").alias("first"), "runs"), "lines-copied")
+    copies = rows.select("doc", *TEXT).distinct().join(small(copied), (F.col("th") == F.col("_th")) & (F.col("tg") == F.col("_tg")) & (F.col("doc") > F.col("first")))
+    return own.select("doc", *TEXT, "runs").unionByName(copies.select("doc", *TEXT, "runs"))
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """th, tg, runs: the spans (i, upto) of a text, those that overlap or touch as one."""
+    spans = spans.groupBy(*TEXT, "i").agg(F.max("upto").alias("upto"))
+    by = Window.partitionBy(*TEXT).orderBy("i")
+    spans = spans.withColumn("new", F.coalesce(F.col("i") > F.max("upto").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    spans = spans.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy(*TEXT, "run").agg(F.min("i").alias("from"), F.max("upto").alias("upto"))
+    return spans.groupBy(*TEXT).agg(F.sort_array(F.collect_list(F.struct("from", "upto"))).alias("runs"))
+
+
+def _worded(lines: Column, long: int) -> Column:
+    """Of the lines that have a word: i (their number among these), two hashes, whether they have ``long`` words or more."""
+    has = F.filter(lines, lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
+    many = lambda x: F.when(F.length(x) >= 2 * long - 1, word_count(x) >= long).otherwise(F.lit(long <= 1))
+    return F.transform(has, lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("second"), x).alias("h2"), many(x).alias("many")))
+
+
+def dedup_lines(docs: DataFrame, least: int = LEAST, long: int = LONG) -> DataFrame:
+    """Per document: doc_id, n_lines, n_deleted, n_runs (maximal runs deleted), longest_run (lines of the longest of them), kept_text.
+
+    A line goes if it lies in a run of ``least`` or more lines (those without a word aside), or is a line of ``long`` or more words, that
+    also starts earlier, in order of doc_id and place; runs stay within a document and may overlap.  Lines without a word are
     never deleted.  Null text: one empty line, kept.  A null id comes before all others.  Rows equal in doc_id and text are
     one document and lose the same lines; different texts under one doc_id are compared by place.  An empty table gives an empty
     result.  Only doc_id and text are read."""
     # as many rows as documents that lose lines, so a shuffled join at every size
-    gone = stored(repeated_lines(docs, least).withColumnsRenamed({"doc": "_doc", "th": "_th"}), "lines-gone").hint("merge")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("lines", F.split("text", "\n"))
-    same = (F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))) == F.col("_doc")) & (F.xxhash64("text") == F.col("_th"))
-    rows = rows.join(gone, same, "left").select("doc_id", "text", "lines", F.coalesce("gone", F.array().cast("array<struct<i:int,line:int>>")).alias("gone"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone.line"))
-    kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda j: F.get(F.col("lines"), j)), "\n"))
-    runs = F.size(F.filter(F.col("gone"), lambda x, j: F.coalesce(F.get(F.col("gone"), j - 1)["i"] != x["i"] - 1, F.lit(True))))
-    return rows.select("doc_id", F.size("lines").cast("bigint").alias("n_lines"), F.size("gone").cast("bigint").alias("n_deleted"),
-                       runs.cast("bigint").alias("n_runs"), kept.alias("kept_text"))
+    gone = repeated_runs(docs, least, long).select(F.col("doc").alias("_doc"), *[F.col(x).alias(f"_{x}") for x in TEXT], "runs")
+    gone = stored(gone, "lines-gone").hint("merge")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    same = ((F.coalesce(F.col("doc_id"), F.lit(NONE)) == F.col("_doc")) & (F.xxhash64("text") == F.col("_th"))
+            & (F.xxhash64(F.lit("second"), F.col("text")) == F.col("_tg")))
+    rows = rows.join(gone, same, "left").select("doc_id", "text", "runs").withColumn("lines", F.split("text", "\n"))
+    numbers = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda j: F.get(F.col("lines"), j).rlike(r"[^ \t\n\x0B\f\r]"))
+    cut = F.transform(F.array(numbers), lambda w: F.flatten(F.transform(F.col("runs"), lambda r: F.slice(w, r["from"] + 1, r["upto"] - r["from"]))))[0]
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), cut)
+    kept = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda j: F.get(F.col("lines"), j)), "\n"))
+    sizes = F.transform(F.coalesce("runs", F.array().cast("array<struct<from:int,upto:int>>")), lambda r: r["upto"] - r["from"])
+    count = lambda x: F.coalesce(x, F.lit(0)).cast("bigint")
+    return rows.select("doc_id", F.size("lines").cast("bigint").alias("n_lines"), count(F.aggregate(sizes, F.lit(0), lambda a, b: a + b)).alias("n_deleted"),
+                       count(F.size(sizes)).alias("n_runs"), count(F.array_max(sizes)).alias("longest_run"), kept.alias("kept_text"))

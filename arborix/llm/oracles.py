@@ -47,12 +47,14 @@ w AS (
   FROM e WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 p AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM w),
 f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, i) AS nth FROM p WHERE next IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest([i, i + 1]) AS i FROM f WHERE nth > 1)),
+g AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS nth FROM w WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest([i, i + 1]) AS i FROM f WHERE nth > 1 UNION ALL SELECT doc_id, i FROM g WHERE nth > 1)),
 marked AS (SELECT e.doc_id, e.j, e.line, w.i, gone.i IS NOT NULL AS del
            FROM e LEFT JOIN w ON e.doc_id = w.doc_id AND e.j = w.j LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.i = w.i),
-runs AS (SELECT doc_id, count(*) AS n_runs FROM gone g WHERE NOT EXISTS (SELECT 1 FROM gone h WHERE h.doc_id = g.doc_id AND h.i = g.i - 1) GROUP BY doc_id)
+runs AS (SELECT doc_id, count(*) AS n_runs, max(n) AS longest_run FROM
+         (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM gone) GROUP BY doc_id, run) GROUP BY doc_id)
 SELECT m.doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (del))::BIGINT AS n_deleted, coalesce(any_value(n_runs), 0)::BIGINT AS n_runs,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (NOT del), '')) AS kept_sha256
+       coalesce(any_value(longest_run), 0)::BIGINT AS longest_run, sha256(coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (NOT del), '')) AS kept_sha256
 FROM marked m LEFT JOIN runs ON runs.doc_id = m.doc_id GROUP BY m.doc_id
 """
 

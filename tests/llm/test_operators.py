@@ -298,27 +298,51 @@ def test_classifier(spark, small, docs, edges, nothing):
 # -- line runs
 
 
-@pytest.mark.parametrize("which,least", [("edges", 2), ("docs", 2), ("docs", 5)])
-def test_line_runs(request, which, least):
-    df = request.getfixturevalue(which)
-    got = Counter((r.doc_id, r.n_lines, r.n_deleted, r.n_runs, r.kept_text) for r in lines.dedup_lines(df, least).collect())
-    data = rows_of(df)
+def brute_lines(data, least, long):
+    """Every place of every run, and of every line of many words, looked at one by one."""
     first = {}
     for i, t in dict.fromkeys(data):
-        ls = (t or "").split("\n")
-        w = [x for x in ls if WORD.search(x)]
-        for a in range(len(w) - least + 1):
+        w = [x for x in (t or "").split("\n") if WORD.search(x)]
+        for a in range(len(w)):
             place = (i is not None, i or 0, a)
-            k = tuple(w[a:a + least])
-            first[k] = min(first.get(k, place), place)
+            for k in ([tuple(w[a:a + least])] if a + least <= len(w) else []) + [w[a]]:
+                first[k] = min(first.get(k, place), place)
     want = Counter()
     for i, t in data:
         ls = (t or "").split("\n")
         at = [j for j, x in enumerate(ls) if WORD.search(x)]
-        gone = {b for a in range(len(at) - least + 1) if first[tuple(ls[j] for j in at[a:a + least])] < (i is not None, i or 0, a) for b in range(a, a + least)}
+        gone, place = set(), lambda a: (i is not None, i or 0, a)  # noqa: B023
+        for a in range(len(at)):
+            if a + least <= len(at) and first[tuple(ls[j] for j in at[a:a + least])] < place(a):
+                gone |= set(range(a, a + least))
+            if len(WORD.findall(ls[at[a]])) >= long and first[ls[at[a]]] < place(a):
+                gone.add(a)
         out = {at[b] for b in gone}
-        want[i, len(ls), len(gone), sum(b - 1 not in gone for b in gone), "\n".join(x for j, x in enumerate(ls) if j not in out)] += 1
-    assert got == want
+        runs = [sum(b in gone for b in range(a, next(e for e in range(a, len(at) + 1) if e not in gone))) for a in gone if a - 1 not in gone]
+        want[i, len(ls), len(gone), len(runs), max(runs, default=0), "\n".join(x for j, x in enumerate(ls) if j not in out)] += 1
+    return want
+
+
+def found_lines(df, *settings):
+    return Counter((r.doc_id, r.n_lines, r.n_deleted, r.n_runs, r.longest_run, r.kept_text) for r in lines.dedup_lines(df, *settings).collect())
+
+
+@pytest.mark.parametrize("which,least,long", [("edges", 2, 50), ("docs", 2, 50), ("docs", 5, 20)])
+def test_line_runs(request, which, least, long):
+    df = request.getfixturevalue(which)
+    assert found_lines(df, least, long) == brute_lines(rows_of(df), least, long)
+
+
+@pytest.mark.parametrize("least,long", [(2, 50), (3, 2)])
+def test_line_runs_of_all_lengths(spark, least, long):
+    """Runs of 1 to 50 lines of few different ones, copied within and between documents, and copies of whole texts."""
+    rng = np.random.default_rng(8)
+    line = lambda: rng.choice(["a", "b", "c d", "", " ", f"u{rng.integers(0, 400)}", "many " * 60])
+    runs = [[str(line()) for _ in range(k)] for k in (1, 2, 3, 5, 8, 13, 31, 32, 33, 50)]
+    rows = [(int(i) - 5, "\n".join(sum(([str(line())] * int(rng.integers(0, 3)) + runs[j] for j in rng.integers(0, len(runs), 1 + i % 4)), []))) for i in range(50)]
+    rows += [(200 + i, rows[i % 9][1]) for i in range(20)] + [(300 + i, x) for i, x in enumerate(["many " * 60] * 3 + ["many " * 60 + "\nz"] * 3)] + [(None, rows[7][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert found_lines(df, least, long) == brute_lines(rows, least, long)
 
 
 def test_line_runs_nothing(nothing):
