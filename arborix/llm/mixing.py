@@ -93,7 +93,8 @@ def schedule(spark: SparkSession, per: DataFrame, block: int = BLOCK) -> DataFra
 
 
 def mix(docs: DataFrame, weights: list[float], share: float, most: float = 2.0, block: int = BLOCK) -> DataFrame:
-    """Per document: doc_id, size (words), source, source_size, target, taken (words that the mix takes).
+    """Per document: doc_id, size (words), source, source_size, target, taken (words that the mix takes), first_slot and n_slots (the
+    slots of the schedule that hand out words of it: the first one, null if there is none, and their number).
 
     Each source's documents, shuffled by a hash of doc_id, lie end to end on a line cut into equal
     blocks; slots of the schedule take the blocks in order, once round and then a second time, so no
@@ -106,7 +107,7 @@ def mix(docs: DataFrame, weights: list[float], share: float, most: float = 2.0,
     sizes = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"),
                                word_count(text_or_empty()).alias("size")), "mix-sizes")
     per = stored(targets(sizes, weights, share, most), "mix-targets")
-    slots = schedule(spark, per, block).select("source", "rank", "lo", "hi", "source_no")
+    slots = schedule(spark, per, block).select("slot", "rank", "lo", "hi", "source_no")
     placed = (sizes.withColumn("__unit", _unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
               .withColumn("__bucket", F.floor(F.col("__unit") / ((1 << 32) // BUCKETS)).cast("int")))
     placed = running_sum(placed, ["source"], "__bucket",
@@ -122,7 +123,9 @@ def mix(docs: DataFrame, weights: list[float], share: float, most: float = 2.0,
               .withColumn("rank", F.explode(F.sequence(F.floor(F.col("__from") / block), F.floor((F.col("__to") - 1) / block)))))
     taken = (pieces.join(slots, ["source_no", "rank"])
              .withColumn("__n", F.least("__to", "hi") - F.greatest("__from", "lo"))
-             .filter(F.col("__n") > 0).groupBy("__row").agg(F.sum("__n").alias("taken")))
+             .filter(F.col("__n") > 0).groupBy("__row")
+             .agg(F.sum("__n").alias("taken"), F.min("slot").alias("first_slot"), F.count_distinct("slot").alias("n_slots")))
     return (placed.join(taken, "__row", "left")
             .select("doc_id", "size", "source", "source_size", "target",
-                    F.coalesce(F.col("taken"), F.lit(0)).cast("bigint").alias("taken")))
+                    F.coalesce(F.col("taken"), F.lit(0)).cast("bigint").alias("taken"),
+                    "first_slot", F.coalesce(F.col("n_slots"), F.lit(0)).cast("bigint").alias("n_slots")))

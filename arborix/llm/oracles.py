@@ -31,11 +31,26 @@ top AS (SELECT arg_min(level, source_size / weight) AS level FROM lv WHERE level
 t AS (SELECT w.source, source_size, CASE WHEN top.level * weight <= cap THEN top.level * weight ELSE cap END AS target FROM w, top),
 l AS (
   SELECT s.*, source_size, target,
-         (sum(size) OVER (PARTITION BY s.source ORDER BY unit, doc_id NULLS LAST, size) - size)::BIGINT AS a, floor(target)::BIGINT AS n
-  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
+         (sum(size) OVER (PARTITION BY s.source ORDER BY unit, doc_id NULLS LAST, size) - size)::BIGINT AS a, floor(target)::BIGINT AS n,
+         row_number() OVER (ORDER BY doc_id, size) AS row
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+-- the schedule: golden-ratio points through the cumulative targets, slots ranked per source; surplus slots go, missing ones follow
+parts AS (SELECT source, floor(target)::BIGINT AS n, sum(target) OVER (ORDER BY source NULLS LAST) / sum(target) OVER () AS hi FROM t),
+cut AS (SELECT source, n, hi, coalesce(lag(hi) OVER (ORDER BY source NULLS LAST), 0) AS lo, row_number() OVER (ORDER BY source DESC NULLS FIRST) = 1 AS is_last FROM parts),
+total AS (SELECT round(sum(target) / 256)::BIGINT AS slots FROM t),
+points AS (SELECT i AS slot, ((i + 1) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS u FROM total, unnest(range(slots)) AS x(i)),
+ranked AS (SELECT slot, source, n, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+           FROM points JOIN cut ON u >= lo AND (u < hi OR is_last)),
+given AS (SELECT cut.source, cut.n, count(slot) AS k FROM cut LEFT JOIN ranked ON ranked.source IS NOT DISTINCT FROM cut.source GROUP BY ALL),
+slots AS (SELECT slot, source, rank FROM ranked WHERE rank * 256 < n
+          UNION ALL SELECT slots + r, source, r FROM given, total, unnest(range(k, ((n + 255) // 256)::BIGINT)) AS x(r)),
+pieces AS (SELECT doc_id, size, source, a + shift AS a, least(a + shift + size, n) AS z, row FROM l, unnest([0, source_size]) AS y(shift) WHERE size > 0),
+blocks AS (SELECT row, source, unnest(range(a // 256, (z - 1) // 256 + 1)) AS rank FROM pieces WHERE z > a),
+used AS (SELECT row, min(slot) AS first_slot, count(DISTINCT slot) AS n_slots FROM blocks b JOIN slots s ON s.source IS NOT DISTINCT FROM b.source AND s.rank = b.rank GROUP BY row)
 SELECT doc_id, size, source, source_size, target,
-       (greatest(0, least(a + size, n) - a) + greatest(0, least(a + size + source_size, n) - (a + source_size)))::BIGINT AS taken
-FROM l
+       (greatest(0, least(a + size, n) - a) + greatest(0, least(a + size + source_size, n) - (a + source_size)))::BIGINT AS taken,
+       first_slot, coalesce(n_slots, 0)::BIGINT AS n_slots
+FROM l LEFT JOIN used ON used.row = l.row
 """
 
 OP9 = r"""

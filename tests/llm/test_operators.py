@@ -137,6 +137,35 @@ def test_mixing(request, which):
     assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
 
 
+@pytest.mark.parametrize("block", [256, 5])
+def test_schedule(spark, docs, block):
+    """Every slot against a plain walk along the golden ratio; prefixes stay near the targets; documents report their slots."""
+    rows = mixing.mix(docs, [3, 1, 2], 1.5, 2.0, block).collect()
+    target = {r.source: r.target for r in rows}
+    names = sorted(target, key=lambda s: (s is None, s or ""))
+    total, edges, at = sum(target.values()), [], 0.0
+    for s in names:
+        at += target[s]
+        edges.append(at / total)
+    count, slots = round(total / block), defaultdict(list)
+    for i in range(count):
+        u = (i + 1) * mixing.GOLDEN % 1.0
+        slots[names[min(int(np.searchsorted(edges, u, "right")), len(names) - 1)]].append(i)
+        if i % 50 == 49:
+            assert all(abs(len(slots[s]) - (i + 1) * target[s] / total) < 5 for s in names)
+    for s in names:
+        need = -(-int(target[s]) // block)
+        slots[s] = (slots[s] + [count + r for r in range(len(slots[s]), need)])[:need]
+    line, size = defaultdict(int), {r.source: r.source_size for r in rows}
+    place = lambda r: (int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:8], 16), r.doc_id, r.size)
+    for r in sorted(rows, key=place):
+        a, n, used = line[r.source], int(target[r.source]), set()
+        line[r.source] += r.size
+        for x in (a, a + size[r.source]):
+            used |= {slots[r.source][k] for k in range(x // block, -(-min(x + r.size, n) // block))} if r.size and x < n else set()
+        assert (r.first_slot, r.n_slots) == (min(used, default=None), len(used))
+
+
 def test_mixing_nothing(nothing):
     assert mixing.mix(nothing, [3, 1, 2], 1.5).count() == 0
 
