@@ -2,7 +2,9 @@
 
 Base rules come first; of the documents that pass them, each (language, source) gets a
 minimum-covariance-determinant estimate of its transformed statistics, and documents far from it by
-Mahalanobis distance are rejected."""
+Mahalanobis distance are rejected.  Each language and the whole corpus have such estimates too: a cell's own one is drawn
+towards its language's, and that towards the corpus's, by as many documents as ``PRIOR``, so a small cell has a verdict of its own
+without a switch at some size."""
 
 from __future__ import annotations
 
@@ -17,10 +19,10 @@ FEATURES = ["f_words", "f_length", "f_symbols", "f_lines", "f_repeats"]
 FLOORS = [0.10, 0.15, 0.03, 0.08, 0.08]
 #: The share of a cell's documents that the determinant is minimised over.
 CORE = 0.75
-#: Concentration steps; each is one pass over five numbers a document.
-STEPS = 5
-#: Cells with fewer documents are pooled, by language and then altogether.
-LEAST = 100
+#: Concentration steps at most; each is one pass over five numbers a document.  They end when no log-determinant moves by MOVES.
+STEPS, MOVES = 12, 1e-4
+#: Documents that the estimate above a cell's own counts as.
+PRIOR = 50
 #: Squared distances are binned by this many steps to a doubling.
 FINE = 32
 #: Chi-square quantiles for 5 degrees of freedom: 0.975, and the one beyond which a document goes (1 - 1e-13).
@@ -84,17 +86,20 @@ def _features(stats: DataFrame) -> DataFrame:
     return stats.withColumns({f: F.round(x * 4096).cast("bigint") / F.lit(4096.0) for f, x in zip(FEATURES, made, strict=True)})
 
 
+TRIES = 2
+
+
 def _cells(rows: DataFrame) -> DataFrame:
-    """Adds ``cell``: (lang, source), or the language's pool of small cells, or the pool of small pools.
-    Null names count as values of their own.  The last pool may be small too: then it has no verdict."""
+    """Adds ``cell`` (language and source) and ``lang_cell``.  Null names count as values of their own."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    rows = rows.withColumns({"__fine": F.to_json(F.struct(name("lang").alias("l"), name("source").alias("s"))), "__lang": name("lang")})
-    fine = rows.groupBy("__fine", "__lang").count()
-    fine = fine.withColumn("__pool", F.when(F.col("count") < LEAST, F.col("__lang")))
-    left = F.sum(F.when(F.col("__pool").isNotNull(), F.col("count")).otherwise(0)).over(Window.partitionBy("__lang"))
-    fine = stored(fine.select("__fine", F.when(F.col("__pool").isNull(), F.col("__fine"))
-                              .when(left >= LEAST, F.col("__pool")).otherwise(F.lit("all")).alias("cell")), "mcd-cells")
-    return rows.join(small(fine), "__fine").drop("__fine", "__lang")
+    return rows.withColumns({"cell": F.to_json(F.struct(name("lang").alias("l"), name("source").alias("s"))), "lang_cell": F.to_json(F.struct(name("lang").alias("l")))})
+
+
+def _members(rows: DataFrame, tries: int = 1) -> DataFrame:
+    """Each row once for its cell, its language and the whole corpus, and each of these for every start."""
+    every = F.array("cell", "lang_cell", F.lit("all"))
+    out = rows.select(F.explode(every).alias("cell"), *FEATURES)
+    return out if tries == 1 else out.select(F.explode(F.array(*[F.concat("cell", F.lit(f"#{i}")) for i in range(tries)])).alias("cell"), *FEATURES)
 
 
 def _moments() -> list[Column]:
@@ -103,25 +108,67 @@ def _moments() -> list[Column]:
             + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in pairs])
 
 
-def _estimate(sums: DataFrame, fix: float) -> DataFrame:
-    """Per cell: mean m_i and the Cholesky factor l_ij of the floored covariance, from sums of moments."""
+PARTS = [f"m{i}" for i in range(5)] + [f"c{i}{j}" for i in range(5) for j in range(i + 1)]
+
+
+def _scatter(sums: DataFrame, fix: float) -> DataFrame:
+    """Per cell: n, means m_i and covariances c_ij, from sums of moments."""
     p = len(FEATURES)
     out = sums.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(p)})
+    cov = {f"c{i}{j}": (F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * F.lit(fix) for i in range(p) for j in range(i + 1)}
+    return out.withColumns(cov).select("cell", "n", *PARTS)
+
+
+def _factor(scatter: DataFrame) -> DataFrame:
+    """Per cell: mean m_i, the Cholesky factor l_ij of the floored covariance, and the logarithm of its determinant."""
+    p, out = len(FEATURES), scatter
     for i in range(p):
         for j in range(i + 1):
-            cov = (F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * F.lit(fix)
-            rest = cov
+            rest = F.col(f"c{i}{j}")
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             if i == j:
                 out = out.withColumn(f"l{i}{i}", F.sqrt(F.greatest(rest + F.lit(FLOORS[i] ** 2), F.lit(FLOORS[i] ** 2 / 4))))
             else:
                 out = out.withColumn(f"l{i}{j}", rest / F.col(f"l{j}{j}"))
-    return out.select("cell", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+    logdet = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(1, p)), 2 * F.log(F.col("l00")))
+    return out.select("cell", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)], logdet.alias("logdet"))
+
+
+def _estimate(sums: DataFrame, fix: float) -> DataFrame:
+    return _factor(_scatter(sums, fix))
+
+
+def mcd(rows: DataFrame) -> DataFrame:
+    """Per cell, language and the whole: the estimate of least determinant that concentration steps reach from two starts,
+    medians with interquartile spreads and medians with the least spreads."""
+    start = stored(_start(_members(rows)), "mcd-start")
+    plain = {f"l{i}{i}": F.lit(x) for i, x in enumerate(FLOORS)}
+    tries = [start.withColumns({"cell": F.concat("cell", F.lit(f"#{i}")), **(plain if i else {})}) for i in range(TRIES)]
+    now, before = stored(tries[0].unionByName(tries[1]), "mcd-estimate"), None
+    every = _members(rows, TRIES)
+    for _ in range(STEPS):
+        now = stored(_estimate(_nearest(_distance(every, now), CORE, None), FIX_CORE), "mcd-estimate")
+        if before is not None:
+            moved = now.join(before.select("cell", F.col("logdet").alias("was")), "cell").agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+            if moved is None or moved < MOVES:
+                break
+        before = now
+    best = now.withColumn("cell", F.regexp_replace("cell", r"#\d+$", ""))
+    names = [c for c in now.columns if c != "cell"]
+    best = best.groupBy("cell").agg(F.min(F.struct("logdet", *[c for c in names if c != "logdet"])).alias("x"))
+    return stored(best.select("cell", *[F.col(f"x.{c}").alias(c) for c in names]), "mcd-best")
+
+
+def _drawn(own: DataFrame, above: DataFrame, key: str) -> DataFrame:
+    """Means and covariances drawn towards those above, which count as PRIOR documents.  ``key``: the column of own that names these."""
+    up = above.select(F.col("cell").alias("_up"), *[F.col(x).alias(f"_{x}") for x in PARTS])
+    mixed = {x: (F.col("n") * F.col(x) + F.lit(PRIOR) * F.col(f"_{x}")) / (F.col("n") + F.lit(PRIOR)) for x in PARTS}
+    return own.join(small(stored(up, "mcd-above")), F.col(key) == F.col("_up")).withColumns(mixed).select(*own.columns)
 
 
 def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance from the cell's estimate, by forward substitution."""
+    """Adds d2, the squared Mahalanobis distance from the cell's estimate, by forward substitution.  There is an estimate for each cell."""
     p = len(FEATURES)
     out = rows.join(small(estimates), "cell", "left")
     for i in range(p):
@@ -167,21 +214,22 @@ def _nearest(rows: DataFrame, share: float | None, most: float | None) -> DataFr
 
 def quality_rules(docs: DataFrame, cut: float = CHI_CUT) -> DataFrame:
     """Per document: doc_id, the base statistics, base_failed, distance (squared Mahalanobis distance, null
-    without an estimate), kept.
+    if the base rules fail), kept.
 
     Documents that fail the base rules aren't kept and don't enter the estimates.  Null or empty texts have
-    no words and fail.  Null languages and sources are cells of their own.  Cells of fewer than 100
-    documents are pooled; if even the last pool is so small its documents are kept.  Equal rows get
-    equal verdicts.  An empty table gives an empty result."""
+    no words and fail.  Null languages and sources are names of their own.  Every cell has an estimate, whatever its size; that of
+    a single document is all but its language's.  Equal rows get equal verdicts.  An empty table gives an empty result."""
     stats = stored(statistics(docs).withColumn("base_failed", base_failed()), "quality-stats")
     rows = _cells(_features(stats.filter(~F.col("base_failed"))))
     rows = stored(rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                              "base_failed", "cell", *FEATURES), "mcd-rows")
-    enough = rows.groupBy("cell").count().filter(F.col("count") >= LEAST).select("cell")
-    now = stored(_start(rows).join(enough, "cell", "left_semi"), "mcd-estimate")
-    for _ in range(STEPS):
-        now = stored(_estimate(_nearest(_distance(rows, now), CORE, None), FIX_CORE), "mcd-estimate")
-    now = stored(_estimate(_nearest(_distance(rows, now), None, CHI_GOOD), FIX_GOOD), "mcd-estimate")
+                              "base_failed", "cell", "lang_cell", *FEATURES), "mcd-rows")
+    good = stored(_scatter(_nearest(_distance(_members(rows), mcd(rows)), None, CHI_GOOD), FIX_GOOD), "mcd-good")
+    names = rows.select("cell", "lang_cell").distinct()
+    all_ = good.filter(F.col("cell") == "all")
+    langs = good.join(small(stored(names.select(F.col("lang_cell").alias("cell")).distinct(), "mcd-languages")), "cell").withColumn("up", F.lit("all"))
+    langs = _drawn(langs, all_, "up").drop("up")
+    cells = good.join(small(stored(names, "mcd-cells")), "cell")
+    now = stored(_factor(_drawn(cells, langs, "lang_cell").drop("lang_cell")), "mcd-estimate")
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     judged = _distance(rows, now).select(*base, F.col("d2").alias("distance"),
                                          F.coalesce(F.col("d2") <= cut, F.lit(True)).alias("kept"))

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -72,6 +73,41 @@ def test_quality_verdicts(spark, nothing, docs):
     assert all(got[i] for i in range(300)) and not any(got[1000 + i] for i in range(20))
 
 
+def plain_factor(x, fix=1.0):
+    """Floored Cholesky factor of a covariance, as the operator defines it."""
+    c = np.cov(x, rowvar=False, bias=True) * fix
+    p, low = len(c), np.zeros((len(c), len(c)))
+    for i in range(p):
+        for j in range(i + 1):
+            rest = c[i, j] - low[i, :j] @ low[j, :j]
+            low[i, j] = np.sqrt(max(rest + quality.FLOORS[i] ** 2, quality.FLOORS[i] ** 2 / 4)) if i == j else rest / low[j, j]
+    return low
+
+
+def test_determinants_are_least(spark):
+    """In small cells with outliers no subset of the core's size has a smaller determinant."""
+    rng = np.random.default_rng(6)
+    data = {f"cell{k}": np.round(np.concatenate([rng.normal(k, 0.4 + 0.1 * k, (9, 5)), rng.normal(6 + k, 1, (3, 5))]) * 4096) / 4096 for k in range(3)}
+    rows = spark.createDataFrame([(k, "lang", *map(float, x)) for k, m in data.items() for x in m], ["cell", "lang_cell", *quality.FEATURES])
+    got = {r.cell: r.logdet for r in quality.mcd(rows).collect()}
+    for k, m in data.items():
+        every = [2 * np.log(np.diag(plain_factor(m[list(s)], quality.FIX_CORE))).sum() for s in combinations(range(len(m)), 9)]
+        assert got[k] <= min(every) + 1e-6
+    assert set(got) == {*data, "lang", "all"}
+
+
+def test_small_cells_lean_on_their_language(spark, docs):
+    """An outlier is seen in a cell of 4 documents, and clean documents stay there."""
+    rng = np.random.default_rng(0)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(100, 400)))) + ".", "en", "large", 0) for i in range(200)]
+    rows += [(1000 + i, " ".join(rng.choice(vocabulary, 200)) + ".", "en", "small", 0) for i in range(3)]
+    rows += [(2000, " ".join(w + "***$$$" for w in rng.choice(vocabulary, 200)), "en", "small", 0)]
+    got = {r.doc_id: (r.kept, r.distance) for r in quality.quality_rules(spark.createDataFrame(rows, docs.schema)).collect()}
+    assert all(got[i][0] for i in range(200)) and all(got[1000 + i][0] for i in range(3)) and not got[2000][0]
+    assert all(d is not None for _, d in got.values())
+
+
 # -- WARC
 
 
