@@ -19,8 +19,9 @@ FEATURES = ["f_words", "f_length", "f_symbols", "f_lines", "f_repeats"]
 FLOORS = [0.10, 0.15, 0.03, 0.08, 0.08]
 #: The share of a cell's documents that the determinant is minimised over.
 CORE = 0.75
-#: Concentration steps at most; each is one pass over five numbers a document.  They end when no log-determinant moves by MOVES.
-STEPS, MOVES = 12, 1e-4
+#: Concentration steps from every start, then from the best one at most; each is one pass over five numbers a document.  They
+#: end when no log-determinant moves by MOVES.
+FIRST, STEPS, MOVES = 2, 10, 1e-3
 #: Documents that the estimate above a cell's own counts as.
 PRIOR = 50
 #: Squared distances are binned by this many steps to a doubling.
@@ -145,19 +146,19 @@ def mcd(rows: DataFrame) -> DataFrame:
     start = stored(_start(_members(rows)), "mcd-start")
     plain = {f"l{i}{i}": F.lit(x) for i, x in enumerate(FLOORS)}
     tries = [start.withColumns({"cell": F.concat("cell", F.lit(f"#{i}")), **(plain if i else {})}) for i in range(TRIES)]
-    now, before = stored(tries[0].unionByName(tries[1]), "mcd-estimate"), None
+    now = stored(tries[0].unionByName(tries[1]), "mcd-estimate")
     every = _members(rows, TRIES)
-    for _ in range(STEPS):
+    for _ in range(FIRST):
         now = stored(_estimate(_nearest(_distance(every, now), CORE, None), FIX_CORE), "mcd-estimate")
-        if before is not None:
-            moved = now.join(before.select("cell", F.col("logdet").alias("was")), "cell").agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
-            if moved is None or moved < MOVES:
-                break
-        before = now
-    best = now.withColumn("cell", F.regexp_replace("cell", r"#\d+$", ""))
-    names = [c for c in now.columns if c != "cell"]
-    best = best.groupBy("cell").agg(F.min(F.struct("logdet", *[c for c in names if c != "logdet"])).alias("x"))
-    return stored(best.select("cell", *[F.col(f"x.{c}").alias(c) for c in names]), "mcd-best")
+    names = [c for c in now.columns if c not in ("cell", "logdet")]
+    best = now.groupBy(F.regexp_replace("cell", r"#\d+$", "").alias("cell")).agg(F.min(F.struct("logdet", *names)).alias("x"))
+    now, every = stored(best.select("cell", *[F.col(f"x.{c}").alias(c) for c in [*names, "logdet"]]), "mcd-best"), _members(rows)
+    for _ in range(STEPS):
+        before, now = now, stored(_estimate(_nearest(_distance(every, now), CORE, None), FIX_CORE), "mcd-estimate")
+        moved = now.join(before.select("cell", F.col("logdet").alias("was")), "cell").agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+        if moved is None or moved < MOVES:
+            break
+    return now
 
 
 def _drawn(own: DataFrame, above: DataFrame, key: str) -> DataFrame:
