@@ -1,8 +1,8 @@
 """Quality classifier on supervised subword embeddings.
 
-Words, their character n-grams and word bigrams are hashed, each to a learned vector; a document is the mean of
-the averages of the three kinds, and a softmax over two classes sits on top.  A bigram of the same word twice
-hashes by that pattern, not by its word, as no sample holds all words that a text may repeat.  Training is numpy stochastic gradient descent on a bounded
+Words, their character n-grams and word bigrams are hashed, each to a learned vector; a document is the average of all its
+vectors, and a softmax over two classes sits on top.  A word that repeats the one before it makes one and the same bigram, whatever
+the word, as no sample holds all words that a text may repeat.  Training is numpy stochastic gradient descent on a bounded
 sample of labelled rows; scoring covers every whole text."""
 
 from __future__ import annotations
@@ -30,37 +30,34 @@ THRESHOLD = 0.7
 
 
 def subwords(word: bytes) -> list[int]:
-    """Buckets of the character n-grams of <word> (the whole of a shorter one)."""
+    """Buckets of a word: its own, and those of the character n-grams of <word>."""
     full = b"<" + word + b">"
     n = len(full)
-    return [crc32(full[i:i + k]) % BUCKETS for k in GRAMS if k <= n for i in range(n - k + 1)]
+    return [crc32(word) % BUCKETS, *(crc32(full[i:i + k]) % BUCKETS for k in GRAMS if k <= n for i in range(n - k + 1))]
 
 
 def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def _word_buckets(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words and of the bigrams of a text."""
+def _bigrams(found: list[bytes]) -> np.ndarray:
+    """Buckets of the word bigrams of a text."""
     h = np.fromiter(map(crc32, found), np.uint64, len(found))
     pairs = (h[:-1] * np.uint64(0x9E3779B1) + h[1:] * np.uint64(0x85EBCA6B) + np.uint64(1)) >> np.uint64(7)
-    pairs = np.where(h[:-1] == h[1:], np.uint64(1), pairs)
-    return (h % np.uint64(BUCKETS)).astype(np.int64), (pairs % np.uint64(BUCKETS)).astype(np.int64)
+    return (np.where(h[:-1] == h[1:], np.uint64(1), pairs) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets that a text has and their shares in the mean of its three averages."""
+    """Buckets that a text has and their shares in its average."""
     found = split(text)
     counts: dict[bytes, int] = {}
     for w in found:
         counts[w] = counts.get(w, 0) + 1
-    grams = np.zeros(BUCKETS)
+    total = np.bincount(_bigrams(found), minlength=BUCKETS).astype(float)
     for w, n in counts.items():
-        np.add.at(grams, subwords(w), n)
-    kinds = [grams, *(np.bincount(b, minlength=BUCKETS).astype(float) for b in _word_buckets(found))]
-    total = sum(k / max(1.0, k.sum()) for k in kinds) / 3
+        np.add.at(total, subwords(w), n)
     at = np.nonzero(total)[0]
-    return at, total[at]
+    return at, total[at] / max(1.0, total.sum())
 
 
 @dataclass(frozen=True)
@@ -101,7 +98,7 @@ def train(sample: list[tuple[np.ndarray, np.ndarray, int]], n0: int, n1: int, ep
 
 
 class _WordSums(dict):
-    """word -> complex(sum of its n-grams' weights, number of them); keeps the first words it meets."""
+    """word -> complex(sum of the weights of its buckets, number of them); keeps the first words it meets."""
 
     def __init__(self, weight: np.ndarray) -> None:
         self.weight, self.plain = weight, weight.tolist()
@@ -116,12 +113,8 @@ class _WordSums(dict):
 
 def score(sums: _WordSums, bias: float, text: str | None) -> float:
     found = split(text)
-    grams = sum(map(sums.__getitem__, found), 0j)
-    logit = grams.real / grams.imag if grams.imag else 0.0
-    for buckets in _word_buckets(found):
-        if len(buckets):
-            logit += float(sums.weight[buckets].mean())
-    logit = bias + logit / 3
+    total, pairs = sum(map(sums.__getitem__, found), 0j), _bigrams(found)
+    logit = bias + (total.real + float(sums.weight[pairs].sum())) / max(1.0, total.imag + len(pairs))
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, logit))))
 
 

@@ -469,6 +469,20 @@ def test_equal_near_sides_do_not_make_surroundings_equal():
     assert len(np.unique(around[shared])) == shared.sum()
 
 
+def test_scores_are_those_of_the_average():
+    """The sums by word give what the shares of the buckets give; gradient descent separates two vocabularies."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma"] if i % 2 else ["delta", "epsilon", "zeta"], 30)) for i in range(60)] + ["", "alpha alpha", "é \x00 zeta"]
+    model = classifier.train([(*classifier.features(t), i % 2) for i, t in enumerate(texts[:60])], 30, 30)
+    sums = classifier._WordSums(model.weight)
+    for i, t in enumerate(texts):
+        at, share = classifier.features(t)
+        assert abs(share.sum() - (1 if t else 0)) < 1e-9
+        logit = model.bias + float(model.weight[at] @ share)
+        assert abs(classifier.score(sums, model.bias, t) - 1 / (1 + np.exp(-logit))) < 1e-9
+        assert i >= 60 or (logit > 0) == (i % 2 == 1)
+
+
 def test_fit_takes_each_text_of_an_id_once(spark, monkeypatch):
     rows = [(1, f"good words {i % 3}") for i in range(300)] + [(i, f"bad text {i}") for i in range(2, 60)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
