@@ -2,7 +2,7 @@
 
 A file is, in order (integers little-endian; ``\\n`` ends each part):
 
-* header: ``ARBTOK01``, id width in bytes (u8), SHA-256 of the dictionary (32 bytes);
+* header: ``ARBTOK02``, id width in bytes (u8), SHA-256 of the dictionary (32 bytes), number of the file among all (u64);
 * per document, in ascending doc_id order: a zstandard frame of its ids (unsigned, of that width);
 * index: per document has_id (u8), doc_id (i64), offset (u64), length (u32), ids (u32);
 * footer: index offset (u64), documents (u64), ``ARBTOKIX``.
@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path, small, stored, text_or_empty
 
-MAGIC, TAIL = b"ARBTOK01", b"ARBTOKIX"
+MAGIC, TAIL = b"ARBTOK02", b"ARBTOKIX"
 ENTRY = np.dtype([("has", "u1"), ("doc", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("ids", "<u4")])
 END = 1
 #: The bound on the dictionary's training sample: the documents of the smallest hashes of doc_id.
 SAMPLE, DICTIONARY_BYTES, LEVEL = 1000, 32 << 10, 3
+#: Bytes of ids that training takes of a document, at most.
+SAMPLE_BYTES = 64 << 10
 #: Bytes of frames that a file gets, about.
 FILE_BYTES = 16 << 20
 #: Pieces whose ids a Python worker keeps, and documents that it encodes before it hands them on.
@@ -119,7 +121,7 @@ def train_dictionary(docs: DataFrame, path: str, dtype: str, sample: int = SAMPL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([encoder(path, dtype)(t.as_py()) for t in b.column(0)], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([encoder(path, dtype)(t.as_py())[:SAMPLE_BYTES] for t in b.column(0)], pa.binary())], names=["ids"])
 
     arrays = [bytes(r["ids"]) for r in rows.select("text").mapInArrow(run, "ids binary").collect()]
     try:
@@ -153,7 +155,9 @@ def write(docs: DataFrame, tokenizer_path: str, target: str) -> None:
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = lambda x: pa.RecordBatch.from_arrays([pa.array(x, pa.binary())], names=["part"])
-        header = MAGIC + bytes([int(dtype[-1])]) + digest
+        from pyspark import TaskContext
+
+        header = MAGIC + bytes([int(dtype[-1])]) + digest + int(TaskContext.get().partitionId()).to_bytes(8, "little")
         yield row([header])
         at, index = len(header) + 1, []
         for batch in batches:
@@ -165,23 +169,24 @@ def write(docs: DataFrame, tokenizer_path: str, target: str) -> None:
         yield row([np.array(index, ENTRY).tobytes()])
         yield row([np.array([at, len(index)], "<u8").tobytes() + TAIL])
 
-    (made.repartitionByRange(max(1, -(-size // FILE_BYTES)), F.col("doc_id").asc_nulls_first())
-     .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "frame")
+    # the order of a doc_id's rows is part of the range, so that they can be dealt to several files
+    order = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.col("hash")]
+    (made.withColumn("hash", F.xxhash64("frame")).repartitionByRange(max(1, -(-size // FILE_BYTES)), *order).sortWithinPartitions(*order)
      .mapInArrow(files, "part binary").select(F.col("part").cast("string").alias("value"))
      .write.option("lineSep", "\n").text(f"{target}/ids"))
 
 
-def read_index(content: bytes) -> tuple[int, bytes, np.ndarray]:
-    """Id width, dictionary hash and index of a file."""
+def read_index(content: bytes) -> tuple[int, bytes, int, np.ndarray]:
+    """Id width, dictionary hash, number and index of a file."""
     if content[:8] != MAGIC or content[-9:-1] != TAIL:
         raise ValueError("not a token-ID file")
     at, n = np.frombuffer(content[-25:-9], "<u8")
-    return content[8], content[9:41], np.frombuffer(content, ENTRY, int(n), int(at))
+    return content[8], content[9:41], int.from_bytes(content[41:49], "little"), np.frombuffer(content, ENTRY, int(n), int(at))
 
 
 def read_document(content: bytes, doc_id: int, dictionary: bytes) -> np.ndarray:
     """Ids of one document (the first of several of that id) through the index; only its frame is decompressed."""
-    width, digest, index = read_index(content)
+    width, digest, _, index = read_index(content)
     if hashlib.sha256(dictionary).digest() != digest:
         raise ValueError("another dictionary")
     known = index[index["has"] == 1]
@@ -194,7 +199,7 @@ def read_document(content: bytes, doc_id: int, dictionary: bytes) -> np.ndarray:
 
 
 def read(spark: SparkSession, target: str) -> DataFrame:
-    """Per document, from the files: file, doc_id, at (ids before it in its file), n_tokens, ids_crc32."""
+    """Per document, from the files: file (its number), doc_id, at (ids before it in its file), n_tokens, ids_crc32."""
     raw = bytes(spark.read.parquet(f"{target}/dictionary").first()["dictionary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +207,7 @@ def read(spark: SparkSession, target: str) -> DataFrame:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = content.as_buffer()
                 view = memoryview(data)
-                width, digest, index = read_index(view.tobytes())
+                width, digest, number, index = read_index(view.tobytes())
                 if hashlib.sha256(raw).digest() != bytes(digest):
                     raise ValueError(f"{path} was written under another dictionary")
                 unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(raw))
@@ -214,19 +219,19 @@ def read(spark: SparkSession, target: str) -> DataFrame:
                     crcs.append(crc32(ids.astype("<u4").tobytes()))
                 n = index["ids"].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * len(n), pa.string()), pa.array(index["doc"].astype(np.int64), mask=index["has"] == 0),
+                    [pa.array([number] * len(n), pa.int64()), pa.array(index["doc"].astype(np.int64), mask=index["has"] == 0),
                      pa.array(np.cumsum(n) - n), pa.array(n), pa.array(crcs, pa.int64())],
                     names=["file", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     return (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{target}/ids").select("path", "content")
-            .mapInArrow(run, "file string, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint"))
+            .mapInArrow(run, "file bigint, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint"))
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, target: str | None = None) -> DataFrame:
     """Writes the files and reads them back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
     Null and empty texts are the end id alone.  Null ids come first.  Repeated rows are documents of their own, in
-    order of length, then bytes.  An empty table gives a file without documents and an empty result.  Only doc_id and text are
+    order of length, then of a hash of their frames.  An empty table gives a file without documents and an empty result.  Only doc_id and text are
     read."""
     spark = docs.sparkSession
     target = target or scratch_path(spark, "token-ids")
