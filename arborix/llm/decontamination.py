@@ -2,8 +2,8 @@
 
 A document leaks an item if some window of as many words as the item (the whole document, if it is shorter)
 has a SimHash within the radius of the item's and a weighted Jaccard similarity of five-word shingles of
-at least 0.8, a shingle weighing as often as it occurs.  Windows are looked at only where enough shingles are some item's:
-fewer cannot reach the similarity, so this loses nothing."""
+at least 0.8, a shingle weighing as often as it occurs.  All windows that hold any shingle of an item of their size are
+fingerprinted and looked up; the others are similar to none."""
 
 from __future__ import annotations
 
@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Windows at similarity 0.8 are about 10 bits from their item, give or take 3; the radius leaves out none but freaks.
-RADIUS = 23
+#: Windows of similarity 0.8 differ from their item in about 10 bits, give or take 3 (0.9: 7); with this radius a block needs only its own
+#: value and its 8 neighbours, so that random windows meet 28 % of the items in some block and are 2 in 100,000 within the radius.
+RADIUS = 15
 #: Blocks of a fingerprint; of those within the radius at least one block differs in RADIUS // BLOCKS bits or fewer.
 BLOCKS = 8
+#: Windows that are fingerprinted at a time.
+CHUNK = 4096
 #: Text of the items that tasks hold at a time; a larger benchmark is gone through in several passes.
 PASS_BYTES = 32 << 20
 
@@ -57,21 +60,34 @@ class MultiIndex:
 
     def __init__(self, fingerprints: list[int], radius: int = RADIUS) -> None:
         self.radius, self.all = radius, np.array(fingerprints, np.uint64)
-        near = [sum(1 << b for b in c) for k in range(radius // BLOCKS + 1) for c in combinations(range(8), k)]
-        lists = defaultdict(list)
-        for i, f in enumerate(fingerprints):
-            for block in range(BLOCKS):
-                own = f >> 8 * block & 255
-                for m in near:
-                    lists[block, own ^ m].append(i)
-        self.lists = {k: np.array(v) for k, v in lists.items()}
-
-    def within(self, f: int) -> np.ndarray:
-        met = [self.lists[k] for b in range(BLOCKS) if (k := (b, f >> 8 * b & 255)) in self.lists]
-        if not met:
-            return np.empty(0, np.int64)
-        met = np.unique(np.concatenate(met))
-        return met[np.bitwise_count(self.all[met] ^ np.uint64(f)) <= self.radius]
+        near = np.array([sum(1 << b for b in c) for k in range(radius // BLOCKS + 1) for c in combinations(range(8), k)])
+        self.blocks = []
+        for block in range(BLOCKS):
+            own = (self.all >> np.uint64(8 * block)).astype(np.int64) & 255
+            value = (own[:, None] ^ near[None, :]).reshape(-1)
+            order = np.argsort(value, kind="stable")
+            self.blocks.append((np.searchsorted(value[order], np.arange(257)), order // len(near)))
+
+    def within(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a query's and a fingerprint's place, within the radius, ascending."""
+        found = []
+        for block, (starts, listed) in enumerate(self.blocks):
+            value = (queries >> np.uint64(8 * block)).astype(np.int64) & 255
+            n = starts[value + 1] - starts[value]
+            which = np.repeat(np.arange(len(queries)), n)
+            at = listed[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[value], n)]
+            near = np.bitwise_count(self.all[at] ^ queries[which]) <= self.radius
+            found.append(which[near] * len(self.all) + at[near])
+        return np.divmod(np.unique(np.concatenate(found)), max(1, len(self.all)))
+
+
+def window_fingerprints(hashes: np.ndarray, at: np.ndarray, inside: int) -> np.ndarray:
+    """SimHashes of the windows of ``inside`` shingles that start at some ascending places, from running counts of bits."""
+    first = int(at[0])
+    bits = np.unpackbits(hashes[first:int(at[-1]) + inside].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    upto = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
+    ones = upto[at - first + inside] - upto[at - first]
+    return np.packbits(ones * 2 > inside, axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
 def _rolled(h: np.ndarray, width: int) -> np.ndarray:
@@ -115,21 +131,26 @@ class Benchmark:
         if not hits:
             return []
         best: dict[tuple[int, int], tuple] = {}
+        hashed: dict[int, np.ndarray] = {}
         for size, (width, runs, keys, counts, index) in self.groups.items():
             if width not in hits or not _member(hits[width], runs).any():
                 continue
+            if width not in hashed:
+                hashed[width] = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(words, width)], np.uint64)
             span = min(size, len(words))
             inside = span - width + 1
             # with c of the window's shingles in the item, similarity is c / (item's + window's - c) at most
             need = ceil(SIMILARITY / (1 + SIMILARITY) * (size - width + 1 + inside) - 1e-9)
             upto = np.concatenate(([0], np.cumsum(_member(rolled[width], runs))))
-            for at in np.nonzero(upto[inside:] - upto[:-inside] >= max(1, need))[0].tolist():
-                pieces = shingles(words[at:at + span], width)
-                own, weights = simhash(pieces), Counter(pieces)
-                for i in index.within(own).tolist():
-                    value = similarity(weights, counts[i])
+            shared = upto[inside:] - upto[:-inside]
+            windows = np.nonzero(shared)[0]
+            for chunk in np.split(windows, np.nonzero(np.diff(windows // CHUNK))[0] + 1):
+                own = window_fingerprints(hashed[width], chunk, inside) if len(chunk) else np.empty(0, np.uint64)
+                for q, i in zip(*(x.tolist() for x in index.within(own)), strict=True):
+                    at = int(chunk[q])
+                    value = similarity(Counter(shingles(words[at:at + span], width)), counts[i]) if shared[at] >= need else 0.0
                     if value >= SIMILARITY and value > best.get((size, i), (0,))[0]:
-                        best[size, i] = (value, at, span, int(own ^ int(index.all[i])).bit_count())
+                        best[size, i] = (value, at, span, int(own[q] ^ index.all[i]).bit_count())
         return [(self.groups[size][2][i], at, span, bits, value) for (size, i), (value, at, span, bits) in best.items()]
 
 
@@ -153,10 +174,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, pass_byte
     out = None
     for p in range(passes):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).collect()
-        held = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part])  # about pass_bytes
+        held = spark.sparkContext.broadcast(Benchmark([(r["item_id"], r["text"]) for r in part], radius))  # of about pass_bytes of text
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(held.value, radius)
+            bench = held.value
             for batch in batches:
                 found = [(doc.as_py(), *leak) for doc, text in zip(batch.column(0), batch.column(1), strict=True) for leak in bench.leaks(text.as_py())]
                 columns = list(zip(*found, strict=True)) or [[]] * 6

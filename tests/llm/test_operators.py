@@ -278,8 +278,35 @@ def test_multi_index_is_complete():
     rng = np.random.default_rng(1)
     f = [int(x) for x in rng.integers(0, 1 << 63, 300)]
     index = decontamination.MultiIndex(f)
-    for q in [x ^ int(rng.integers(0, 1 << 20)) for x in f[:50]]:
-        assert index.within(q).tolist() == [i for i, x in enumerate(f) if (x ^ q).bit_count() <= decontamination.RADIUS]
+    q = [x ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 24)), replace=False)) for x in f[:100]]
+    got = list(zip(*(x.tolist() for x in index.within(np.array(q, np.uint64))), strict=True))
+    assert got == [(a, i) for a, y in enumerate(q) for i, x in enumerate(f) if (x ^ y).bit_count() <= decontamination.RADIUS]
+
+
+def test_windows_have_their_simhash():
+    rng = np.random.default_rng(9)
+    pieces = [str(x).encode() for x in rng.integers(0, 50, 200)]
+    h = np.array([xxhash.xxh64_intdigest(x, 42) for x in pieces], np.uint64)
+    at = np.array([3, 4, 9, 150])
+    assert decontamination.window_fingerprints(h, at, 40).tolist() == [decontamination.simhash(pieces[a:a + 40]) for a in at]
+
+
+def test_most_similar_windows_are_within_the_radius():
+    """Items of 60 to 200 words with words replaced until the similarity is just 0.8 or more."""
+    rng = np.random.default_rng(10)
+    near, n = 0, 300
+    for _ in range(n):
+        w = [f"w{x}".encode() for x in rng.integers(0, 3000, int(rng.integers(60, 200)))]
+        item, now = Counter(decontamination.shingles(w)), list(w)
+        while True:
+            more = list(now)
+            more[int(rng.integers(0, len(w)))] = b"other"
+            if decontamination.similarity(Counter(decontamination.shingles(more)), item) < 0.8:
+                break
+            now = more
+        near += (decontamination.simhash(decontamination.shingles(now)) ^ decontamination.simhash(decontamination.shingles(w))).bit_count() <= decontamination.RADIUS
+    assert near / n > 0.9
+    print("within the radius", near, n)
 
 
 # -- sharding
@@ -333,10 +360,21 @@ def test_short_document_access(spark, docs, tmp_path):
     raw = bytes(spark.read.parquet(f"{target}/dictionary").first()["dictionary"])
     files = [bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{target}/ids").collect()]
     row = docs.orderBy("doc_id").first()
-    found = [tokens.read_document(f, row.doc_id, raw) for f in files if row.doc_id in tokens.read_index(f)[2]["doc"]]
+    found = [tokens.read_document(f, row.doc_id, raw) for f in files if row.doc_id in tokens.read_index(f)[3]["doc"]]
     assert found[0].tolist() == Tokenizer.from_file(path).encode(row.text, add_special_tokens=False).ids + [1]
 
 
+def test_files_are_read_in_order_of_their_numbers(spark, edges, monkeypatch):
+    """Many small files; rows of one id, nulls too, may lie in several of them."""
+    import public_tokenizers
+
+    monkeypatch.setattr(tokens, "FILE_BYTES", 64)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = sorted(tokens.token_files(edges.unionByName(edges), path).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == list(np.cumsum([0, *[r.n_tokens for r in got]])[:-1])
+    assert [r.doc_id for r in got] == [i for i, _ in sorted(rows_of(edges) * 2, key=lambda x: (x[0] is not None, x[0] or 0))]
+
+
 # -- classifier
 
 
