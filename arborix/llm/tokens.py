@@ -41,7 +41,7 @@ KEPT_WORDS, SLICE = 100_000, 256
 
 
 # Fixed values of the tokenizer file that has the short way: its normalizers, and the pattern that it cuts text by.
-NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # The same pattern for characters up to U+017F, where normal form C changes nothing and letter case depends on no neighbour.
 LETTER, NUMBER, SPACE = "a-zA-Zªµºß-öø-\u017fÀ-ÖØ-Þ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
@@ -70,7 +70,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        self.known = ([n["type"] for n in (made.get("normalizer") or {}).get("normalizers", [])] == NORMALIZERS
+        self.known = ((made.get("normalizer") or {}).get("normalizers") == NORMALIZERS
                       and steps[0].get("pattern") == {"Regex": PATTERN} and steps[0].get("invert") is True and steps[0].get("behavior") == "Removed"
                       and [x["type"] for x in steps[1:]] == ["ByteLevel"] and made.get("post_processor") is None)
         self.pieces = _Pieces(self.tokenizer.model, dtype)

@@ -1,9 +1,10 @@
 """Legacy archive converter: ARC files (versions 1 and 2) become WARC files.
 
 ARC: a version block, then records of one header line whose last field is the declared length, and that many bytes.
-Version 1 lines have five fields, version 2 lines ten.  Each becomes a WARC response, or a revisit of the response
-with the same payload.  Both kinds of files are written by Spark's own text writer, whose line separator is
-just the separator that the format asks for after a record."""
+Version 1 lines have five fields, version 2 lines ten.  HTTP messages become WARC responses, all else resources, and either a revisit
+of the record with the same payload.  What is no record of its version becomes a row of rejects.  A task hands
+on one row a file, of a bounded number of bytes, and Spark's text writer writes each to a file of its own.  Each WARC record is a gzip
+member, and so is the writer's line separator, an empty one."""
 
 from __future__ import annotations
 
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path, small, stored
 
-#: Records of a file, its version block included: what a reading task holds at once.
-FILE_RECORDS = 1024
+#: Bytes of a file, about: what a writing or reading task holds at once, unless a single record is larger.
+FILE_BYTES = 16 << 20
 #: Payloads under so many bytes are never revisits.
 LEAST_REVISIT = 1000
 # Fixed values of the formats: the field names of header lines, and the profile of a revisit.
@@ -32,6 +33,9 @@ FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+DATE = re.compile(r"\d{4,14}")
+# An empty gzip member: header without time stamp, empty block, check sum and size 0.
+EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 ID_SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:arborix:arc-record")
 
 
@@ -47,29 +51,73 @@ def arc_record(version: int, url: str, ip: str, date: str, kind: str, body: byte
     return f"{url} {ip} {date} {kind}{extra} {len(body)}\n".encode("utf-8", "surrogatepass") + body
 
 
-def parse_arc(data: bytes) -> Iterator[dict]:
-    """The records of an ARC file; a line's fields are those of the version that the version block declares."""
+def when(date: str) -> datetime | None:
+    """An archive date of 14 digits, or fewer that end with a whole field; None of anything else."""
+    if not DATE.fullmatch(date) or len(date) % 2:
+        return None
+    try:
+        return datetime.strptime(date + "00000101000000"[len(date):], "%Y%m%d%H%M%S")
+    except ValueError:
+        return None
+
+
+def _fields(line: str, version: int) -> list[str] | None:
+    """The fields of a header line, None if it is none of the version."""
+    count = len(FIELDS[version].split())
+    fields = line.rsplit(" ", count - 1)
+    good = len(fields) == count and fields[-1].isdecimal() and fields[-1].isascii() and re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", fields[0])
+    return fields if good else None
+
+
+def parse_arc(data: bytes, rejects: list[tuple[int, str, str]] | None = None) -> Iterator[dict]:
+    """The records of an ARC file; a line's fields are those of the version that the version block declares.
+
+    What isn't a record adds (byte, reason, line) to ``rejects`` (without such a list: an error), and the search goes on at the next
+    line that is a header line.  A record with a date that is none is passed over whole."""
     version, at = 1, 0
+
+    def reject(place: int, reason: str, line: str) -> None:
+        if rejects is None:
+            raise ValueError(f"{reason} at byte {place}: {line[:200]}")
+        rejects.append((place, reason, line[:200]))
+
     while at < len(data):
         if data[at:at + 1] == b"\n":  # the separator
             at += 1
             continue
         end = data.find(b"\n", at)
-        line = data[at:end if end >= 0 else len(data)].decode("utf-8", "replace")
-        first = line.startswith("filedesc://")
-        length = int(line.rsplit(" ", 1)[1])
+        end = end if end >= 0 else len(data)
+        line = data[at:end].decode("utf-8", "replace")
+        first, start = line.startswith("filedesc://"), at
+        tail = line.rsplit(" ", 1)[-1]
+        if first and tail.isdecimal() and tail.isascii():
+            declared = data[end + 1:end + 1 + int(tail)].split(b" ", 1)[0]
+            if declared not in (b"1", b"2"):
+                reject(start, "another version", line)
+                at = end + 1 + int(tail)
+                continue
+            version = int(declared)
+        fields = _fields(line, version)
+        if fields is None:
+            reject(start, f"not a header line of version {version}", line)
+            at = end + 1
+            while at < len(data):  # to the next header line
+                stop = data.find(b"\n", at)
+                stop = stop if stop >= 0 else len(data)
+                found = _fields(data[at:stop].decode("utf-8", "replace"), version) if stop - at < 1 << 16 else None
+                if found and when(found[2]):
+                    break
+                at = stop + 1
+            continue
+        length = int(fields[-1])
         body = data[end + 1:end + 1 + length]
-        if end < 0 or len(body) != length:
-            raise ValueError(f"a record declares {length} bytes where {len(body)} are left: {line[:200]}")
-        if first:
-            version = int(body.split(b" ", 1)[0])
-            if version not in FIELDS:
-                raise ValueError(f"ARC version {version}")
-        fields = line.rsplit(" ", len(FIELDS[version].split()) - 1)
-        if len(fields) != len(FIELDS[version].split()):
-            raise ValueError(f"not a header line of version {version}: {line[:200]}")
-        yield {"version": version, "url": fields[0], "ip": fields[1], "date": fields[2], "kind": fields[3], "first": first, "body": body}
         at = end + 1 + length
+        if len(body) != length:
+            reject(start, f"declares {length} bytes where {len(body)} are left", line)
+        elif when(fields[2]) is None:
+            reject(start, "no date", line)
+        else:
+            yield {"version": version, "url": fields[0], "ip": fields[1], "date": fields[2], "kind": fields[3], "first": first, "body": body}
 
 
 def split_http(body: bytes) -> tuple[bytes, bytes]:
@@ -114,37 +162,61 @@ def _plain(data: bytes) -> bytes:
     return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 
 
+class _Files:
+    """Collects records and hands on files of about ``most`` bytes as batches of one row."""
+
+    def __init__(self, joint: bytes, most: int) -> None:
+        self.joint, self.most, self.parts, self.size, self.count = joint, most, [], 0, 0
+
+    def add(self, record: bytes) -> None:
+        self.parts.append(record)
+        self.size += len(record)
+
+    def full(self, more: int = 0) -> bool:
+        return bool(self.parts) and self.size + more > self.most
+
+    def take(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([self.joint.join(self.parts)], pa.binary())], names=["file"])
+        self.parts, self.size, self.count = [], 0, self.count + 1
+        return out
+
+
+def _write(files: DataFrame, target: str, end: bytes) -> None:
+    """Each row to a file of its own, followed by ``end``."""
+    (files.select(F.col("file").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1"))
+     .option("maxRecordsPerFile", 1).text(target))
+
+
 def _batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], names=[n for n, _ in schema])
 
 
-def write_arc(pages: DataFrame, target: str) -> None:
+def write_arc(pages: DataFrame, target: str, file_bytes: int = FILE_BYTES) -> None:
     """Legacy input from a table of pages (page_id, url, html): HTTP responses in ARC files, versions 1 and 2
-    by turns.  A null html is an empty payload; a url that is null or blank becomes urn:page:<id>, and white space
+    by turns.  A null html is an empty payload; a url that is null or has no scheme becomes urn:page:<id>, and white space
     and control characters in one are percent-encoded, as a header line has blanks between its fields."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, count = TaskContext.get().partitionId(), 0
+        part, files = TaskContext.get().partitionId(), _Files(b"\n", file_bytes)
         for batch in batches:
-            out = []
             for page, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 date = datetime.fromtimestamp(946684800 + (page or 0) % 631152000, timezone.utc).strftime("%Y%m%d%H%M%S")
-                version = 1 + (part + count // FILE_RECORDS) % 2
-                if count % FILE_RECORDS == 0:  # where the writer starts a file
-                    out.append(version_block(version, f"pages-{part}-{count // FILE_RECORDS}.arc", date))
-                    count += 1
-                name = quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url and url.strip() else f"urn:page:{page}"
                 body = html or b""
+                if files.full(len(body)):
+                    yield files.take()
+                version = 1 + (part + files.count) % 2
+                if not files.parts:
+                    files.add(version_block(version, f"pages-{part}-{files.count}.arc", date))
+                name = quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url and re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", url) else f"urn:page:{page}"
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-Page-Id: {'' if page is None else page}\r\nContent-Length: {len(body)}\r\n\r\n"
-                out.append(arc_record(version, name, "0.0.0.0", date, "text/html", head.encode() + body))
-                count += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                files.add(arc_record(version, name, "0.0.0.0", date, "text/html", head.encode() + body))
+        if files.parts:
+            yield files.take()
 
-    (pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string").cast("binary"))
-     .mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-     .write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(target))
+    rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string").cast("binary"))
+    _write(rows.mapInArrow(run, "file binary"), target, b"\n")
 
 
 def _files(spark: SparkSession, target: str) -> DataFrame:
@@ -152,7 +224,7 @@ def _files(spark: SparkSession, target: str) -> DataFrame:
 
 
 KEYS = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("digest", pa.string())]
-WHOLE = [("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), *KEYS, ("head", pa.binary()), ("payload", pa.binary())]
+WHOLE = [("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("kind", pa.string()), *KEYS, ("head", pa.binary()), ("payload", pa.binary())]
 
 
 def read_arc(spark: SparkSession, target: str, whole: bool) -> DataFrame:
@@ -163,13 +235,13 @@ def read_arc(spark: SparkSession, target: str, whole: bool) -> DataFrame:
         for batch in batches:
             for content in batch.column(1):
                 rows = []
-                for r in parse_arc(_plain(content.as_buffer().to_pybytes())):
+                for r in parse_arc(_plain(content.as_buffer().to_pybytes()), []):
                     if r["first"]:
                         continue
                     head, payload = split_http(r["body"])
                     page = _header(head, "X-Page-Id")
                     keys = (int(page) if page else None, len(payload), hashlib.sha1(payload).hexdigest())
-                    rows.append((r["url"], r["ip"], r["date"], *keys, head, payload) if whole else keys)
+                    rows.append((r["url"], r["ip"], r["date"], r["kind"], *keys, head, payload) if whole else keys)
                     if len(rows) == 256:
                         yield _batch(rows, schema)
                         rows = []
@@ -179,8 +251,21 @@ def read_arc(spark: SparkSession, target: str, whole: bool) -> DataFrame:
     return _files(spark, target).mapInArrow(run, ", ".join(f"{n} {kinds[t]}" for n, t in schema))
 
 
-def convert(spark: SparkSession, arc: str, target: str, least: int = LEAST_REVISIT) -> None:
-    """ARC files to WARC files.  Of records with equal payloads of ``least`` bytes or more, that of the largest
+def rejected(spark: SparkSession, target: str) -> DataFrame:
+    """What isn't a record in ARC files: file, byte, reason, line (its first 200 characters)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows: list = []
+                for _ in parse_arc(_plain(content.as_buffer().to_pybytes()), rows):
+                    pass
+                yield _batch([(path, *r) for r in rows], [("file", pa.string()), ("byte", pa.int64()), ("reason", pa.string()), ("line", pa.string())])
+
+    return _files(spark, target).mapInArrow(run, "file string, byte bigint, reason string, line string")
+
+
+def convert(spark: SparkSession, arc: str, target: str, least: int = LEAST_REVISIT, file_bytes: int = FILE_BYTES) -> None:
+    """ARC files to WARC files; what isn't a record is left out, ``rejected`` lists it.  Of records with equal payloads of ``least`` bytes or more, that of the largest
     page_id is the response and the others revisit it (of several such records, equal ones, all are responses);
     a record without page_id ranks below all with one."""
     keys = stored(read_arc(spark, arc, whole=False), "warc-keys")
@@ -195,33 +280,40 @@ def convert(spark: SparkSession, arc: str, target: str, least: int = LEAST_REVIS
     rows = rows.join(small(kept) if same.take(1) else F.broadcast(kept), (F.col("digest") == F.col("_d")) & (F.col("payload_bytes") == F.col("_b")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        info = "software: arborix ARC converter\r\nformat: WARC File Format 1.0\r\n".encode()
+        info, files = b"software: arborix ARC converter\r\nformat: WARC File Format 1.0\r\n", _Files(b"", file_bytes)
+
+        def member(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
+            return gzip.compress(warc_record(kind, fields, block) + b"\r\n\r\n", 6, mtime=0)
+
         for batch in batches:
-            out = []
             for r in batch.to_pylist():
-                when = datetime.strptime(r["date"], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
-                if not out:
-                    out.append(warc_record("warcinfo", [("WARC-Record-ID", f"<{record_id(None, 'warcinfo', r['date'], r['digest'])}>"),
-                                                        ("WARC-Date", when), ("Content-Type", "application/warc-fields")], info))
+                day = when(r["date"]).strftime("%Y-%m-%dT%H:%M:%SZ")
                 to = r["to"] if r["to"] and r["to"]["page_id"] != r["page_id"] else None
                 block = r["head"] if to else r["head"] + r["payload"]
-                fields = [("WARC-Record-ID", f"<{record_id(r['page_id'], r['url'], r['date'], r['digest'])}>"), ("WARC-Date", when),
+                http = bool(r["head"])
+                fields = [("WARC-Record-ID", f"<{record_id(r['page_id'], r['url'], r['date'], r['digest'])}>"), ("WARC-Date", day),
                           ("WARC-Target-URI", r["url"]), ("WARC-IP-Address", r["ip"]),
                           ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(r["digest"])).decode()), ("WARC-Block-Digest", _sha1(block)),
-                          ("Content-Type", "application/http; msgtype=response")]
+                          ("Content-Type", "application/http; msgtype=response" if http else r["kind"])]
                 if to:
                     fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{record_id(to['page_id'], to['url'], to['date'], r['digest'])}>"),
                                ("WARC-Refers-To-Target-URI", to["url"])]
-                out.append(warc_record("revisit" if to else "response", fields, block))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                record = member("revisit" if to else "response" if http else "resource", fields, block)
+                if files.full(len(record)):
+                    yield files.take()
+                if not files.parts:
+                    about = [("WARC-Record-ID", f"<{record_id(None, 'warcinfo', r['date'], r['digest'])}>"), ("WARC-Date", day), ("Content-Type", "application/warc-fields")]
+                    files.add(member("warcinfo", about, info))
+                files.add(record)
+        if files.parts:
+            yield files.take()
 
-    (rows.select("url", "ip", "date", "page_id", "digest", "head", "payload", "to").mapInArrow(run, "record binary")
-     .select(F.col("record").cast("string").alias("value"))
-     .write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(target))
+    rows = rows.select("url", "ip", "date", "kind", "page_id", "digest", "head", "payload", "to")
+    _write(rows.mapInArrow(run, "file binary"), target, EMPTY_MEMBER)
 
 
 def read_warc(spark: SparkSession, target: str) -> DataFrame:
-    """The response and revisit records of WARC files, digests checked: record_id, record_type, page_id, payload_bytes
+    """The response, resource and revisit records of WARC files, digests checked: record_id, record_type, page_id, payload_bytes
     (of a revisit: what its HTTP header declares), payload_digest (hexadecimal), refers_to_id."""
     schema = [("record_id", pa.string()), ("record_type", pa.string()), *KEYS[:2], ("payload_digest", pa.string()), ("refers_to_id", pa.string())]
 
@@ -231,14 +323,14 @@ def read_warc(spark: SparkSession, target: str) -> DataFrame:
                 rows = []
                 for fields, block in parse_warc(_plain(content.as_buffer().to_pybytes())):
                     kind = fields["warc-type"]
-                    if kind not in ("response", "revisit"):
+                    if kind not in ("response", "resource", "revisit"):
                         continue
                     head, payload = split_http(block)
                     digest = base64.b32decode(fields["warc-payload-digest"].partition(":")[2]).hex()
-                    if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
+                    if kind != "revisit" and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"{fields['warc-record-id']}: its payload has another digest")
                     page = _header(head, "X-Page-Id")
-                    size = len(payload) if kind == "response" else int(_header(head, "Content-Length") or 0)
+                    size = len(payload) if kind != "revisit" else int(_header(head, "Content-Length") or 0)
                     to = fields.get("warc-refers-to")
                     rows.append((fields["warc-record-id"].strip("<>"), kind, int(page) if page else None, size, digest, to.strip("<>") if to else None))
                 yield _batch(rows, schema)
@@ -247,7 +339,7 @@ def read_warc(spark: SparkSession, target: str) -> DataFrame:
         run, "record_id string, record_type string, page_id bigint, payload_bytes bigint, payload_digest string, refers_to_id string")
 
 
-def pages_through_warc(pages: DataFrame, target: str | None = None, least: int = LEAST_REVISIT) -> DataFrame:
+def pages_through_warc(pages: DataFrame, target: str | None = None, least: int = LEAST_REVISIT, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Pages to ARC, ARC to WARC, and what the WARC files hold: page_id, payload_bytes, payload_digest, record_type,
     refers_to (page_id of the response that a revisit names).
 
@@ -256,10 +348,10 @@ def pages_through_warc(pages: DataFrame, target: str | None = None, least: int =
     response.  Empty tables give empty archives and results.  Only page_id, url and html are read."""
     spark: SparkSession = pages.sparkSession
     target = target or scratch_path(spark, "archives")
-    write_arc(pages, f"{target}/arc")
-    convert(spark, f"{target}/arc", f"{target}/warc", least)
+    write_arc(pages, f"{target}/arc", file_bytes)
+    convert(spark, f"{target}/arc", f"{target}/warc", least, file_bytes)
     rows = stored(read_warc(spark, f"{target}/warc"), "warc-read")
-    responses = rows.filter(F.col("record_type") == "response")
+    responses = rows.filter(F.col("record_type") != "revisit")
     named: Column = F.col("refers_to_id") == F.col("_id")
     revisits = rows.filter(F.col("record_type") == "revisit")
     to = (responses.join(revisits.select(F.col("refers_to_id").alias("record_id")).distinct(), "record_id", "left_semi")

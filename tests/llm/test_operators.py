@@ -137,6 +137,43 @@ def test_header_lines():
         list(warc.parse_arc(one[:-4]))
 
 
+def test_archives_with_rejects(spark, tmp_path):
+    """Broken lines, lengths and dates are listed, the rest is converted; HTTP messages are responses, other bodies resources."""
+    http = b"HTTP/1.1 200 OK\r\nX-Page-Id: 7\r\nContent-Length: 5\r\n\r\nhello"
+    parts = [warc.version_block(1, "a.arc", "20000101000000"), warc.arc_record(1, "http://a", "1.2.3.4", "20010203040506", "text/html", http), b"no header line at all\nnor here",
+             warc.arc_record(1, "dns:example.org", "1.2.3.4", "200102030405", "text/dns", b"1.2.3.4"), warc.arc_record(1, "http://b", "1.2.3.4", "2001xx", "text/html", http),
+             warc.arc_record(1, "http://c", "1.2.3.4", "20019903040506", "text/html", http), warc.arc_record(1, "ftp://d/e", "1.2.3.4", "20010203040506", "text/plain", b"body"),
+             b"http://e 1.2.3.4 20010203040506 text/html 999\nshort"]
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "part-0.arc").write_bytes(b"\n".join(parts) + b"\n")
+    arc, target = f"file://{tmp_path}/arc", f"file://{tmp_path}/warc"
+    assert [r.reason for r in sorted(warc.rejected(spark, arc).collect(), key=lambda r: r.byte)] == [
+        "not a header line of version 1", "no date", "no date", "declares 999 bytes where 6 are left"]
+    warc.convert(spark, arc, target)
+    got = sorted((r.record_type, r.page_id, r.payload_bytes) for r in warc.read_warc(spark, target).collect())
+    assert got == [("resource", None, 4), ("resource", None, 7), ("response", 7, 5)]
+
+
+def test_warc_records_are_members(spark, tmp_path):
+    """Files are bounded in bytes and begin with their warcinfo; every record is a gzip member of its own."""
+    rng = np.random.default_rng(1)
+    rows = [(i, f"http://u/{i}", "".join(rng.choice(list("abcdef"), 1200))) for i in range(40)] + [(99, "http://big", "".join(rng.choice(list("abcdef"), 40000)))]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
+    assert warc.pages_through_warc(pages, f"file://{tmp_path}", 1000, 5000).count() == 41
+    files, sizes = sorted((tmp_path / "warc").glob("part-*")), []
+    for f in files:
+        data, kinds = f.read_bytes(), []
+        sizes.append(len(data))
+        while data:
+            one = zlib.decompressobj(31)
+            whole = one.decompress(data)
+            data = one.unused_data
+            kinds += [next(warc.parse_warc(whole))[0]["warc-type"]] if whole else []
+            assert whole.count(b"WARC/1.0\r\n") <= 1
+        assert kinds[0] == "warcinfo" and set(kinds[1:]) == {"response"}
+    assert len(files) > 5 and sorted(sizes)[-2] < 6000
+
+
 # -- mixing
 
 
