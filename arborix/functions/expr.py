@@ -43,13 +43,15 @@ def finite(x: Column) -> Column:
 
 
 def bin_right(x: Column, low: Column, step: Column, bins: int) -> Column:
-    """Number of the right-closed bin of x; what lies at or below the lowest edge is in bin 0."""
-    return F.least(F.greatest(F.ceil((x - low) / step) - 1, F.lit(0)), F.lit(bins - 1)).cast("int")
+    """Number of the right-closed bin of x; what lies at or below the lowest edge is in bin 0, and so is all if the bins have no width."""
+    at = F.ceil(F.coalesce(F.try_divide(x - low, step), F.lit(0.0))) - 1
+    return F.when(x.isNotNull(), F.least(F.greatest(at, F.lit(0)), F.lit(bins - 1))).cast("int")
 
 
 def bin_left(x: Column, low: Column, step: Column, bins: int) -> Column:
-    """Number of the left-closed bin of x, the last one closed on both sides."""
-    return F.least(F.floor((x - low) / step), F.lit(bins - 1)).cast("int")
+    """Number of the left-closed bin of x, the last one closed on both sides; 0 if the bins have no width."""
+    at = F.floor(F.coalesce(F.try_divide(x - low, step), F.lit(0.0)))
+    return F.when(x.isNotNull(), F.least(at, F.lit(bins - 1))).cast("int")
 
 
 def most_of(columns: list[str]) -> Column:

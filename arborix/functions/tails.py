@@ -1,8 +1,79 @@
-"""Upper tail probabilities of one number, on the driver: continued fractions for the incomplete gamma and beta."""
+"""Upper tail probabilities: of columns, by Simpson sums over the densities, and of one number, by continued fractions for the
+incomplete gamma and beta (which the tests hold the columns against)."""
 
 from __future__ import annotations
 
 import math
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Steps of a sum.
+STEPS = 2000
+
+
+def _sum(density, low: Column, high: Column) -> Column:
+    at = lambda i: low + (high - low) * i / F.lit(float(STEPS))
+    weight = lambda i: F.when((i == 0) | (i == STEPS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+    every = F.aggregate(F.sequence(F.lit(0), F.lit(STEPS)), F.lit(0.0), lambda acc, i: acc + weight(i) * density(at(i)))
+    return every * (high - low)
+
+
+def p_chi2(x: Column, df: Column) -> Column:
+    """P(chi-square of df degrees > x); in u = sqrt(x / 2) the density is u^(df - 1) exp(-u^2)."""
+    density = lambda u: F.pow(u, df - 1) * F.exp(-u * u)
+    top = F.lit(8.0) + F.sqrt(df.cast("double"))
+    low = F.least(F.sqrt(F.greatest(x, F.lit(0.0)) / 2), top)
+    return F.try_divide(_sum(density, low, top), _sum(density, F.lit(0.0), top))
+
+
+def p_f(f: Column, d1: Column, d2: Column) -> Column:
+    """P(F of d1 and d2 degrees > f); in w = atan(sqrt(d1 f / d2)) the density is cos(w)^(d2 - 1) sin(w)^(d1 - 1)."""
+    density = lambda w: F.pow(F.abs(F.cos(w)), d2 - 1) * F.pow(F.abs(F.sin(w)), d1 - 1)
+    top = F.least(F.lit(math.pi / 2), (F.lit(12.0) + 2 * F.sqrt(d1.cast("double"))) / F.sqrt(d2.cast("double")))
+    low = F.least(F.atan(F.sqrt(F.try_divide(d1 * F.greatest(f, F.lit(0.0)), d2))), top)
+    return F.when(d2 > 0, F.try_divide(_sum(density, low, top), _sum(density, F.lit(0.0), top)))
+
+
+def p_t(t: Column, df: Column) -> Column:
+    """Two-sided."""
+    return p_f(t * t, F.lit(1), df)
+
+
+def p_z(z: Column) -> Column:
+    """Two-sided."""
+    return p_chi2(z * z, F.lit(1))
+
+
+def _sql_sum(density: str, low: str, high: str) -> str:
+    u = f"(({low}) + (({high}) - ({low})) * i / {STEPS}.0)"
+    return f"((({high}) - ({low})) * (SELECT sum(CASE WHEN i = 0 OR i = {STEPS} THEN 1.0::DOUBLE WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END * {density.replace('@', u)}) FROM range({STEPS + 1}) AS s(i)))"
+
+
+def sql_chi2(x: str, df: str) -> str:
+    density, top = f"power(@, ({df}) - 1) * exp(-@ * @)", f"8.0 + sqrt({df})"
+    return f"{_sql_sum(density, f'least(sqrt(greatest({x}, 0) / 2), {top})', top)} / {_sql_sum(density, '0.0::DOUBLE', top)}"
+
+
+def sql_f(f: str, d1: str, d2: str) -> str:
+    density, top = f"power(abs(cos(@)), ({d2}) - 1) * power(abs(sin(@)), ({d1}) - 1)", f"least(pi() / 2, (12.0 + 2 * sqrt({d1})) / sqrt({d2}))"
+    return f"{_sql_sum(density, f'least(atan(sqrt(({d1}) * greatest({f}, 0) / ({d2}))), {top})', top)} / {_sql_sum(density, '0.0::DOUBLE', top)}"
+
+
+def sql_t(t: str, df: str) -> str:
+    return sql_f(f"({t}) * ({t})", "1", df)
+
+
+def sql_z(z: str) -> str:
+    return sql_chi2(f"({z}) * ({z})", "1")
+
+
+def sql_with(sql: str, **added: str) -> str:
+    """A statement (common tables, then SELECT) with further columns, worked out from its own as r."""
+    at = max((m.start(1) for m in re.finditer(r"\)\s+(SELECT )", sql)), default=0)
+    more = ", ".join(f"round({x}, 6) AS {n}" for n, x in added.items())
+    return f"{sql[:at].rstrip()}{',' if at else ''} r AS ({sql[at:]}) SELECT r.*, {more} FROM r"
 
 
 def _fraction(term, tiny: float = 1e-300, most: int = 500) -> float:

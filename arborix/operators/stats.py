@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-c = F.col
+c, div = F.col, F.try_divide  # null, not an error, where all values are equal or too few
 
 
 def tied_ranks(rows: DataFrame, value: str, group: list[str] | None = None) -> DataFrame:
@@ -29,23 +29,23 @@ def moments(rows: DataFrame, group: str, value: str) -> DataFrame:
 def anova(m: DataFrame) -> DataFrame:
     """F, degrees of freedom, sums of squares, eta2 and omega2 from group moments.  omega2 has the denominator total
     plus within, as the analyses that it stands for have."""
-    g = m.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), (F.sum(c("n") * c("mean")) / F.sum("n")).alias("grand"),
+    g = m.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), div(F.sum(c("n") * c("mean")), F.sum("n")).alias("grand"),
               F.sum((c("n") - 1) * c("var")).alias("ss_within"), F.sum(c("n") * c("mean") * c("mean")).alias("q"))
     g = g.withColumn("ss_between", c("q") - c("n") * c("grand") * c("grand"))
-    ms = c("ss_within") / (c("n") - c("k"))
-    return g.select((c("ss_between") / (c("k") - 1) / ms).alias("f"), (c("k") - 1).alias("df1"), (c("n") - c("k")).alias("df2"), "ss_between", "ss_within",
-                    (c("ss_between") / (c("ss_between") + c("ss_within"))).alias("eta2"),
-                    ((c("ss_between") - (c("k") - 1) * ms) / (c("ss_between") + 2 * c("ss_within"))).alias("omega2"))
+    ms = div(c("ss_within"), c("n") - c("k"))
+    return g.select(div(div(c("ss_between"), c("k") - 1), ms).alias("f"), (c("k") - 1).alias("df1"), (c("n") - c("k")).alias("df2"), "ss_between", "ss_within",
+                    div(c("ss_between"), c("ss_between") + c("ss_within")).alias("eta2"),
+                    div(c("ss_between") - (c("k") - 1) * ms, c("ss_between") + 2 * c("ss_within")).alias("omega2"))
 
 
 def welch_anova(m: DataFrame) -> DataFrame:
-    w = m.withColumn("w", c("n") / c("var"))
+    w = m.withColumn("w", div(c("n"), c("var")))  # null where all values are equal: no test then
     tot = Window.partitionBy()
     w = w.withColumn("sw", F.sum("w").over(tot)).withColumn("k", F.count(F.lit(1)).over(tot)).withColumn("gm", F.sum(c("w") * c("mean")).over(tot) / c("sw"))
     a = w.agg(F.max("k").alias("k"), F.sum(c("w") * (c("mean") - c("gm")) * (c("mean") - c("gm"))).alias("a"),
-              F.sum((1 - c("w") / c("sw")) * (1 - c("w") / c("sw")) / (c("n") - 1)).alias("h"))
+              F.sum(div((1 - div(c("w"), c("sw"))) * (1 - div(c("w"), c("sw"))), c("n") - 1)).alias("h"))
     k = c("k")
-    return a.select((c("a") / (k - 1) / (1 + 2 * (k - 2) * c("h") / (k * k - 1))).alias("f"), (k - 1).alias("df1"), ((k * k - 1) / (3 * c("h"))).alias("df2"))
+    return a.select(div(div(c("a"), k - 1), 1 + div(2 * (k - 2) * c("h"), k * k - 1)).alias("f"), (k - 1).alias("df1"), div(k * k - 1, 3 * c("h")).alias("df2"))
 
 
 def rank_sums(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -59,8 +59,8 @@ def rank_sums(rows: DataFrame, group: str, value: str) -> DataFrame:
 def kruskal(r: DataFrame) -> DataFrame:
     g = r.agg(F.sum(c("r") * c("r") / c("n")).alias("q"), F.max("total").alias("n"), F.count(F.lit(1)).alias("k"), F.max("ties").alias("ties"))
     n = c("n")
-    h = (12 / (n * (n + 1)) * c("q") - 3 * (n + 1)) / (1 - c("ties") / (n.cast("double") * n * n - n))
-    return g.select(h.alias("h"), (c("k") - 1).alias("df"), ((h - c("k") + 1) / (n - c("k"))).alias("eta2"))
+    h = div(12 / (n * (n + 1)) * c("q") - 3 * (n + 1), 1 - div(c("ties"), n.cast("double") * n * n - n))
+    return g.select(h.alias("h"), (c("k") - 1).alias("df"), div(h - c("k") + 1, n - c("k")).alias("eta2"))
 
 
 def pairs_of(groups: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -3,6 +3,8 @@
 import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from arborix.functions import expr, tails
@@ -202,3 +204,27 @@ def test_base_nodes_against_walk(spark, small):
         want[r.contact] = way[at]
     assert want and stepped
     assert {r.contact: r.base for r in QUERIES["t19_base_nodes"](spark, small).collect()} == want
+
+
+def test_tails_of_columns(spark):
+    """The sums over the densities against the continued fractions."""
+
+    rows = [(x, float(d1), float(d2)) for x in (0.0, 0.01, 0.7, 1.0, 2.5, 9.0, 60.0) for d1 in (1, 2, 4, 9) for d2 in (1, 5.5, 40, 600, 50000)]
+    df = spark.createDataFrame(rows, "x double, d1 double, d2 double")
+    c = F.col
+    for r in df.select("*", tails.p_chi2(c("x"), c("d1")).alias("chi"), tails.p_f(c("x"), c("d1"), c("d2")).alias("f"), tails.p_t(c("x"), c("d2")).alias("t"), tails.p_z(c("x")).alias("z")).collect():
+        want = (tails.chi2(r.x, r.d1), tails.f(r.x, r.d1, r.d2), tails.t_two_sided(r.x, r.d2), tails.normal_two_sided(r.x))
+        assert all(abs(a - b) < 2e-7 for a, b in zip((r.chi, r.f, r.t, r.z), want, strict=True)), (r, want)
+
+
+@pytest.mark.parametrize("rows", [[], [("a", 1.0)], [("a", 1.0), ("a", 1.0)], [("a", 1.0), ("b", 1.0)], [("a", 1.0)] * 3 + [("b", 1.0)] * 3, [("a", None), (None, 1.0)]])
+def test_statistics_of_equal_or_few_values(spark, rows):
+    """No error where variances, groups or tables are empty: the statistics are null."""
+
+    df = spark.createDataFrame(rows, "g string, x double")
+    m = stats.moments(df, "g", "x")
+    for test in (stats.anova(m), stats.welch_anova(m), stats.kruskal(stats.rank_sums(df, "g", "x"))):
+        assert [r[0] for r in test.collect()] == [None]
+    low = F.lit(1.0)
+    got = df.select(expr.bin_right(F.col("x"), low, F.lit(0.0), 5).alias("r"), expr.bin_left(F.col("x"), low, F.lit(0.0), 5).alias("l"), "x").collect()
+    assert all((r.r, r.l) == ((0, 0) if r.x is not None else (None, None)) for r in got)
