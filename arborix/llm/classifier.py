@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import give_back, text_or_empty
 
 #: The bound on the training sample: labelled documents of each class, those of the smallest hashes of doc_id.
 SAMPLE = 1500
@@ -172,6 +172,8 @@ def with_scores(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
         sums = _WordSums(np.frombuffer(held.value, np.float64))  # of this task, gone with it
         for texts in batches:
             yield pd.Series([score(sums, bias, t) for t in texts], dtype="float64")
+        del sums
+        give_back()
 
     return docs.select(*columns, scored(text_or_empty()).alias("__score"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from pathlib import Path
@@ -42,6 +43,13 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(archive))
 
 
+def give_back() -> None:
+    """Hands memory that a task has freed back to the system.  Python workers outlive their tasks, and the C library keeps what
+    they free, so without this an executor's memory adds up over the stages of a job."""
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count proves it small; otherwise as it is, for a shuffled join
     whose hot keys AQE splits.  ``df`` should be stored, as it is counted here."""

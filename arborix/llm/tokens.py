@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small, stored, text_or_empty
+from .common import give_back, scratch_path, small, stored, text_or_empty
 
 MAGIC, TAIL = b"ARBTOK02", b"ARBTOKIX"
 ENTRY = np.dtype([("has", "u1"), ("doc", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("ids", "<u4")])
@@ -96,11 +96,6 @@ class _Pieces(dict):
         return ids
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str, dtype: str) -> Encoder:
-    return Encoder(path, dtype)
-
-
 @lru_cache(maxsize=1)
 def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
@@ -120,8 +115,9 @@ def train_dictionary(docs: DataFrame, path: str, dtype: str, sample: int = SAMPL
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").orderBy(*place, F.length("text"), "text").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = Encoder(path, dtype)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([encoder(path, dtype)(t.as_py())[:SAMPLE_BYTES] for t in b.column(0)], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([encode(t.as_py())[:SAMPLE_BYTES] for t in b.column(0)], pa.binary())], names=["ids"])
 
     arrays = [bytes(r["ids"]) for r in rows.select("text").mapInArrow(run, "ids binary").collect()]
     try:
@@ -140,7 +136,7 @@ def write(docs: DataFrame, tokenizer_path: str, target: str) -> None:
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw), write_checksum=False)
-        encode = encoder(tokenizer_path, dtype)
+        encode = Encoder(tokenizer_path, dtype)  # of this task, gone with it
         for whole in batches:
             for at in range(0, len(whole), SLICE):
                 batch = whole.slice(at, SLICE)
@@ -148,6 +144,8 @@ def write(docs: DataFrame, tokenizer_path: str, target: str) -> None:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([len(x) // int(dtype[-1]) for x in ids], pa.int64()), pa.array(map(packer.compress, ids), pa.binary())],
                     names=["doc_id", "n", "frame"])
+        del encode
+        give_back()
 
     made = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     made = stored(made.mapInArrow(frames, "doc_id bigint, n bigint, frame binary"), "token-frames")
