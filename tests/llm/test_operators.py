@@ -567,3 +567,27 @@ def test_fit_takes_each_text_of_an_id_once(spark, monkeypatch):
     assert (zlib.crc32(b"1") & 3) != 2
     classifier.fit(docs, labels, 20)
     assert seen[0].count(1) == 3 and 0 < seen[0].count(0) <= 20
+
+
+def test_shards_are_those_of_plain_hashes(spark):
+    """Scores of every shard from the hashes themselves: the strings in turn seed one another."""
+    def hashed(key, shard):
+        h = 42
+        for part in (b"rendezvous", *([] if key is None else [str(key).encode()]), shard.to_bytes(4, "little")):
+            h = xxhash.xxh64_intdigest(part, h)
+        return ((h >> 11) + 0.5) / (1 << 53)
+
+    weights = [1.0, 2.0, 0.5, 1.0]
+    keys = [None, *range(300)]
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.shard_records(spark.createDataFrame([(k, "") for k in keys], "doc_id bigint, text string"), weights).collect()}
+    for k in keys:
+        score = [w / -np.log(hashed(k, i)) for i, w in enumerate([*weights, weights[-1]])]
+        assert got[k] == (int(np.argmax(score[:4])), int(np.argmax(score)))
+
+
+def test_frames_of_one_phrase_keep_their_own_bytes(spark):
+    """51 shared bytes in frames that differ: only these go, with one batch and with several."""
+    rows = [(1, "vrfgvccvtblyqlfodcajzxiosfpqbswozyczezynrvbkbjmwyahjxoxhdipnarmouogoerkqgxyc"), (2, "bjotamyklgqytlfodcajzxiosfpqbswozyczezynrvbkbjmwyahjxoxhdipnarmogkusiwnjejze")]
+    for batches in (1, 2):
+        got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), batches).collect())
+        assert got == brute_repeats(rows) and {r[2] for r in got} == {0, 51}
