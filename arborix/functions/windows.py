@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(rows: DataFrame, bucket: Column, order: list[Column], out: str, start: int = 0) -> DataFrame:
-    """Adds the place of each row in (bucket, order), from ``start``.  Buckets follow the order; rows are numbered inside
-    each, and the sizes of the buckets before are added."""
-    inside = Window.partitionBy("__b").orderBy(*order)
+def numbered(rows: DataFrame, bucket: Column, order: list[Column], out: str, start: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the place of each row in (bucket, order), from ``start``, among those of the same non-null ``by``.  Buckets follow the
+    order; rows are numbered inside each, and the sizes of the buckets before are added."""
+    inside = Window.partitionBy(*by, "__b").orderBy(*order)
     rows = rows.withColumn("__b", bucket)
-    sizes = rows.groupBy(F.col("__b").alias("__k")).count()
-    ahead = Window.orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("__k", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("__ahead"))
-    return (rows.withColumn("__n", F.row_number().over(inside)).join(sizes, F.col("__b") == F.col("__k"))
-            .withColumn(out, (F.col("__n") + F.col("__ahead") - 1 + start).cast("bigint")).drop("__b", "__k", "__n", "__ahead"))
+    sizes = rows.groupBy(*[F.col(x).alias(f"__by{i}") for i, x in enumerate(by)], F.col("__b").alias("__k")).count()
+    keys = [f"__by{i}" for i in range(len(by))]
+    ahead = Window.partitionBy(*keys).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, "__k", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("__ahead"))
+    same = [F.col("__b") == F.col("__k"), *[F.col(x) == F.col(k) for x, k in zip(by, keys, strict=True)]]
+    return (rows.withColumn("__n", F.row_number().over(inside)).join(sizes, same)
+            .withColumn(out, (F.col("__n") + F.col("__ahead") - 1 + start).cast("bigint")).drop("__b", "__k", "__n", "__ahead", *keys))
 
 
 def rolling_mean(rows: DataFrame, value: str, place: str, width: int, buckets: int) -> DataFrame:

@@ -467,20 +467,35 @@ def w1(v):
     return rolling_mean(x, "y", "place", 50, 256).select("si", r6(c("rolling")).alias("rolling"))
 
 
+#: Places of the widest centred window.
+BAND = 400
+
+
 @query("w2_centred_band", """x AS (SELECT super_class, neuron, si, length_nm, row_number() OVER (PARTITION BY super_class ORDER BY length_nm, neuron) AS i, count(*) OVER (PARTITION BY super_class) AS n FROM nsi WHERE si IS NOT NULL AND super_class IS NOT NULL),
-w AS (SELECT *, greatest(3, least(floor(n/3), 41))::BIGINT AS w FROM x), o AS (SELECT *, w - 1 - (w-1)//2 AS back, (w-1)//2 AS ahead FROM w)
+w AS (SELECT *, greatest(3, least(floor(n/30), 400))::BIGINT AS w FROM x), o AS (SELECT *, w - 1 - (w-1)//2 AS back, (w-1)//2 AS ahead FROM w)
 SELECT a.super_class, a.neuron, round(avg(b.si),6) AS mean, round(stddev_samp(b.si),6) AS sd, round(avg(b.si)-1.96*stddev_samp(b.si)/sqrt(any_value(a.w)),6) AS low, round(avg(b.si)+1.96*stddev_samp(b.si)/sqrt(any_value(a.w)),6) AS high
 FROM o a JOIN o b ON a.super_class=b.super_class AND b.i BETWEEN a.i-a.back AND a.i+a.ahead GROUP BY a.super_class, a.neuron HAVING count(*) = any_value(a.w)""")
 def w2(v):
-    x = v.nsi.filter(c("si").isNotNull() & c("super_class").isNotNull())
-    by = Window.partitionBy("super_class")
-    x = x.withColumn("i", F.row_number().over(by.orderBy("length_nm", "neuron"))).withColumn("n", F.count(lit(1)).over(by))
-    x = x.withColumn("w", F.greatest(lit(3), F.least(F.floor(c("n") / 3), lit(41))).cast("bigint"))
-    ahead = F.floor((c("w") - 1) / 2).cast("bigint")
-    # each row reaches the places whose window holds it, so the join is an aggregation by (class, place)
-    span = x.select("super_class", "si", "n", "w", F.explode(F.sequence(c("i") - ahead, c("i") + (c("w") - 1 - ahead))).alias("place"))
-    g = span.groupBy("super_class", "place").agg(F.avg("si").alias("m"), F.stddev_samp("si").alias("s"), F.count(lit(1)).alias("k"), F.max("w").alias("w"))
-    out = g.filter(c("k") == c("w")).join(x.select("super_class", c("i").alias("place"), "neuron"), ["super_class", "place"])
+    """Mean, deviation and 95 % band of a centred window per class: a thirtieth of its rows, 3 at least and BAND at most."""
+    x = v.nsi.filter(c("si").isNotNull() & c("super_class").isNotNull()).select("super_class", "neuron", "si", "length_nm")
+    n = x.groupBy("super_class").agg(F.count(lit(1)).alias("n"))
+    x = numbered(x, F.floor(F.log2(F.greatest(c("length_nm"), lit(1))) * 64), [c("length_nm"), c("neuron")], "i", 1, ("super_class",))
+    # rows go to the blocks of BAND places that a window over them can start or end in, so a task holds three blocks at most
+    home = F.floor((c("i") - 1) / BAND)
+    dealt = x.withColumn("block", F.explode(F.sequence(home - 1, home + 1)))
+    g = dealt.groupBy("super_class", "block").agg(F.sort_array(F.collect_list(F.struct("i", "si", "neuron"))).alias("all")).join(F.broadcast(n), "super_class")  # a row a class
+    g = g.withColumn("w", F.greatest(lit(3), F.least(F.floor(c("n") / 30), lit(BAND))).cast("int")).withColumn("ahead", F.floor((c("w") - 1) / 2).cast("int"))
+    first, back = F.element_at("all", 1)["i"], c("w") - 1 - c("ahead")
+    whole = lambda e: (F.floor((e["i"] - 1) / BAND) == c("block")) & (e["i"] > back) & (e["i"] + c("ahead") <= c("n"))
+
+    def sums(e):  # differences to the middle row, so that squares stay small
+        part = F.slice("all", (e["i"] - back - first + 1).cast("int"), c("w"))
+        step = lambda a, r: F.struct((a["s"] + r["si"] - e["si"]).alias("s"), (a["q"] + (r["si"] - e["si"]) * (r["si"] - e["si"])).alias("q"))
+        return F.struct(e["neuron"].alias("neuron"), e["si"].alias("si"), F.aggregate(part, F.struct(lit(0.0).alias("s"), lit(0.0).alias("q")), step).alias("sum"))
+
+    out = g.select("super_class", "w", F.explode(F.transform(F.filter("all", whole), sums)).alias("x"))
+    s, q = c("x.sum.s"), c("x.sum.q")
+    out = out.select("super_class", "w", "x.neuron", (c("x.si") + s / c("w")).alias("m"), F.sqrt(F.greatest(lit(0.0), q - s * s / c("w")) / (c("w") - 1)).alias("s"))
     half = 1.96 * c("s") / F.sqrt("w")
     return out.select("super_class", "neuron", r6(c("m")).alias("mean"), r6(c("s")).alias("sd"), r6(c("m") - half).alias("low"), r6(c("m") + half).alias("high"))
 
