@@ -13,6 +13,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from urllib.parse import quote
@@ -25,6 +26,8 @@ from .common import scratch_path, small, stored
 
 #: Bytes of a file, about: what a writing or reading task holds at once, unless a single record is larger.
 FILE_BYTES = 16 << 20
+#: Compressed bytes that are looked at together.
+STEP = 16 << 10
 #: Payloads under so many bytes are never revisits.
 LEAST_REVISIT = 1000
 # Fixed values of the formats: the field names of header lines, and the profile of a revisit.
@@ -159,7 +162,20 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _plain(data: bytes) -> bytes:
-    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    """The bytes of a file, member by member if it is gzipped.  ``gzip.decompress`` copies all that is left with each member."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    view, at, parts, member = memoryview(data), 0, [], None
+    while at < len(view):
+        member = member or zlib.decompressobj(zlib.MAX_WBITS | 16)
+        piece = view[at:at + STEP]
+        parts.append(member.decompress(piece))
+        at += len(piece) - len(member.unused_data)
+        if member.eof:
+            member = None
+    if member:
+        raise EOFError("the last gzip member has no end")
+    return b"".join(parts)
 
 
 class _Files:

@@ -1,5 +1,6 @@
 """Each operator against brute force, on the smallest tables and on rows made to be awkward."""
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -174,6 +175,14 @@ def test_warc_records_are_members(spark, tmp_path):
     assert len(files) > 5 and sorted(sizes)[-2] < 6000
 
 
+def test_gzip_members_are_read_one_by_one():
+    parts = [b"", b"a" * 100_000, bytes(np.random.default_rng(2).integers(0, 256, 50_000, np.uint8)), b"end"]
+    data = b"".join(gzip.compress(x) for x in parts) + warc.EMPTY_MEMBER
+    assert warc._plain(data) == b"".join(parts) and warc._plain(b"plain") == b"plain"
+    with pytest.raises(EOFError):
+        warc._plain(data[:-3])
+
+
 # -- mixing
 
 
