@@ -3,8 +3,8 @@
 ARC: a version block, then records of one header line whose last field is the declared length, and that many bytes.
 Version 1 lines have five fields, version 2 lines ten.  HTTP messages become WARC responses, all else resources, and either a revisit
 of the record with the same payload.  What is no record of its version becomes a row of rejects.  A task hands
-on one row a file, of a bounded number of bytes, and Spark's text writer writes each to a file of its own.  Each WARC record is a gzip
-member, and so is the writer's line separator, an empty one."""
+on one row a file, of a bounded number of bytes, and Spark's text writer writes each to a file of its own.  Each record of either
+format is a gzip member, and so is the writer's line separator, an empty one."""
 
 from __future__ import annotations
 
@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path, small, stored
 
-#: Bytes of a file, about: what a writing or reading task holds at once, unless a single record is larger.
-FILE_BYTES = 16 << 20
+#: Bytes of a file's records before compression, about: what a writing or reading task holds at once, unless a single record is larger.
+FILE_BYTES = 32 << 20
 #: Compressed bytes that are looked at together.
 STEP = 16 << 10
+#: Level of compression.
+LEVEL = 6
 #: Payloads under so many bytes are never revisits.
 LEAST_REVISIT = 1000
 # Fixed values of the formats: the field names of header lines, and the profile of a revisit.
@@ -179,27 +181,27 @@ def _plain(data: bytes) -> bytes:
 
 
 class _Files:
-    """Collects records and hands on files of about ``most`` bytes as batches of one row."""
+    """Collects records, each a gzip member, and hands on files of about ``most`` bytes before compression as batches of one row."""
 
-    def __init__(self, joint: bytes, most: int) -> None:
-        self.joint, self.most, self.parts, self.size, self.count = joint, most, [], 0, 0
+    def __init__(self, most: int) -> None:
+        self.most, self.parts, self.size, self.count = most, [], 0, 0
 
     def add(self, record: bytes) -> None:
-        self.parts.append(record)
+        self.parts.append(gzip.compress(record, LEVEL, mtime=0))
         self.size += len(record)
 
     def full(self, more: int = 0) -> bool:
         return bool(self.parts) and self.size + more > self.most
 
     def take(self) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array([self.joint.join(self.parts)], pa.binary())], names=["file"])
+        out = pa.RecordBatch.from_arrays([pa.array([b"".join(self.parts)], pa.binary())], names=["file"])
         self.parts, self.size, self.count = [], 0, self.count + 1
         return out
 
 
-def _write(files: DataFrame, target: str, end: bytes) -> None:
-    """Each row to a file of its own, followed by ``end``."""
-    (files.select(F.col("file").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1"))
+def _write(files: DataFrame, target: str) -> None:
+    """Each row to a file of its own, followed by an empty member."""
+    (files.select(F.col("file").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
      .option("maxRecordsPerFile", 1).text(target))
 
 
@@ -215,7 +217,7 @@ def write_arc(pages: DataFrame, target: str, file_bytes: int = FILE_BYTES) -> No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, files = TaskContext.get().partitionId(), _Files(b"\n", file_bytes)
+        part, files = TaskContext.get().partitionId(), _Files(file_bytes)
         for batch in batches:
             for page, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 date = datetime.fromtimestamp(946684800 + (page or 0) % 631152000, timezone.utc).strftime("%Y%m%d%H%M%S")
@@ -224,15 +226,15 @@ def write_arc(pages: DataFrame, target: str, file_bytes: int = FILE_BYTES) -> No
                     yield files.take()
                 version = 1 + (part + files.count) % 2
                 if not files.parts:
-                    files.add(version_block(version, f"pages-{part}-{files.count}.arc", date))
+                    files.add(version_block(version, f"pages-{part}-{files.count}.arc.gz", date) + b"\n")
                 name = quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url and re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", url) else f"urn:page:{page}"
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-Page-Id: {'' if page is None else page}\r\nContent-Length: {len(body)}\r\n\r\n"
-                files.add(arc_record(version, name, "0.0.0.0", date, "text/html", head.encode() + body))
+                files.add(arc_record(version, name, "0.0.0.0", date, "text/html", head.encode() + body) + b"\n")
         if files.parts:
             yield files.take()
 
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string").cast("binary"))
-    _write(rows.mapInArrow(run, "file binary"), target, b"\n")
+    _write(rows.mapInArrow(run, "file binary"), target)
 
 
 def _files(spark: SparkSession, target: str) -> DataFrame:
@@ -296,10 +298,10 @@ def convert(spark: SparkSession, arc: str, target: str, least: int = LEAST_REVIS
     rows = rows.join(small(kept) if same.take(1) else F.broadcast(kept), (F.col("digest") == F.col("_d")) & (F.col("payload_bytes") == F.col("_b")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        info, files = b"software: arborix ARC converter\r\nformat: WARC File Format 1.0\r\n", _Files(b"", file_bytes)
+        info, files = b"software: arborix ARC converter\r\nformat: WARC File Format 1.0\r\n", _Files(file_bytes)
 
-        def member(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
-            return gzip.compress(warc_record(kind, fields, block) + b"\r\n\r\n", 6, mtime=0)
+        def record_of(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
+            return warc_record(kind, fields, block) + b"\r\n\r\n"
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -314,18 +316,18 @@ def convert(spark: SparkSession, arc: str, target: str, least: int = LEAST_REVIS
                 if to:
                     fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{record_id(to['page_id'], to['url'], to['date'], r['digest'])}>"),
                                ("WARC-Refers-To-Target-URI", to["url"])]
-                record = member("revisit" if to else "response" if http else "resource", fields, block)
+                record = record_of("revisit" if to else "response" if http else "resource", fields, block)
                 if files.full(len(record)):
                     yield files.take()
                 if not files.parts:
                     about = [("WARC-Record-ID", f"<{record_id(None, 'warcinfo', r['date'], r['digest'])}>"), ("WARC-Date", day), ("Content-Type", "application/warc-fields")]
-                    files.add(member("warcinfo", about, info))
+                    files.add(record_of("warcinfo", about, info))
                 files.add(record)
         if files.parts:
             yield files.take()
 
     rows = rows.select("url", "ip", "date", "kind", "page_id", "digest", "head", "payload", "to")
-    _write(rows.mapInArrow(run, "file binary"), target, EMPTY_MEMBER)
+    _write(rows.mapInArrow(run, "file binary"), target)
 
 
 def read_warc(spark: SparkSession, target: str) -> DataFrame:
