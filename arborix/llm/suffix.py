@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import light, scratch_path, small, stored, text_or_empty
+from .common import light, running_sum, scratch_path, small, stored, text_or_empty
 
 LENGTH, ANCHOR = 50, 24
 SPAN = LENGTH - ANCHOR  # bytes on either side of an anchor that a window over it can reach
@@ -32,7 +32,7 @@ PIECE = 2 << 20
 #: Input bytes to a bucket, and batches to a run.
 BUCKET_BYTES, BATCHES = 16 << 20, 2
 C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
-VARIANT = 40  # a position's bits; above them stands the number of the text among those of one doc_id
+VARIANT = 32  # a position's bits, as a text has under 2 GB; above them stands the number of the text among those of one doc_id
 
 
 def _fold(acc: np.ndarray, x: np.ndarray, c: np.uint64) -> np.ndarray:
@@ -342,10 +342,11 @@ def _resolve(homes: int):
 
 
 def _homed(kind: str, doc: np.ndarray, spot: np.ndarray, homes: int) -> list[tuple]:
-    """Rows of documents and positions by home of the document."""
-    o = np.lexsort((spot, doc, doc % homes))
+    """Rows of documents and positions by home of the text, so that the texts of one doc_id, or of none, spread over all homes."""
+    home = (doc + (spot >> VARIANT)) % homes
+    o = np.lexsort((spot, doc, home))
     doc, spot = doc[o], spot[o]
-    at = np.searchsorted(doc % homes, np.arange(homes + 1))
+    at = np.searchsorted(home[o], np.arange(homes + 1))
     return [(i, kind, b"", b"", b"", _zip(_deltas(doc[at[i]:at[i + 1]])), _zip(_deltas(spot[at[i]:at[i + 1]]))) for i in range(homes) if at[i] < at[i + 1]]
 
 
@@ -401,11 +402,12 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, bucket_bytes: int =
     least = ids.groupBy("md5").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
     least = small(stored(least.select(F.col("md5").alias("_md5"), "least"), "repeat-copies"))
     shared = ids.groupBy("doc").agg(F.count_distinct("md5").alias("n")).filter("n > 1")
-    shared = (ids.join(small(stored(shared.select("doc"), "repeat-shared")), "doc").select("doc", "md5").distinct()
-              .groupBy("doc").agg(F.sort_array(F.collect_set("md5")).alias("all")).select(F.col("doc").alias("_doc"), "all"))
-    shared = small(stored(shared, "repeat-variants"))
-    rows = (texts.join(least, F.col("md5") == F.col("_md5"), "left").join(shared, F.col("doc") == F.col("_doc"), "left")
-            .select("doc", F.coalesce(F.array_position("all", F.col("md5")) - 1, F.lit(0)).cast("int").alias("variant"), "text",
+    shared = ids.join(small(stored(shared.select("doc"), "repeat-shared")), "doc").select("doc", "md5").distinct()
+    shared = shared.withColumns({"part": F.substring("md5", 1, 3), "one": F.lit(1)})
+    shared = running_sum(shared, ["doc"], "part", [F.col("md5")], "one", "variant")
+    shared = small(stored(shared.select(F.col("doc").alias("_doc"), F.col("md5").alias("_text"), "variant"), "repeat-variants"))
+    rows = (texts.join(least, F.col("md5") == F.col("_md5"), "left").join(shared, (F.col("doc") == F.col("_doc")) & (F.col("md5") == F.col("_text")), "left")
+            .select("doc", F.coalesce("variant", F.lit(0)).cast("int").alias("variant"), "text",
                     F.coalesce(F.col("doc") > F.col("least"), F.lit(False)).alias("copy")))
     cuts = ids.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 and size else []
     cuts = [-(1 << 63), *sorted(set(cuts or [])), (1 << 63) - 1]
