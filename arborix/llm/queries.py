@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, classifier, decontamination, lines, mixing, quality, sharding, simhash, suffix, tokens, warc, whitening
+from . import alignment, automata, classifier, decontamination, lines, mixing, quality, sharding, simhash, suffix, tokens, warc, whitening
 from .common import ship
 from .oracles import ORACLES  # noqa: F401
 
@@ -60,6 +60,10 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_automaton_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.remove_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
 
@@ -74,7 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules, op2_arc_to_warc, op3_source_mixing, op4_simhash_neardup,
         op5_benchmark_leaks, op6_rendezvous_sharding, op7_token_files, op8_quality_classifier,
-        op9_line_runs, op10_suffix_repeats, op12_whitened_embeddings,
+        op9_line_runs, op10_suffix_repeats, op11_automaton_spans, op12_whitened_embeddings,
         op13_token_alignment,
     )
 }
