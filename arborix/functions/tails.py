@@ -1,4 +1,4 @@
-"""Upper tail probabilities: of columns, by Simpson sums over the densities, and of one number, by continued fractions for the
+"""Upper tail probabilities: of columns, by Simpson sums over the densities around their peaks, and of one number, by continued fractions for the
 incomplete gamma and beta (which the tests hold the columns against)."""
 
 from __future__ import annotations
@@ -10,7 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Steps of a sum.
-STEPS = 2000
+STEPS = 800
+#: A density's sum goes so many deviations to either side of its peak.
+REACH = 16
+TINY = "1e-300"  # stands for 0 in a logarithm
 
 
 def _sum(density, low: Column, high: Column) -> Column:
@@ -20,20 +23,31 @@ def _sum(density, low: Column, high: Column) -> Column:
     return every * (high - low)
 
 
+def _share(log_density, x: Column, peak: Column, deviation: Column, most: Column | None = None) -> Column:
+    """Share of a density above x.  Its logarithm is taken less that of its peak, so it neither overflows nor vanishes."""
+    low, high = F.greatest(peak - REACH * deviation, F.lit(0.0)), peak + REACH * deviation
+    high = high if most is None else F.least(high, most)
+    density = lambda u: F.exp(log_density(u) - log_density(peak))
+    return F.try_divide(_sum(density, F.least(F.greatest(x, low), high), high), _sum(density, low, high))
+
+
+def _log(x: Column) -> Column:
+    return F.ln(F.greatest(x, F.lit(float(TINY))))
+
+
 def p_chi2(x: Column, df: Column) -> Column:
     """P(chi-square of df degrees > x); in u = sqrt(x / 2) the density is u^(df - 1) exp(-u^2)."""
-    density = lambda u: F.pow(u, df - 1) * F.exp(-u * u)
-    top = F.lit(8.0) + F.sqrt(df.cast("double"))
-    low = F.least(F.sqrt(F.greatest(x, F.lit(0.0)) / 2), top)
-    return F.try_divide(_sum(density, low, top), _sum(density, F.lit(0.0), top))
+    log_density = lambda u: (df - 1) * _log(u) - u * u
+    return F.when(x.isNotNull() & (df > 0), _share(log_density, F.sqrt(F.greatest(x, F.lit(0.0)) / 2), F.sqrt(F.greatest(df - 1, F.lit(0)) / 2), F.lit(0.5)))
 
 
 def p_f(f: Column, d1: Column, d2: Column) -> Column:
     """P(F of d1 and d2 degrees > f); in w = atan(sqrt(d1 f / d2)) the density is cos(w)^(d2 - 1) sin(w)^(d1 - 1)."""
-    density = lambda w: F.pow(F.abs(F.cos(w)), d2 - 1) * F.pow(F.abs(F.sin(w)), d1 - 1)
-    top = F.least(F.lit(math.pi / 2), (F.lit(12.0) + 2 * F.sqrt(d1.cast("double"))) / F.sqrt(d2.cast("double")))
-    low = F.least(F.atan(F.sqrt(F.try_divide(d1 * F.greatest(f, F.lit(0.0)), d2))), top)
-    return F.when(d2 > 0, F.try_divide(_sum(density, low, top), _sum(density, F.lit(0.0), top)))
+    log_density = lambda w: (d2 - 1) * _log(F.cos(w)) + (d1 - 1) * _log(F.sin(w))
+    peak = F.atan2(F.sqrt(F.greatest(d1 - 1, F.lit(0))), F.sqrt(F.greatest(d2 - 1, F.lit(0.0))))
+    deviation = 1 / F.sqrt(2 * F.greatest(d1 + d2 - 2, F.lit(0.5)))
+    w = F.atan(F.sqrt(F.try_divide(d1 * F.greatest(f, F.lit(0.0)), d2)))
+    return F.when(f.isNotNull() & (d1 > 0) & (d2 > 0), _share(log_density, w, peak, deviation, F.lit(math.pi / 2)))
 
 
 def p_t(t: Column, df: Column) -> Column:
@@ -46,19 +60,27 @@ def p_z(z: Column) -> Column:
     return p_chi2(z * z, F.lit(1))
 
 
-def _sql_sum(density: str, low: str, high: str) -> str:
-    u = f"(({low}) + (({high}) - ({low})) * i / {STEPS}.0)"
-    return f"((({high}) - ({low})) * (SELECT sum(CASE WHEN i = 0 OR i = {STEPS} THEN 1.0::DOUBLE WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END * {density.replace('@', u)}) FROM range({STEPS + 1}) AS s(i)))"
+def _sql_share(log_density: str, x: str, peak: str, deviation: str, most: str) -> str:
+    low, high = f"greatest({peak} - {REACH} * {deviation}, 0)", f"least({peak} + {REACH} * {deviation}, {most})"
+
+    def total(start: str) -> str:
+        u = f"(s.a + (s.z - s.a) * i / {STEPS}.0)"
+        weight = f"CASE WHEN i = 0 OR i = {STEPS} THEN 1.0::DOUBLE WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END"
+        return (f"(SELECT any_value(s.z - s.a) * sum({weight} * exp({log_density.replace('@', u)} - ({log_density.replace('@', 's.p')})))"
+                f" FROM (SELECT ({start})::DOUBLE AS a, ({high})::DOUBLE AS z, ({peak})::DOUBLE AS p) s, range({STEPS + 1}) AS t(i))")
+    return f"{total(f'least(greatest({x}, {low}), {high})')} / {total(low)}"
 
 
 def sql_chi2(x: str, df: str) -> str:
-    density, top = f"power(@, ({df}) - 1) * exp(-@ * @)", f"8.0 + sqrt({df})"
-    return f"{_sql_sum(density, f'least(sqrt(greatest({x}, 0) / 2), {top})', top)} / {_sql_sum(density, '0.0::DOUBLE', top)}"
+    share = _sql_share(f"(({df}) - 1) * ln(greatest(@, {TINY})) - @ * @", f"sqrt(greatest({x}, 0) / 2)", f"sqrt(greatest(({df}) - 1, 0) / 2)", "0.5", "1e300")
+    return f"CASE WHEN ({x}) IS NOT NULL AND ({df}) > 0 THEN {share} END"
 
 
 def sql_f(f: str, d1: str, d2: str) -> str:
-    density, top = f"power(abs(cos(@)), ({d2}) - 1) * power(abs(sin(@)), ({d1}) - 1)", f"least(pi() / 2, (12.0 + 2 * sqrt({d1})) / sqrt({d2}))"
-    return f"{_sql_sum(density, f'least(atan(sqrt(({d1}) * greatest({f}, 0) / ({d2}))), {top})', top)} / {_sql_sum(density, '0.0::DOUBLE', top)}"
+    log_density = f"(({d2}) - 1) * ln(greatest(cos(@), {TINY})) + (({d1}) - 1) * ln(greatest(sin(@), {TINY}))"
+    peak, deviation = f"atan2(sqrt(greatest(({d1}) - 1, 0)), sqrt(greatest(({d2}) - 1, 0)))", f"(1 / sqrt(2 * greatest(({d1}) + ({d2}) - 2, 0.5)))"
+    share = _sql_share(log_density, f"atan(sqrt(({d1}) * greatest({f}, 0) / ({d2})))", peak, deviation, "pi() / 2")
+    return f"CASE WHEN ({f}) IS NOT NULL AND ({d1}) > 0 AND ({d2}) > 0 THEN {share} END"
 
 
 def sql_t(t: str, df: str) -> str:

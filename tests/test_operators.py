@@ -217,6 +217,21 @@ def test_tails_of_columns(spark):
         assert all(abs(a - b) < 2e-7 for a, b in zip((r.chi, r.f, r.t, r.z), want, strict=True)), (r, want)
 
 
+def test_tails_of_many_degrees(spark):
+    """Where densities over- or underflow unless taken from their peaks."""
+
+    rows = [(d1 * x, x, d1, d2) for d1 in (300.0, 350.0, 1000.0, 5000.0, 1e5) for d2 in (3.0, 800.0, 2000.0, 4e4, 1e5) for x in (0.9, 0.99, 1.0, 1.02, 1.05, 1.3)]
+    c = F.col
+    df = spark.createDataFrame(rows, "x double, f double, d1 double, d2 double")
+    for r in df.select("*", tails.p_chi2(c("x"), c("d1")).alias("chi"), tails.p_f(c("f"), c("d1"), c("d2")).alias("pf")).collect():
+        assert abs(r.chi - tails.chi2(r.x, r.d1)) < 5e-7 and abs(r.pf - tails.f(r.f, r.d1, r.d2)) < 5e-7, r
+    known = [(400.0, 350.0, 0.034), (300.0, 300.0, 0.489)]
+    got = spark.createDataFrame(known, "x double, d double, p double").select(tails.p_chi2(c("x"), c("d")).alias("got"), "p").collect()
+    assert all(abs(r.got - r.p) < 1e-3 for r in got)
+    none = spark.createDataFrame([(None, 3.0)], "x double, d double")
+    assert none.select(tails.p_chi2(c("x"), c("d")), tails.p_f(c("x"), c("d"), c("d"))).first() == (None, None)
+
+
 @pytest.mark.parametrize("rows", [[], [("a", 1.0)], [("a", 1.0), ("a", 1.0)], [("a", 1.0), ("b", 1.0)], [("a", 1.0)] * 3 + [("b", 1.0)] * 3, [("a", None), (None, 1.0)]])
 def test_statistics_of_equal_or_few_values(spark, rows):
     """No error where variances, groups or tables are empty: the statistics are null."""
