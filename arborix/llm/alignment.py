@@ -4,8 +4,8 @@ Both tokenizers' tokens cut the same bytes (a space, then the text).  Offsets wh
 divide and conquer: an interval of tokens is cut at a common end near its middle, which bisection in the other tokenizer's ends
 locates, and both halves go on; an interval without a common end inside is a group.  All intervals of a depth are worked on at once.
 
-Tokens that overlap are linked.  How often a pair of ids is linked is counted over the whole corpus in a first pass; in a second one frequent
-pairs are looked up in a broadcast table, whose size is bounded by what frequent means, and the rest goes through a join."""
+Texts are tokenized once; what follows reads their ids.  Tokens that overlap are linked.  How often a pair of ids is linked is counted over the whole
+corpus in a first pass; in a second one frequent pairs are looked up in a broadcast table, whose size is bounded by what frequent means, and the rest goes through a join."""
 
 from __future__ import annotations
 
@@ -13,35 +13,56 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, stored, text_or_empty
 from .tokens import LETTER, NUMBER, SPACE, _byte_letters
 
-#: Bytes of texts that are aligned at a time, and pairs that a task holds before it hands on their counts.
+#: Bytes of texts (or, about, of twice their ids) that are worked on at a time, and pairs that a task holds before it hands on their counts.
 SLICE, HELD = 1 << 20, 1 << 20
 #: A pair is frequent if it makes up over one of so many links: there are fewer such pairs than this.
 FREQUENT = 1 << 22
+#: Pieces whose ids a task keeps.
 KEPT = 200_000
 # What the byte-level tokenizers' pattern cuts text into, for characters up to U+017F.
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 BEYOND = re.compile("[^\x00-ſ]")
 
 
-class Unlike(Exception):
-    """Tokens don't spell their text."""
+class Vocabulary(dict):
+    """Ids of texts (none where the bytes of their tokens aren't the text's).  A text that falls into pieces which are encoded apart is made up of
+    these: the new ones of all texts at hand are encoded at once, and those met lately are kept as bytes."""
 
+    size: int
+    bytes: list[bytes]
 
-class ByteTokens(dict):
-    """Ids of texts under a byte-level tokenizer (none where their bytes aren't the text's), and the bytes of its ids.
+    def many(self, texts: list[str], spelt: list[bytes]) -> list[np.ndarray]:
+        cut = [self.pieces(t) for t in texts]
+        new = {p for pieces in cut if pieces is not None for p in pieces if p not in self}
+        if len(self) > KEPT:
+            self.clear()
+            new = {p for pieces in cut if pieces is not None for p in pieces}
+        new = list(new)
+        for p, ids in zip(new, self.encoded(new), strict=True):
+            self[p] = array(self.kind, ids).tobytes()
+        out = []
+        for text, pieces, whole in zip(texts, cut, spelt, strict=True):
+            got = b"".join(map(self.__getitem__, pieces)) if pieces is not None else array(self.kind, self.alone(text)).tobytes()
+            ids = np.frombuffer(got, self.kind)
+            out.append(ids if b"".join(map(self.bytes.__getitem__, ids.tolist())) == whole else ids[:0])
+        return out
 
-    A text of known letters is cut into pieces, which are encoded once and then looked up; others go to the tokenizer whole."""
+
+class ByteTokens(Vocabulary):
+    """A byte-level tokenizer.  Texts of known letters are cut into its pieces."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,37 +70,33 @@ class ByteTokens(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        letters = _byte_letters()
-        back = {v if isinstance(v, str) else chr(v): k for k, v in letters.items()}
+        self.letters = _byte_letters()
+        back = {v: k for k, v in self.letters.items()}
         self.size = self.tokenizer.get_vocab_size()
         self.bytes = [b""] * self.size
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = bytes(back[x] for x in token) if all(x in back for x in token) else token.encode()
-        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.kind = "H" if self.size <= 1 << 16 else "I"
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         step = made.get("pre_tokenizer") or {}
         self.known = made.get("normalizer") is None and step.get("type") == "ByteLevel" and step.get("use_regex") is True and step.get("add_prefix_space") is False
-        self.letters = letters
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        out = spelt(self, ids, piece.encode()).tobytes()
-        if len(self) < KEPT and len(piece) < 64:
-            self[piece] = out
-        return out
+    def pieces(self, text: str) -> list[str] | None:
+        return PIECES.findall(text) if self.known and not BEYOND.search(text) else None
 
-    def __call__(self, text: str) -> np.ndarray:
-        if self.known and not BEYOND.search(text):
-            return np.frombuffer(b"".join(map(self.__getitem__, PIECES.findall(text))), self.kind)
-        return spelt(self, self.tokenizer.encode(text, add_special_tokens=False).ids, text.encode())
+    def encoded(self, pieces: list[str]) -> Iterator[list[int]]:
+        model, letters = self.tokenizer.model, self.letters
+        for p in pieces:
+            yield [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))]
 
+    def alone(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-class WordPieces(dict):
-    """Ids of texts under a sentencepiece model, which puts a space ahead (none where their bytes aren't that), and the bytes of its ids.
 
-    Where no piece has a space behind another character, nothing joins over a single space, so the words between single spaces are encoded
-    once and then looked up; other texts go to the model whole."""
+class WordPieces(Vocabulary):
+    """A sentencepiece model, which puts a space ahead.  Where no piece has a space behind another character, nothing joins over a single space,
+    so texts are cut into the words between single spaces."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -91,46 +108,60 @@ class WordPieces(dict):
         self.bytes = [bytes.fromhex(m[1]) if self.model.is_byte(i) and (m := byte.fullmatch(p)) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         probe = "ﬁ ²  x "  # what a model that changes characters or spaces would change
         self.known = not any(re.search("[^▁]▁", p) for p in pieces) and self.model.normalize(probe).replace("▁", " ").strip(" ") == probe.strip(" ")
-        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.kind = "H" if self.size <= 1 << 16 else "I"
 
-    def __missing__(self, word: str) -> bytes:
-        out = spelt(self, self.model.encode(word), (" " + word).encode()).tobytes()
-        if len(self) < KEPT and len(word) < 64:
-            self[word] = out
-        return out
+    def pieces(self, text: str) -> list[str] | None:
+        plain = self.known and text and text[0] != " " and text[-1] != " " and "  " not in text
+        return text.split(" ") if plain else None
+
+    def encoded(self, pieces: list[str]) -> list[list[int]]:
+        return self.model.encode(pieces, num_threads=1)
 
-    def __call__(self, text: str) -> np.ndarray:
-        if self.known and text and text[0] != " " and text[-1] != " " and "  " not in text:
-            return np.frombuffer(b"".join(map(self.__getitem__, text.split(" "))), self.kind)
-        return spelt(self, self.model.encode(text), (" " + text).encode())
+    def alone(self, text: str) -> list[int]:
+        return self.model.encode(text)
 
 
-def spelt(of: ByteTokens | WordPieces, ids: list[int], text: bytes) -> np.ndarray:
-    if b"".join(map(of.bytes.__getitem__, ids)) != text:
-        raise Unlike
-    return np.array(ids, of.kind)
+def _packed(ids: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(ids.tobytes())
 
 
-class Pair:
-    """Both tokenizers, for a task."""
+def _encoded(a: str, b: str, key: str):
+    """(key, text) to key and the ids of either tokenizer: none where the text is empty or one of them doesn't spell it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = ByteTokens(a), WordPieces(b)
+        for batch in batches:
+            for s, e in _slices(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)):
+                texts = batch.column(1).slice(s, e - s).to_pylist()
+                some = [t for t in texts if t]
+                spelt = [(" " + t).encode() for t in some]
+                got = iter(zip(one.many([" " + t for t in some], spelt), two.many(some, spelt), strict=True))
+                rows = [(b"", b"")] * len(texts)
+                for i, t in enumerate(texts):
+                    if t:
+                        x, y = next(got)
+                        if len(x) and len(y):
+                            rows[i] = _packed(x), _packed(y)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))], names=[key, "a", "b"])
+        del one, two
+        give_back()
+    return run
+
 
-    def __init__(self, a: str, b: str) -> None:
-        self.a, self.b = ByteTokens(a), WordPieces(b)
-        self.sizes = [np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b)]
+class Loaded:
+    """Sizes in bytes and names of the ids of both tokenizers, and slices of documents from their packed ids."""
 
-    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of either tokenizer by text: none where the text is null or empty or the bytes of its tokens aren't a space and the text."""
-        none = np.zeros(0, np.uint16), np.zeros(0, np.uint16)
-        out = []
-        for text in texts:
-            try:
-                out.append((self.a(" " + text), self.b(text)) if text else none)
-            except Unlike:
-                out.append(none)
-        return [x[0] for x in out], [x[1] for x in out]
+    def __init__(self, sizes: tuple[np.ndarray, np.ndarray]) -> None:
+        self.sizes, self.kinds = sizes, [np.uint16 if len(x) <= 1 << 16 else np.uint32 for x in sizes]
 
-    def ends(self, ids: np.ndarray, which: int) -> np.ndarray:
-        return np.cumsum(self.sizes[which][ids])
+    def slices(self, batch: pa.RecordBatch) -> Iterator[tuple]:
+        """First and last document, their numbers of tokens, ids and ends.  Both cover the same bytes of each document, so its last end is a common one,
+        and the documents of a slice are one interval."""
+        packed = [batch.column(batch.schema.get_field_index(x)) for x in "ab"]
+        for s, e in _slices(pc.binary_length(packed[0]).to_numpy(zero_copy_only=False) * 2):
+            unpack = zstandard.ZstdDecompressor().decompress
+            ids = [[np.frombuffer(unpack(x) if x else b"", k) for x in c.slice(s, e - s).to_pylist()] for c, k in zip(packed, self.kinds, strict=True)]
+            whole = [np.concatenate(x).astype(np.int64) for x in ids]
+            yield s, e, *(np.array([len(x) for x in side], np.int64) for side in ids), *whole, *(np.cumsum(n[x]) for n, x in zip(self.sizes, whole, strict=True))
 
 
 def shared_cuts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,23 +210,24 @@ def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def group_texts(ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[bytes, np.ndarray]:
     """a1,a2|b1;a3|b2,b3; ... of all groups, and where each group ends in it."""
     n = len(ids_a) + len(ids_b)
-    of_a, of_b = np.searchsorted(cut_a, np.arange(len(ids_a))), np.searchsorted(cut_b, np.arange(len(ids_b)))
+    of_a, of_b = (np.cumsum(np.bincount(cut + 1, minlength=len(ids) + 1)[:len(ids)]) for cut, ids in ((cut_a, ids_a), (cut_b, ids_b)))
     place_a = np.arange(len(ids_a)) + np.concatenate([[0], cut_b + 1])[of_a]
     place_b = np.arange(len(ids_b)) + (cut_a + 1)[of_b]
     value, sign = np.empty(n, np.int64), np.full(n, ord(","), np.uint8)
     value[place_a], value[place_b] = ids_a, ids_b
     sign[place_a[cut_a]], sign[place_b[cut_b]] = ord("|"), ord(";")
-    digits = np.ones(n, np.int64)
-    for p in range(1, 10):
-        digits += value >= 10 ** p
+    width = len(str(int(value.max(initial=0))))
+    known = np.arange(int(value.max(initial=0)) + 1)
+    names = known[:, None] // 10 ** np.arange(width) % 10 + ord("0")  # digits from the last
+    sizes = np.maximum((known[:, None] >= 10 ** np.arange(width)).sum(axis=1), 1)
+    names = names.astype(np.uint8)
+    digits = sizes[value]
     ends = np.cumsum(digits + 1)
     out = np.empty(int(ends[-1]) if n else 0, np.uint8)
     out[ends - 1] = sign
-    rest = value
-    for p in range(int(digits.max(initial=0))):
-        has = digits > p
-        out[ends[has] - 2 - p] = rest[has] % 10 + ord("0")
-        rest = rest // 10
+    for p in range(width):
+        has = np.nonzero(digits > p)[0] if p else slice(None)
+        out[ends[has] - 2 - p] = names[value[has], p]
     return out.tobytes(), ends[place_b[cut_b]]
 
 
@@ -209,16 +241,6 @@ def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
             at, held = i + 1, 0
 
 
-def _encoded(pair: Pair, batch: pa.RecordBatch) -> Iterator[tuple]:
-    column = batch.column(batch.schema.get_field_index("text"))
-    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
-    for s, e in _slices(sizes):
-        a, b = pair.encode(column.slice(s, e - s).to_pylist())
-        whole_a, whole_b = np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
-        # both cover the same bytes of each text, so a text's last end is a common one, and the texts of a slice are one interval
-        yield s, e, np.array([len(x) for x in a]), np.array([len(x) for x in b]), whole_a, whole_b, pair.ends(whole_a, 0), pair.ends(whole_b, 1)
-
-
 def _merged(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(code, kind="stable")
     code, count = code[order], count[order]
@@ -226,22 +248,28 @@ def _merged(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code[heads], np.add.reduceat(count, heads) if len(heads) else count
 
 
-def _counts(a: str, b: str):
+def _counts(sizes: tuple[np.ndarray, np.ndarray]):
     """A task's counts of linked pairs (id of a times the vocabulary of b plus id of b)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = Pair(a, b)
-        code, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        loaded, code, count, held = Loaded(sizes), np.zeros(0, np.int64), np.zeros(0, np.int64), []
         give = lambda: pa.RecordBatch.from_arrays([pa.array(code), pa.array(count)], names=["pair", "n"])
+
+        def fold():
+            both = [np.concatenate(x) for x in zip((code, count), *held, strict=True)] if held else (code, count)
+            held.clear()
+            return _merged(*both)
         for batch in batches:
-            for _, _, _, _, ids_a, ids_b, ends_a, ends_b in _encoded(pair, batch):
-                i, j = links(ends_a, ends_b) if len(ids_a) else (np.zeros(0, np.int64),) * 2
-                more, n = np.unique(ids_a[i] * pair.b.size + ids_b[j], return_counts=True)
-                code, count = _merged(np.concatenate([code, more]), np.concatenate([count, n]))
+            for _, _, _, _, ids_a, ids_b, ends_a, ends_b in loaded.slices(batch):
+                if len(ids_a):
+                    i, j = links(ends_a, ends_b)
+                    held.append(np.unique(ids_a[i] * len(sizes[1]) + ids_b[j], return_counts=True))
+                if sum(len(x[0]) for x in held) > HELD:
+                    code, count = fold()
                 if len(code) > HELD:
                     yield give()
                     code, count = code[:0], count[:0]
+        code, count = fold()
         yield give()
-        del pair
         give_back()
     return run
 
@@ -249,13 +277,13 @@ def _counts(a: str, b: str):
 ALIGNED = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string, rare array<bigint>, times array<bigint>"
 
 
-def _aligned(a: str, b: str, key: str, table):
+def _aligned(sizes: tuple[np.ndarray, np.ndarray], key: str, table):
     """Per document its figures, from the frequent pairs; its other pairs, and how often it has each, in rare and times."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = Pair(a, b)
+        loaded = Loaded(sizes)
         known, known_n, known_best = (np.frombuffer(x, t) for x, t in zip(table.value, ("<i8", "<i8", "u1"), strict=True))
         for batch in batches:
-            for s, e, size_a, size_b, ids_a, ids_b, ends_a, ends_b in _encoded(pair, batch):
+            for s, e, size_a, size_b, ids_a, ids_b, ends_a, ends_b in loaded.slices(batch):
                 m = e - s
                 to_a, to_b = np.cumsum(size_a), np.cumsum(size_b)
                 cut_a, cut_b = shared_cuts(ends_a, ends_b)
@@ -268,7 +296,7 @@ def _aligned(a: str, b: str, key: str, table):
                     at = x
                 i, j = links(ends_a, ends_b) if len(ids_a) else (np.zeros(0, np.int64),) * 2
                 doc = np.searchsorted(to_a, i, "right")
-                pairs, which = np.unique(ids_a[i] * pair.b.size + ids_b[j], return_inverse=True)
+                pairs, which = np.unique(ids_a[i] * len(sizes[1]) + ids_b[j], return_inverse=True)
                 place = np.minimum(np.searchsorted(known, pairs), max(len(known) - 1, 0))
                 hit = (known[place] == pairs) if len(known) else np.zeros(len(pairs), bool)
                 n, best = np.where(hit, known_n[place], 0) if len(known) else np.zeros(len(pairs), np.int64), hit & (known_best[place] == 1) if len(known) else hit
@@ -281,7 +309,6 @@ def _aligned(a: str, b: str, key: str, table):
                     size_a, size_b, groups, np.bincount(doc, minlength=m), np.bincount(doc[best[which]], minlength=m), total)], pa.array(sums, pa.string()),
                     pa.ListArray.from_arrays(offsets, pa.array(pairs[code % max(len(pairs), 1)])), pa.ListArray.from_arrays(offsets, pa.array(times))]
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "rare", "times"])
-        del pair
         give_back()
     return run
 
@@ -295,17 +322,18 @@ def align(docs: DataFrame, a: str, b: str, key: str = "doc_id") -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(key, text_or_empty().alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    counts = texts.select("text").mapInArrow(_counts(a, b), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    sizes = tuple(np.array([len(x) for x in t(p).bytes], np.int64) for t, p in ((ByteTokens, a), (WordPieces, b)))
+    ids = stored(texts.mapInArrow(_encoded(a, b, key), f"`{key}` {kind}, a binary, b binary"), "token-pairs")
+    counts = ids.select("a", "b").mapInArrow(_counts(sizes), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     counts = stored(counts, "pair-counts")
-    size_b = WordPieces(b).size
-    counts = counts.withColumn("b", F.col("pair") % size_b)
+    counts = counts.withColumn("b", F.col("pair") % len(sizes[1]))
     most = counts.groupBy("b").agg(F.max("n").alias("most"))  # a row an id of b
     counts = stored(counts.join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "pair-best")
     total = counts.agg(F.sum("n")).first()[0] or 0
     # at most FREQUENT pairs can have more than that share of all links
     often = counts.filter(F.col("n") > total // FREQUENT).orderBy("pair").toArrow()
     table = spark.sparkContext.broadcast(tuple(often.column(x).cast(t).to_numpy().astype(k).tobytes() for x, t, k in (("pair", pa.int64(), "<i8"), ("n", pa.int64(), "<i8"), ("best", pa.uint8(), "u1"))))
-    made = texts.mapInArrow(_aligned(a, b, key, table), f"`{key}` {kind}, {ALIGNED}").withColumn("row", F.monotonically_increasing_id())
+    made = ids.mapInArrow(_aligned(sizes, key, table), f"`{key}` {kind}, {ALIGNED}").withColumn("row", F.monotonically_increasing_id())
     made = stored(made, "aligned")
     rare = made.filter(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("pair"), F.col("x.times").alias("times"))
     more = rare.join(counts, "pair").groupBy("row").agg(F.sum("times").alias("__all"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("__best"), F.sum(F.col("times") * F.col("n")).alias("__sum"))
