@@ -48,10 +48,10 @@ def bin_right(x: Column, low: Column, step: Column, bins: int) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(at, F.lit(0)), F.lit(bins - 1))).cast("int")
 
 
-def bin_left(x: Column, low: Column, step: Column, bins: int) -> Column:
+def bin_left(x: Column, low: Column, step: Column, bins: int | Column) -> Column:
     """Number of the left-closed bin of x, the last one closed on both sides; 0 if the bins have no width."""
     at = F.floor(F.coalesce(F.try_divide(x - low, step), F.lit(0.0)))
-    return F.when(x.isNotNull(), F.least(at, F.lit(bins - 1))).cast("int")
+    return F.when(x.isNotNull(), F.least(at, F.lit(bins - 1) if isinstance(bins, int) else bins - 1)).cast("int")
 
 
 def most_of(columns: list[str]) -> Column:

@@ -5,19 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-c, div = F.col, F.try_divide  # null, not an error, where all values are equal or too few
-
+from arborix.functions.ranks import tied_ranks  # noqa: F401
 
-def tied_ranks(rows: DataFrame, value: str, group: list[str] | None = None) -> DataFrame:
-    """Adds tied_rank: the mean of the places that equal values take.
-
-    Ranks come from the counts of distinct values, so only these, not the rows, are ordered."""
-    keys = list(group or [])
-    n = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    n = n.withColumn("tied_rank", F.sum("__n").over(w) - (F.col("__n") - 1) / 2)
-    on = [*keys, value]
-    return rows.join(n.drop("__n"), on)
+c, div = F.col, F.try_divide  # null, not an error, where all values are equal or too few
 
 
 def moments(rows: DataFrame, group: str, value: str) -> DataFrame:

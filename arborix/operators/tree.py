@@ -1,7 +1,7 @@
 """Rooted trees (neuron, node_id, x, y, z, parent_id; a root's parent is -1), for all neurons at once.
 
-Depth is worked off by doubling: after round k each node knows its ancestor 2^k up, so a chain of thousands of nodes takes a
-dozen rounds.  Each round is a stored table."""
+Subtrees and ways to the root come from tours (``tour``).  Ways between nodes take jump tables: after round k each node knows its ancestor 2^k
+up, so a chain of thousands of nodes takes a dozen rounds.  Each round is a stored table."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborix.functions.lineage import stored
-from arborix.operators import joins
+from arborix.operators import joins, tour
 from arborix.operators.graph import components
 
 c, lit = F.col, F.lit
@@ -23,27 +23,22 @@ def edge_lengths(tree: DataFrame) -> DataFrame:
     return tree.join(up, ["neuron", "parent_id"], "left").withColumn("length", F.coalesce(d, lit(0.0))).drop("px", "py", "pz")
 
 
-def doubled(tree: DataFrame, totals: dict[str, Column] | None = None) -> tuple[DataFrame, list[DataFrame]]:
-    """(nodes with depth, root, root_distance and, for each of ``totals``, its sum over the node and all below it; jump tables: the
-    k-th has anc, the ancestor 2^k up, and up, the way to it)."""
-    totals = totals or {}
+def doubled(tree: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(nodes with depth, root, root_distance; jump tables: the k-th has anc, the ancestor 2^k up, and up, the way to it).  Nodes on or under a
+    cycle of parents are left out."""
     t = edge_lengths(tree)
-    base = stored(t.select(*KEY, F.when(c("parent_id") != -1, c("parent_id")).alias("anc"), c("length").alias("up"), *[e.alias(n) for n, e in totals.items()]), "tree")
-    jumps, sums, steps = [], base.select(*KEY, *totals), 0
+    base = stored(t.select(*KEY, F.when(c("parent_id") != -1, c("parent_id")).alias("anc"), c("length").alias("up")), "tree")
+    most = base.groupBy("neuron").count().agg(F.max("count")).first()[0] or 0
+    jumps = []
     now = base.select(*KEY, "anc", "up", F.when(c("anc").isNotNull(), 1).otherwise(0).cast("bigint").alias("depth"), F.coalesce("anc", "node_id").alias("root"))
-    while True:
+    for _ in range(most.bit_length() + 1):  # a way that is longer goes round
         jumps.append(now.filter(c("anc").isNotNull()).select(*KEY, "anc", "up"))
-        if totals:
-            below = sums.join(now.filter(c("anc").isNotNull()).select(*KEY, "anc"), KEY).groupBy("neuron", c("anc").alias("node_id")).agg(*[F.sum(n).alias(f"__{n}") for n in totals])
-            sums = stored(sums.join(below, KEY, "left").select(*KEY, *[(c(n) + F.coalesce(c(f"__{n}"), lit(0))).alias(n) for n in totals]), "tree-sums")
         far = now.select("neuron", c("node_id").alias("anc"), c("anc").alias("__anc"), c("up").alias("__up"), c("depth").alias("__depth"), c("root").alias("__root"))
         now = stored(now.join(far, ["neuron", "anc"], "left").select(
             *KEY, c("__anc").alias("anc"), (c("up") + F.coalesce("__up", lit(0.0))).alias("up"), (c("depth") + F.coalesce("__depth", lit(0))).alias("depth"), F.coalesce("__root", "root").alias("root")), "tree-jumps")
-        steps += 1
         if not now.filter(c("anc").isNotNull()).take(1):
             break
-    nodes = now.select(*KEY, "depth", "root", c("up").alias("root_distance"))
-    return (nodes.join(sums, KEY) if totals else nodes), jumps
+    return now.filter(c("anc").isNull()).select(*KEY, "depth", "root", c("up").alias("root_distance")), jumps
 
 
 def path_lengths(pairs: DataFrame, nodes: DataFrame, jumps: list[DataFrame]) -> DataFrame:
@@ -76,40 +71,64 @@ def path_lengths(pairs: DataFrame, nodes: DataFrame, jumps: list[DataFrame]) ->
 def reroot(tree: DataFrame, roots: DataFrame) -> DataFrame:
     """The tree of each neuron hung from the node given in roots (neuron, node_id): parent links on the way from there to
     the old root turn round.  Neurons without a new root stay."""
-    way, front = None, roots.select("neuron", "node_id", lit(None).cast("bigint").alias("below"))
-    while True:
-        step = stored(front.join(tree.select(*KEY, "parent_id"), KEY), "tree-way")
-        way = step if way is None else way.unionByName(step)
-        if not step.filter(c("parent_id") != -1).take(1):
-            break
-        front = step.filter(c("parent_id") != -1).select("neuron", c("parent_id").alias("node_id"), c("node_id").alias("below"))
-    turned = way.select(*KEY, F.coalesce("below", lit(-1)).alias("__new"))
+    turned = tour.way_up(tour.ranked(tree), roots).select(*KEY, F.coalesce("below", lit(-1)).alias("__new"))
     return tree.join(turned, KEY, "left").withColumn("parent_id", F.coalesce("__new", "parent_id")).drop("__new")
 
 
-def heal(tree: DataFrame, radius: float) -> DataFrame:
-    """Edges (neuron, u, v, distance) that join the fragments of a neuron into as few trees as edges up to ``radius`` can: in rounds, each
-    fragment takes its shortest edge to another (ties: the lesser nodes), as Boruvka's spanning tree does."""
-    nodes, _ = doubled(tree)
-    at = tree.join(nodes.select(*KEY, "root"), KEY)
-    several = at.groupBy("neuron").agg(F.count_distinct("root").alias("n")).filter("n > 1").select("neuron")
-    at = at.join(several, "neuron", "left_semi")
-    left = at.select("neuron", c("node_id").alias("u"), c("root").alias("fu"), *[c(a).alias(f"u{a}") for a in "xyz"])
-    right = at.select("neuron", c("node_id").alias("v"), c("root").alias("fv"), *[c(a).alias(f"v{a}") for a in "xyz"])
-    near = joins.grid_pairs(left, right, "neuron", radius, ["ux", "uy", "uz"], ["vx", "vy", "vz"]).filter(c("fu") != c("fv"))
-    near = stored(near.groupBy("neuron", "fu", "fv").agg(F.min(F.struct("distance", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).alias("e")), "heal-near")
-    taken, label = None, at.select("neuron", c("root").alias("f"), c("root").alias("g")).distinct()
+def heal(tree: DataFrame, ring: float, growth: float = 4.0) -> DataFrame:
+    """Trees in fragments as one tree a neuron, by shortest edges: the columns of tree, with parent_id as it is then, and link, the length of an edge that was
+    added (null: none).
+
+    Boruvka's rounds: each group of fragments takes its shortest edge to another (ties: the lesser nodes), but for a neuron's largest group, which waits to
+    be met.  Edges are looked for within a ring; the groups that find none look within a wider one, until all have met.  A node
+    whose parent is missing is a root; nodes on or under a cycle of parents stay as they are.  The root is that of the fragment with most
+    nodes (ties: the lowest)."""
+    walk = tour.ranked(tree.select(*KEY, "parent_id"))
+    sizes = walk.groupBy("neuron", "root").agg(F.count(lit(1)).alias("n"))
+    main = sizes.groupBy("neuron").agg(F.max(F.struct("n", (-c("root")).alias("root"))).alias("m"), F.count(lit(1)).alias("k")).filter("k > 1")
+    main = stored(main.select("neuron", (-c("m.root")).alias("root")), "heal-main")
+    at = walk.join(main.select("neuron"), "neuron", "left_semi").select(*KEY, c("root").alias("f")).join(tree.select(*KEY, *"xyz"), KEY)
+    at = stored(at, "heal-nodes")
+    label = stored(at.groupBy("neuron", "f").agg(F.count(lit(1)).alias("n")).withColumn("g", c("f")), "heal-label")
+    edges = None
     while True:
-        for e in "uv":
-            near = near.drop(f"g{e}").join(label.select("neuron", c("f").alias(f"f{e}"), c("g").alias(f"g{e}")), ["neuron", f"f{e}"])
-        best = stored(near.filter(c("gu") != c("gv")).groupBy("neuron", "gu").agg(F.min(F.struct("e", "gv")).alias("m")).select("neuron", "gu", "m.e", "m.gv"), "heal-best")
-        if not best.take(1):
-            return taken.select("neuron", "e.u", "e.v", "e.distance").distinct() if taken is not None else near.select("neuron", "e.u", "e.v", "e.distance").limit(0)
-        taken = best.select("neuron", "e") if taken is None else taken.unionByName(best.select("neuron", "e"))
-        pair = lambda x: F.struct(c("neuron"), c(x))
-        comp = components(best.select(pair("gu").cast("struct<neuron:bigint,f:bigint>").alias("a"), pair("gv").cast("struct<neuron:bigint,f:bigint>").alias("b")))
-        comp = comp.select(c("node.neuron").alias("neuron"), c("node.f").alias("g"), c("root.f").alias("__g"))
-        label = stored(label.join(comp, ["neuron", "g"], "left").select("neuron", "f", F.coalesce("__g", "g").alias("g")), "heal-label")
+        groups = label.groupBy("neuron", "g").agg(F.sum("n").alias("n"))
+        largest = groups.groupBy("neuron").agg(F.max(F.struct("n", "g")).alias("m"), F.count(lit(1)).alias("k")).filter("k > 1").select("neuron", c("m.g").alias("largest"))
+        left = stored(label.join(largest, "neuron").select("neuron", "f", "g", (c("g") == c("largest")).alias("waits")), "heal-left")
+        if not left.take(1):
+            break
+        points = at.join(left, ["neuron", "f"])
+        u = points.filter(~c("waits")).select("neuron", c("node_id").alias("u"), c("g").alias("gu"), c("f").alias("fu"), *[c(x).alias(f"u{x}") for x in "xyz"])
+        v = points.select("neuron", c("node_id").alias("v"), c("g").alias("gv"), c("f").alias("fv"), *[c(x).alias(f"v{x}") for x in "xyz"])
+        near = joins.grid_pairs(u, v, "neuron", ring, ["ux", "uy", "uz"], ["vx", "vy", "vz"], apart=("gu", "gv"))
+        end = lambda x, y: F.when(c("u") < c("v"), c(x)).otherwise(c(y))
+        edge = F.struct("distance", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), end("fu", "fv").alias("fu"), end("fv", "fu").alias("fv"))
+        # the shortest edge from each fragment to each other group serves all rounds within the ring
+        near = stored(near.groupBy("neuron", "fu", "fv").agg(F.min(edge).alias("e")).select("neuron", "e.*"), "heal-near")
+        while True:
+            pair = near
+            for e in "uv":
+                pair = pair.join(label.select("neuron", c("f").alias(f"f{e}"), c("g").alias(f"g{e}")), ["neuron", f"f{e}"])
+            pair = pair.filter(c("gu") != c("gv")).withColumn("e", F.struct("distance", "u", "v", "fu", "fv", "gu", "gv"))
+            best = pair.select("neuron", "e", F.explode(F.array("gu", "gv")).alias("g")).groupBy("neuron", "g").agg(F.min("e").alias("e"))
+            best = stored(best.select("neuron", "e.*").distinct(), "heal-best")
+            if not best.take(1):
+                break
+            edges = best.select("neuron", "u", "v", "fu", "fv", "distance") if edges is None else edges.unionByName(best.select("neuron", "u", "v", "fu", "fv", "distance"))
+            key = lambda x: F.struct(c("neuron"), c(x).alias("f"))
+            comp = components(best.select(key("gu").alias("a"), key("gv").alias("b")))
+            comp = comp.select(c("node.neuron").alias("neuron"), c("node.f").alias("g"), c("root.f").alias("__g"))
+            label = stored(label.join(comp, ["neuron", "g"], "left").select("neuron", "f", "n", F.coalesce("__g", "g").alias("g")), "heal-label")
+        ring *= growth
+    if edges is None:
+        return tree.withColumn("link", lit(None).cast("double"))
+    hung = tour.directed(edges.withColumnsRenamed({"fu": "a", "fv": "b"}), main)
+    # each fragment but the main one turns to hang from the edge that comes to it
+    is_b = c("child") == c("fragment_v")
+    hung = hung.join(edges.select("neuron", "u", "v", c("fv").alias("fragment_v")), ["neuron", "u", "v"])
+    hung = stored(hung.select("neuron", F.when(is_b, c("v")).otherwise(c("u")).alias("node_id"), F.when(is_b, c("u")).otherwise(c("v")).alias("__to"), c("distance").alias("link")), "heal-hung")
+    turned = tour.way_up(walk, hung).join(hung, KEY, "left").select(*KEY, F.coalesce("below", "__to").alias("__new"), "link")
+    return tree.join(turned, KEY, "left").withColumn("parent_id", F.coalesce("__new", "parent_id")).drop("__new")
 
 
 def split(tree: DataFrame, contacts: DataFrame, share: float = 1.0) -> DataFrame:
@@ -121,7 +140,7 @@ def split(tree: DataFrame, contacts: DataFrame, share: float = 1.0) -> DataFrame
     on = contacts.groupBy(*KEY).agg(F.count_if(c("type") == "pre").alias("p"), F.count_if(c("type") == "post").alias("q"))
     t = tree.join(on, KEY, "left").fillna(0, ["p", "q"])
     t = t.withColumns({"own_p": c("p"), "own_q": c("q")})
-    nodes, _ = doubled(t, {"p": c("p"), "q": c("q")})
+    nodes = tour.measured(t, tour.ranked(tree), {"p": c("p"), "q": c("q")})
     per = t.groupBy("neuron").agg(F.sum("own_p").alias("all_p"), F.sum("own_q").alias("all_q"))
     flow = nodes.join(per, "neuron").withColumn("flow", c("p") * (c("all_q") - c("q")) + c("q") * (c("all_p") - c("p")))
     most = flow.groupBy("neuron").agg(F.max("flow").alias("most"))
@@ -130,7 +149,7 @@ def split(tree: DataFrame, contacts: DataFrame, share: float = 1.0) -> DataFrame
     links = flow.select(*KEY, "linker")
     cut = tree.join(links, KEY).join(links.select("neuron", c("node_id").alias("parent_id"), c("linker").alias("__up")), ["neuron", "parent_id"], "left")
     cut = cut.withColumn("parent_id", F.when(c("linker") | F.coalesce("__up", lit(False)), -1).otherwise(c("parent_id")))
-    frag, _ = doubled(cut.select(*tree.columns))
+    frag = tour.ranked(cut.select(*tree.columns))
     own = t.select(*KEY, "own_p", "own_q").join(frag.select(*KEY, c("root").alias("fragment")), KEY)
     side = own.groupBy("neuron", "fragment").agg(F.sum("own_p").alias("fp"), F.sum("own_q").alias("fq")).join(per, "neuron")
     side = side.withColumn("axon", c("fp") * c("all_q") > c("fq") * c("all_p")).select("neuron", "fragment", "axon")
@@ -176,9 +195,7 @@ def dense(rows: DataFrame, label: str, out: str) -> DataFrame:
 
 def merge_clusters(found: DataFrame, gap: float) -> DataFrame:
     """Clusters (neuron, contact, cluster, x, y, z) of which any two contacts are nearer than ``gap`` become one; renumbered."""
-    a = found.select("neuron", c("cluster").alias("c1"), *[c(k).alias(f"{k}1") for k in "xyz"])
-    b = found.select("neuron", c("cluster").alias("c2"), *[c(k).alias(f"{k}2") for k in "xyz"])
-    near = joins.grid_pairs(a, b, "neuron", gap, ["x1", "y1", "z1"], ["x2", "y2", "z2"], strict=True).filter(c("c1") < c("c2"))
+    near = joins.group_gaps(found, "neuron", "cluster", list("xyz"), gap)
     key = lambda e: F.struct(c("neuron"), c(e).alias("f"))
     comp = components(near.select(key("c1").alias("a"), key("c2").alias("b")).distinct())
     comp = comp.select(c("node.neuron").alias("neuron"), c("node.f").alias("cluster"), c("root.f").alias("__to"))

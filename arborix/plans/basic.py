@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arborix.functions import expr
+from arborix.functions.ranks import quantiles, running, tied_ranks
 from arborix.functions.windows import numbered, rolling_mean
 from arborix.operators import joins, tables
 from arborix.plans.registry import query
@@ -135,8 +136,8 @@ def pf18(v):
 
 @query("pf19_middle_share", "q AS (SELECT quantile_cont(length_nm, 0.025) AS lo, quantile_cont(length_nm, 0.975) AS hi FROM neurons) SELECT neuron, length_nm FROM neurons, q WHERE length_nm BETWEEN lo AND hi")
 def pf19(v):
-    q = v.neurons.agg(F.percentile("length_nm", F.array(lit(0.025), lit(0.975))).alias("q"))
-    return v.neurons.crossJoin(F.broadcast(q)).filter(c("length_nm").between(c("q")[0], c("q")[1])).select("neuron", "length_nm")
+    q = quantiles(v.neurons, [], "length_nm", [0.025, 0.975])
+    return v.neurons.crossJoin(F.broadcast(q)).filter(c("length_nm").between(c("q0"), c("q1"))).select("neuron", "length_nm")  # one row
 
 
 @query("pf20_minimum_strength", "SELECT pre, post, sum_syn FROM conn0 WHERE sum_syn >= 3")
@@ -287,10 +288,8 @@ def j15(v):
 SELECT a.neuron, a.cluster AS c1, b.cluster AS c2, round(min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))),6) AS distance
 FROM a JOIN a b ON a.neuron=b.neuron AND a.cluster<b.cluster GROUP BY ALL HAVING min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))) < 2000""")
 def j16(v):
-    a = v.syn.select(c("pre").alias("neuron"), (c("post") % 8).alias("c1"), c("pre_x").alias("x1"), c("pre_y").alias("y1"), c("pre_z").alias("z1"))
-    b = a.withColumnsRenamed({"c1": "c2", "x1": "x2", "y1": "y2", "z1": "z2"})
-    p = joins.grid_pairs(a, b, "neuron", 2000.0, ["x1", "y1", "z1"], ["x2", "y2", "z2"], strict=True).filter(c("c1") < c("c2"))
-    return p.groupBy("neuron", "c1", "c2").agg(r6(F.min("distance")).alias("distance"))
+    a = v.syn.select(c("pre").alias("neuron"), (c("post") % 8).alias("cluster"), *[c(f"pre_{x}").alias(x) for x in "xyz"])
+    return joins.group_gaps(a, "neuron", "cluster", list("xyz"), 2000.0).withColumn("distance", r6(c("distance")))
 
 
 @query("j17_pair_lookup", "SELECT pre, post, comp, size FROM comp WHERE (pre=3 AND post<40) OR (post=3 AND pre<40)")
@@ -398,7 +397,7 @@ def a11(v):
 @query("a12_quantiles", "SELECT super_class, " + ", ".join(f"round(quantile_cont(si,{q}),6) AS q{int(q*1000)}" for q in (0.025, 0.25, 0.5, 0.75, 0.975)) + " FROM nsi GROUP BY 1")
 def a12(v):
     qs = (0.025, 0.25, 0.5, 0.75, 0.975)
-    return v.nsi.groupBy("super_class").agg(F.percentile("si", F.array(*[lit(q) for q in qs])).alias("p")).select("super_class", *[r6(c("p")[i]).alias(f"q{int(q * 1000)}") for i, q in enumerate(qs)])
+    return quantiles(v.nsi, ["super_class"], "si", list(qs)).select("super_class", *[r6(c(f"q{i}")).alias(f"q{int(q * 1000)}") for i, q in enumerate(qs)])
 
 
 @query("a13_group_transform", "SELECT neuron, primary_type, round(si - avg(si) OVER (PARTITION BY primary_type),6) AS dev, count(*) OVER (PARTITION BY primary_type) AS n FROM nsi")
@@ -502,9 +501,10 @@ def w2(v):
 
 @query("w3_ecdf", "SELECT super_class, neuron, si, round(row_number() OVER (PARTITION BY super_class ORDER BY si, neuron)/count(*) OVER (PARTITION BY super_class),6) AS ecdf, round(sum(si) OVER (PARTITION BY super_class ORDER BY si, neuron),6) AS running FROM nsi WHERE si IS NOT NULL")
 def w3(v):
-    by = Window.partitionBy("super_class")
-    o = by.orderBy("si", "neuron")
-    return v.nsi.filter(c("si").isNotNull()).select("super_class", "neuron", "si", r6(F.row_number().over(o) / F.count(lit(1)).over(by)).alias("ecdf"), r6(F.sum("si").over(o)).alias("running"))
+    x = v.nsi.filter(c("si").isNotNull()).select("super_class", "neuron", "si")
+    n = x.groupBy("super_class").agg(F.count(lit(1)).alias("n")).withColumnRenamed("super_class", "__class")  # a row a class
+    x = running(x, ["super_class"], ["si", "neuron"], {"before": lit(1), "ahead": c("si")}).join(F.broadcast(n), c("super_class").eqNullSafe(c("__class")))
+    return x.select("super_class", "neuron", "si", r6((c("before") + 1) / c("n")).alias("ecdf"), r6(c("ahead") + c("si")).alias("running"))
 
 
 @query("w4_dense_ids", "SELECT pre AS neuron, npil, dense_rank() OVER (PARTITION BY pre ORDER BY npil) - 1 AS cluster FROM (SELECT DISTINCT pre, npil FROM syn)")
@@ -515,8 +515,6 @@ def w4(v):
 
 @query("w5_tied_ranks", "SELECT neuron, leafs, rank() OVER (ORDER BY leafs) + (count(*) OVER (PARTITION BY leafs) - 1)/2 AS tied_rank FROM neurons WHERE leafs IS NOT NULL")
 def w5(v):
-    from arborix.operators.stats import tied_ranks
-
     return tied_ranks(v.neurons.filter(c("leafs").isNotNull()), "leafs").select("neuron", "leafs", "tied_rank")
 
 # ---- sorts, limits, top-k
@@ -609,16 +607,22 @@ def b3(v):
     return x.groupBy((F.floor((c("length_nm") - c("lo")) / c("h")) + 1).cast("int").alias("bin")).agg(F.count(lit(1)).alias("n"))
 
 
-@query("b4_histogram", """q AS (SELECT min(si) AS lo, max(si) AS hi, count(si) AS n, quantile_cont(si,0.75)-quantile_cont(si,0.25) AS iqr FROM nsi), w AS (SELECT *, ceil((hi-lo)/(2*iqr/cbrt(n)))::INT AS bins FROM q),
-x AS (SELECT least(floor((si-lo)/((hi-lo)/bins)),bins-1)::INT AS bin, bins, n, (hi-lo)/bins AS h FROM nsi, w WHERE si IS NOT NULL)
-SELECT bin, any_value(bins) AS bins, count(*) AS k, round(count(*)/(any_value(n)*any_value(h)),6) AS density, round(count(*)/any_value(n),6) AS share FROM x GROUP BY bin""")
+#: Rules of a histogram's width, by the number of bins: Freedman-Diaconis rounded up, cut off, the square root of n, ten.
+RULES = {"fd_up": ("ceil((hi-lo)/(2*iqr/cbrt(n)))", F.ceil), "fd_cut": ("floor((hi-lo)/(2*iqr/cbrt(n)))", F.floor), "sqrt": ("floor(sqrt(n))", None), "ten": ("10", None)}
+
+
+@query("b4_histogram", f"""q AS (SELECT min(si) AS lo, max(si) AS hi, count(si) AS n, quantile_cont(si,0.75)-quantile_cont(si,0.25) AS iqr FROM nsi), w AS ({" UNION ALL ".join(f"SELECT '{k}' AS rule, *, greatest(1, {sql})::INT AS bins FROM q" for k, (sql, _) in RULES.items())}),
+x AS (SELECT rule, least(floor((si-lo)/((hi-lo)/bins)),bins-1)::INT AS bin, bins, n, (hi-lo)/bins AS h FROM nsi, w WHERE si IS NOT NULL)
+SELECT rule, bin, any_value(bins) AS bins, count(*) AS k, round(count(*)/(any_value(n)*any_value(h)),6) AS density, round(count(*)/any_value(n),6) AS share FROM x GROUP BY rule, bin""")
 def b4(v):
-    p = F.percentile("si", F.array(lit(0.25), lit(0.75)))
-    q = v.nsi.agg(F.min("si").alias("lo"), F.max("si").alias("hi"), F.count("si").alias("n"), p.alias("p"))
-    q = q.withColumn("bins", F.ceil((c("hi") - c("lo")) / (2 * (c("p")[1] - c("p")[0]) / F.cbrt("n"))).cast("int")).withColumn("h", (c("hi") - c("lo")) / c("bins")).drop("p")
-    x = v.nsi.filter(c("si").isNotNull()).select("si").crossJoin(F.broadcast(q))
-    x = x.withColumn("bin", F.least(F.floor((c("si") - c("lo")) / c("h")), c("bins") - 1).cast("int"))
-    return x.groupBy("bin").agg(F.max("bins").alias("bins"), F.count(lit(1)).alias("k"), r6(F.count(lit(1)) / F.max(c("n") * c("h"))).alias("density"), r6(F.count(lit(1)) / F.max("n")).alias("share"))
+    q = v.nsi.agg(F.min("si").alias("lo"), F.max("si").alias("hi"), F.count("si").alias("n")).crossJoin(F.broadcast(quantiles(v.nsi, [], "si", [0.25, 0.75])))  # one row each
+    width = 2 * (c("q1") - c("q0")) / F.cbrt("n")
+    bins = {"sqrt": F.floor(F.sqrt("n")), "ten": lit(10)} | {k: f(F.try_divide(c("hi") - c("lo"), width)) for k, (_, f) in RULES.items() if f}
+    each = F.explode(F.array(*[F.struct(lit(k).alias("rule"), F.greatest(b.cast("int"), lit(1)).alias("bins")) for k, b in bins.items()]))
+    q = q.select("lo", "hi", "n", each.alias("e")).select("lo", "hi", "n", "e.*").withColumn("h", (c("hi") - c("lo")) / c("bins"))
+    x = v.nsi.filter(c("si").isNotNull()).select("si").crossJoin(F.broadcast(q))  # four rows
+    x = x.withColumn("bin", expr.bin_left(c("si"), c("lo"), c("h"), c("bins")))
+    return x.groupBy("rule", "bin").agg(F.max("bins").alias("bins"), F.count(lit(1)).alias("k"), r6(F.count(lit(1)) / F.max(c("n") * c("h"))).alias("density"), r6(F.count(lit(1)) / F.max("n")).alias("share"))
 
 
 @query("b5_calibration", "SELECT trunc(si*50)::INT AS bin, count(*) AS n, round(avg(si),6) AS predicted, round(avg(ax_pre/(ax_pre+ax_post)),6) AS seen FROM si WHERE si IS NOT NULL AND ax_pre+ax_post>0 GROUP BY 1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from arborix.functions.ranks import quantiles
 from arborix.functions.tails import p_chi2, p_f, p_t, p_z, sql_chi2, sql_f, sql_t, sql_with, sql_z
 from arborix.operators import stats
 from arborix.plans.basic import STACK, stacked
@@ -64,7 +65,7 @@ def st3(v):
 t AS (SELECT sum(n) AS n, count(*) AS k, sum(n*mean)/sum(n) AS grand, sum((n-1)*var) AS w, sum(n*mean*mean) AS q FROM m) SELECT round((q-n*grand*grand)/(k-1)/(w/(n-k)),6) AS w, k-1 AS df1, (n-k)::BIGINT AS df2 FROM t""", p=sql_f("r.w", "r.df1", "r.df2")))
 def st4(v):
     rows = v.nsi.filter(c("si").isNotNull() & c("super_class").isNotNull()).select("super_class", "si")
-    mid = rows.groupBy("super_class").agg(F.median("si").alias("mid"))
+    mid = quantiles(rows, ["super_class"], "si", [0.5]).withColumnRenamed("q0", "mid")
     z = rows.join(mid, "super_class").withColumn("z", F.abs(c("si") - c("mid")))
     out = stats.anova(stats.moments(z, "super_class", "z")).select(r6(c("f")).alias("w"), "df1", "df2")
     return with_p(out, p=p_f(c("w"), c("df1"), c("df2")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arborix.functions.lineage import stored
-from arborix.operators import joins, tables, tree
+from arborix.operators import joins, tables, tour, tree
 from arborix.plans.basic import ORDERED_IDS, identified
 from arborix.plans.registry import query
 
@@ -59,7 +59,8 @@ def fragments(v):
 
 @query("t2_heal")
 def t2(v):
-    return tree.heal(fragments(v), 60000.0).select("neuron", "u", "v", r6(c("distance")).alias("distance"))
+    """The fragments as one tree a neuron."""
+    return tree.heal(fragments(v), 16000.0).select("neuron", "node_id", "parent_id", r6(c("link")).alias("link"))
 
 
 @query("t3_reroot", """m AS (SELECT neuron, max(node_id) AS r FROM skeleton GROUP BY neuron) SELECT s.neuron, s.node_id, CASE WHEN s.node_id = r THEN -1 WHEN w.below IS NOT NULL THEN w.below ELSE s.parent_id END AS parent_id
@@ -76,7 +77,7 @@ UPWARD = """up AS (SELECT a.neuron, a.node_id, a.node_id >> k AS anc FROM skelet
 def t4(v):
     on = attached(v).groupBy("neuron", "node_id").agg(F.count_if(c("type") == "pre").alias("p"), F.count_if(c("type") == "post").alias("q"))
     t = v.skeleton.join(on, ["neuron", "node_id"], "left").fillna(0, ["p", "q"])
-    nodes, _ = tree.doubled(t, {"nodes": lit(1).cast("bigint"), "distal_pre": c("p"), "distal_post": c("q")})
+    nodes = tour.measured(t, tour.ranked(v.skeleton), {"nodes": lit(1).cast("bigint"), "distal_pre": c("p"), "distal_post": c("q")})
     return nodes.select("neuron", "node_id", "nodes", "distal_pre", "distal_post")
 
 
@@ -113,7 +114,7 @@ def t8(v):
 
 @query("t9_fragments", f"""{CONNECT}, {UPWARD}, top AS (SELECT neuron, node_id, max(anc) AS root FROM up WHERE anc % 5 = 0 OR anc = 1 GROUP BY ALL) SELECT t.neuron, t.root, count(DISTINCT t.node_id) AS nodes, count(c.contact) AS contacts FROM top t LEFT JOIN con c ON c.neuron=t.neuron AND c.node_id=t.node_id GROUP BY ALL""")
 def t9(v):
-    nodes, _ = tree.doubled(fragments(v))
+    nodes = tour.ranked(fragments(v))
     n = attached(v).groupBy("neuron", "node_id").agg(n_().alias("n"))
     return nodes.join(n, ["neuron", "node_id"], "left").groupBy("neuron", "root").agg(n_().alias("nodes"), F.coalesce(F.sum("n"), lit(0)).alias("contacts"))
 
@@ -245,7 +246,7 @@ def t18(v):
     con = attached(v)
     on = con.groupBy("neuron", "node_id").agg(F.count_if(c("type") == "pre").alias("p"))
     t = v.skeleton.join(on, ["neuron", "node_id"], "left").fillna(0, ["p"])
-    nodes, _ = tree.doubled(t, {"below": c("p")})
+    nodes = tour.measured(t, tour.ranked(v.skeleton), {"below": c("p")})
     return con.filter(c("type") == "post").join(nodes.filter(c("below") == 0).select("neuron", "node_id"), ["neuron", "node_id"]).select("neuron", "contact", "node_id")
 
 
@@ -289,8 +290,30 @@ def t19(v):
     return tree.dense(out, "base", "base_no").select("neuron", "contact", "node_id", "centroid", "base", "base_no")
 
 
-@query("t20_issues", "SELECT n.neuron, CASE WHEN s.neuron IS NULL THEN 'no skeleton' WHEN i.si IS NULL THEN 'no index' END AS issue FROM neurons n LEFT JOIN (SELECT DISTINCT neuron FROM skeleton) s ON s.neuron=n.neuron LEFT JOIN si i ON i.neuron=n.neuron WHERE s.neuron IS NULL OR i.si IS NULL")
+def damaged(v):
+    """The skeletons of which some are broken: a cycle of parents, a parent that isn't there, a node that is there twice."""
+    four = v.skeleton.filter((c("neuron") % 7 == 3) & (c("node_id") == 4)).select("neuron", lit(True).alias("four"))
+    t = v.skeleton.join(four, "neuron", "left")
+    parent = F.when(c("four") & (c("node_id") == 2), 4).when((c("neuron") % 7 == 5) & (c("node_id") == 3), 1_000_003).otherwise(c("parent_id"))
+    times = F.when((c("neuron") % 7 == 6) & (c("node_id") == 5), 2).otherwise(1)
+    return t.withColumn("parent_id", parent.cast("bigint")).withColumn("__i", F.explode(F.sequence(lit(1), times))).drop("four", "__i")
+
+
+@query("t20_issues", """i AS (SELECT n.neuron, CASE WHEN s.neuron IS NULL THEN 'no skeleton' WHEN i.si IS NULL THEN 'no index' END AS issue, NULL::BIGINT AS nodes, NULL::BIGINT AS sound
+ FROM neurons n LEFT JOIN (SELECT DISTINCT neuron FROM skeleton) s ON s.neuron=n.neuron LEFT JOIN si i ON i.neuron=n.neuron WHERE s.neuron IS NULL OR i.si IS NULL),
+four AS (SELECT neuron FROM skeleton WHERE neuron % 7 = 3 AND node_id = 4), under AS (SELECT * FROM skeleton WHERE node_id >= 2 AND neuron IN (FROM four) AND node_id >> (floor(log2(node_id))::INT - 1) = 2)
+SELECT * FROM i UNION ALL SELECT neuron, 'cycle', count(*), NULL FROM under GROUP BY neuron UNION ALL SELECT neuron, 'missing parent', 1, NULL FROM skeleton WHERE neuron % 7 = 5 AND node_id = 3
+UNION ALL SELECT neuron, 'duplicate node', 1, NULL FROM skeleton WHERE neuron % 7 = 6 AND node_id = 5
+UNION ALL SELECT s.neuron, NULL, count(*), sum(floor(log2(s.node_id)))::BIGINT FROM skeleton s WHERE s.neuron NOT IN (FROM four) AND s.neuron NOT IN (SELECT neuron FROM skeleton WHERE (neuron % 7 = 5 AND node_id = 3) OR (neuron % 7 = 6 AND node_id = 5)) GROUP BY s.neuron""")
 def t20(v):
+    """A row an issue of a neuron; neurons whose trees have none: their nodes, and the sum of these nodes' depths."""
     s = v.skeleton.select("neuron").distinct().withColumn("has", lit(True))
     issue = F.when(c("has").isNull(), "no skeleton").when(c("si").isNull(), "no index")
-    return v.neurons.select("neuron").join(s, "neuron", "left").join(v.si.select("neuron", "si"), "neuron", "left").select("neuron", issue.alias("issue")).filter(c("issue").isNotNull())
+    none = lit(None).cast("bigint")
+    out = v.neurons.select("neuron").join(s, "neuron", "left").join(v.si.select("neuron", "si"), "neuron", "left").select("neuron", issue.alias("issue"), none.alias("nodes"), none.alias("sound")).filter(c("issue").isNotNull())
+    t = stored(damaged(v), "damaged")
+    walk = tour.ranked(t)
+    broken = stored(tour.issues(t, walk), "issues")
+    nodes = tour.measured(t, walk, {}).join(broken.select("neuron").distinct(), "neuron", "left_anti")
+    sound = nodes.groupBy("neuron").agg(n_().alias("nodes"), F.sum("depth").alias("sound")).select("neuron", lit(None).cast("string").alias("issue"), "nodes", "sound")
+    return out.unionByName(broken.select("neuron", "issue", "nodes", none.alias("sound"))).unionByName(sound)

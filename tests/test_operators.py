@@ -1,15 +1,18 @@
 """Closed forms, invariants and brute force of the library's own operators."""
 
+import hashlib
 import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
-from arborix.functions import expr, tails
+from arborix.functions import expr, ranks, tails
 from arborix.functions.windows import numbered, rolling_mean
-from arborix.operators import graph, models, stats, tables, tree
+from arborix.operators import graph, joins, models, stats, tables, tour, tree
 from arborix.sources import files
 from arborix.sources.views import Views
 
@@ -125,10 +128,56 @@ def test_clusters_against_scan(spark):
     assert got == label
 
 
-def test_heal_joins_fragments(spark):
-    rows = [(1, 0, 0.0, 0.0, 0.0, -1), (1, 1, 1.0, 0.0, 0.0, 0), (1, 2, 5.0, 0.0, 0.0, -1), (1, 3, 9.0, 0.0, 0.0, -1), (2, 0, 0.0, 0.0, 0.0, -1)]
-    got = {(r["neuron"], r["u"], r["v"]) for r in tree.heal(spark.createDataFrame(rows, SCHEMA), 10.0).collect()}
-    assert got == {(1, 1, 2), (1, 2, 3)}
+def spanning(points, roots):
+    """Edges of the least spanning tree over fragments, by Kruskal: (length, u, v) with u < v."""
+    own, out = dict(roots), []
+    for d, u, v in sorted((math.dist(points[u], points[v]), u, v) for u in points for v in points if u < v):
+        if own[u] != own[v]:
+            out.append((d, u, v))
+            old, new = own[v], own[u]
+            own = {k: new if g == old else g for k, g in own.items()}
+    return out
+
+
+@pytest.mark.parametrize("ring", [0.5, 7.0, 1000.0])
+def test_heal_makes_one_tree(spark, ring):
+    """Against the least spanning tree, from any first ring."""
+    rng = np.random.default_rng(7)
+    rows, want, roots_of = [], {}, {}
+    for k, n in enumerate((1, 12, 40, 30)):
+        ids = rng.permutation(100)[:n].tolist()
+        t = parents("random", n, rng)
+        t = {ids[a]: -1 if b < 0 or (k and rng.random() < 0.3) else ids[b] for a, b in t.items()}
+        points = {a: rng.normal(0, 9, 3) * (40 if a % 11 == 0 else 1) for a in t}
+        if k == 3:
+            t[ids[5]] = 5555  # a lost parent makes a root
+        root = {}
+        for a in t:
+            at = a
+            while t[at] in t:
+                at = t[at]
+            root[a] = at
+        rows += [(k, a, *map(float, points[a]), b) for a, b in t.items()]
+        want[k], roots_of[k] = spanning(points, root), root
+    rows += [(9, 1, 0.0, 0.0, 0.0, 2), (9, 2, 1.0, 0.0, 0.0, 1), (9, 3, 5.0, 0.0, 0.0, -1), (9, 4, 7.0, 0.0, 0.0, -1)]
+    got = tree.heal(spark.createDataFrame(rows, SCHEMA).repartition(4), ring).collect()
+    assert len(got) == len(rows)
+    for k, edges in want.items():
+        mine = [r for r in got if r["neuron"] == k]
+        up = {r["node_id"]: r["parent_id"] for r in mine}
+        assert {(min(a, b), max(a, b)) for a, b in up.items() if b in up} == {(min(a, b), max(a, b)) for _, a, _, _, _, b in (r[:6] for r in rows if r[0] == k) if b in up} | {(u, v) for _, u, v in edges}
+        assert np.allclose(sorted(r["link"] for r in mine if r["link"] is not None), [d for d, _, _ in edges])
+        (top,) = [a for a, b in up.items() if b not in up]
+        sizes = {g: list(roots_of[k].values()).count(g) for g in roots_of[k].values()}
+        assert top == min(sizes, key=lambda g: (-sizes[g], g))
+        for a in up:  # every way ends at the root
+            steps = 0
+            while up[a] in up:
+                a, steps = up[a], steps + 1
+                assert steps < 200
+            assert a == top
+    # a cycle stays as it is beside what can be healed
+    assert {(r["node_id"], r["parent_id"]) for r in got if r["neuron"] == 9} == {(1, 2), (2, 1), (3, -1), (4, 3)}
 
 
 def test_split_of_a_plain_neuron(spark):
@@ -243,3 +292,141 @@ def test_statistics_of_equal_or_few_values(spark, rows):
     low = F.lit(1.0)
     got = df.select(expr.bin_right(F.col("x"), low, F.lit(0.0), 5).alias("r"), expr.bin_left(F.col("x"), low, F.lit(0.0), 5).alias("l"), "x").collect()
     assert all((r.r, r.l) == ((0, 0) if r.x is not None else (None, None)) for r in got)
+
+
+def parents(kind, n, rng):
+    if kind == "chain":
+        return {i: i - 1 if i else -1 for i in range(n)}
+    if kind == "star":
+        return {i: 0 if i else -1 for i in range(n)}
+    return {i: int(rng.integers(0, i)) if i else -1 for i in range(n)}
+
+
+@pytest.mark.parametrize("chunk,task", [(4096, 100_000), (8, 50), (3, 7)])
+def test_tours(spark, monkeypatch, chunk, task):
+    """Ranks, depths, distances and sums against plain walks, whatever the chunks; cycles and lost parents keep to their neuron."""
+    monkeypatch.setattr(tour, "CHUNK", chunk)
+    monkeypatch.setattr(tour, "TASK", task)
+    rng = np.random.default_rng(chunk)
+    forest = {k: parents(kind, n, rng) for k, (kind, n) in enumerate([("chain", 40), ("star", 30), ("random", 60), ("random", 25), ("random", 33), ("chain", 9), ("chain", 1)])}
+    ids = {k: rng.permutation(500)[:len(t)].tolist() for k, t in forest.items()}  # parents may have larger ids
+    forest = {k: {ids[k][a]: ids[k][b] if b >= 0 else -1 for a, b in t.items()} for k, t in forest.items()}
+    forest[4][ids[4][3]] = 7000  # no such node
+    forest[5][ids[5][2]] = ids[5][6]  # 2 hangs from 6, 6 is below 2
+    rows = [(k, a, b, *map(float, rng.integers(0, 9, 3)), int(rng.integers(0, 5))) for k, t in forest.items() for a, b in t.items()]
+    df = spark.createDataFrame(rows, "neuron bigint, node_id bigint, parent_id bigint, x double, y double, z double, w int").repartition(5)
+    made = tour.ranked(df)
+    spot = {(r[0], r[1]): r for r in rows}
+    chains = {}
+    for k, t in forest.items():
+        for a in t:
+            way, at = [a], a
+            while t[at] in t and len(way) <= len(t):
+                way.append(at := t[at])
+            if len(way) <= len(t):
+                chains[k, a] = way
+    got = {(r.neuron, r.node_id): r for r in tour.measured(df, made, {"nodes": F.lit(1).cast("bigint"), "w": F.col("w").cast("bigint")}, lengths=True).collect()}
+    assert set(got) == set(chains)
+    away = lambda k, a, b: np.linalg.norm(np.subtract(spot[k, a][3:6], spot[k, b][3:6]))
+    for (k, a), way in chains.items():
+        r = got[k, a]
+        under = [v for (q, v), w in chains.items() if q == k and a in w]
+        assert (r.root, r.depth, r.nodes, r.w) == (way[-1], len(way) - 1, len(under), sum(spot[k, v][6] for v in under))
+        assert abs(r.root_distance - sum(away(k, p, q) for p, q in zip(way, way[1:]))) < 1e-9
+    some = [(k, a, b) for k, t in forest.items() for a in t for b in t if rng.random() < 0.2]
+    for r in tour.below(spark.createDataFrame(some, "neuron bigint, u bigint, v bigint"), made, "u", "v", "has").collect():
+        assert r.has == ((r.neuron, r.v) in chains and r.u in chains[r.neuron, r.v])
+    starts = {k: max(a for q, a in chains if q == k) for k in forest if any(q == k for q, _ in chains)}
+    ways = {(r.neuron, r.node_id): r.below for r in tour.way_up(made, spark.createDataFrame(list(starts.items()), "neuron bigint, node_id bigint")).collect()}
+    assert ways == {(k, b): (chains[k, a][i - 1] if i else None) for k, a in starts.items() for i, b in enumerate(chains[k, a])}
+    twice = df.unionByName(df.filter((F.col("neuron") == 3) & (F.col("node_id") == ids[3][5])))
+    lost = sum(1 for a in forest[5] if (5, a) not in chains)
+    assert {(r.neuron, r.issue, r.nodes) for r in tour.issues(twice, tour.ranked(twice)).collect()} == {(4, "missing parent", 1), (5, "cycle", lost), (3, "duplicate node", 1)}
+    turned = {(r.neuron, r.node_id): r.parent_id for r in tree.reroot(df.select("neuron", "node_id", "parent_id"), spark.createDataFrame(list(starts.items()), "neuron bigint, node_id bigint")).collect()}
+    for k, a in starts.items():
+        way = chains[k, a]
+        want = dict(forest[k]) | {a: -1} | {b: way[i] for i, b in enumerate(way[1:])}
+        assert {q[1]: p for q, p in turned.items() if q[0] == k} == want
+
+
+def test_tour_of_nothing(spark):
+    df = spark.createDataFrame([], "neuron bigint, node_id bigint, parent_id bigint, x double, y double, z double")
+    assert tour.ranked(df).count() == 0 and tour.issues(df, tour.ranked(df)).count() == 0
+
+
+def test_running_sums_and_quantiles(spark):
+    """Against plain sorting, with nulls, ties and null groups."""
+    rng = np.random.default_rng(2)
+    rows = [(["a", "b", None][int(rng.integers(0, 3))], None if rng.random() < 0.1 else float(rng.integers(0, 40)) / 4, i) for i in range(3000)] + [("hot", 1.0, i) for i in range(9000, 12000)] + [("none", None, 1), ("one", 2.5, 2)]
+    df = spark.createDataFrame(rows, "g string, v double, i bigint").repartition(6)
+    shares = [0.0, 0.025, 0.3, 0.5, 0.999, 1.0]
+    got = {r["g"]: r for r in ranks.quantiles(df, ["g"], "v", shares).collect()}
+    for g in {r[0] for r in rows}:
+        v = [r[1] for r in rows if r[0] == g and r[1] is not None]
+        want = np.quantile(v, shares) if v else [None] * len(shares)
+        assert all((a is None and b is None) or abs(a - b) < 1e-12 for a, b in zip(got[g][1:], want, strict=True))
+    (all_,) = ranks.quantiles(df, [], "v", shares).collect()
+    assert np.allclose(all_, np.quantile([r[1] for r in rows if r[1] is not None], shares))
+    assert ranks.quantiles(df.limit(0), ["g"], "v", shares).count() == 0
+    for n in (1, 2, 37, 632):
+        v = np.round(rng.normal(0, 100, n), 6)
+        (q,) = ranks.quantiles(spark.createDataFrame([(float(x),) for x in v], "v double"), [], "v", shares).collect()
+        assert np.allclose(q, np.quantile(v, shares))
+    big = spark.range(200_000).select((F.col("id") * 7919 % 200_003).cast("double").alias("v"))
+    (q,) = ranks.quantiles(big, [], "v", [0.25, 0.7531]).collect()
+    assert np.allclose(q, np.quantile((np.arange(200_000) * 7919 % 200_003).astype(float), [0.25, 0.7531]))
+    got = {r["i"]: (r["before"], r["ahead"]) for r in ranks.running(df.filter("g = 'a'"), ["g"], ["v", "i"], {"before": F.lit(1), "ahead": F.coalesce("v", F.lit(0.0))}).collect()}
+    mine = sorted((r for r in rows if r[0] == "a"), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+    ahead = 0.0
+    for k, r in enumerate(mine):
+        assert got[r[2]][0] == k and abs(got[r[2]][1] - ahead) < 1e-6
+        ahead += r[1] or 0.0
+    got = {r["i"]: r["tied_rank"] for r in ranks.tied_ranks(df.filter("g IS NULL"), "v", ["g"]).collect()}
+    mine = sorted(r[1] for r in rows if r[0] is None and r[1] is not None)
+    for r in rows:
+        if r[0] is None and r[1] is not None:
+            assert got[r[2]] == mine.index(r[1]) + (mine.count(r[1]) + 1) / 2
+
+
+def test_grid_pairs_and_gaps(spark):
+    """Against all pairs; points on the edges of cells too."""
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(0, 3)), i, int(rng.integers(0, 4)), *[float(x) for x in np.round(rng.normal(0, 6, 3) * 2) / 2]) for i in range(150)]
+    df = spark.createDataFrame(rows, "g bigint, id bigint, c bigint, x double, y double, z double").repartition(3)
+    b = df.select("g", F.col("id").alias("id2"), F.col("c").alias("c2"), *[F.col(k).alias(f"{k}2") for k in "xyz"])
+    for radius, strict in ((1.0, False), (2.5, True), (40.0, False)):
+        got = sorted((r["id"], r["id2"]) for r in joins.grid_pairs(df, b, "g", radius, list("xyz"), ["x2", "y2", "z2"], strict).collect())
+        assert got == sorted((p[1], q[1]) for p in rows for q in rows if p[0] == q[0] and (math.dist(p[3:], q[3:]) < radius if strict else math.dist(p[3:], q[3:]) <= radius))
+    apart = joins.grid_pairs(df, b, "g", 2.0, list("xyz"), ["x2", "y2", "z2"], apart=("c", "c2")).count()
+    assert apart == sum(1 for p in rows for q in rows if p[0] == q[0] and p[2] != q[2] and math.dist(p[3:], q[3:]) <= 2)
+    for gap in (0.5, 3.0, 9.0):
+        want = {}
+        for p in rows:
+            for q in rows:
+                if p[0] == q[0] and p[2] < q[2]:
+                    want[p[0], p[2], q[2]] = min(want.get((p[0], p[2], q[2]), 1e9), math.dist(p[3:], q[3:]))
+        got = {(r["g"], r["c1"], r["c2"]): r["distance"] for r in joins.group_gaps(df, "g", "c", list("xyz"), gap).collect()}
+        want = {k: d for k, d in want.items() if d < gap}
+        assert set(got) == set(want) and all(abs(got[k] - d) < 1e-9 for k, d in want.items())
+
+
+def test_draws_with_replacement(spark):
+    rows = [("a", i) for i in range(10)] + [("b", i) for i in range(500)] + [(None, 1)]
+    got = models.balanced(spark.createDataFrame(rows, "g string, i bigint").repartition(3), "g", 40, ["i"]).collect()
+    for g, n in (("a", 10), ("b", 500)):
+        draws = {r["i"]: r["draws"] for r in got if r["g"] == g}
+        assert sum(draws.values()) == 40
+        assert draws == Counter(int(hashlib.md5(f"42:{g}:{k}".encode()).hexdigest()[:15], 16) % n for k in range(40))
+    assert max(r["draws"] for r in got) > 1 and {r["g"] for r in got} == {"a", "b"}
+
+
+def test_least_squares_by_class(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(1000, 3, (80, 2))
+    y = x @ [2.0, -1.0] + np.where(np.arange(80) % 2, 5, 9) + rng.normal(0, 0.1, 80)
+    df = spark.createDataFrame([("ab"[i % 2], *map(float, (*x[i], y[i]))) for i in range(80)], "g string, a double, b double, y double")
+    for r in models.least_squares(df, ["a", "b"], "y", "g").collect():
+        m = np.arange(80) % 2 == "ab".index(r["g"])
+        want = np.linalg.lstsq(np.column_stack([x[m], np.ones(m.sum())]), y[m], rcond=None)[0]
+        assert np.allclose([*r["weights"], r["constant"]], want, atol=1e-6)
+    assert len(models.least_squares(df, ["a", "b"], "y").collect()) == 1 and models.least_squares(df.limit(0), ["a"], "y", "g").collect() == []
