@@ -10,6 +10,7 @@ from arborix.functions.lineage import shared_dir, stored
 from arborix.operators import tables
 from arborix.plans.registry import query
 from arborix.sources import files
+from arborix.sources.arrow_files import register
 
 c, lit = F.col, F.lit
 
@@ -52,7 +53,11 @@ def src3(v):
 
 @query("src4_columnar_scan", "SELECT npil, sum(size)::BIGINT AS total FROM syn GROUP BY npil")
 def src4(v):
-    return stored(v.syn, "contacts").groupBy("npil").agg(F.sum("size").alias("total"))
+    """From Feather files, of which two columns are read."""
+    register(v.spark)
+    path = folder(v, "contacts-feather")
+    v.syn.select("pre", "post", "pre_x", "npil", "size").write.format("arrow_ipc").mode("append").save(path)
+    return v.spark.read.format("arrow_ipc").option("columns", "npil,size").load(path).groupBy("npil").agg(F.sum("size").alias("total"))
 
 
 @query("src5_ranked_files", " SELECT neuron AS root_id, avg(o_totalprice) FILTER (m=0)::DECIMAL(18,4)::DOUBLE AS visual_layer, avg(o_totalprice) FILTER (m=1)::DECIMAL(18,4)::DOUBLE AS olfactory_layer FROM (SELECT o_custkey % (SELECT k FROM k) AS neuron, o_orderkey % 2 AS m, o_totalprice FROM orders, k) GROUP BY 1")
@@ -104,13 +109,19 @@ def src8(v):
     return v.spark.read.parquet(path).groupBy(c("batch").cast("bigint").alias("batch")).agg(n_().alias("n"), F.sum("size").alias("total"))
 
 
-@query("src9_new_batches", "SELECT pre, post, size FROM syn WHERE pre % 4 IN (2, 3)")
+@query("src9_new_batches", "SELECT pre % 4 AS batch, pre % 4 IN (2, 3) AS new, count(*) AS n, sum(size)::BIGINT AS total FROM syn GROUP BY ALL")
 def src9(v):
+    """Batches 0 and 1 are written, 1 twice; then those that the table lacks; new: which these are."""
     path = folder(v, "done")
     rows = v.syn.withColumn("batch", c("pre") % 4)
-    rows.filter(c("batch") < 2).write.partitionBy("batch").parquet(path)
+    files.add_batches(rows.filter(c("batch") < 2), path, "batch")
+    files.add_batches(rows.filter(c("batch") == 1), path, "batch")
     done = v.spark.read.parquet(path).select(c("batch").cast("bigint").alias("batch"))
-    return files.new_batches(rows, done, "batch").select("pre", "post", "size")
+    new = stored(files.new_batches(rows, done, "batch"), "new-batches")
+    files.add_batches(new, path, "batch")
+    had = F.broadcast(new.select("batch").distinct().withColumn("new", lit(True)))  # a row a batch
+    out = v.spark.read.parquet(path).withColumn("batch", c("batch").cast("bigint")).join(had, "batch", "left")
+    return out.groupBy("batch", F.coalesce("new", lit(False)).alias("new")).agg(n_().alias("n"), F.sum("size").alias("total"))
 
 
 @query("snk1_bucketed_table", "SELECT pre, post, sum_syn, reciprocal FROM conn")

@@ -44,6 +44,12 @@ def new_batches(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return inputs.join(done.select(key).distinct(), key, "left_anti")
 
 
+def add_batches(inputs: DataFrame, path: str, key: str) -> None:
+    """Writes rows to a table with a folder for each value of ``key``: the folders of values among the rows are replaced, the others stay, so a batch that is
+    written again leaves the table as it was."""
+    inputs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
 def voxel(x: Column, size: int) -> Column:
     return (x / size).cast("bigint")
 
