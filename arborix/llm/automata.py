@@ -21,14 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored, text_or_empty
+from .common import give_back, small, stored, text_or_empty
 from .suffix import C, _fold, _slide, merged
 
 LENGTH = 50
 #: Bytes of texts that are hashed at a time, and windows of a stretch.
 SLICE, STRETCH = 1 << 20, 2048
 #: Words of a shard's passages, and of the stretches that one task streams through an automaton, about.
-SHARD_WORDS, TASK_WORDS = 100_000, 1_000_000
+SHARD_WORDS, TASK_WORDS = 50_000, 300_000
 NONE = -(1 << 62)  # stands for a null id: smaller than all
 
 
@@ -122,6 +122,12 @@ def runs_over_anchors(hashes: np.ndarray, sizes: np.ndarray, length: int) -> tup
     return text[heads], at[heads] - start[text[heads]], n, (key[heads] ^ (key[heads] >> np.uint64(31))) * C[3]
 
 
+def _free() -> None:
+    """Hands back what a task has freed, as a worker goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    give_back()
+
+
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
     sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
     at, held = 0, 0
@@ -153,6 +159,7 @@ def _anchors(length: int):
                 rows = pa.array(which + s)
                 yield pa.RecordBatch.from_arrays([_signed(key), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
                                                  names=["key", "doc", "th", "at", "n"])
+        _free()
     return run
 
 
@@ -162,9 +169,13 @@ def _stretches(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, th, spots, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = text.split()
-                spots = sorted((x["at"], x["n"], x["key"]) for x in spots)
+            flat = batch.column(2).flatten()
+            flat = [flat.field(i).to_numpy() for i in range(3)]
+            ends = np.cumsum(pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))
+            for row, (doc, th, end) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends.tolist(), strict=True)):
+                words = batch.column(3)[row].as_py().split()
+                start = int(ends[row - 1]) if row else 0
+                spots = sorted(zip(*(x[start:end].tolist() for x in flat), strict=True))
                 held: list[tuple[int, int, int]] = []
 
                 def give():
@@ -181,6 +192,7 @@ def _stretches(length: int):
                     yield _stretch_batch(rows)
                     rows = []
             yield _stretch_batch(rows)
+        _free()
     return run
 
 
@@ -202,6 +214,7 @@ def _windows(length: int):
                 which = np.repeat(np.arange(len(texts)), n)
                 number = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
                 yield pa.RecordBatch.from_arrays([_signed(w[start[which] + number]), pa.array(doc[s + which]), pa.array(sid[s + which] + number)], names=["w", "doc", "place"])
+        _free()
     return run
 
 
@@ -316,6 +329,8 @@ def _streamed(length: int):
                 spans = np.concatenate(spans)
                 if len(spans):
                     rows.append((doc, th, spans.reshape(-1).tolist()))
+            del automaton
+            _free()
         return pd.DataFrame(rows, columns=["doc", "th", "spans"])
     return run
 
@@ -325,8 +340,8 @@ def _result(length: int):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
         for batch in batches:
             rows = []
-            for doc, text, copy, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = text.split()
+            for doc, text, copy, spans in zip(*batch.columns, strict=True):  # a text at a time
+                doc, copy, spans, words = doc.as_py(), copy.as_py(), spans.as_py(), text.as_py().split()
                 if copy and len(words) >= length:
                     runs = np.array([[0, len(words)]])
                 else:
@@ -337,12 +352,17 @@ def _result(length: int):
                 gone = int((runs[:, 1] - runs[:, 0]).sum())
                 rows.append((doc, len(words) + gone, gone, hashlib.sha256(b" ".join(words)).hexdigest(), runs.reshape(-1).tolist()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 5, kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
+        _free()
     return run
 
 
-def _small(df: DataFrame, array: str, most: int = 2_000_000) -> DataFrame:
+#: Keys, and rows with arrays and entries of these, that are broadcast at most (some 32 and 80 MB).
+KEYS, ROWS, ENTRIES = 1_000_000, 500_000, 2_000_000
+
+
+def _small(df: DataFrame, array: str, most: int = ENTRIES) -> DataFrame:
     """As ``small``, for rows whose weight is an array: its entries are bounded too."""
-    return small(df) if (df.agg(F.sum(F.size(array))).first()[0] or 0) <= most else df
+    return small(df, ROWS) if (df.agg(F.sum(F.size(array))).first()[0] or 0) <= most else df
 
 
 def remove_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -361,7 +381,7 @@ def remove_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # stretches over anchors that several documents have
     runs = stored(own.mapInArrow(_anchors(length), "key bigint, doc bigint, th bigint, at int, n int"), "span-anchors")
     shared = runs.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("key")
-    spots = runs.join(small(stored(shared, "span-shared")), "key", "left_semi").groupBy("doc", "th").agg(F.collect_set(F.struct("at", "n", "key")).alias("spots"))
+    spots = runs.join(small(stored(shared, "span-shared"), KEYS), "key", "left_semi").groupBy("doc", "th").agg(F.collect_set(F.struct("at", "n", "key")).alias("spots"))
     spots = _small(stored(spots, "span-spots"), "spots").withColumnsRenamed({"doc": "_doc", "th": "_th"})
     same = (F.col("doc") == F.col("_doc")) & (F.col("th") == F.col("_th"))
     parts = own.join(spots, same).select("doc", "th", "spots", "text").mapInArrow(_stretches(length), "doc bigint, th bigint, at int, words binary, keys array<bigint>, firsts array<int>, counts array<int>")
