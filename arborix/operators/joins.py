@@ -92,20 +92,18 @@ def nearest(left: DataFrame, right: DataFrame, group: str, key: str, node: str,
     return found
 
 
-def value_at(points: DataFrame, point: str, rows: DataFrame, x: str, value: str, step: float) -> DataFrame:
-    """For each point the value of the row whose x is nearest (ties: the lowest x).
-
-    The rows' nearest below and above each point are aggregates over grid cells of width ``step``: a point keeps to
-    the last filled cell at or below it and the first at or above it."""
-    cells = rows.filter(F.col(x).isNotNull()).groupBy(F.floor(F.col(x) / step).alias("cell")).agg(
-        F.sort_array(F.collect_set(F.struct(F.col(x).alias("x"), F.col(value).alias("v")))).alias("all"))
-    p = points.select(point, F.floor(F.col(point) / step).alias("__p"))
-    side = cells.crossJoin(F.broadcast(p))  # points are a given list; cells are one per step of x
-    below = F.max(F.when(F.col("cell") < F.col("__p"), F.struct("cell", "all")))
-    above = F.min(F.when(F.col("cell") > F.col("__p"), F.struct("cell", "all")))
-    own = F.max(F.when(F.col("cell") == F.col("__p"), F.col("all")))
-    empty = F.array().cast("array<struct<x:double,v:double>>")
-    g = side.groupBy(point).agg(below.alias("b"), above.alias("a"), own.alias("o"))
-    every = F.concat(F.coalesce("b.all", empty), F.coalesce("o", empty), F.coalesce("a.all", empty))
-    best = F.array_min(F.transform(every, lambda s: F.struct(F.abs(s["x"] - F.col(point)).alias("d"), s["x"].alias("x"), s["v"].alias("v"))))
-    return g.select(point, best["x"].alias("nearest"), best["v"].alias("value"))
+def value_at(points: DataFrame, point: str, rows: DataFrame, x: str, value: str) -> DataFrame:
+    """For each point (a given list, a thousand at most) the value of the row whose x is nearest (ties: the lowest x): point, nearest, value.
+
+    Between two neighbouring points only the rows of least and of greatest x can be nearest to any, so these, one aggregation, are all that is looked at."""
+    at = sorted({r[0] for r in points.select(point).limit(1001).collect()})
+    if len(at) > 1000:
+        raise ValueError("too many points for a list")
+    c = F.col
+    cell = F.lit(0)
+    for p in at:
+        cell = cell + (c(x) >= F.lit(p)).cast("int")
+    ends = rows.filter(c(x).isNotNull()).groupBy(cell.alias("cell")).agg(*[F.struct(f(x).alias("x"), g(value, x).alias("v")).alias(n) for n, f, g in (("lo", F.min, F.min_by), ("hi", F.max, F.max_by))])
+    ends = ends.select(F.explode(F.array("lo", "hi")).alias("e")).select("e.*")  # two rows a cell
+    best = F.min(F.struct(F.abs(c("x") - c(point)).alias("d"), c("x"), c("v")))
+    return ends.crossJoin(F.broadcast(points)).groupBy(point).agg(best.alias("m")).select(point, c("m.x").alias("nearest"), c("m.v").alias("value"))

@@ -312,7 +312,7 @@ SELECT round(point::DOUBLE,2) AS point, arg_min(si, (abs(si-point::DOUBLE), si))
 def j19(v):
     x = v.nsi.filter(c("si").isNotNull()).groupBy("si").agg(F.max("length_nm").alias("length_nm"))
     p = v.spark.range(21).select(F.round(c("id") * 5 / 100.0, 2).alias("point"))
-    return joins.value_at(p, "point", x, "si", "length_nm", 0.05)
+    return joins.value_at(p, "point", x, "si", "length_nm")
 
 
 @query("j20_table_comparison", """a AS (SELECT regexp_replace(npil,'_[LR]$','') AS region, count(*) AS n FROM typed WHERE size<25 GROUP BY 1), b AS (SELECT regexp_replace(npil,'_[LR]$','') AS region, count(*) AS m FROM typed WHERE size>=25 GROUP BY 1)
@@ -470,33 +470,34 @@ def w1(v):
 BAND = 400
 
 
-@query("w2_centred_band", """x AS (SELECT super_class, neuron, si, length_nm, row_number() OVER (PARTITION BY super_class ORDER BY length_nm, neuron) AS i, count(*) OVER (PARTITION BY super_class) AS n FROM nsi WHERE si IS NOT NULL AND super_class IS NOT NULL),
-w AS (SELECT *, greatest(3, least(floor(n/30), 400))::BIGINT AS w FROM x), o AS (SELECT *, w - 1 - (w-1)//2 AS back, (w-1)//2 AS ahead FROM w)
-SELECT a.super_class, a.neuron, round(avg(b.si),6) AS mean, round(stddev_samp(b.si),6) AS sd, round(avg(b.si)-1.96*stddev_samp(b.si)/sqrt(any_value(a.w)),6) AS low, round(avg(b.si)+1.96*stddev_samp(b.si)/sqrt(any_value(a.w)),6) AS high
-FROM o a JOIN o b ON a.super_class=b.super_class AND b.i BETWEEN a.i-a.back AND a.i+a.ahead GROUP BY a.super_class, a.neuron HAVING count(*) = any_value(a.w)""")
+@query("w2_centred_band", f"""x AS (SELECT super_class, neuron, si, length_nm, row_number() OVER (PARTITION BY super_class ORDER BY length_nm, neuron) AS i, count(*) OVER (PARTITION BY super_class) AS n FROM nsi WHERE si IS NOT NULL AND super_class IS NOT NULL),
+w AS (SELECT *, greatest(3, least(floor(n/30), {BAND}))::BIGINT AS w FROM x), o AS (SELECT *, w - 1 - (w-1)//2 AS back, (w-1)//2 AS ahead FROM w),
+r AS (SELECT a.super_class, a.neuron, a.i, avg(b.si) AS m, stddev_samp(b.si) AS s, 1.96*stddev_samp(b.si)/sqrt(any_value(a.w)) AS half
+FROM o a JOIN o b ON a.super_class=b.super_class AND b.i BETWEEN a.i-a.back AND a.i+a.ahead GROUP BY a.super_class, a.neuron, a.i HAVING count(*) = any_value(a.w)),
+t AS (SELECT *, CASE WHEN count(*) OVER three = 3 THEN avg(half) OVER three END AS band FROM r WINDOW three AS (PARTITION BY super_class ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))
+SELECT super_class, neuron, round(m,6) AS mean, round(s,6) AS sd, round(m-band,6) AS low, round(m+band,6) AS high FROM t""")
 def w2(v):
-    """Mean, deviation and 95 % band of a centred window per class: a thirtieth of its rows, 3 at least and BAND at most."""
+    """Mean, deviation and 95 % band of a centred window per class: a thirtieth of its rows, 3 at least and BAND at most; the band's width is the mean of those of a
+    row and its neighbours, null at the ends.  A window's sums are differences of two running sums."""
     x = v.nsi.filter(c("si").isNotNull() & c("super_class").isNotNull()).select("super_class", "neuron", "si", "length_nm")
-    n = x.groupBy("super_class").agg(F.count(lit(1)).alias("n"))
-    x = numbered(x, F.floor(F.log2(F.greatest(c("length_nm"), lit(1))) * 64), [c("length_nm"), c("neuron")], "i", 1, ("super_class",))
-    # rows go to the blocks of BAND places that a window over them can start or end in, so a task holds three blocks at most
-    home = F.floor((c("i") - 1) / BAND)
-    dealt = x.withColumn("block", F.explode(F.sequence(home - 1, home + 1)))
-    g = dealt.groupBy("super_class", "block").agg(F.sort_array(F.collect_list(F.struct("i", "si", "neuron"))).alias("all")).join(F.broadcast(n), "super_class")  # a row a class
-    g = g.withColumn("w", F.greatest(lit(3), F.least(F.floor(c("n") / 30), lit(BAND))).cast("int")).withColumn("ahead", F.floor((c("w") - 1) / 2).cast("int"))
-    first, back = F.element_at("all", 1)["i"], c("w") - 1 - c("ahead")
-    whole = lambda e: (F.floor((e["i"] - 1) / BAND) == c("block")) & (e["i"] > back) & (e["i"] + c("ahead") <= c("n"))
-
-    def sums(e):  # differences to the middle row, so that squares stay small
-        part = F.slice("all", (e["i"] - back - first + 1).cast("int"), c("w"))
-        step = lambda a, r: F.struct((a["s"] + r["si"] - e["si"]).alias("s"), (a["q"] + (r["si"] - e["si"]) * (r["si"] - e["si"])).alias("q"))
-        return F.struct(e["neuron"].alias("neuron"), e["si"].alias("si"), F.aggregate(part, F.struct(lit(0.0).alias("s"), lit(0.0).alias("q")), step).alias("sum"))
-
-    out = g.select("super_class", "w", F.explode(F.transform(F.filter("all", whole), sums)).alias("x"))
-    s, q = c("x.sum.s"), c("x.sum.q")
-    out = out.select("super_class", "w", "x.neuron", (c("x.si") + s / c("w")).alias("m"), F.sqrt(F.greatest(lit(0.0), q - s * s / c("w")) / (c("w") - 1)).alias("s"))
-    half = 1.96 * c("s") / F.sqrt("w")
-    return out.select("super_class", "neuron", r6(c("m")).alias("mean"), r6(c("s")).alias("sd"), r6(c("m") - half).alias("low"), r6(c("m") + half).alias("high"))
+    n = x.groupBy("super_class").agg(F.count(lit(1)).alias("n"), F.avg("si").alias("mid"))  # a row a class
+    x = x.join(F.broadcast(n), "super_class").withColumn("d", c("si") - c("mid"))
+    x = running(x, ["super_class"], ["length_nm", "neuron"], {"i": lit(1).cast("bigint"), "s": c("d"), "q": c("d") * c("d")})
+    w = F.greatest(lit(3), F.least(F.floor(c("n") / 30), lit(BAND)))
+    x = x.withColumn("w", w).withColumn("ahead", F.floor((c("w") - 1) / 2)).withColumn("back", c("w") - 1 - c("ahead"))
+    x = x.select("super_class", "neuron", "i", "n", "mid", "w", "ahead", "back", "s", "q", "d")
+    low = x.select(c("super_class").alias("k1"), c("i").alias("i1"), c("s").alias("s1"), c("q").alias("q1"))
+    high = x.select(c("super_class").alias("k2"), c("i").alias("i2"), (c("s") + c("d")).alias("s2"), (c("q") + c("d") * c("d")).alias("q2"))
+    full = x.filter((c("i") >= c("back")) & (c("i") + c("ahead") < c("n"))).drop("s", "q", "d")
+    full = full.join(low, (c("super_class") == c("k1")) & (c("i") - c("back") == c("i1"))).join(high, (c("super_class") == c("k2")) & (c("i") + c("ahead") == c("i2")))
+    s, q = c("s2") - c("s1"), c("q2") - c("q1")
+    full = full.select("super_class", "neuron", "i", "w", (c("mid") + s / c("w")).alias("m"), F.sqrt(F.greatest(lit(0.0), q - s * s / c("w")) / (c("w") - 1)).alias("s"))
+    # each row's width goes to its own place and to those beside it
+    to = F.explode(F.array(*[lit(k) for k in (-1, 0, 1)]))
+    near = full.withColumn("half", 1.96 * c("s") / F.sqrt("w")).withColumn("to", to)
+    own = lambda x: F.max(F.when(c("to") == 0, c(x))).alias(x)
+    out = near.groupBy("super_class", (c("i") + c("to")).alias("i")).agg(own("neuron"), own("m"), own("s"), F.when(F.count(lit(1)) == 3, F.avg("half")).alias("band")).filter(c("m").isNotNull())
+    return out.select("super_class", "neuron", r6(c("m")).alias("mean"), r6(c("s")).alias("sd"), r6(c("m") - c("band")).alias("low"), r6(c("m") + c("band")).alias("high"))
 
 
 @query("w3_ecdf", "SELECT super_class, neuron, si, round(row_number() OVER (PARTITION BY super_class ORDER BY si, neuron)/count(*) OVER (PARTITION BY super_class),6) AS ecdf, round(sum(si) OVER (PARTITION BY super_class ORDER BY si, neuron),6) AS running FROM nsi WHERE si IS NOT NULL")

@@ -8,7 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arborix.functions import expr
-from arborix.operators import tables
+from arborix.functions.ranks import running
+from arborix.functions.windows import rolling_mean
+from arborix.operators import joins, tables
 from arborix.plans.basic import INTRINSIC, STACK, T4, stacked
 from arborix.plans.registry import query
 
@@ -262,6 +264,42 @@ def d24(v):
     return m.groupBy(F.round(c("k") * 5 / 100.0, 2).alias("point"), F.concat(letter(1, "i"), letter(2, "j")).alias("label")).agg(F.sum("n").alias("n"))
 
 
+#: The rolling mean's window over distinct indexes, and the points of the sweep.
+WIDTH, POINTS = 50, 21
+
+
+def _rolled(y):
+    return f"(SELECT si, CASE WHEN row_number() OVER (ORDER BY si) >= {WIDTH} THEN avg(y) OVER (ORDER BY si ROWS BETWEEN {WIDTH - 1} PRECEDING AND CURRENT ROW) END AS roll FROM (SELECT si, avg({y}) * 100 AS y FROM ok WHERE si IS NOT NULL AND {y} IS NOT NULL GROUP BY si))"
+
+
+@query("d24b_correctness_sweep", f"""ok AS (SELECT neuron, si, CASE WHEN ax_pre+ax_post>0 THEN ax_pre/(ax_pre+ax_post) END AS a, CASE WHEN de_pre+de_post>0 THEN de_post/(de_pre+de_post) END AS d FROM si),
+p AS (SELECT unnest(range({POINTS}))*5/100.0::DOUBLE AS point), ta AS (SELECT point, arg_min(coalesce(roll, 1e300), (abs(si-point), si)) AS a FROM p, {_rolled("a")} GROUP BY point), td AS (SELECT point, arg_min(coalesce(roll, 1e300), (abs(si-point), si)) AS d FROM p, {_rolled("d")} GROUP BY point),
+m AS (SELECT t.point, (CASE comp[1] WHEN 'A' THEN CASE WHEN o.a*100 > t.a THEN 'A' ELSE 'M' END ELSE CASE WHEN o.d*100 > u.d THEN 'D' ELSE 'M' END END) || (CASE comp[2] WHEN 'A' THEN CASE WHEN q.a*100 > t.a THEN 'A' ELSE 'M' END ELSE CASE WHEN q.d*100 > u.d THEN 'D' ELSE 'M' END END) AS label
+ FROM typed c JOIN ok o ON o.neuron=c.pre JOIN ok q ON q.neuron=c.post, ta t JOIN td u ON u.point=t.point WHERE t.point > 0),
+g AS (SELECT point, label, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT 0, comp, count(*) FROM typed GROUP BY comp)
+SELECT round(point,2) AS point, label, n, round(n/sum(n) OVER (PARTITION BY point),6) AS share FROM g""")
+def d24b(v):
+    """Types relabelled M where an end's neuron is no more correct than the rolling mean at the index nearest to a point; at point 0 the types themselves.
+
+    Which points a neuron's axon and dendrite pass is a number of 21 bits, so contacts are counted by type and bits in one pass."""
+    ok = v.si.select("neuron", "si", expr.ratio(c("ax_pre"), c("ax_pre") + c("ax_post")).alias("a"), expr.ratio(c("de_post"), c("de_pre") + c("de_post")).alias("d"))
+    points = v.spark.range(POINTS).select(F.round(c("id") * 5 / 100.0, 2).alias("point"))
+    bits = {}
+    for y in "ad":
+        x = ok.filter(c("si").isNotNull() & c(y).isNotNull()).groupBy("si").agg((F.avg(y) * 100).alias("y"))
+        x = rolling_mean(running(x, [], ["si"], {"place": lit(1).cast("bigint")}), "y", "place", WIDTH, 256)
+        found = joins.value_at(points, "point", x.withColumn("rolling", F.coalesce("rolling", lit(1e300))), "si", "rolling")
+        found = sorted((r["point"], r["value"]) for r in found.collect())  # a row a point
+        bits[y] = sum((F.when(c(y) * 100 > lit(float(t)), lit(1 << k)).otherwise(0) for k, (_, t) in enumerate(found)), lit(0))
+    flags = ok.select("neuron", *[F.coalesce(b, lit(0)).alias(f"bits_{y}") for y, b in bits.items()])
+    x = tables.with_roles(v.typed, flags, ["bits_a", "bits_d"], "inner")
+    of = lambda at, role: F.when(F.substring("comp", at, 1) == "A", c(f"bits_a_{role}")).otherwise(c(f"bits_d_{role}"))
+    g = x.groupBy("comp", of(1, "pre").alias("x"), of(2, "post").alias("y")).agg(n_().alias("n")).withColumn("k", F.explode(F.sequence(lit(0), lit(POINTS - 1))))
+    letter = lambda at, b: F.when((c("k") == 0) | (F.expr(f"shiftrightunsigned(CAST({b} AS BIGINT), k)").bitwiseAND(lit(1)) == 1), F.substring("comp", at, 1)).otherwise("M")
+    g = g.groupBy(F.round(c("k") * 5 / 100.0, 2).alias("point"), F.concat(letter(1, "x"), letter(2, "y")).alias("label")).agg(F.sum("n").alias("n"))
+    return g.withColumn("share", r6(c("n") / F.sum("n").over(Window.partitionBy("point"))))  # 16 rows a point at most
+
+
 @query("d25_ad_share_by_threshold", "t AS (SELECT (unnest(range(20))*5)/100.0::DOUBLE AS thr) SELECT round(thr,2) AS thr, round(count(*) FILTER (comp='AD')/count(*),6) AS share FROM master, t WHERE si_pre>=thr AND si_post>=thr AND comp IN ('AA','AD','DA','DD') GROUP BY thr")
 def d25(v):
     low = F.least(F.floor(F.round(F.least("si_pre", "si_post") * 20, 7)), lit(19))

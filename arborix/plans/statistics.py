@@ -207,3 +207,39 @@ def st14(v):
     # against the cell without reciprocity and with another type, whose estimate is independent of the others
     z = F.try_divide(c("log_ratio"), F.sqrt(c("se_log") * c("se_log") + c("se_base") * c("se_base")))
     return with_p(out, wald_z=z, p=p_z(z))
+
+
+#: Contrasts of the logarithms of a type's four cell means (reciprocal, same type), as signs of (0,0), (0,1), (1,0), (1,1).
+CONTRASTS = {"reciprocal": (-1, 0, 1, 0), "same_type": (-1, 1, 0, 0), "interaction": (1, -1, -1, 1), "reciprocal, other types": (-1, 0, 1, 0), "reciprocal, same types": (0, -1, 0, 1)}
+#: Terms of the full model beside the first type: the same contrasts of a type less those of AA.
+TERMS = {"type": (1, 0, 0, 0)} | {f"{k} x type": CONTRASTS[k] for k in ("reciprocal", "same_type", "interaction")}
+BASE = "AA"
+
+
+def _contrast(signs, of):
+    return " + ".join(f"({s}) * {of}{i}" for i, s in enumerate(signs) if s)
+
+
+def _contrast_sql():
+    own = [f"SELECT syn_type, '{k}' AS contrast, {_contrast(s, 'l')} AS e, {_contrast([x * x for x in s], 'v')} AS v FROM t" for k, s in CONTRASTS.items()]
+    full = [f"SELECT t.syn_type, '{k}', ({_contrast(s, 't.l')}) - ({_contrast(s, 'b.l')}), {_contrast([x * x for x in s], 't.v')} + {_contrast([x * x for x in s], 'b.v')} FROM t, (FROM t WHERE syn_type = '{BASE}') b WHERE t.syn_type <> '{BASE}'" for k, s in TERMS.items()]
+    return " UNION ALL ".join(own + full)
+
+
+@query("st14b_nb_contrasts", sql_with(f"""{STACK}, cells AS (SELECT syn_type, reciprocal, same_type, ln(avg(n)) AS l, (1+avg(n))/(count(*)*avg(n)) AS v FROM stack WHERE n>=1 GROUP BY ALL),
+t AS (SELECT syn_type, {", ".join(f"max({x}) FILTER (reciprocal={i // 2} AND same_type={i % 2}) AS {x}{i}" for x in "lv" for i in range(4))} FROM cells GROUP BY syn_type),
+e AS ({_contrast_sql()}), q AS (SELECT syn_type, contrast, round(e,6) AS estimate, round(sqrt(v),6) AS se FROM e) SELECT *, round(estimate/se,6) AS z FROM q""", p=sql_z("r.z")))
+def st14b(v):
+    """The terms of the negative-binomial models of counts (log link, alpha 1): of a model of each type, of pairs of its cells, and of the model of all types.  All are
+    saturated, so a term is a contrast of logarithms of cell means, whose variances are (1 + m) / (n m)."""
+    k = stacked(v.conn).filter(c("n") >= 1).groupBy("syn_type", "reciprocal", "same_type").agg(F.log(F.avg("n")).alias("l"), ((1 + F.avg("n")) / (n_() * F.avg("n"))).alias("v"))
+    cell = lambda x, i: F.max(F.when((c("reciprocal") == i // 2) & (c("same_type") == i % 2), c(x))).alias(f"{x}{i}")
+    t = k.groupBy("syn_type").agg(*[cell(x, i) for x in "lv" for i in range(4)])  # a row a type
+    base = F.broadcast(t.filter(c("syn_type") == BASE).select(*[c(f"{x}{i}").alias(f"b{x}{i}") for x in "lv" for i in range(4)]))
+    total = lambda signs, of: sum((s * c(f"{of}{i}") for i, s in enumerate(signs) if s), lit(0.0))
+    square = lambda signs: [s * s for s in signs]
+    own = [F.struct(lit(k).alias("contrast"), total(s, "l").alias("e"), total(square(s), "v").alias("v")) for k, s in CONTRASTS.items()]
+    full = [F.struct(lit(k).alias("contrast"), (total(s, "l") - total(s, "bl")).alias("e"), (total(square(s), "v") + total(square(s), "bv")).alias("v")) for k, s in TERMS.items()]
+    each = t.select("syn_type", F.explode(F.array(*own)).alias("x")).unionByName(t.filter(c("syn_type") != BASE).crossJoin(base).select("syn_type", F.explode(F.array(*full)).alias("x")))
+    out = each.select("syn_type", "x.contrast", r6(c("x.e")).alias("estimate"), r6(F.sqrt("x.v")).alias("se")).withColumn("z", r6(F.try_divide(c("estimate"), c("se"))))
+    return with_p(out, p=p_z(c("z")))

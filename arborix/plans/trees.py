@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from arborix.functions.lineage import stored
 from arborix.operators import joins, tables, tour, tree
+from arborix.operators.models import drawn
 from arborix.plans.basic import ORDERED_IDS, identified
 from arborix.plans.registry import query
 
@@ -57,7 +58,20 @@ def fragments(v):
     return v.skeleton.withColumn("parent_id", F.when((c("node_id") % 5 == 0), -1).otherwise(c("parent_id")))
 
 
-@query("t2_heal")
+#: Kruskal's rule: an edge belongs to the least spanning tree if no shorter ones join its ends already.
+HEALED = """up2 AS (SELECT a.neuron, a.node_id, a.node_id >> k AS anc FROM skeleton a, (SELECT unnest(range(0,40)) AS k) WHERE (a.node_id >> k) >= 1),
+fr AS (SELECT neuron, node_id, max(anc) AS f FROM up2 WHERE anc % 5 = 0 OR anc = 1 GROUP BY ALL), pt AS (SELECT fr.*, x, y, z FROM fr JOIN skeleton s ON s.neuron=fr.neuron AND s.node_id=fr.node_id),
+pe AS (SELECT a.neuron, least(a.f,b.f) AS fa, greatest(a.f,b.f) AS fb, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d, a.node_id AS u, b.node_id AS v FROM pt a JOIN pt b ON a.neuron=b.neuron AND a.node_id<b.node_id AND a.f<>b.f),
+me AS (SELECT neuron, fa, fb, min((d,u,v)) AS e FROM pe GROUP BY ALL), ed AS (SELECT neuron, fa, fb, e[1] AS d, e[2] AS u, e[3] AS v, row_number() OVER (PARTITION BY neuron ORDER BY e) AS k FROM me),
+rc AS (SELECT neuron, k, fa AS f FROM ed UNION SELECT rc.neuron, rc.k, CASE WHEN s.fa=rc.f THEN s.fb ELSE s.fa END FROM rc JOIN ed s ON s.neuron=rc.neuron AND s.k<rc.k AND (s.fa=rc.f OR s.fb=rc.f)),
+mst AS (SELECT neuron, u, v, d FROM ed WHERE (neuron, k, fb) NOT IN (FROM rc)),
+nx AS (SELECT neuron, node_id AS a, node_id//2 AS b, NULL::DOUBLE AS d FROM skeleton WHERE node_id > 1 AND node_id % 5 <> 0 UNION ALL SELECT * FROM mst), ends AS (SELECT neuron, a, b, d FROM nx UNION ALL SELECT neuron, b, a, d FROM nx),
+rt AS (SELECT neuron, arg_min(f, (-n, f)) AS root FROM (SELECT neuron, f, count(*) AS n FROM fr GROUP BY ALL) GROUP BY neuron),
+og AS (SELECT neuron, root AS node_id, -1::BIGINT AS parent_id, NULL::DOUBLE AS link FROM rt UNION SELECT og.neuron, b, a, d FROM og JOIN ends ON ends.neuron=og.neuron AND ends.a=og.node_id AND ends.b<>og.parent_id)
+SELECT neuron, node_id, parent_id, round(link,6) AS link FROM og"""
+
+
+@query("t2_heal", HEALED)
 def t2(v):
     """The fragments as one tree a neuron."""
     return tree.heal(fragments(v), 16000.0).select("neuron", "node_id", "parent_id", r6(c("link")).alias("link"))
@@ -73,6 +87,28 @@ def t3(v):
 UPWARD = """up AS (SELECT a.neuron, a.node_id, a.node_id >> k AS anc FROM skeleton a, (SELECT unnest(range(0,40)) AS k) WHERE (a.node_id >> k) >= 1)"""
 
 
+#: Contacts by node, pre and post; sums over the nodes below; ways to the root, and between nodes of a heap by their common shift.
+TOTALS = """on_node AS (SELECT neuron, node_id, count(*) FILTER (type='pre') AS p, count(*) FILTER (type='post') AS q FROM con GROUP BY ALL),
+tot AS (SELECT u.neuron, u.anc AS node_id, coalesce(sum(p),0)::BIGINT AS p, coalesce(sum(q),0)::BIGINT AS q FROM up u LEFT JOIN on_node o ON o.neuron=u.neuron AND o.node_id=u.node_id GROUP BY ALL)"""
+WAYS = """len AS (SELECT a.neuron, a.node_id, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS l FROM skeleton a JOIN skeleton b ON a.neuron=b.neuron AND a.parent_id=b.node_id),
+far AS (SELECT u.neuron, u.node_id, coalesce(sum(l),0) AS far, floor(log2(u.node_id))::INT AS depth FROM up u LEFT JOIN len ON len.neuron=u.neuron AND len.node_id=u.anc GROUP BY ALL)"""
+
+
+def ways(pairs, keys):
+    """SQL of the ways of pairs (neuron, u, v, w, and keys)."""
+    return f"""lifted AS (SELECT x.*, a.far AS fu, b.far AS fv, x.u >> greatest(a.depth-b.depth,0) AS lu, x.v >> greatest(b.depth-a.depth,0) AS lv FROM {pairs} x JOIN far a ON a.neuron=x.neuron AND a.node_id=x.u JOIN far b ON b.neuron=x.neuron AND b.node_id=x.v),
+met AS (SELECT *, CASE WHEN lu=lv THEN lu ELSE lu >> (floor(log2(xor(lu,lv)))::INT + 1) END AS lca FROM lifted),
+way AS (SELECT {keys}, w, fu + fv - 2*f.far AS path FROM met JOIN far f ON f.neuron=met.neuron AND f.node_id=met.lca)"""
+
+
+SPLIT = f"""{CONNECT}, {UPWARD}, {TOTALS}, per AS (SELECT neuron, p AS all_p, q AS all_q FROM tot WHERE node_id=1),
+flow AS (SELECT t.neuron, t.node_id, p*(all_q-q)+q*(all_p-p) AS flow FROM tot t JOIN per ON per.neuron=t.neuron), cut AS (SELECT *, flow >= max(flow) OVER (PARTITION BY neuron) AND max(flow) OVER (PARTITION BY neuron) > 0 AS linker FROM flow),
+tops AS (SELECT c.neuron, c.node_id FROM cut c LEFT JOIN cut u ON u.neuron=c.neuron AND u.node_id=c.node_id//2 WHERE c.linker OR u.linker OR c.node_id=1),
+frag AS (SELECT u.neuron, u.node_id, max(anc) AS fragment FROM up u JOIN tops t ON t.neuron=u.neuron AND t.node_id=u.anc GROUP BY ALL),
+side AS (SELECT f.neuron, fragment, coalesce(sum(p),0)*any_value(all_q) > coalesce(sum(q),0)*any_value(all_p) AS axon FROM frag f JOIN per ON per.neuron=f.neuron LEFT JOIN on_node o ON o.neuron=f.neuron AND o.node_id=f.node_id GROUP BY ALL),
+parts AS (SELECT c.neuron, c.node_id, flow::BIGINT AS flow, CASE WHEN linker THEN 'linker' WHEN axon THEN 'axon' ELSE 'dendrite' END AS part, f.fragment FROM cut c JOIN frag f ON f.neuron=c.neuron AND f.node_id=c.node_id JOIN side s ON s.neuron=c.neuron AND s.fragment=f.fragment)"""
+
+
 @query("t4_subtree_totals", f"{CONNECT}, {UPWARD}, s AS (SELECT u.neuron, u.anc AS node_id, count(*) FILTER (type='pre') AS distal_pre, count(*) FILTER (type='post') AS distal_post FROM con c JOIN up u ON u.neuron=c.neuron AND u.node_id=c.node_id GROUP BY ALL), z AS (SELECT neuron, anc AS node_id, count(*) AS nodes FROM up GROUP BY ALL) SELECT z.neuron, z.node_id, nodes, coalesce(distal_pre,0) AS distal_pre, coalesce(distal_post,0) AS distal_post FROM z LEFT JOIN s ON s.neuron=z.neuron AND s.node_id=z.node_id")
 def t4(v):
     on = attached(v).groupBy("neuron", "node_id").agg(F.count_if(c("type") == "pre").alias("p"), F.count_if(c("type") == "post").alias("q"))
@@ -85,12 +121,13 @@ def parts(v):
     return tree.split(v.skeleton, attached(v).select("neuron", "node_id", "type"))
 
 
-@query("t5_flow_split")
+@query("t5_flow_split", f"{SPLIT} SELECT * FROM parts")
 def t5(v):
     return parts(v)
 
 
-@query("t6_split_accepted")
+@query("t6_split_accepted", f"""{SPLIT}, has AS (SELECT neuron, count(*) AS nodes, bool_or(part='axon') AS a, bool_or(part='dendrite') AS d, bool_or(part='linker') AS l FROM parts GROUP BY neuron)
+SELECT neuron, nodes, CASE WHEN nodes > 80000 THEN 'size' WHEN a AND d AND l THEN 'three parts' WHEN a AND d THEN 'two parts' WHEN l THEN 'issue: one side' ELSE 'issue: no split' END AS status FROM has""")
 def t6(v):
     p = parts(v)
     big = F.count(lit(1)) > 80000
@@ -101,7 +138,7 @@ def t6(v):
     return g.select("neuron", "nodes", status.alias("status"))
 
 
-@query("t7_labelled_contacts")
+@query("t7_labelled_contacts", f"{SPLIT} SELECT c.neuron, c.contact, c.type, CASE part WHEN 'axon' THEN 'A' WHEN 'dendrite' THEN 'D' ELSE 'L' END AS compartment FROM con c JOIN parts p ON p.neuron=c.neuron AND p.node_id=c.node_id")
 def t7(v):
     label = F.when(c("part") == "axon", "A").when(c("part") == "dendrite", "D").otherwise("L")
     return attached(v).join(parts(v).select("neuron", "node_id", "part"), ["neuron", "node_id"]).select("neuron", "contact", "type", label.alias("compartment"))
@@ -133,13 +170,16 @@ def sampled(v, most):
     ``most`` at most."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("neuron", "type").orderBy(F.xxhash64("contact"), "contact")
+    w = Window.partitionBy("neuron", "type").orderBy(drawn(c("contact")), "contact")
     n = attached(v).groupBy("neuron").agg(*[F.count_if(c("type") == t).alias(f"n_{t}") for t in ("pre", "post")])
     ranked = attached(v).withColumn("place", F.row_number().over(w)).join(n, "neuron")
     return ranked.filter(c("place") <= F.least(lit(most), c("n_pre"), c("n_post")))
 
 
-@query("t11_pre_post_distance")
+@query("t11_pre_post_distance", f"""{CONNECT}, {UPWARD}, {WAYS}, placed AS (SELECT neuron, type, node_id, row_number() OVER (PARTITION BY neuron, type ORDER BY ('0x' || substr(md5('42:' || contact),1,7))::BIGINT, contact) AS place FROM con),
+few AS (SELECT neuron, least(300, count(*) FILTER (type='pre'), count(*) FILTER (type='post')) AS k FROM con GROUP BY neuron), s AS (SELECT p.neuron, type, node_id, count(*) AS n FROM placed p JOIN few ON few.neuron=p.neuron WHERE place <= k GROUP BY ALL),
+pairs AS (SELECT a.neuron, a.node_id AS u, b.node_id AS v, a.n*b.n AS w FROM s a JOIN s b ON a.neuron=b.neuron WHERE a.type='pre' AND b.type='post'), {ways("pairs", "met.neuron")}
+SELECT neuron, round(sum(w*path)/sum(w),3) AS mean_path, sum(w)::BIGINT AS pairs FROM way GROUP BY neuron""")
 def t11(v):
     """Mean way between sampled pre and post contacts of a neuron, min(300, pre, post) of each; the sample is part of
     the measure."""
@@ -163,7 +203,10 @@ def t12(v):
     return tree.path_lengths(pairs, nodes, jumps).select("neuron", "u", "v", F.round("path", 3).alias("path"))
 
 
-@query("t13_reciprocal_distance")
+@query("t13_reciprocal_distance", f"""{CONNECT}, {UPWARD}, {WAYS}, recip AS (SELECT a.pre AS neuron, a.post AS partner FROM conn0 a JOIN conn0 b ON a.pre=b.post AND a.post=b.pre),
+s AS (SELECT c.neuron, c.partner, type, node_id, count(*) AS n FROM con c JOIN recip r ON r.neuron=c.neuron AND r.partner=c.partner GROUP BY ALL),
+pairs AS (SELECT a.neuron, a.partner, a.node_id AS u, b.node_id AS v, a.n*b.n AS w FROM s a JOIN s b ON a.neuron=b.neuron AND a.partner=b.partner WHERE a.type='pre' AND b.type='post'), {ways("pairs", "met.neuron, partner")}
+SELECT neuron, partner, round(sum(w*path)/sum(w),3) AS mean_path, sum(w)::BIGINT AS pairs FROM way GROUP BY ALL""")
 def t13(v):
     """Mean way between the sites that a neuron shares with a reciprocal partner, in to out."""
     both = tables.reciprocal_pairs(tables.type_counts(v.typed), ["sum_syn"]).select(F.explode(F.array(F.struct(c("a").alias("neuron"), c("b").alias("partner")), F.struct(c("b").alias("neuron"), c("a").alias("partner")))).alias("e")).select("e.*")
@@ -176,6 +219,24 @@ def t13(v):
     return p.groupBy("neuron", "partner").agg(F.round(F.sum(w * c("path")) / F.sum(w), 3).alias("mean_path"), F.sum(w).alias("pairs"))
 
 
+#: The clusters in SQL: contacts of a node have the same neighbours, so nodes are clustered; cores that reach one another share the least contact.
+BOUTONS = f"""{CONNECT.replace("any_value(cx) AS cx,", "any_value(cx) AS cx, any_value(cy) AS cy, any_value(cz) AS cz,")}, {UPWARD}, {WAYS},
+pc AS (SELECT neuron, contact, node_id, cx AS x, cy AS y, cz AS z FROM con WHERE type='pre'), many AS (SELECT neuron FROM pc GROUP BY neuron HAVING count(*) >= 5),
+wt AS (SELECT neuron, node_id, count(*) AS n, min(contact) AS first FROM pc WHERE neuron IN (FROM many) GROUP BY ALL),
+np AS (SELECT a.neuron, a.node_id AS u, b.node_id AS v, 1 AS w FROM wt a JOIN wt b ON a.neuron=b.neuron), {ways("np", "met.neuron, u, v")},
+nb AS (SELECT neuron, u, v FROM way WHERE greatest(path, 0) <= {EPS}), core AS (SELECT nb.neuron, u AS node_id FROM nb JOIN wt ON wt.neuron=nb.neuron AND wt.node_id=nb.v GROUP BY ALL HAVING sum(n) >= 3),
+cc AS (SELECT nb.* FROM nb JOIN core a ON a.neuron=nb.neuron AND a.node_id=u JOIN core b ON b.neuron=nb.neuron AND b.node_id=v),
+cl AS (SELECT neuron, node_id AS u, node_id AS v FROM core UNION SELECT cl.neuron, cl.u, cc.v FROM cl JOIN cc ON cc.neuron=cl.neuron AND cc.u=cl.v),
+lb AS (SELECT cl.neuron, u AS node_id, min(first) AS label FROM cl JOIN wt ON wt.neuron=cl.neuron AND wt.node_id=cl.v GROUP BY ALL),
+bd AS (SELECT nb.neuron, u AS node_id, min(label) AS label FROM nb JOIN lb ON lb.neuron=nb.neuron AND lb.node_id=nb.v GROUP BY ALL),
+bt AS (SELECT pc.*, dense_rank() OVER (PARTITION BY pc.neuron ORDER BY label) - 1 AS cluster FROM pc JOIN bd ON bd.neuron=pc.neuron AND bd.node_id=pc.node_id)"""
+MERGED = f"""{BOUTONS}, gp AS (SELECT a.neuron, a.cluster AS u, b.cluster AS v FROM bt a JOIN bt b ON a.neuron=b.neuron AND a.cluster<>b.cluster GROUP BY ALL HAVING min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))) < 5000),
+gc AS (SELECT DISTINCT neuron, cluster AS u, cluster AS v FROM bt UNION SELECT gc.neuron, gc.u, gp.v FROM gc JOIN gp ON gp.neuron=gc.neuron AND gp.u=gc.v), gl AS (SELECT neuron, u AS cluster, min(v) AS label FROM gc GROUP BY ALL),
+mb AS (SELECT bt.* EXCLUDE (cluster), dense_rank() OVER (PARTITION BY bt.neuron ORDER BY label) - 1 AS cluster FROM bt JOIN gl ON gl.neuron=bt.neuron AND gl.cluster=bt.cluster)"""
+ADDED = f"""{MERGED}, rest AS (SELECT * FROM pc WHERE contact NOT IN (SELECT contact FROM mb)), rd AS (SELECT r.*, m.contact AS other, m.cluster, sqrt((r.x-m.x)*(r.x-m.x)+(r.y-m.y)*(r.y-m.y)+(r.z-m.z)*(r.z-m.z)) AS d FROM rest r JOIN mb m ON m.neuron=r.neuron),
+ab AS (SELECT neuron, contact, node_id, x, y, z, cluster FROM mb UNION ALL SELECT neuron, contact, any_value(node_id), any_value(x), any_value(y), any_value(z), arg_min(cluster, (d, other)) FROM rd WHERE d < 4500 GROUP BY neuron, contact)"""
+
+
 @once
 def boutons(v):
     pre = attached(v).filter(c("type") == "pre")
@@ -183,12 +244,12 @@ def boutons(v):
     return found.join(pre.select("contact", c("cx").alias("x"), c("cy").alias("y"), c("cz").alias("z")), "contact")
 
 
-@query("t14_boutons")
+@query("t14_boutons", f"{BOUTONS} SELECT neuron, contact, node_id, cluster FROM bt")
 def t14(v):
     return boutons(v).select("neuron", "contact", "node_id", "cluster")
 
 
-@query("t15_merged_boutons")
+@query("t15_merged_boutons", f"{MERGED} SELECT neuron, contact, node_id, cluster FROM mb")
 def t15(v):
     return tree.merge_clusters(boutons(v), 5000.0).select("neuron", "contact", "node_id", "cluster")
 
@@ -207,7 +268,7 @@ def boutons_with_near(v):
     return found.select(*names).unionByName(more.select(*names))
 
 
-@query("t16_near_contacts_added")
+@query("t16_near_contacts_added", f"{ADDED} SELECT neuron, contact, node_id, cluster FROM ab")
 def t16(v):
     return boutons_with_near(v).select("neuron", "contact", "node_id", "cluster")
 
@@ -236,12 +297,17 @@ def stage_one(v):
     return out.select("neuron", "contact", c("u").alias("node_id"), "centroid", "cluster", F.round("path", 3).alias("path"))
 
 
-@query("t17_filopodia_first")
+@query("t17_filopodia_first", f"""{ADDED}, mid AS (SELECT neuron, cluster, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM ab GROUP BY ALL),
+cn AS (SELECT m.neuron, cluster, arg_min(node_id, (sqrt((mx-x)*(mx-x)+(my-y)*(my-y)+(mz-z)*(mz-z)), node_id)) AS centroid FROM mid m JOIN skeleton s ON s.neuron=m.neuron GROUP BY ALL),
+p1 AS (SELECT DISTINCT c.neuron, node_id AS u, centroid AS v, 1 AS w FROM con c JOIN cn ON cn.neuron=c.neuron), {ways("p1", "met.neuron, u, v").replace("lifted", "lifted1").replace("met AS", "met1 AS").replace("FROM met ", "FROM met1 ").replace("met.", "met1.").replace("way AS", "way1 AS")},
+best AS (SELECT c.neuron, c.contact, c.node_id, arg_min((greatest(path,0), v, cluster), (greatest(path,0), v, cluster)) AS m FROM con c JOIN way1 y ON y.neuron=c.neuron AND y.u=c.node_id JOIN cn ON cn.neuron=c.neuron AND cn.centroid=y.v WHERE type='post' AND path < {5 * EPS} GROUP BY ALL),
+bar AS (SELECT y.neuron, y.v AS centroid, min(greatest(path,0)) AS bar FROM way1 y JOIN (SELECT DISTINCT neuron, node_id FROM pc WHERE contact NOT IN (SELECT contact FROM ab)) l ON l.neuron=y.neuron AND l.node_id=y.u GROUP BY ALL)
+SELECT b.neuron, b.contact, b.node_id, m[2] AS centroid, m[3] AS cluster, round(m[1],3) AS path FROM best b LEFT JOIN bar ON bar.neuron=b.neuron AND bar.centroid=m[2] WHERE bar IS NULL OR bar >= m[1]""")
 def t17(v):
     return stage_one(v)
 
 
-@query("t18_no_pre_below", f"{CONNECT}, {UPWARD}, s AS (SELECT u.neuron, u.anc AS node_id, count(*) FILTER (type='pre') AS below FROM con c JOIN up u ON u.neuron=c.neuron AND u.node_id=c.node_id GROUP BY ALL) SELECT c.neuron, c.contact, c.node_id FROM con c JOIN s ON s.neuron=c.neuron AND s.node_id=c.node_id WHERE type='post' AND below=0")
+@query("t18_no_pre_below", f"{CONNECT}, {UPWARD}, {TOTALS} SELECT c.neuron, c.contact, c.node_id FROM con c JOIN tot ON tot.neuron=c.neuron AND tot.node_id=c.node_id WHERE type='post' AND tot.p=0")
 def t18(v):
     con = attached(v)
     on = con.groupBy("neuron", "node_id").agg(F.count_if(c("type") == "pre").alias("p"))

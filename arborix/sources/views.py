@@ -176,4 +176,5 @@ def with_views(body: str) -> str:
     head = ",\n".join(f"{n} AS ({CTES[n]})" for n in need)
     rest = body.strip()
     own = re.match(r"\w+ AS \(", rest)
-    return (f"WITH {head}" if head else "WITH" if own else "") + (("," if head else "") + "\n" + rest if own else "\n" + rest)
+    word = "WITH RECURSIVE" if re.search(r"\b(\w+) AS \([^;]*? UNION SELECT \1\.", rest) else "WITH"
+    return (f"{word} {head}" if head else word if own else "") + (("," if head else "") + "\n" + rest if own else "\n" + rest)
