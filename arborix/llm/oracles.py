@@ -61,16 +61,22 @@ w AS (
   SELECT doc_id, text, line, j, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i
   FROM e WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 p AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM w),
-f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, i) AS nth FROM p WHERE next IS NOT NULL),
+-- pairs of places that start the same two lines; a run of them along a diagonal is a run of lines that also starts earlier
+q AS (SELECT a.doc_id, a.i, b.doc_id AS other, a.i - b.i AS apart FROM p a JOIN p b ON a.line = b.line AND a.next = b.next
+      WHERE b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.i < a.i)),
+r AS (SELECT doc_id, min(i) AS i, max(i) + 2 AS upto FROM
+      (SELECT *, i - row_number() OVER (PARTITION BY doc_id, other, apart ORDER BY i) AS run FROM q) GROUP BY doc_id, other, apart, run),
 g AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS nth FROM w WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50),
-gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest([i, i + 1]) AS i FROM f WHERE nth > 1 UNION ALL SELECT doc_id, i FROM g WHERE nth > 1)),
+s AS (SELECT doc_id, i, max(upto) AS upto FROM (SELECT * FROM r UNION ALL SELECT doc_id, i, i + 1 FROM g WHERE nth > 1) GROUP BY doc_id, i),
+-- of these the runs that lie in no other
+m AS (SELECT * FROM s QUALIFY upto > coalesce(max(upto) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, upto)) AS i FROM m),
 marked AS (SELECT e.doc_id, e.j, e.line, w.i, gone.i IS NOT NULL AS del
            FROM e LEFT JOIN w ON e.doc_id = w.doc_id AND e.j = w.j LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.i = w.i),
-runs AS (SELECT doc_id, count(*) AS n_runs, max(n) AS longest_run FROM
-         (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM gone) GROUP BY doc_id, run) GROUP BY doc_id)
-SELECT m.doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (del))::BIGINT AS n_deleted, coalesce(any_value(n_runs), 0)::BIGINT AS n_runs,
+runs AS (SELECT doc_id, count(*) AS n_runs, max(upto - i) AS longest_run FROM m GROUP BY doc_id)
+SELECT k.doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (del))::BIGINT AS n_deleted, coalesce(any_value(n_runs), 0)::BIGINT AS n_runs,
        coalesce(any_value(longest_run), 0)::BIGINT AS longest_run, sha256(coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (NOT del), '')) AS kept_sha256
-FROM marked m LEFT JOIN runs ON runs.doc_id = m.doc_id GROUP BY m.doc_id
+FROM marked k LEFT JOIN runs ON runs.doc_id = k.doc_id GROUP BY k.doc_id
 """
 
 ORACLES = {"op2_arc_to_warc": OP2, "op3_source_mixing": OP3, "op9_line_runs": OP9}

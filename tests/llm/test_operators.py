@@ -448,27 +448,26 @@ def test_classifier(spark, small, docs, edges, nothing):
 
 
 def brute_lines(data, least, long):
-    """Every place of every run, and of every line of many words, looked at one by one."""
-    first = {}
+    """At every place the longest run that also starts at an earlier place, by comparison with all of these; of these runs those within no other."""
+    seqs, starts = {}, defaultdict(list)
     for i, t in dict.fromkeys(data):
-        w = [x for x in (t or "").split("\n") if WORD.search(x)]
-        for a in range(len(w)):
-            place = (i is not None, i or 0, a)
-            for k in ([tuple(w[a:a + least])] if a + least <= len(w) else []) + [w[a]]:
-                first[k] = min(first.get(k, place), place)
+        w = seqs[i, t] = [x for x in (t or "").split("\n") if WORD.search(x)]
+        for a, x in enumerate(w):
+            starts[x].append(((i is not None, i or 0, a), w))
     want = Counter()
     for i, t in data:
         ls = (t or "").split("\n")
         at = [j for j, x in enumerate(ls) if WORD.search(x)]
-        gone, place = set(), lambda a: (i is not None, i or 0, a)  # noqa: B023
-        for a in range(len(at)):
-            if a + least <= len(at) and first[tuple(ls[j] for j in at[a:a + least])] < place(a):
-                gone |= set(range(a, a + least))
-            if len(WORD.findall(ls[at[a]])) >= long and first[ls[at[a]]] < place(a):
-                gone.add(a)
+        w, spans = seqs[i, t], []
+        for a, x in enumerate(w):
+            n = max((next(k for k in range(len(w) + 1) if a + k >= len(w) or p[2] + k >= len(v) or w[a + k] != v[p[2] + k])
+                     for p, v in starts[x] if p < (i is not None, i or 0, a)), default=0)
+            if n >= least or (n and len(WORD.findall(x)) >= long):
+                spans.append((a, a + n if n >= least else a + 1))
+        runs = [s for s in spans if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spans)]
+        gone = {b for s in spans for b in range(*s)}
         out = {at[b] for b in gone}
-        runs = [sum(b in gone for b in range(a, next(e for e in range(a, len(at) + 1) if e not in gone))) for a in gone if a - 1 not in gone]
-        want[i, len(ls), len(gone), len(runs), max(runs, default=0), "\n".join(x for j, x in enumerate(ls) if j not in out)] += 1
+        want[i, len(ls), len(gone), len(runs), max((b - a for a, b in runs), default=0), "\n".join(x for j, x in enumerate(ls) if j not in out)] += 1
     return want
 
 
@@ -494,6 +493,23 @@ def test_line_runs_of_all_lengths(spark, least, long):
     assert found_lines(df, least, long) == brute_lines(rows, least, long)
 
 
+@pytest.mark.parametrize("least,long", [(1, 50), (2, 50), (3, 3), (5, 50)])
+def test_line_runs_random(spark, least, long):
+    """Lines of a small alphabet: runs within runs, overlaps with themselves, and groups that branch at every length."""
+    rng = np.random.default_rng(17)
+    line = lambda a: rng.choice(["x", "y z", "u v w", "p", "q", "r"][:a])
+    rows = [(int(rng.integers(-9, 30)) * 100 + i, "\n".join(str(line(a)) for _ in range(rng.integers(0, 40)))) for i in range(40) for a in (1 + i % 6,)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert found_lines(df, least, long) == brute_lines(rows, least, long)
+
+
+def test_line_runs_that_touch(spark):
+    """Two runs side by side are two, as no run of four lines repeats; a longer copy is one run, and one that extends to the left is not counted apart."""
+    texts = ["a x\nb x", "c x\nd x", "a x\nb x\nc x\nd x", "e\na x\nb x\nc x", "b x\nc x\nd x\ne"]
+    got = {r.doc_id: (r.n_deleted, r.n_runs, r.longest_run) for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {0: (0, 0, 0), 1: (0, 0, 0), 2: (4, 2, 2), 3: (3, 1, 3), 4: (3, 1, 3)}
+
+
 def test_line_runs_nothing(nothing):
     assert lines.dedup_lines(nothing).count() == 0
 
