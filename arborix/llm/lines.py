@@ -46,6 +46,11 @@ def _later() -> Column:
     return (F.col("doc") > F.col("first.doc")) | ((F.col("doc") == F.col("first.doc")) & (F.col("i") > F.col("first.i")))
 
 
+def _sent(df: DataFrame, few: bool) -> DataFrame:
+    """``df`` with a broadcast hint where its rows are known to be ``few``; else AQE settles the join."""
+    return F.broadcast(df) if few else df
+
+
 def _first_ranks(rows: DataFrame) -> DataFrame:
     """SUFFIX, rank, first, wide, many of suffixes whose line occurs twice or more.  Ranks follow the order of the lines' hashes: so many of them come before."""
     # order by h1 as an unsigned number: its upper bits make the bucket
@@ -56,10 +61,10 @@ def _first_ranks(rows: DataFrame) -> DataFrame:
     return rows.join(ranks, (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2"))).select(*SUFFIX, "rank", "first", "wide", "many")
 
 
-def _doubled(ranks: DataFrame, step: int, most: int) -> DataFrame | None:
+def _doubled(ranks: DataFrame, step: int, most: int, few: bool) -> DataFrame | None:
     """SUFFIX, rank, first, wide for runs of 2 ``step`` lines, from the pairs of ranks at i and i + step; None if no such run repeats."""
     ahead = ranks.select(*TEXT, (F.col("i") - step).alias("i"), F.col("rank").alias("b"))
-    pairs = stored(ranks.select(*SUFFIX, F.col("rank").alias("a")).join(ahead, [*TEXT, "i"]), "lines-pairs")
+    pairs = stored(ranks.select(*SUFFIX, F.col("rank").alias("a")).join(_sent(ahead, few), [*TEXT, "i"]), "lines-pairs")
     groups = stored(_groups(pairs, ["a", "b"]), "lines-groups")
     found = groups.count()
     if not found:
@@ -72,45 +77,45 @@ def _doubled(ranks: DataFrame, step: int, most: int) -> DataFrame | None:
     return pairs.join(made, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).select(*SUFFIX, "rank", "first", "wide")
 
 
-def _branching(parts: DataFrame) -> DataFrame:
+def _branching(parts: DataFrame, few: bool) -> DataFrame:
     """SUFFIX, lo, first: the members of intervals that have two or more, and not the same line before all."""
     keep = _groups(parts.withColumnRenamed("first", "_first"), ["lo", "_first"]).filter("wide").select(F.col("lo").alias("_lo"), "_first")
-    return parts.join(keep, (F.col("lo") == F.col("_lo")) & (F.col("first") == F.col("_first")), "left_semi")
+    return parts.join(_sent(keep, few), (F.col("lo") == F.col("_lo")) & (F.col("first") == F.col("_first")), "left_semi")
 
 
-def _halved(parts: DataFrame, ranks: DataFrame, half: int, least: int) -> DataFrame:
+def _halved(parts: DataFrame, ranks: DataFrame, half: int, least: int, few: bool) -> DataFrame:
     """Intervals that branch between lo and lo + 2 ``half`` lines as such of half the width.  ``ranks``: of runs of ``half`` lines."""
     parts = parts.withColumn("at", F.col("i") + F.col("lo"))
     ahead = ranks.select(F.col("th").alias("_th"), F.col("tg").alias("_tg"), F.col("i").alias("_i"), F.col("rank").alias("b"))
     same = (F.col("th") == F.col("_th")) & (F.col("tg") == F.col("_tg")) & (F.col("at") == F.col("_i"))
-    if parts.count() <= BROADCAST_ROWS:
+    if not few and parts.count() <= BROADCAST_ROWS:
         ahead = ahead.join(F.broadcast(parts.select(*TEXT, "at")), same, "left_semi")
-    told = stored(parts.join(ahead, same, "left").select(*SUFFIX, "lo", F.col("first").alias("top"), "b"), "lines-told")
+    told = stored(parts.join(_sent(ahead, few), same, "left").select(*SUFFIX, "lo", F.col("first").alias("top"), "b"), "lines-told")
     groups = _groups(told.filter("b is not null"), ["lo", "top", "b"]).select(F.col("lo").alias("_lo"), F.col("top").alias("_top"), F.col("b").alias("_b"), "first", "wide")
-    rows = told.join(groups, (F.col("lo") == F.col("_lo")) & (F.col("top") == F.col("_top")) & (F.col("b") == F.col("_b")), "left")
+    rows = told.join(_sent(groups, few), (F.col("lo") == F.col("_lo")) & (F.col("top") == F.col("_top")) & (F.col("b") == F.col("_b")), "left")
     above = F.when(F.col("wide"), F.struct((F.col("lo") + half).alias("lo"), F.col("first")))
     below = F.when(F.coalesce(~_later(), F.lit(True)) & (F.col("lo") + half > least), F.struct("lo", F.col("top").alias("first")))
     rows = rows.select(*SUFFIX, F.explode(F.array(above, below)).alias("x")).filter("x is not null")
     return rows.select(*SUFFIX, "x.lo", "x.first")
 
 
-def _intervals(tables: list[DataFrame], least: int) -> DataFrame | None:
+def _intervals(tables: list[DataFrame], least: int, few: bool) -> DataFrame | None:
     """SUFFIX, lo, first: the members of all intervals of the array whose common prefix, ``lo`` lines, is ``least`` or more, that
     don't extend to the left; each member at the interval that it is not the first of, and at those that it is the first of.
 
-    ``tables``: ranks of runs of 1, 2, 4, ... lines."""
+    ``tables``: ranks of runs of 1, 2, 4, ... lines, ``few`` of them or not."""
     parts = None
     for k in reversed(range(len(tables))):
         if parts is not None:
-            parts = _halved(parts, tables[k], 1 << k, least)
+            parts = _halved(parts, tables[k], 1 << k, least, few)
         if 2 << k > least:
             # those that branch before 2^(k+1) lines: of each run of that length the first member, and all without such a run
             begun = tables[k].filter("wide").select(*SUFFIX, F.lit(1 << k).alias("lo"), "first")
             if k + 1 < len(tables):
-                begun = begun.join(tables[k + 1].filter(_later()).select(*TEXT, "i"), [*TEXT, "i"], "left_anti").select(*begun.columns)
+                begun = begun.join(_sent(tables[k + 1].filter(_later()).select(*TEXT, "i"), few), [*TEXT, "i"], "left_anti").select(*begun.columns)
             parts = begun if parts is None else parts.unionByName(begun)
         if parts is not None:
-            parts = stored(_branching(stored(parts, "lines-parts")), "lines-intervals")
+            parts = stored(_branching(stored(parts, "lines-parts"), few), "lines-intervals")
     return parts
 
 
@@ -126,10 +131,11 @@ def repeated_runs(docs: DataFrame, least: int = LEAST, long: int = LONG) -> Data
     lines = each.groupBy(*TEXT, "i", "h1", "h2").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"), F.max("many").alias("many"), F.max("before").alias("before"))
     lines = stored(lines, "lines")
     most, tables = lines.count() + 1, [stored(_first_ranks(lines), "lines-1")]
-    while (ranks := _doubled(tables[-1], 1 << (len(tables) - 1), most)) is not None:
+    few = tables[0].count() <= BROADCAST_ROWS  # and so are the later tables, whose rows are some of these
+    while (ranks := _doubled(tables[-1], 1 << (len(tables) - 1), most, few)) is not None:
         tables.append(stored(ranks, "lines-ranked"))
     later = tables[0].filter("many").filter(_later()).select(*TEXT, "i", (F.col("i") + 1).alias("upto"))
-    found = _intervals(tables, least)
+    found = _intervals(tables, least, few)
     if found is not None:
         later = later.unionByName(found.filter(_later()).select(*TEXT, "i", (F.col("i") + F.col("lo")).alias("upto")))
     # the first document of a text, and the copies: these go whole, or lose their lines of many words if they have too few lines
