@@ -1,14 +1,14 @@
-"""Near-duplicates by exact shingle similarity: prefix keys, SimHash within a radius, verification.
+"""Near-duplicates by SimHash within a radius, verified by exact shingle similarity.
 
-Shingles have one order for all texts: rare before common, then by hash.  Texts whose sets have a Jaccard similarity
-of s share one of the first n - ceil(s n) + 1 of their n shingles, so only texts with such a key in common meet, which loses
-no pair.  Of these, texts of fitting sizes whose fingerprints are within the radius form candidate groups, kept as
-spanning forests; inside a candidate group links are verified by the sets themselves before they join anything."""
+The fingerprints of all different sets of shingles meet in tiles of like size: of two sets with a Jaccard similarity of s the
+smaller has at least s times as many shingles, so only such tiles meet, and there every pair is compared by exclusive-or and bit
+counts.  Pairs within the radius form candidate groups, kept as spanning forests; inside a candidate group
+links are verified by the sets themselves before they join anything."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, log
 
 import numpy as np
 import pandas as pd
@@ -21,26 +21,20 @@ from .common import give_back, small, stored, text_or_empty
 from .simhash import Forest, components, majority, shingle_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Fingerprints for candidates are four SimHashes side by side.  Texts at similarity 0.8 are about 39 of 256 bits apart, give or take 6.
-WORDS, RADIUS = 4, 72
-#: Texts of fewer shingles meet whatever their fingerprints, as few shingles leave much to chance.
-SHORT = 64
-#: Texts looked at for common shingles, and how many of them make a shingle common.  They set the order alone, not the result.
-LOOKED_AT, COMMON = 4000, 8
-#: Texts whose keys are dealt to buckets at a time.
-SLICE = 1024
-#: Characters of text to a bucket of keys.
-BUCKET_CHARS = 6 << 20
+#: Fingerprints are four SimHashes of the set of shingles side by side.  Sets at similarity 0.8 are about 39 of 256 bits apart, give or
+#: take 6; the chance that they are over 80 apart is under 1e-9 a pair (6e-7 where one has four shingles and the other these and one more).
+WORDS, RADIUS = 4, 80
+#: Fingerprints of a tile, classes of size to a step of the similarity, and comparisons of a task, about.
+TILE, STEPS, WORK = 16384, 4, 1 << 26
 #: Texts, and shingles, of a candidate group that one task verifies; larger groups are dealt in parts that meet two by two.
 PART, PART_SHINGLES = 4096, 1 << 20
-ROWS = "bucket int, keys binary, nodes binary, fps binary, sizes binary"
+TILES = "cls int, part int, low int, high int, n bigint, nodes binary, fps binary, sizes binary"
 MIX = [np.uint64(x) for x in (1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def shingle_set(text: str | None, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """All shingle hashes of a text, and the sorted set of them."""
-    h = shingle_hashes(text, width)
-    return h, np.unique(h)
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The sorted set of a text's shingle hashes."""
+    return np.unique(shingle_hashes(text, width))
 
 
 def node_of(found: np.ndarray) -> int:
@@ -48,18 +42,8 @@ def node_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 7)).view(np.int64))
 
 
-def prefix(found: np.ndarray, common: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    """The first shingles in the order that all texts have, so many that similar sets share one."""
-    n = len(found)
-    k = n - ceil(least * n - 1e-9) + 1 if n else 0
-    if not len(common):
-        return found[:k]
-    often = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
-    return np.concatenate([found[~often], found[often]])[:k]
-
-
 def wide(hashes: np.ndarray) -> np.ndarray:
-    """Four SimHashes of a text: of its shingles' hashes, and of these mixed in three ways."""
+    """Four SimHashes of a set of shingles: of their hashes, and of these mixed in three ways."""
     out = [majority(hashes)]
     for m in MIX[1:]:
         x = (hashes ^ (hashes >> np.uint64(31))) * m
@@ -67,69 +51,87 @@ def wide(hashes: np.ndarray) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def _close(fp: np.ndarray, size, fps: np.ndarray, sizes: np.ndarray, radius: int, least: float) -> np.ndarray:
-    """Which sizes fit, and whose fingerprints (last axis: their words) are within the radius."""
-    fits = np.minimum(sizes, size) >= least * np.maximum(sizes, size) - 1e-9
-    return fits & ((np.bitwise_count(fps ^ fp).sum(axis=-1, dtype=np.int32) <= radius) | (np.minimum(sizes, size) < SHORT))
-
-
-def _dealt(buckets: int):
-    """Rows of (node, fingerprint, size, keys) to rows of (bucket, arrays of key, node, fingerprint, size)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, len(whole), SLICE)):
-            keys = [np.frombuffer(k.as_py(), "<u8") for k in batch.column(3)]
-            n, keys = np.array([len(k) for k in keys]), np.concatenate(keys)
-            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, WORDS)
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.argsort(keys % np.uint64(buckets), kind="stable")
-            keys, row = keys[order], row[order]
-            ends = np.searchsorted(keys % np.uint64(buckets), np.arange(buckets + 1))
-            nodes, sizes = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            rows = [(b, keys[x:y].tobytes(), nodes[row[x:y]].tobytes(), fps[row[x:y]].tobytes(), sizes[row[x:y]].tobytes())
-                    for b, (x, y) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if x < y]
-            for at in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at:at + 64], strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)],
-                                                 names=["bucket", "keys", "nodes", "fps", "sizes"])
-    return run
+def fewest(least: float) -> int:
+    """Shingles that a set has at least if another set can be so similar to it: they share all but one of their union."""
+    return ceil(least / (1 - least) - 1e-9) if least < 1 else 1
 
 
-def candidates(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, radius: int, least: float) -> np.ndarray:
-    """Edges, as rows of two nodes, of a spanning forest of the pairs that share a key, fit in size and are within the radius."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes, fps, sizes = keys[order], nodes[order], fps[order], sizes[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-    keys, nodes, fps, sizes = keys[new], nodes[new], fps[new], sizes[new]
-    names, first, place = np.unique(nodes, return_index=True, return_inverse=True)
-    fps, sizes = fps[first], sizes[first]
-    heads = np.nonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[0] if len(keys) else np.empty(0, np.int64)
-    ends = np.append(heads[1:], len(keys))
-    forest, seen = Forest(len(names)), set()
-    for a, b in zip(heads[ends - heads > 1].tolist(), ends[ends - heads > 1].tolist(), strict=True):
-        group = place[a:b]
-        if (mark := group.tobytes() if b - a < 64 else xxhash.xxh128_digest(group.tobytes())) in seen:
+def candidates(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], radius: int, least: float) -> np.ndarray:
+    """Edges, as rows of two nodes, of a spanning forest of the pairs of two tiles (nodes, fingerprints, sizes; by size) that fit in
+    size and are within the radius."""
+    (na, fa, sa), (nb, fb, sb) = a, b
+    names, forest = np.concatenate([na, nb]), Forest(len(na) + len(nb))
+    fa, fb = np.ascontiguousarray(fa.T), np.ascontiguousarray(fb.T)
+    block = max(1, (1 << 18) // max(1, len(nb)))
+    for at in range(0, len(na), block):
+        s = sa[at:at + block]
+        low, high = np.searchsorted(sb, least * s[0] - 1e-9), np.searchsorted(sb, s[-1] / least + 1e-9, "right")
+        if low == high:
             continue
-        seen.add(mark)
-        f, s = fps[group], sizes[group]
-        block = max(1, (1 << 18) // (b - a))
-        for at in range(0, b - a, block):
-            fits = _close(f[at:at + block, None], s[at:at + block, None], f[None, :], s[None, :], radius, least)
-            i, j = np.nonzero(fits)
-            forest.join(group[i + at], group[j])
-    roots = forest.roots(np.arange(len(names)))
-    edges = np.stack([names[roots], names], axis=1)
+        # three words of four rule out nearly all
+        apart = np.bitwise_count(fa[0, at:at + block, None] ^ fb[0, None, low:high])
+        for w in range(1, WORDS - 1):
+            apart += np.bitwise_count(fa[w, at:at + block, None] ^ fb[w, None, low:high])
+        i, j = np.nonzero(apart <= radius)
+        apart = apart[i, j].astype(np.int32)
+        i, j = i + at, j + low
+        near = apart + np.bitwise_count(fa[-1, i] ^ fb[-1, j]) <= radius
+        near &= (np.minimum(sa[i], sb[j]) >= least * np.maximum(sa[i], sb[j]) - 1e-9) & (na[i] != nb[j])
+        forest.join(i[near], j[near] + len(na))
+    edges = np.stack([names[forest.roots(np.arange(len(names)))], names], axis=1)
     return edges[edges[:, 0] != edges[:, 1]]
 
 
+def _tile(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values(["size", "node"])
+    sizes = frame["size"].to_numpy("<i4")
+    row = (int(frame["cls"].iloc[0]), int(frame["part"].iloc[0]), int(sizes[0]), int(sizes[-1]), len(sizes),
+           frame["node"].to_numpy("<i8").tobytes(), b"".join(frame["fp"]), sizes.tobytes())
+    return pd.DataFrame([row], columns=["cls", "part", "low", "high", "n", "nodes", "fps", "sizes"])
+
+
 def _met(radius: int, least: float):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        load = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in frame[name]])
-        edges = candidates(load("keys", "<u8"), load("nodes", "<i8"), load("fps", "<u8").reshape(-1, WORDS), load("sizes", "<i4"), radius, least)
+    """Rows of (cb, pb, role, tile), each right tile (role 0) followed by the left ones that it meets, to edges."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = right = None
+        for batch in batches:
+            for cb, pb, role, *tile in zip(*batch.columns, strict=True):
+                nodes, fps, sizes = (x.as_py() for x in tile)
+                tile = np.frombuffer(nodes, "<i8"), np.frombuffer(fps, "<u8").reshape(-1, WORDS), np.frombuffer(sizes, "<i4")
+                if role.as_py() == 0:
+                    key, right = (cb, pb), tile
+                    continue
+                assert key == (cb, pb)
+                edges = candidates(tile, right, radius, least)
+                if len(edges):
+                    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
         give_back()
-        return pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
     return run
 
 
+def links(sets: DataFrame, radius: int = RADIUS, least: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) that connect just what the pairs of sets (columns node, fp, size; stored) connect that fit in size and are within
+    the radius.  Sets too small to be similar to another one are left out."""
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _met(radius, least)(batches)
+
+    step = log(1 / least) / STEPS if least < 1 else 1.0
+    keyed = sets.filter(F.col("size") >= fewest(least)).withColumn("cls", F.floor(F.log("size") / step).cast("int"))
+    parts = keyed.groupBy("cls").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"))  # as many rows as classes
+    keyed = keyed.join(F.broadcast(parts), "cls").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    tiles = stored(keyed.groupBy("cls", "part").applyInPandas(_tile, TILES), "similar-tiles")
+    there = tiles.select(F.col("cls").alias("cb"), F.col("part").alias("pb"), F.col("low").alias("low_b"), F.col("n").alias("n_b"))
+    pairs = tiles.select("cls", "part", "high", "n", F.explode(F.array(*[F.col("cls") + i for i in range(STEPS + 2)])).alias("cb")).join(there, "cb")
+    pairs = pairs.filter(((F.col("cls") != F.col("cb")) | (F.col("part") <= F.col("pb"))) & (F.col("low_b") * least <= F.col("high") + 1e-9))
+    pairs = stored(pairs.select("cls", "part", "cb", "pb", (F.col("n") * F.col("n_b")).alias("work")), "similar-pairs")
+    work = pairs.agg(F.sum("work")).first()[0] or 0
+    blobs = ["nodes", "fps", "sizes"]
+    left = tiles.join(pairs, ["cls", "part"]).select("cb", "pb", F.lit(1).alias("role"), *blobs)
+    both = left.unionByName(tiles.select(F.col("cls").alias("cb"), F.col("part").alias("pb"), F.lit(0).alias("role"), *blobs))
+    both = both.repartition(max(8, min(10_000, -(-work // WORK))), "cb", "pb").sortWithinPartitions("cb", "pb", "role")
+    return both.mapInArrow(met, "a bigint, b bigint")
+
+
 def verified(nodes: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, least: float) -> np.ndarray:
     """Edges, as rows of two nodes, of a spanning forest of the pairs of sets of Jaccard similarity ``least`` or more.  For
     each set the lists of the nodes that hold its shingles are counted, which gives its intersections with all sets before it
@@ -170,43 +172,19 @@ def _verify(least: float):
     return run
 
 
-def common_shingles(docs: DataFrame, width: int, rows: int) -> np.ndarray:
-    """Hashes of shingles that many of the looked-at texts have."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), width)[1].view(np.int64))], names=["h"])
-
-    step = max(1, rows // LOOKED_AT)
-    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0).select(text_or_empty().alias("text"))
-    often = some.mapInArrow(run, "h bigint").groupBy("h").count().filter(F.col("count") >= COMMON).select("h").collect()
-    return np.sort(np.array([r["h"] for r in often], np.int64).view(np.uint64))
-
-
 def groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, least: float = SIMILARITY, part: int = PART) -> DataFrame:
     """Per row: doc_id, th (hash of the text), group: the same for rows that links of similarity ``least`` or more connect.
 
     Texts without words are one group.  Texts of fewer than ``width`` words are one shingle.  Only doc_id and text are read."""
-    rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
-    common = common_shingles(docs, width, rows)
-    held = docs.sparkSession.sparkContext.broadcast(common)  # a bounded number of hashes
-    buckets = max(8, -(-(size or 0) // BUCKET_CHARS))
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
             for text in batch.column(2):
-                h, found = shingle_set(text.as_py(), width)
-                made.append((node_of(found), wide(h).tobytes(), len(found), prefix(found, held.value, least).tobytes()))
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(list(zip(*made, strict=True)) or [[]] * 4, kinds, strict=True))],
-                                             names=["doc_id", "th", "node", "fp", "size", "keys"])
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _dealt(buckets)(batches)
-
-    def met(frame: pd.DataFrame) -> pd.DataFrame:
-        return _met(radius, least)(frame)
+                found = shingle_set(text.as_py(), width)
+                made.append((node_of(found), wide(found).tobytes(), len(found)))
+            kinds = [pa.int64(), pa.binary(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(list(zip(*made, strict=True)) or [[]] * 3, kinds, strict=True))],
+                                             names=["doc_id", "th", "node", "fp", "size"])
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         return _verify(least)(frame)
@@ -218,18 +196,17 @@ def groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, least: flo
             for root, node, parts, text in zip(*batch.columns, strict=True):
                 if node.as_py() not in seen:
                     seen.add(node.as_py())
-                    made.append((root.as_py(), node.as_py(), parts.as_py(), shingle_set(text.as_py(), width)[1].tobytes()))
+                    made.append((root.as_py(), node.as_py(), parts.as_py(), shingle_set(text.as_py(), width).tobytes()))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*made, strict=True)) or [[]] * 4, kinds, strict=True)],
                                              names=["root", "node", "parts", "shingles"])
 
     text = text_or_empty()
     each = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    each = stored(each.mapInArrow(read, "doc_id bigint, th bigint, node bigint, fp binary, size int, keys binary"), "similar-nodes")
-    # equal sets are one node: a group of copies sends its keys once
-    one = each.filter("size > 0").groupBy("node").agg(F.min(F.struct("th", "fp", "size", "keys")).alias("x")).select("node", "x.*")
-    edges = one.select("node", "fp", "size", "keys").mapInArrow(dealt, ROWS).groupBy("bucket").applyInPandas(met, "a bigint, b bigint")
-    root = components(edges)
+    each = stored(each.mapInArrow(read, "doc_id bigint, th bigint, node bigint, fp binary, size int"), "similar-nodes")
+    # equal sets are one node: a group of copies is compared once
+    one = each.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"))
+    root = components(links(one, radius, least))
     root = root.unionByName(root.select(F.col("root").alias("node"), "root")).distinct()  # roots themselves are members
     root = stored(root, "similar-roots")
     one = stored(each.groupBy("node").agg(F.min("th").alias("_th"), F.min("size").alias("size")).join(small(root), "node"), "similar-candidates")

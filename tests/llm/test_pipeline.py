@@ -126,3 +126,36 @@ def test_large_groups_are_verified_in_parts(spark, monkeypatch):
     first = [[min(d for d, h in x if h == g) for _, g in x] for x in got]
     assert first[0] == first[1] and 1 < len(set(first[0])) < 60
     assert set(first[0]) == brute_near(docs)
+
+
+def test_repeats_do_not_hide_near_copies(spark, small):
+    """Similarity is one of sets, so a phrase that one of two texts repeats must not move their fingerprints apart."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(10):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base, *["over", "and", "out", "again"] * 100]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert brute_near(docs) == {2 * i for i in range(10)}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, small).collect()} == brute_near(docs)
+
+
+def test_candidates_are_all_pairs_within_the_radius(spark):
+    """Fingerprints alone decide on candidates, short texts included, however they are dealt to tiles."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(120):
+        more = rng.integers(0, 2**64, (3, 4), np.uint64)
+        fp = more[0] if i % 12 == 0 else fp ^ np.bitwise_and.reduce(more)  # about 32 bits on
+        rows.append((i, fp.tobytes(), int(rng.choice([3, 4, 5, 60, 70, 75, 100, 3000]))))
+    sets = spark.createDataFrame(rows, "node bigint, fp binary, size int")
+    words = [np.frombuffer(f, "<u8") for _, f, _ in rows]
+    up = list(range(len(rows)))
+    for i, (_, _, a) in enumerate(rows):
+        for j, (_, _, b) in enumerate(rows[:i]):
+            if min(a, b) >= 4 and min(a, b) >= 0.8 * max(a, b) and np.bitwise_count(words[i] ^ words[j]).sum(dtype=int) <= 80 and up[i] != up[j]:
+                up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+    want = {(i, r) for i, r in enumerate(up) if i != r}
+    assert len(want) > 20
+    for tile in (3, 4096):
+        assert {(r.node, r.root) for r in similar.components(similar.links(sets, 80, 0.8, tile)).collect() if r.node != r.root} == want
