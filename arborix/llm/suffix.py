@@ -22,19 +22,26 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import light, running_sum, scratch_path, small, stored, text_or_empty
+from .common import give_back, light, running_sum, scratch_path, small, stored, text_or_empty
 
 LENGTH, ANCHOR = 50, 24
 SPAN = LENGTH - ANCHOR  # bytes on either side of an anchor that a window over it can reach
 GAP = 64  # zero bytes between documents of a buffer
-#: Bytes that are anchored at a time; longer texts go in overlapping pieces.
-PIECE = 2 << 20
-#: Input bytes to a bucket, and batches to a run.
-BUCKET_BYTES, BATCHES = 16 << 20, 2
+#: Bytes that are anchored at a time, each of which takes some 80 bytes of memory; longer texts go in overlapping pieces.
+PIECE = 1 << 18
+#: Input bytes to a bucket of the index (the memory of its task is some ten times as much), and to a home of documents or a bucket of
+#: surroundings; batches to a run.
+BUCKET_BYTES, HOME_BYTES, BATCHES = 4 << 20, 16 << 20, 2
 C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 VARIANT = 32  # a position's bits, as a text has under 2 GB; above them stands the number of the text among those of one doc_id
 
 
+def _hand_back() -> None:
+    """What a task of Python has freed, Arrow's pool included, goes back to the system before the next one starts."""
+    pa.default_memory_pool().release_unused()
+    give_back()
+
+
 def _fold(acc: np.ndarray, x: np.ndarray, c: np.uint64) -> np.ndarray:
     out = (acc ^ (acc >> np.uint64(29))) + x
     out *= c
@@ -161,23 +168,19 @@ def _suffixes(buckets: int):
             rows = [_entries(b, "new", key[o], around[o], sides[o], doc[o], spot[o]) for b in range(buckets) if len(o := order[ends[b]:ends[b + 1]])]
             for at in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at:at + 64], strict=True), kinds, strict=True)], names=names)
+        _hand_back()
     return run
 
 
-def _load(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    if not len(frame):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-    return (np.concatenate([_unzip(x, "<u8") for x in frame["keys"]]), np.concatenate([_unzip(x, "<u8") for x in frame["around"]]),
-            np.concatenate([_unzip(x, "<u4") for x in frame["sides"]]),
-            np.concatenate([np.cumsum(_unzip(x, "<i8")) for x in frame["docs"]]), np.concatenate([np.cumsum(_unzip(x, "<i8")) for x in frame["spots"]]))
+def _column(frame: pd.DataFrame, name: str, kind: str) -> np.ndarray:
+    """All values of a column of entries, held once."""
+    return np.concatenate([np.empty(0, kind), *(np.cumsum(_unzip(x, kind)) if name in ("docs", "spots") else _unzip(x, kind) for x in frame[name])])
 
 
-def merge_scan(key, around, sides, doc, spot, new) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of suffixes (``new``: of the batch, the rest of levels) in any order: their sorted order; which new ones have all their
-    windows in a smaller document; which ones share part of their surroundings with a smaller (or for a
-    smaller one: a larger) document and must be compared by window.  Masks are in sorted order."""
-    order = np.lexsort((spot, doc, around, key))
-    key, around, sides, doc, new = key[order], around[order], sides[order], doc[order], new[order]
+def merge_scan(key, around, sides, doc, new) -> tuple[np.ndarray, np.ndarray]:
+    """Of suffixes (``new``: of the batch, the rest of levels) sorted by key, surroundings and document: which new ones have all
+    their windows in a smaller document; which ones share part of their surroundings with a smaller (or for a
+    smaller one: a larger) document and must be compared by window."""
     n = len(key)
     first = np.ones(n, bool)
     first[1:] = (key[1:] != key[:-1]) | (around[1:] != around[:-1])
@@ -201,19 +204,27 @@ def merge_scan(key, around, sides, doc, spot, new) -> tuple[np.ndarray, np.ndarr
             low, high = np.minimum.reduceat(d, np.nonzero(start)[0]), np.maximum.reduceat(d, np.nonzero(start)[0])
             part[several[o]] |= (low != high)[g]
     partial = part[cls] & (doc == least[cls]) & (new | first)
-    return order, full, partial
+    return full, partial
 
 
 def _scan(homes: int, keep: bool):
     """merge_scan over a bucket: entries (new, merge, stay) to rows of kind full and part (by home of the document), and,
     if the index goes on, of kind level (by bucket): the new suffixes with those to be merged."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [_load(frame[frame["kind"] == k]) for k in ("new", "merge", "stay")]
-        key, around, sides, doc, spot = (np.concatenate(c) for c in zip(*parts, strict=True))
-        ends = np.cumsum([len(p[0]) for p in parts])
-        new, held = np.arange(len(key)) < ends[0], np.arange(len(key)) < ends[1]
-        order, full, partial = merge_scan(key, around, sides, doc, spot, new)
-        key, around, sides, doc, spot, held = key[order], around[order], sides[order], doc[order], spot[order], held[order]
+        bucket, kinds = int(frame["bucket"].iloc[0]), frame["kind"].to_numpy()
+        keys = [_unzip(x, "<u8") for x in frame["keys"]]
+        sizes = [len(x) for x in keys]
+        new, held = np.repeat(kinds == "new", sizes), np.repeat(kinds != "stay", sizes)
+        cols = [np.concatenate(keys), *(_column(frame, *c) for c in (("around", "<u8"), ("docs", "<i8"), ("spots", "<i8"), ("sides", "<u4")))]
+        del keys, frame
+        # a column at a time, so that all are held once and one twice
+        order = np.lexsort(cols[3::-1])
+        for i in range(len(cols)):
+            cols[i] = cols[i][order]
+        new, held = new[order], held[order]
+        del order
+        key, around, doc, spot, sides = cols
+        full, partial = merge_scan(key, around, sides, doc, new)
         rows = []
         for kind, mask in (("full", full), ("part", partial)):
             rows += _homed(kind, doc[mask], spot[mask], homes)
@@ -221,7 +232,9 @@ def _scan(homes: int, keep: bool):
             key, around, sides, doc, spot = key[held], around[held], sides[held], doc[held], spot[held]
             first = np.ones(len(key), bool)
             first[1:] = (key[1:] != key[:-1]) | (around[1:] != around[:-1])
-            rows.append(_entries(int(frame["bucket"].iloc[0]), "level", key[first], around[first], sides[first], doc[first], spot[first]))
+            rows.append(_entries(bucket, "level", key[first], around[first], sides[first], doc[first], spot[first]))
+        del key, around, doc, spot, sides, cols
+        _hand_back()
         return pd.DataFrame(rows, columns=["bucket", "kind", "keys", "around", "sides", "docs", "spots"])
     return run
 
@@ -267,6 +280,7 @@ def _spans(frame: pd.DataFrame) -> pd.DataFrame:
         at = x[:, 0]
         runs = merged(np.where(window, at, np.maximum(0, at - SPAN)), at + LENGTH)
         rows.append((d, v, runs.astype("<i8").tobytes()))
+    _hand_back()
     return pd.DataFrame(rows, columns=["doc", "variant", "spots"])
 
 
@@ -308,6 +322,7 @@ def _surroundings(buckets: int):
                     for b in range(buckets) if len(o := order[ends[b]:ends[b + 1]])]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)],
                                              names=["bucket", "docs", "spots", "sides", "bytes"])
+        _hand_back()
     return run
 
 
@@ -337,7 +352,10 @@ def _resolve(homes: int):
         spot = np.concatenate([np.cumsum(_unzip(x, "<i8")) for x in frame["spots"]])
         sides = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 2) for x in frame["sides"]])
         around = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(-1, REACH) for x in frame["bytes"]])
-        return pd.DataFrame(_homed("window", *shared_windows(doc, spot, sides, around), homes), columns=["bucket", "kind", "keys", "around", "sides", "docs", "spots"])
+        rows = _homed("window", *shared_windows(doc, spot, sides, around), homes)
+        del doc, spot, sides, around
+        _hand_back()
+        return pd.DataFrame(rows, columns=["bucket", "kind", "keys", "around", "sides", "docs", "spots"])
     return run
 
 
@@ -397,7 +415,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, bucket_bytes: int =
     texts = texts.withColumn("md5", F.md5("text"))
     ids = stored(texts.select("doc", "md5", F.octet_length("text").cast("bigint").alias("size")), "repeat-ids")
     size = ids.agg(F.sum("size")).first()[0] or 0
-    buckets = homes = max(8, -(-size // bucket_bytes))
+    buckets, homes = max(8, -(-size // bucket_bytes)), max(8, -(-size // HOME_BYTES))
     # copies of whole texts, and the numbers of texts that share a doc_id
     least = ids.groupBy("md5").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
     least = small(stored(least.select(F.col("md5").alias("_md5"), "least"), "repeat-copies"))
@@ -437,7 +455,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, bucket_bytes: int =
     part = every.filter(F.col("kind") == "part").groupBy("bucket").applyInPandas(_positions, spots)
     part = light(stored(part, "repeat-part"), "spots").withColumnsRenamed(_OTHER)
     undecided = rows.filter(~F.col("copy")).join(part, same).select("doc", "variant", "spots", "text")
-    windows = undecided.mapInArrow(_surroundings(buckets), SURROUNDING).groupBy("bucket").applyInPandas(_resolve(homes), ENTRY)
+    windows = undecided.mapInArrow(_surroundings(homes), SURROUNDING).groupBy("bucket").applyInPandas(_resolve(homes), ENTRY)
     lost = every.filter(F.col("kind") == "full").unionByName(windows).groupBy("bucket").applyInPandas(_spans, spots)
     lost = light(stored(lost, "repeat-lost"), "spots").withColumnsRenamed(_OTHER)
     out = rows.join(lost, same, "left").select("doc", "text", "copy", "spots")
