@@ -62,22 +62,31 @@ def candidates(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], radius: int
     (na, fa, sa), (nb, fb, sb) = a, b
     names, forest = np.concatenate([na, nb]), Forest(len(na) + len(nb))
     fa, fb = np.ascontiguousarray(fa.T), np.ascontiguousarray(fb.T)
-    block = max(1, (1 << 18) // max(1, len(nb)))
+    # the pairs of a block and their counts stay in the processor's cache, in memory taken once
+    block = max(1, (1 << 16) // max(1, len(nb)))
+    differ, first, more = np.empty(block * len(nb), np.uint64), np.empty(block * len(nb), np.uint8), np.empty(block * len(nb), np.uint8)
     for at in range(0, len(na), block):
         s = sa[at:at + block]
         low, high = np.searchsorted(sb, least * s[0] - 1e-9), np.searchsorted(sb, s[-1] / least + 1e-9, "right")
         if low == high:
             continue
+        shape = len(s), high - low
+        x, apart, count = (m[:shape[0] * shape[1]].reshape(shape) for m in (differ, first, more))
         # three words of four rule out nearly all
-        apart = np.bitwise_count(fa[0, at:at + block, None] ^ fb[0, None, low:high])
-        for w in range(1, WORDS - 1):
-            apart += np.bitwise_count(fa[w, at:at + block, None] ^ fb[w, None, low:high])
-        i, j = np.nonzero(apart <= radius)
-        apart = apart[i, j].astype(np.int32)
-        i, j = i + at, j + low
-        near = apart + np.bitwise_count(fa[-1, i] ^ fb[-1, j]) <= radius
-        near &= (np.minimum(sa[i], sb[j]) >= least * np.maximum(sa[i], sb[j]) - 1e-9) & (na[i] != nb[j])
-        forest.join(i[near], j[near] + len(na))
+        for w in range(WORDS - 1):
+            np.bitwise_xor(fa[w, at:at + block, None], fb[w, None, low:high], out=x)
+            np.bitwise_count(x, out=count if w else apart)
+            if w:
+                apart += count
+        met = np.flatnonzero(apart <= radius)
+        i, j = np.divmod(met, shape[1])
+        last = np.bitwise_count(fa[-1].take(i + at) ^ fb[-1].take(j + low))
+        near = np.flatnonzero(last <= radius - apart.ravel().take(met).astype(np.int32))
+        if not len(near):
+            continue
+        i, j = i[near] + at, j[near] + low
+        fits = (np.minimum(sa[i], sb[j]) >= least * np.maximum(sa[i], sb[j]) - 1e-9) & (na[i] != nb[j])
+        forest.join(i[fits], j[fits] + len(na))
     edges = np.stack([names[forest.roots(np.arange(len(names)))], names], axis=1)
     return edges[edges[:, 0] != edges[:, 1]]
 
