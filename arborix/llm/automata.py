@@ -6,6 +6,7 @@
    and dealt into shards of bounded size.
 3. Each shard's passages become a suffix automaton, whose states know the least document that they occur in.  It goes to the tasks that hold the
    stretches that share an anchor with the shard, as many as these need, and each stretch is streamed through it for matching statistics.
+   Where an anchor has passages in many shards, its windows are routed one by one, each to the shard that has its reference.
 
 Hashes choose what is looked at; what is removed, the automata decide on the words themselves."""
 
@@ -29,6 +30,9 @@ LENGTH = 50
 SLICE, STRETCH = 1 << 20, 2048
 #: Words of a shard's passages, and of the stretches that one task streams through an automaton, about.
 SHARD_WORDS, TASK_WORDS = 50_000, 300_000
+#: Shards that all stretches over one anchor go to at most; where its passages lie in more, windows are routed one by one.  A run over an
+#: anchor has some 15 windows, so below that many shards the windows' routes are more rows than the anchor's.
+SPREAD = 8
 NONE = -(1 << 62)  # stands for a null id: smaller than all
 
 
@@ -202,10 +206,12 @@ def _stretch_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _windows(length: int):
-    """(doc, sid, words) of stretches to a row a window: w (hash), doc, place (sid and the window's number in the stretch)."""
+    """(doc, sid, words, keys, counts) of stretches or passages to a row a window: w (hash), key (of its run), doc, place (sid and the window's number)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, sid = (batch.column(i).to_numpy() for i in (0, 1))
+            keys, counts = (batch.column(i).flatten().to_numpy() for i in (3, 4))
+            keys, done = np.repeat(keys, counts), 0  # runs follow one another and cover all windows
             for s, texts in _slices(batch, 2):
                 h, sizes = _hashed(texts)
                 w = run_hashes(h, length)
@@ -213,13 +219,15 @@ def _windows(length: int):
                 n = np.maximum(sizes - length + 1, 0)
                 which = np.repeat(np.arange(len(texts)), n)
                 number = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays([_signed(w[start[which] + number]), pa.array(doc[s + which]), pa.array(sid[s + which] + number)], names=["w", "doc", "place"])
+                yield pa.RecordBatch.from_arrays([_signed(w[start[which] + number]), pa.array(keys[done:done + len(which)]), pa.array(doc[s + which]), pa.array(sid[s + which] + number)],
+                                                 names=["w", "key", "doc", "place"])
+                done += len(which)
         _free()
     return run
 
 
 def _passages(length: int):
-    """(doc, sid, words, keys, firsts, counts, places) to a row a passage: the words of consecutive chosen windows of a stretch, and the keys of their runs."""
+    """(doc, sid, words, keys, firsts, counts, places) to a row a passage: the words of consecutive chosen windows of a stretch, and the keys and numbers of windows of their runs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -229,10 +237,10 @@ def _passages(length: int):
                 cut = np.nonzero(np.diff(chosen) != 1)[0] + 1
                 for part in np.split(chosen, cut):
                     a, b = int(part[0]), int(part[-1]) + 1
-                    own = [k for k, f, n in zip(keys, firsts, counts, strict=True) if f < b and f + n > a]
-                    rows.append((doc, b" ".join(words[a:b + length - 1]), b - a + length - 1, sorted(set(own))))
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 4, kinds, strict=True)], names=["doc", "words", "n", "keys"])
+                    own = [(k, min(b, f + n) - max(a, f)) for k, f, n in zip(keys, firsts, counts, strict=True) if f < b and f + n > a]
+                    rows.append((doc, b" ".join(words[a:b + length - 1]), b - a + length - 1, [k for k, _ in own], [n for _, n in own]))
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 5, kinds, strict=True)], names=["doc", "words", "n", "keys", "counts"])
     return run
 
 
@@ -372,37 +380,48 @@ def remove_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shorter ones lose nothing.  Rows of one doc_id, repeated or different, don't act on one another; a null id is smaller than all.  Copies of a
     whole text are settled by its smallest doc_id alone.  An empty table gives an empty result.  Only doc_id and text are read."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NONE).cast("bigint")).alias("doc"), text_or_empty().cast("binary").alias("text"))
-    rows = rows.withColumns({"md5": F.md5("text"), "th": F.xxhash64("text")})
-    least = rows.groupBy("md5").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
-    least = small(stored(least.select(F.col("md5").alias("_md5"), "least"), "span-copies"))
-    rows = rows.join(least, F.col("md5") == F.col("_md5"), "left").select("doc", "th", "text", F.coalesce(F.col("doc") > F.col("least"), F.lit(False)).alias("copy"))
-    own = rows.filter(~F.col("copy")).select("doc", "th", "text")
-
-    # stretches over anchors that several documents have
-    runs = stored(own.mapInArrow(_anchors(length), "key bigint, doc bigint, th bigint, at int, n int"), "span-anchors")
-    shared = runs.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("key")
-    spots = runs.join(small(stored(shared, "span-shared"), KEYS), "key", "left_semi").groupBy("doc", "th").agg(F.collect_set(F.struct("at", "n", "key")).alias("spots"))
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    # copies by their ids and hashes alone: the texts themselves are joined twice only, with the spots and with the result
+    ids = stored(rows.select("doc", "th", F.unhex(F.md5("text")).alias("md5")), "span-ids")
+    least = ids.groupBy("md5").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
+    least = small(stored(least.select("md5", "least"), "span-least"))
+    copies = stored(ids.join(least, "md5").filter("doc > least").select("doc", "th").distinct(), "span-copies")
+
+    # stretches over anchors that several texts have
+    runs = stored(rows.select("doc", "th", "text").mapInArrow(_anchors(length), "key bigint, doc bigint, th bigint, at int, n int"), "span-anchors")
+    shared = runs.groupBy("key").agg(F.min("th").alias("low"), F.max("th").alias("high")).filter("low < high").select("key")
+    spots = runs.join(small(stored(shared, "span-shared"), KEYS), "key", "left_semi").join(small(copies, ROWS), ["doc", "th"], "left_anti")
+    spots = spots.groupBy("doc", "th").agg(F.collect_set(F.struct("at", "n", "key")).alias("spots"))
     spots = _small(stored(spots, "span-spots"), "spots").withColumnsRenamed({"doc": "_doc", "th": "_th"})
     same = (F.col("doc") == F.col("_doc")) & (F.col("th") == F.col("_th"))
-    parts = own.join(spots, same).select("doc", "th", "spots", "text").mapInArrow(_stretches(length), "doc bigint, th bigint, at int, words binary, keys array<bigint>, firsts array<int>, counts array<int>")
+    parts = rows.join(spots, same).select("doc", "th", "spots", "text").dropDuplicates(["doc", "th"])
+    parts = parts.mapInArrow(_stretches(length), "doc bigint, th bigint, at int, words binary, keys array<bigint>, firsts array<int>, counts array<int>")
     # a stretch's own number leaves 12 bits for its windows
-    parts = parts.withColumn("sid", F.shiftleft(F.shiftright(F.xxhash64("doc", "th", "at"), 12), 12)).dropDuplicates(["doc", "th", "at"])
+    parts = parts.withColumn("sid", F.shiftleft(F.shiftright(F.xxhash64("doc", "th", "at"), 12), 12))
     parts = stored(parts, "span-stretches")
 
     # passages: each window that several documents have, where the least has it
-    windows = parts.select("doc", "sid", "words").mapInArrow(_windows(length), "w bigint, doc bigint, place bigint")
-    windows = windows.groupBy("w").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min_by("place", "doc").alias("place")).filter("low < high")
-    chosen = windows.groupBy(F.shiftleft(F.shiftright("place", 12), 12).alias("_sid")).agg(F.collect_list("place").alias("places"))
-    chosen = _small(stored(chosen, "span-chosen"), "places")
-    passages = parts.join(chosen, F.col("sid") == F.col("_sid")).select("doc", "sid", "words", "keys", "firsts", "counts", "places").mapInArrow(_passages(length), "doc bigint, words binary, n bigint, keys array<bigint>")
+    windows = parts.select("doc", "sid", "words", "keys", "counts").mapInArrow(_windows(length), "w bigint, key bigint, doc bigint, place bigint")
+    chosen = windows.groupBy("w").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min_by("place", "doc").alias("place")).filter("low < high")
+    chosen = chosen.groupBy(F.shiftleft(F.shiftright("place", 12), 12).alias("_sid")).agg(F.collect_list("place").alias("places"))
+    chosen = stored(chosen, "span-chosen")  # as many as a corpus has, so joined by a shuffle at any size
+    passages = parts.join(chosen, F.col("sid") == F.col("_sid")).select("doc", "sid", "words", "keys", "firsts", "counts", "places").mapInArrow(_passages(length), "doc bigint, words binary, n bigint, keys array<bigint>, counts array<int>")
     passages = stored(passages, "span-passages")
     shards = max(1, -(-(passages.agg(F.sum("n")).first()[0] or 0) // SHARD_WORDS))
     passages = passages.withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards)).cast("int"))
 
     # to each shard the stretches that share an anchor with it, in as many parts as they need
-    routes = small(stored(passages.select(F.explode("keys").alias("key"), "shard").distinct(), "span-routes"))
+    routes = stored(passages.select(F.explode("keys").alias("key"), "shard").distinct(), "span-routes")
+    wide = small(stored(routes.groupBy("key").count().filter(F.col("count") > SPREAD).select("key"), "span-wide"), KEYS)
+    routes = small(stored(routes.join(wide, "key", "left_anti"), "span-narrow"))
     each = parts.select("sid", F.explode(F.arrays_zip("keys", "firsts", "counts")).alias("x")).select("sid", F.col("x.keys").alias("key"), F.col("x.firsts").alias("first"), F.col("x.counts").alias("count"))
-    each = each.join(routes, "key").groupBy("sid", "shard").agg(F.collect_list(F.struct("first", "count")).alias("x"), F.sum("count").alias("n"))
+    each = each.join(routes, "key").select("sid", "shard", "first", "count")
+    # of an anchor with passages in many shards, each window to the one shard that has its reference
+    held = passages.select("doc", F.shiftleft(F.col("shard").cast("bigint"), 12).alias("sid"), "words", "keys", "counts").mapInArrow(_windows(length), "w bigint, key bigint, doc bigint, place bigint")
+    held = held.join(wide, "key", "left_semi").select("w", F.shiftright("place", 12).cast("int").alias("shard"))
+    alone = windows.join(wide, "key", "left_semi").select("w", F.shiftleft(F.shiftright("place", 12), 12).alias("sid"), F.col("place").bitwiseAND(4095).cast("int").alias("first"))
+    alone = alone.join(held, "w").select("sid", "shard", "first", F.lit(1).alias("count"))
+    each = each.unionByName(alone).groupBy("sid", "shard").agg(F.collect_list(F.struct("first", "count")).alias("x"), F.sum("count").alias("n"))
     each = stored(each.select(F.col("sid").alias("_sid"), "shard", F.col("x.first").alias("firsts"), F.col("x.count").alias("counts"), (F.col("n") + length).alias("n")), "span-routed")
     load = each.groupBy("shard").agg(F.ceil(F.sum("n") / TASK_WORDS).cast("int").alias("parts"))
     load = small(stored(load, "span-load"))
@@ -410,8 +429,9 @@ def remove_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     asked = parts.select("doc", "th", "at", "words", "sid").join(asked, F.col("sid") == F.col("_sid")).select("shard", "part", "doc", "th", "at", "words", "firsts", "counts")
     given = passages.join(load, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("shard", "part", "doc", "words")
     lost = given.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(_streamed(length), "doc bigint, th bigint, spans array<bigint>")
-    lost = lost.groupBy("doc", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    lost = lost.withColumn("copy", F.lit(False)).unionByName(copies.select("doc", "th", F.array().cast("array<bigint>").alias("spans"), F.lit(True).alias("copy")))
+    lost = lost.groupBy("doc", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.max("copy").alias("copy"))
     lost = _small(stored(lost, "span-lost"), "spans").withColumnsRenamed({"doc": "_doc", "th": "_th"})
-    out = rows.join(lost, same, "left").select("doc", "text", "copy", "spans")
+    out = rows.join(lost, same, "left").select("doc", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
     out = out.mapInArrow(_result(length), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, spans array<bigint>")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NONE, F.col("doc_id")))

@@ -81,6 +81,24 @@ def test_one_passage_everywhere(spark):
     assert got(automata.remove_spans(frame(spark, rows))) == brute(rows, 50)
 
 
+def test_routes_of_a_common_anchor(spark, monkeypatch):
+    """A stretch goes to the few shards that have its windows, though its anchor has passages in all of them."""
+    tables = {}
+
+    def kept(df, label):
+        tables[label] = stored(df, label)
+        return tables[label]
+    stored = automata.stored
+    monkeypatch.setattr(automata, "stored", kept)
+    monkeypatch.setattr(automata, "SHARD_WORDS", 150)
+    common = " ".join(["the"] * 40)
+    passages = [f"{common} " + " ".join(f"x{i}y{j}" for j in range(30)) for i in range(40)]
+    rows = [(2 * i + j, f"a{i} b{j} {p} c{i} d{j}") for i, p in enumerate(passages) for j in range(2)]
+    assert got(automata.remove_spans(frame(spark, rows))) == brute(rows, 50)
+    assert tables["span-load"].count() > 10
+    assert tables["span-routed"].count() <= 3 * tables["span-stretches"].count()
+
+
 def test_nothing(spark):
     out = automata.remove_spans(spark.createDataFrame([], SCHEMA))
     assert out.columns == ["doc_id", "n_words", "n_removed", "kept_sha256", "spans"] and out.count() == 0
