@@ -8,7 +8,8 @@ sample of labelled rows; scoring covers every whole text."""
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -47,8 +48,8 @@ def _bigrams(found: list[bytes]) -> np.ndarray:
     return (np.where(h[:-1] == h[1:], np.uint64(1), pairs) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets that a text has and their shares in its average."""
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that a text has, rising, and how often it has each."""
     found = split(text)
     counts: dict[bytes, int] = {}
     for w in found:
@@ -57,7 +58,34 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     for w, n in counts.items():
         np.add.at(total, subwords(w), n)
     at = np.nonzero(total)[0]
-    return at, total[at] / max(1.0, total.sum())
+    return at, total[at]
+
+
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that a text has and their shares in its average."""
+    at, n = counted(text)
+    return at, n / max(1.0, n.sum())
+
+
+def packed(text: str | None) -> bytes:
+    """The buckets of a text and their counts in a few bytes: steps from one bucket to the next are short, and most counts one."""
+    at, n = counted(text)
+    return zlib.compress(np.concatenate([np.diff(at, prepend=0), n]).astype("<u4").tobytes())
+
+
+class Sample(Sequence):
+    """Buckets, shares and class of each text of a sample.  Texts stay packed and are opened as they are asked for, one at a time."""
+
+    def __init__(self, rows: list[tuple[bytes, int]]) -> None:
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, int]:
+        held, y = self.rows[i]
+        steps, n = np.frombuffer(zlib.decompress(held), "<u4").reshape(2, -1)
+        return np.cumsum(steps, dtype=np.uint32), (n / max(1.0, float(n.sum()))).astype("<f4"), y
 
 
 @dataclass(frozen=True)
@@ -68,9 +96,10 @@ class Model:
     bias: float
 
 
-def train(sample: list[tuple[np.ndarray, np.ndarray, int]], n0: int, n1: int, epochs: int = EPOCHS, rate: float = RATE) -> Model:
+def train(sample: Sequence[tuple[np.ndarray, np.ndarray, int]], n0: int, n1: int, epochs: int = EPOCHS, rate: float = RATE) -> Model:
     """Fits vectors and softmax; the bias is then moved from the sample's class balance to (n0, n1)."""
-    k0, k1 = sum(y == 0 for *_, y in sample), sum(y == 1 for *_, y in sample)
+    classes = [y for *_, y in sample]
+    k0, k1 = classes.count(0), classes.count(1)
     prior = math.log((n1 + 1) / (n0 + 1))
     if not k0 or not k1:
         return Model(np.zeros(BUCKETS), prior)
@@ -138,11 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             for doc, q, th, text in zip(*batch.columns, strict=True):
                 if (key := (doc.as_py(), th.as_py())) not in seen:
                     seen.add(key)
-                    at, share = features(text.as_py())
-                    made.append((key[0], q.as_py(), key[1], at.astype("<u4").tobytes(), share.astype("<f4").tobytes()))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*made, strict=True)) or [[]] * 5, kinds, strict=True)],
-                                             names=["doc_id", "q", "th", "at", "share"])
+                    made.append((key[0], q.as_py(), key[1], packed(text.as_py())))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*made, strict=True)) or [[]] * 4, kinds, strict=True)],
+                                             names=["doc_id", "q", "th", "packed"])
 
     rows = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).join(chosen, "doc_id")
             .select("doc_id", "q", F.xxhash64("text").alias("th"), "text"))
@@ -150,10 +178,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = rows.select("doc_id", "q", "th").distinct()
     texts = [texts.filter(F.col("q") == q).orderBy(*order, "th").limit(sample).drop("q") for q in (0, 1)]
     rows = rows.join(F.broadcast(texts[0].unionByName(texts[1])), ["doc_id", "th"]).select("doc_id", "q", "th", "text")
-    rows = (rows.mapInArrow(extract, "doc_id bigint, q int, th bigint, at binary, share binary")
-            .dropDuplicates(["doc_id", "th"]).select("doc_id", "q", "at", "share").collect())
-    rows.sort(key=lambda r: (r["doc_id"], r["at"], r["share"]))
-    return train([(np.frombuffer(r["at"], "<u4"), np.frombuffer(r["share"], "<f4"), r["q"]) for r in rows], sizes.get(0, 0), sizes.get(1, 0))
+    rows = rows.mapInArrow(extract, "doc_id bigint, q int, th bigint, packed binary").dropDuplicates(["doc_id", "th"])
+    # the driver gets packed texts, one partition at a time
+    rows = sorted((r["doc_id"], r["packed"], r["q"]) for r in rows.select("doc_id", "packed", "q").toLocalIterator())
+    return train(Sample([(held, q) for _, held, q in rows]), sizes.get(0, 0), sizes.get(1, 0))
 
 
 def held_out(key: str = "doc_id"):

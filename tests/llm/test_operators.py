@@ -597,6 +597,34 @@ def test_fit_takes_each_text_of_an_id_once(spark, monkeypatch):
     assert seen[0].count(1) == 3 and 0 < seen[0].count(0) <= 20
 
 
+def test_fit_holds_its_sample_packed(spark, monkeypatch):
+    """The driver gets the sample in far fewer bytes than eight a bucket, and training sees the same numbers."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 40, 3000))) for _ in range(40)] + ["", None, "a a a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(len(texts))], "doc_id bigint, quality int, toxic int")
+    used = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 4 != 2]
+    want = {i: classifier.features(texts[i]) for i in used}
+    seen = []
+
+    def train(found, *_):
+        seen.append(tracemalloc.get_traced_memory())
+        seen.append([(*map(np.copy, x[:2]), x[2]) for x in found])
+
+    monkeypatch.setattr(classifier, "train", train)
+    tracemalloc.start()
+    try:
+        classifier.fit(docs, labels)
+    finally:
+        tracemalloc.stop()
+    (held, peak), got = seen
+    plain = 8 * sum(len(at) for at, _ in want.values())
+    assert plain > 6_000_000 and held < plain / 2 and peak < plain
+    assert len(got) == len(used)
+    for i, (at, share, y) in zip(used, got, strict=True):
+        assert y == i % 2 and np.array_equal(at, want[i][0]) and np.array_equal(share, want[i][1].astype("<f4"))
+
+
 def test_shards_are_those_of_plain_hashes(spark):
     """Scores of every shard from the hashes themselves: the strings in turn seed one another."""
     def hashed(key, shard):
