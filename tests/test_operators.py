@@ -410,6 +410,26 @@ def test_grid_pairs_and_gaps(spark):
         assert set(got) == set(want) and all(abs(got[k] - d) < 1e-9 for k, d in want.items())
 
 
+def test_exploded_and_packed_sides_are_not_broadcast(spark, monkeypatch):
+    """Spark would broadcast either by its size before the explosion, or on disk."""
+    from arborix.functions import lineage
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    points = spark.range(60).select((F.col("id") % 3).alias("g"), "id", *[(F.col("id") * 7 % 11 + 0.5).alias(f"l{i}") for i in range(3)])
+    other = points.select("g", F.col("id").alias("other"), *[F.col(f"l{i}").alias(f"r{i}") for i in range(3)])
+    pairs = joins.grid_pairs(points, other, "g", 2.0, ["l0", "l1", "l2"], ["r0", "r1", "r2"])
+    assert "BroadcastHashJoin" not in plan(pairs)
+    chains = spark.range(300).select((F.col("id") % 3).alias("neuron"), (F.floor(F.col("id") / 3) + 1).alias("node_id"), *[F.col("id").cast("double").alias(a) for a in "xyz"])
+    chains = chains.withColumn("parent_id", F.when(F.col("node_id") == 1, -1).otherwise(F.col("node_id") - 1))
+    monkeypatch.setattr(lineage, "FEW", 100)
+    nodes, jumps = tree.doubled(chains)
+    ends = chains.select("neuron", F.col("node_id").alias("u"), (F.lit(101) - F.col("node_id")).alias("v"))
+    far = tree.path_lengths(ends, nodes, jumps)
+    assert "BroadcastHashJoin" not in plan(far) and far.count() == 300
+    step = 3 * 3 ** 0.5
+    assert all(math.isclose(r["path"], abs(r["u"] - r["v"]) * step, abs_tol=1e-6) for r in far.collect())
+
+
 def test_draws_with_replacement(spark):
     rows = [("a", i) for i in range(10)] + [("b", i) for i in range(500)] + [(None, 1)]
     got = models.balanced(spark.createDataFrame(rows, "g string, i bigint").repartition(3), "g", 40, ["i"]).collect()
